@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import labelled, quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = labelled.in_fold(F.col("doc_id"), quality.FOLDS)
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -30,6 +39,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import labelled, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = labelled.in_fold(F.col("doc_id"), toxicity.FOLDS)
+    out = toxicity.classify(docs, chain)
+    toxic = F.col("is_toxic").cast("int")
+    return out.select("doc_id", held_out.alias("held_out"), F.col("p_toxic").alias("score"), toxic.alias("toxic"), toxic.alias("predicted"), "p_junk", "p_toxic", "p_toxic_junk")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
