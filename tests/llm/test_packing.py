@@ -17,10 +17,11 @@ def plain(texts):
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-def test_ids_by_pieces_are_the_texts_ids(spark, sf):
+def test_ids_are_the_tokenizers(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     texts += ["", " ", "a", " a", "a ", "a  b", "a\n b", "a b\n\nc 's don't ...  x", "é ü 漢 字", "a  b", "a  b", "x <|endoftext|> y", "\x1c a b"]
     e = packing.Encoder(PATH)
+    assert packing.byte_ranks(PATH) is not None and packing.byte_ranks(public_tokenizers.path("word_bpe_49k.json")) is None
     assert [np.frombuffer(x, dtype=e.type).tolist() for x in e.encode(texts)] == plain(texts)
 
 
