@@ -12,7 +12,7 @@ training text. From the root down, the share of the weight that stops at a conte
 q = Pe / (2 Pw), and a node's prediction is the sum over the path of (weight that reaches the
 context) * q * (b + 1/2) / (a + b + 1). Contexts without counts predict 1/2, as they should.
 
-Contexts are worked on in groups with equal last ``GROUP`` bytes, many groups a task. What lies above
+Contexts are worked on in groups; those with equal last ``GROUP`` bytes are in one. What lies above
 depends on sums by the last GROUP - 1 = 2 bytes, at most 65,536 contexts of 255 nodes; those levels
 are put together on the driver.
 """
@@ -116,8 +116,8 @@ def descend(level: Level, one: np.ndarray, reach: np.ndarray) -> tuple[np.ndarra
 
 
 def group_roots(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For grams whose contexts share their last GROUP bytes: those contexts' keys (context << 8 |
-    node), counts and ln Pw."""
+    """For all grams of some contexts of GROUP bytes: those contexts' keys (context << 8 | node),
+    counts and ln Pw."""
     out = []
     for bit in range(8):
         level, _ = leaves(gram, n, bit)

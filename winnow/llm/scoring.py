@@ -33,6 +33,7 @@ from .labelled import in_fold
 COMMON = 500_000
 FOLDS, PRIOR = 10, 0.1
 GRAM, WORD = 0, 1
+GROUP_ROWS = 20_000
 END = b"\n"
 REMEMBERED = 200_000
 
@@ -124,8 +125,10 @@ def count(docs: DataFrame, folds: int) -> DataFrame:
 def gram_values(counts: DataFrame) -> DataFrame:
     """gram, n, value (log10 of the last byte's probability) for every gram counted."""
     grams = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
-    group = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * ctw.GROUP)) - 1)).alias("context")
-    grouped = grams.withColumn("context", group).groupBy("context")
+    # Whole contexts are dealt to groups of about GROUP_ROWS grams.
+    groups = max(32, grams.count() // GROUP_ROWS)
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * ctw.GROUP)) - 1))
+    grouped = grams.withColumn("dealt", F.pmod(F.xxhash64(context), F.lit(groups))).groupBy("dealt")
 
     def roots(table: pa.Table) -> pa.Table:
         k, a, b, w = ctw.group_roots(table["gram"].to_numpy(), table["n"].to_numpy().astype(np.float64))
