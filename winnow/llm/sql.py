@@ -30,4 +30,10 @@ r(node, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) m ON m.node = d.doc_id
 """
 
-ORACLES = {"op6_jaccard_join": OP6, "op2_mixing": OP2}
+OP10 = """
+WITH v AS (SELECT vec_id, [floor(x::DOUBLE * 1024) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+ORACLES = {"op10_topk": OP10, "op6_jaccard_join": OP6, "op2_mixing": OP2}
