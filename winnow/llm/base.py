@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,20 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """SQL settings (dots written as double underscores) that hold for the jobs run inside."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def with_bytes(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     """The named columns and the text's UTF-8 bytes as ``utf8`` (null text: empty)."""
     return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("utf8"))

@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import shingles
-from .base import durable, map_batches, record, with_bytes
+from .base import durable, map_batches, record, settings, with_bytes
 from .graph import connected
 
 #: Cells of the sketch of column sums, and into how many pieces it is cut.
@@ -163,7 +163,8 @@ def wanted_sets(docs: DataFrame, keys: DataFrame, words: int, seed: int) -> Data
 
         return one
 
-    return map_batches(with_bytes(docs, "doc_id"), make, "key long, set binary").groupBy("key").agg(F.first("set").alias("set"))
+    # several tasks may meet a class; its sets are equal
+    return map_batches(with_bytes(docs, "doc_id"), make, "key long, set binary").dropDuplicates(["key"])
 
 
 def spark_hash(x: np.ndarray) -> np.ndarray:
@@ -221,7 +222,9 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, se
             a = b
         return {"x": batch.column("x").filter(pa.array(keep)), "y": batch.column("y").filter(pa.array(keep))}
 
-    return durable(map_batches(both.select("x", "y", "nx", "ny", "sx", "sy"), lambda: one, "x long, y long"), "jaccard-links")
+    # a row here holds two whole sets, so batches are of few rows
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="256"):
+        return durable(map_batches(both.select("x", "y", "nx", "ny", "sx", "sy"), lambda: one, "x long, y long"), "jaccard-links")
 
 
 def open_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
