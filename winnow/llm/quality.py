@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,6 +180,21 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     return map_batches(with_bytes(docs, "doc_id"), make, "doc_id long, score double, predicted int")
 
 
+def keep(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``least``; nulls as in score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        words = Words(m)
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            p = score_texts([t or b"" for t in texts], words, m)
+            yield batch.filter(pa.array(p >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``rows`` labelled documents outside the held-out fold."""
     return train(sample(docs, labels, ["quality"], folds, rows))
