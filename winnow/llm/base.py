@@ -89,7 +89,7 @@ def record(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
-def in_slices(values: list[bytes], limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def in_slices(values: list[bytes], limit: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts of about ``limit`` bytes in total, to bound a task's memory."""
     a, held = 0, 0
     for i, v in enumerate(values):

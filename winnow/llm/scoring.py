@@ -54,7 +54,7 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 class Counter:
     """Distinct keys with counts, brought together whenever ``limit`` rows have gathered."""
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 1_000_000):
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.held, self.limit = 0, limit
