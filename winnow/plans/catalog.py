@@ -1,18 +1,39 @@
-"""The catalogue of queries over the reference's own operators, with their SQL."""
+"""The catalogue of queries over the engine's operators, with their SQL."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES = ("q_basic", "q_lines", "q_scores", "q_records")
+
+
+def query(sql: str | None = None):
+    """Register a function as the query of its name, with the SQL for the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"winnow.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(ORACLES)
