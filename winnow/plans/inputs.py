@@ -55,7 +55,7 @@ def vlines(spark: SparkSession, sf: str) -> DataFrame:
 def vspans(spark: SparkSession, sf: str) -> DataFrame:
     """For every third line n, the byte span of lines n-1 to n+1: doc_id, n, span_start, span_end."""
     rows = vlines(spark, sf).select("doc_id", "line_no", "byte_start", "byte_end")
-    around = rows.select("doc_id", F.explode(F.array(F.col("line_no") - 1, F.col("line_no"), F.col("line_no") + 1)).alias("n"), "byte_start", "byte_end").where("n % 3 = 0")
+    around = rows.select("doc_id", F.explode(F.array(F.col("line_no") - 1, F.col("line_no"), F.col("line_no") + 1)).alias("n"), "byte_start", "byte_end").where("n >= 3 AND n % 3 = 0")
     last = rows.groupBy("doc_id").agg(F.max("line_no").alias("last"))
     spans = around.groupBy("doc_id", "n").agg(F.min("byte_start").alias("span_start"), F.max("byte_end").alias("span_end"))
     return spans.join(last, "doc_id").where("n <= last").drop("last")

@@ -1 +1,197 @@
-"""Placeholder."""
+"""Queries over lines, spans, units and previews."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from winnow.functions import text as X
+from winnow.limits import LIMITS
+from winnow.operators import lines as L
+from winnow.operators import previews as V
+from winnow.operators import spans as S
+from winnow.operators import streams as G
+from winnow.operators import units as U
+from winnow.plans import inputs as I
+from winnow.plans.catalog import query
+from winnow.plans.q_basic import literals, sql_values
+
+SCRIPT = ((-1, "import os\n# one\n  # two\nx = 1  # not this\n'''\n# inside\n'''\n"), (-2, "#\n\n#a"))
+
+
+@query(I.sql("vlines") + "SELECT doc_id, line_no, byte_start, byte_end FROM vlines")
+def line_offsets(spark, sf):
+    return L.line_offsets(I.table(spark, sf, "documents")).select("doc_id", "line_no", "byte_start", "byte_end")
+
+
+@query(I.sql("vlines") + "SELECT d.doc_id, (strlen(text) // 2)::BIGINT AS byte, max(line_no) AS line_no FROM documents d JOIN vlines v ON v.doc_id = d.doc_id AND v.byte_start <= strlen(text) // 2 GROUP BY ALL")
+def line_at(spark, sf):
+    docs = I.table(spark, sf, "documents")
+    points = docs.select("doc_id", F.floor(F.octet_length("text") / 2).cast("long").alias("byte"))
+    return L.line_at(L.line_offsets(docs), points)
+
+
+@query("SELECT doc_id, array_to_string(p[2:3], chr(10)) || CASE WHEN len(p) = 4 AND p[4] = '' THEN chr(10) ELSE '' END AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) WHERE len(p) >= 2")
+def line_text(spark, sf):
+    return I.table(spark, sf, "documents").select("doc_id", L.lines_text(F.col("text"), 2, 3).alias("value")).where("value IS NOT NULL")
+
+
+@query(I.sql("vspans") + "SELECT s.doc_id, s.n, k AS shift, (EXISTS (SELECT 1 FROM vlines v WHERE v.doc_id = s.doc_id AND v.byte_start = s.span_start + k) AND EXISTS (SELECT 1 FROM vlines v WHERE v.doc_id = s.doc_id AND v.byte_end = s.span_end)) AS whole FROM vspans s, (VALUES (0::BIGINT), (1)) t(k)")
+def whole_lines(spark, sf):
+    shifted = I.vspans(spark, sf).withColumn("shift", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))).withColumn("from", F.col("span_start") + F.col("shift"))
+    rows = I.vlines(spark, sf)
+    starts = rows.groupBy("doc_id", F.col("byte_start").alias("from")).agg(F.lit(True).alias("a"))
+    ends = rows.groupBy("doc_id", F.col("byte_end").alias("span_end")).agg(F.lit(True).alias("b"))
+    both = shifted.join(starts, ["doc_id", "from"], "left").join(ends, ["doc_id", "span_end"], "left")
+    return both.select("doc_id", "n", "shift", (F.coalesce("a", F.lit(False)) & F.coalesce("b", F.lit(False))).alias("whole"))
+
+
+@query(f"WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {sql_values(SCRIPT)}) t(doc_id, text)), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no FROM d) SELECT doc_id, line_no FROM l WHERE ltrim(line) LIKE '#%'")
+def hash_comment_lines(spark, sf):
+    docs = I.table(spark, sf, "documents").select("doc_id", "text").unionByName(literals(spark, SCRIPT, "doc_id long, text string"))
+    return L.hash_comments(L.line_offsets(docs)).select("doc_id", "line_no")
+
+
+BLOCK_SQL = I.sql("vlines") + ", last AS (SELECT doc_id, max(line_no) AS n FROM vlines GROUP BY doc_id), blocks AS (SELECT doc_id, s AS block_start, least(s + 3, n) AS block_end FROM last, LATERAL (SELECT unnest(range(1, n + 1, 4)) AS s))"
+
+
+def block_rows(spark, sf):
+    rows = I.vlines(spark, sf)
+    last = rows.groupBy("doc_id").agg(F.lit(1).cast("long").alias("start_line"), F.max("line_no").alias("end_line"))
+    blocks = L.blocks(last, 4).select("doc_id", "block_start", "block_end")
+    return rows, blocks
+
+
+@query(BLOCK_SQL + " SELECT doc_id, block_start, block_end FROM blocks")
+def line_blocks(spark, sf):
+    return block_rows(spark, sf)[1]
+
+
+MERGED = ", o AS (SELECT *, max(span_end) OVER (PARTITION BY doc_id ORDER BY span_start, span_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM vspans WHERE span_end > span_start), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR span_start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY span_start, span_end ROWS UNBOUNDED PRECEDING) AS island FROM o), merged AS (SELECT doc_id, min(span_start) AS span_start, max(span_end) AS span_end FROM i GROUP BY doc_id, island)"
+
+
+@query(I.sql("vspans") + MERGED + " SELECT doc_id, span_start, span_end FROM merged")
+def merge_spans(spark, sf):
+    return S.merge(I.vspans(spark, sf))
+
+
+# A hole is the second half of every fifth line; ends are swept line by line in the SQL.
+HOLES = ", holes AS (SELECT doc_id, byte_start + (byte_end - byte_start) // 2 AS hs, byte_end AS he FROM vlines WHERE line_no % 5 = 0), pieces AS (SELECT m.doc_id, m.span_start, m.span_end, h.hs, h.he FROM merged m LEFT JOIN holes h ON h.doc_id = m.doc_id AND h.hs < m.span_end AND h.he > m.span_start AND h.he > h.hs), edges AS (SELECT doc_id, span_start, span_end, span_start AS a FROM merged UNION SELECT doc_id, span_start, span_end, least(he, span_end) FROM pieces WHERE he IS NOT NULL), cut AS (SELECT e.doc_id, e.a AS span_start, coalesce((SELECT min(p.hs) FROM pieces p WHERE p.doc_id = e.doc_id AND p.span_start = e.span_start AND p.hs >= e.a), e.span_end) AS span_end FROM edges e WHERE NOT EXISTS (SELECT 1 FROM pieces p WHERE p.doc_id = e.doc_id AND p.span_start = e.span_start AND p.hs <= e.a AND p.he > e.a))"
+
+
+@query(I.sql("vspans") + MERGED + HOLES + " SELECT doc_id, span_start, span_end FROM cut WHERE span_end > span_start")
+def subtract_spans(spark, sf):
+    half = F.col("byte_start") + F.floor((F.col("byte_end") - F.col("byte_start")) / 2)
+    holes = I.vlines(spark, sf).where("line_no % 5 = 0").select("doc_id", half.cast("long").alias("span_start"), F.col("byte_end").alias("span_end"))
+    return S.subtract(I.vspans(spark, sf), holes)
+
+
+@query(BLOCK_SQL + " SELECT b.doc_id, b.block_start, v.line_no AS r_start, v.line_no + 1 AS r_end FROM blocks b JOIN vlines v ON v.doc_id = b.doc_id AND v.line_no % 7 = 0 AND b.block_start <= v.line_no + 1 AND b.block_end >= v.line_no")
+def interval_overlap(spark, sf):
+    rows, blocks = block_rows(spark, sf)
+    left = blocks.withColumnsRenamed({"block_start": "start_line", "block_end": "end_line"})
+    right = rows.where("line_no % 7 = 0").select("doc_id", F.col("line_no").alias("r_start"), (F.col("line_no") + 1).alias("r_end"))
+    return S.overlapping(left, right).select("doc_id", F.col("start_line").alias("block_start"), "r_start", "r_end")
+
+
+@query(I.sql("vspans") + "SELECT s.doc_id, s.n, v.line_no, greatest(s.span_start, v.byte_start) AS part_start, least(s.span_end, v.byte_end) AS part_end FROM vspans s JOIN vlines v ON v.doc_id = s.doc_id AND s.span_start < v.byte_end AND s.span_end > v.byte_start")
+def interval_clip(spark, sf):
+    right = I.vlines(spark, sf).select("doc_id", "line_no", F.col("byte_start").alias("clip_start"), F.col("byte_end").alias("clip_end"))
+    return S.clip(I.vspans(spark, sf), right).select("doc_id", "n", "line_no", "part_start", "part_end")
+
+
+@query(BLOCK_SQL + " SELECT b.doc_id, b.block_start, greatest(b.block_start - 3, 1) AS window_start, least(b.block_end + 3, n) AS window_end FROM blocks b JOIN last USING (doc_id) WHERE (b.block_start // 4) % 3 = 0")
+def excerpt_windows(spark, sf):
+    rows, blocks = block_rows(spark, sf)
+    ranges = blocks.where("(block_start div 4) % 3 = 0").withColumnsRenamed({"block_start": "start_line", "block_end": "end_line"})
+    last = rows.groupBy("doc_id").agg(F.max("line_no").alias("last"))
+    return L.windows(ranges, last).select("doc_id", F.col("start_line").alias("block_start"), "window_start", "window_end")
+
+
+@query(BLOCK_SQL + " SELECT doc_id, block_start, coalesce(lag(block_start) OVER w, 0) AS previous, coalesce(lead(block_start) OVER w, 0) AS next FROM blocks WHERE block_end - block_start < 40 WINDOW w AS (PARTITION BY doc_id ORDER BY block_start)")
+def neighbours(spark, sf):
+    w = Window.partitionBy("doc_id").orderBy("block_start")
+    short = block_rows(spark, sf)[1].where(F.col("block_end") - F.col("block_start") < LIMITS.neighbour_lines)
+    return short.select("doc_id", "block_start", F.coalesce(F.lag("block_start").over(w), F.lit(0).cast("long")).alias("previous"), F.coalesce(F.lead("block_start").over(w), F.lit(0).cast("long")).alias("next"))
+
+
+@query(BLOCK_SQL + " SELECT DISTINCT doc_id, (block_start - 1) // 8 AS start_line, block_end - block_start AS end_line FROM blocks ORDER BY ALL")
+def comment_dedup(spark, sf):
+    found = block_rows(spark, sf)[1].select("doc_id", F.expr("(block_start - 1) div 8").alias("start_line"), (F.col("block_end") - F.col("block_start")).alias("end_line"))
+    return found.dropDuplicates().orderBy("doc_id", "start_line", "end_line")
+
+
+# Units and greedy packing
+
+GREEDY_UNITS = ", ok AS (SELECT doc_id FROM vlines GROUP BY doc_id HAVING max(byte_end - byte_start) <= 3000), l AS (SELECT v.* FROM vlines v JOIN ok USING (doc_id)), f(doc_id, line_no, unit, used) AS (SELECT doc_id, 1::BIGINT, 0::BIGINT, byte_end - byte_start FROM l WHERE line_no = 1 UNION ALL SELECT l.doc_id, l.line_no, CASE WHEN f.used + l.byte_end - l.byte_start > 3000 THEN f.unit + 1 ELSE f.unit END, CASE WHEN f.used + l.byte_end - l.byte_start > 3000 THEN l.byte_end - l.byte_start ELSE f.used + l.byte_end - l.byte_start END FROM f JOIN l ON l.doc_id = f.doc_id AND l.line_no = f.line_no + 1) SELECT doc_id, unit AS ord, min(byte_start) AS byte_start, max(byte_end) AS byte_end, min(line_no) AS start_line, max(line_no) AS end_line, count(*) OVER (PARTITION BY doc_id) > 1 AS partial FROM f JOIN l USING (doc_id, line_no) GROUP BY doc_id, unit HAVING max(byte_end) > min(byte_start)"
+
+
+@query(I.sql("vlines", recursive=True) + GREEDY_UNITS)
+def text_units(spark, sf):
+    """Documents that have a line over 3,000 bytes are left out: lines are the SQL's smallest unit."""
+    docs = I.table(spark, sf, "documents")
+    longest = F.array_max(F.transform(F.split("text", "\n", -1), lambda x: F.octet_length(x)))
+    return U.split_texts(docs.where(longest < LIMITS.fallback_unit_bytes))
+
+
+@query(I.sql("vfiles", recursive=True) + ", s AS (SELECT dir, doc_id, bytes, row_number() OVER (PARTITION BY dir ORDER BY doc_id) AS n FROM vfiles WHERE bytes <= 38000), f(dir, n, doc_id, batch, items, used) AS (SELECT dir, n, doc_id, 0::BIGINT, 1::BIGINT, bytes FROM s WHERE n = 1 UNION ALL SELECT s.dir, s.n, s.doc_id, CASE WHEN f.items >= 128 OR f.used + s.bytes > 38000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.items >= 128 OR f.used + s.bytes > 38000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items >= 128 OR f.used + s.bytes > 38000 THEN s.bytes ELSE f.used + s.bytes END FROM f JOIN s ON s.dir = f.dir AND s.n = f.n + 1) SELECT dir, doc_id, batch FROM f")
+def greedy_batches(spark, sf):
+    files = I.vfiles(spark, sf).where(F.col("bytes") <= LIMITS.navigation_bytes).select("dir", "doc_id", "bytes")
+    return G.batches(files, ["dir"], ["doc_id"], "bytes").select("dir", "doc_id", "batch")
+
+
+UNIT_ROWS = BLOCK_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_start) AS n FROM (SELECT b.doc_id, b.block_start, min(v.byte_start) AS a, max(v.byte_end) AS z FROM blocks b JOIN vlines v ON v.doc_id = b.doc_id AND v.line_no BETWEEN b.block_start AND b.block_end GROUP BY b.doc_id, b.block_start))"
+
+
+@query(UNIT_ROWS + ", f(doc_id, n, block_start, grp, items, first) AS (SELECT doc_id, n, block_start, 0::BIGINT, 1, a FROM u WHERE n = 1 UNION ALL SELECT u.doc_id, u.n, u.block_start, CASE WHEN f.items >= 3 OR u.z - f.first > 2000 THEN f.grp + 1 ELSE f.grp END, CASE WHEN f.items >= 3 OR u.z - f.first > 2000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items >= 3 OR u.z - f.first > 2000 THEN u.a ELSE f.first END FROM f JOIN u ON u.doc_id = f.doc_id AND u.n = f.n + 1) SELECT doc_id, block_start, grp AS \"group\" FROM f")
+def unit_groups(spark, sf):
+    rows, blocks = block_rows(spark, sf)
+    inside = blocks.join(rows, "doc_id").where("line_no BETWEEN block_start AND block_end")
+    units = inside.groupBy("doc_id", "block_start").agg(F.min("byte_start").alias("a"), F.max("byte_end").alias("z"))
+    return G.groups(units, ["doc_id"], ["block_start"], "a", "z", most_units=3, most_bytes=2000).select("doc_id", "block_start", "group")
+
+
+@query(BLOCK_SQL + ", c AS (SELECT b.doc_id, b.block_start, greatest(b.block_start - 8, 1) AS a, least(b.block_end + 8, n) AS z, least(20, n) AS o FROM blocks b JOIN last USING (doc_id)) SELECT c.doc_id, c.block_start, CASE WHEN strlen(d.text) <= 1600 THEN 'whole' ELSE 'around' END AS kind, CASE WHEN strlen(d.text) <= 1600 THEN strlen(d.text) ELSE vo.byte_end END::BIGINT AS opening_end, CASE WHEN strlen(d.text) > 1600 THEN va.byte_start ELSE 0 END AS near_start, CASE WHEN strlen(d.text) > 1600 THEN vz.byte_end ELSE 0 END AS near_end FROM c JOIN documents d USING (doc_id) JOIN vlines va ON va.doc_id = c.doc_id AND va.line_no = c.a JOIN vlines vz ON vz.doc_id = c.doc_id AND vz.line_no = c.z JOIN vlines vo ON vo.doc_id = c.doc_id AND vo.line_no = c.o")
+def group_context(spark, sf):
+    from winnow.operators import context
+
+    rows, blocks = block_rows(spark, sf)
+    return context.group_context(rows, blocks, replace(LIMITS, whole_file_bytes=1600))
+
+
+# Previews
+
+
+@query("SELECT doc_id, sha256(head) AS sha256, strlen(head)::BIGINT AS bytes, strlen(head) < strlen(text) AS truncated FROM (SELECT doc_id, text, text AS head FROM documents WHERE strlen(text) <= 16384 UNION ALL SELECT doc_id, text, left(text, max(c)) FROM (SELECT doc_id, text, unnest(range(14000, 16385)) AS c FROM documents WHERE strlen(text) > 16384) WHERE strlen(left(text, c)) <= 16384 GROUP BY doc_id, text)")
+def file_preview(spark, sf):
+    docs = I.table(spark, sf, "documents").select("doc_id", "text", V.file_preview(F.col("text")).alias("head"))
+    return docs.select("doc_id", F.sha2("head", 256).alias("sha256"), F.octet_length("head").cast("long").alias("bytes"), (F.octet_length("head") < F.octet_length("text")).alias("truncated"))
+
+
+PREVIEW = I.sql("ventries") + ", e AS (SELECT parent, string_split(path, '/')[-1] AS name, kind, path FROM ventries), s AS (SELECT *, row_number() OVER w AS n, sum(strlen(to_json({'name': name, 'kind': kind})::VARCHAR)) OVER w AS used FROM e WINDOW w AS (PARTITION BY parent ORDER BY path)), shown AS (SELECT parent, name, kind, n FROM s WHERE n <= 8 AND used <= 4096)"
+SMALL = replace(LIMITS, directory_entries=8)
+
+
+@query(PREVIEW + " SELECT parent, name, kind, n FROM shown")
+def dir_preview(spark, sf):
+    return V.directory_entries(I.ventries(spark, sf), SMALL)
+
+
+@query(PREVIEW + r" SELECT parent, CASE WHEN regexp_extract(name, '^.+(\.[^.]*)$', 1) = '' THEN '[no extension]' ELSE regexp_extract(name, '^.+(\.[^.]*)$', 1) END AS extension, count(*) AS n FROM shown WHERE kind = 'file' GROUP BY ALL")
+def extension_histogram(spark, sf):
+    return V.extension_histogram(V.directory_entries(I.ventries(spark, sf), SMALL))
+
+
+@query(I.sql("vfiles") + ", f AS (SELECT *, greatest(16000 // count(*) OVER (PARTITION BY dir), 80) AS per FROM vfiles), p AS (SELECT *, per // 3 AS part, length(text) AS n FROM f) SELECT doc_id, CASE WHEN n <= per THEN text ELSE '[character offset 0]' || chr(10) || left(text, part) || chr(10) || '...' || chr(10) || '[character offset ' || greatest(n // 2 - part // 2, 0) || ']' || chr(10) || substr(text, greatest(n // 2 - part // 2, 0) + 1, part) || chr(10) || '...' || chr(10) || '[character offset ' || greatest(n - part, 0) || ']' || chr(10) || substr(text, greatest(n - part, 0) + 1, part) END AS value FROM p")
+def three_part_sample(spark, sf):
+    files = I.vfiles(spark, sf)
+    per = files.groupBy("dir").agg(F.greatest(F.floor(F.lit(LIMITS.sample_bytes) / F.count(F.lit(1))), F.lit(LIMITS.sample_chars)).cast("int").alias("per"))
+    return files.join(per, "dir").select("doc_id", V.three_part_sample(F.col("text"), F.col("per")).alias("value"))
+
+
+@query(I.sql("vfiles") + "SELECT doc_id, CASE WHEN bytes <= 1000000 AND strlen(to_json({'path': path, 'text': text})::VARCHAR) > 10000 THEN 'expand' ELSE 'score' END AS part FROM vfiles")
+def expand_or_score(spark, sf):
+    big = (F.col("bytes") <= LIMITS.inspected_bytes) & (X.json_bytes(F.col("path"), F.col("text")) > 10_000)
+    return I.vfiles(spark, sf).select("doc_id", F.when(big, "expand").otherwise("score").alias("part"))

@@ -1 +1,121 @@
-"""Placeholder."""
+"""Queries over issues, usage, calls, captures and budgets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from winnow.limits import LIMITS
+from winnow.operators import bookkeeping as K
+from winnow.operators import budget as B
+from winnow.plans import inputs as I
+from winnow.plans.catalog import query
+
+ISSUES = "issues AS (SELECT event_id, search, CASE status WHEN 529 THEN 'provider' WHEN 429 THEN 'budget' ELSE 'unreadable' END AS kind, CASE status WHEN 529 THEN 'provider_unavailable' WHEN 429 THEN 'budget_exhausted' ELSE 'source_unreadable' END AS code, ts FROM vattempts WHERE status <> 200)"
+WITH_ISSUES = I.sql("vattempts") + ", " + ISSUES + " "
+
+
+def issues_of(spark, sf):
+    s = F.col("status")
+    return I.vattempts(spark, sf).where(s != 200).select("event_id", "search", F.when(s == 529, "provider").when(s == 429, "budget").otherwise("unreadable").alias("kind"), F.when(s == 529, "provider_unavailable").when(s == 429, "budget_exhausted").otherwise("source_unreadable").alias("code"), "ts")
+
+
+@query(WITH_ISSUES + "SELECT kind, code, count(*) AS n FROM issues GROUP BY ALL")
+def issue_counts(spark, sf):
+    return K.issue_counts(issues_of(spark, sf))
+
+
+@query(WITH_ISSUES + "SELECT search, kind, code FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY ts, event_id) AS n FROM issues) WHERE n = 1")
+def first_error(spark, sf):
+    return K.first_issue(issues_of(spark, sf), ["ts", "event_id"])
+
+
+@query(I.sql("vscore") + ", ds AS (SELECT dir, ((min(doc_id) * 7919) % 1000) / CAST(1000 AS DOUBLE) AS p FROM vscore GROUP BY dir) SELECT (SELECT count(DISTINCT path) FROM vscore JOIN ds USING (dir) WHERE p > 0.5) AS files_considered, (SELECT count(*) FROM ds WHERE p <= 0.5) AS directories_pruned, (SELECT count(*) FROM vscore JOIN ds USING (dir) WHERE p > 0.5 AND p1 > 0.5) AS matches_found, (SELECT count(*) FROM vscore JOIN ds USING (dir) WHERE p > 0.5 AND p1 > 0.5) > 10 AS results_limited")
+def coverage(spark, sf):
+    s = I.vscore(spark, sf)
+    dirs = s.groupBy("dir").agg(F.min("doc_id").alias("doc_id")).select("dir", I.score(I.PRIMES[0]).alias("p"))
+    seen = s.join(dirs, "dir")
+    good = F.col("p") > LIMITS.threshold
+    counts = seen.agg(F.countDistinct(F.when(good, F.col("path"))).alias("files_considered"), F.countDistinct(F.when(~good, F.col("dir"))).alias("directories_pruned"), F.count_if(good & (F.col("p1") > LIMITS.threshold)).alias("matches_found"))
+    return counts.withColumn("results_limited", F.col("matches_found") > LIMITS.default_results)
+
+
+@query(WITH_ISSUES + "SELECT a.search, CASE WHEN a.search % 10 = 0 THEN 'interrupted' WHEN count(i.event_id) > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM (SELECT DISTINCT search FROM vattempts) a LEFT JOIN issues i ON i.search = a.search AND i.kind = 'budget' AND i.event_id % 40 = 0 GROUP BY a.search")
+def search_status(spark, sf):
+    few = issues_of(spark, sf).where("kind = 'budget' AND event_id % 40 = 0").groupBy("search").agg(F.count(F.lit(1)).alias("n"))
+    every = I.vattempts(spark, sf).select("search").distinct().join(few, "search", "left")
+    return every.select("search", K.status(F.coalesce("n", F.lit(0)), (F.col("search") % 10 == 0).cast("int")).alias("status"))
+
+
+@query(I.sql("vattempts") + "SELECT coalesce(sum(CASE WHEN status = 200 THEN tokens END), 0)::BIGINT AS input_tokens, count(*) AS requests FROM vattempts")
+def usage_totals(spark, sf):
+    return K.usage(I.vattempts(spark, sf).withColumn("input_tokens", F.when(F.col("status") == 200, F.col("tokens"))))
+
+
+@query(I.sql("vattempts") + "SELECT search, arg_max('m' || tokens % 3, event_id) AS model FROM vattempts WHERE status = 200 GROUP BY search")
+def last_model(spark, sf):
+    model = F.when(F.col("status") == 200, F.concat(F.lit("m"), (F.col("tokens") % 3).cast("string")))
+    return K.last_reported(I.vattempts(spark, sf).withColumn("model", model), "search", "model", "event_id")
+
+
+@query("WITH q AS (SELECT item_id, CASE WHEN item_id % 10 = 0 THEN '  ' WHEN item_id % 10 = 1 THEN repeat(text, 40) ELSE text END AS question FROM benchmark) SELECT item_id, coalesce(CASE WHEN trim(question) = '' THEN 'blank' WHEN strlen(question) > 2048 THEN 'too_long' END, 'ok') AS error FROM q")
+def validate_questions(spark, sf):
+    q = F.when(F.col("item_id") % 10 == 0, F.lit("  ")).when(F.col("item_id") % 10 == 1, F.repeat("text", F.lit(40))).otherwise(F.col("text"))
+    return I.table(spark, sf, "benchmark").select("item_id", F.coalesce(K.question_error(q), F.lit("ok")).alias("error"))
+
+
+@query("SELECT doc_id, sha256 FROM (SELECT doc_id, sha256(text) AS sha256, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def dedup_first(spark, sf):
+    rows = I.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return K.keep_first(rows, ["sha256"], "doc_id")
+
+
+@query(I.sql("vask") + "SELECT call, ord, bytes, total::BIGINT AS total FROM (SELECT *, sum(bytes) OVER (PARTITION BY call ORDER BY ord ROWS UNBOUNDED PRECEDING) AS total FROM vask) WHERE total <= 4096")
+def ask_budgeted_read(spark, sf):
+    return K.budgeted_read(I.vask(spark, sf), most=4096).select("call", "ord", "bytes", "total")
+
+
+@query("SELECT event_id, 'run ' || event_type AS command, '/home/' || user_id AS cwd, 'tool-' || event_id AS tool_use_id, TRY_CAST(props->>'$.k' AS BIGINT) AS timeout FROM events")
+def capture_parse(spark, sf):
+    raw = F.to_json(F.struct(F.lit("Bash").alias("tool_name"), F.concat(F.lit("tool-"), F.col("event_id").cast("string")).alias("tool_use_id"), F.concat(F.lit("/home/"), F.col("user_id").cast("string")).alias("cwd"), F.struct(F.concat(F.lit("run "), "event_type").alias("command"), F.get_json_object("props", "$.k").cast("long").alias("timeout")).alias("tool_input")))
+    schema = "tool_name string, tool_use_id string, cwd string, tool_input struct<command:string,description:string,timeout:bigint,run_in_background:boolean>"
+    x = F.from_json("raw", schema)
+    return I.table(spark, sf, "events").select("event_id", raw.alias("raw")).select("event_id", x.alias("x")).select("event_id", F.col("x.tool_input.command").alias("command"), "x.cwd", "x.tool_use_id", F.col("x.tool_input.timeout").alias("timeout"))
+
+
+@query("SELECT event_id AS id, event_type AS command, CASE WHEN event_id % 3 = 0 THEN (user_id % 3)::INTEGER ELSE -1 END AS exit_code, CASE WHEN event_id % 3 = 0 THEN round(value * 10) / 10 ELSE -1 END AS duration_seconds FROM events")
+def capture_finish(spark, sf):
+    e = I.table(spark, sf, "events")
+    started = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("command"), F.lit(0.0).alias("started_at_unix"))
+    ends = e.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), (F.col("user_id") % 3).cast("int").alias("exit_code"), F.col("value").alias("ended_at_unix"))
+    out = K.finished(started, ends)
+    return out.select("id", "command", F.coalesce("exit_code", F.lit(-1)).alias("exit_code"), F.coalesce("duration_seconds", F.lit(-1.0)).alias("duration_seconds"))
+
+
+SHOWN = "CASE WHEN err <> '' THEN CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN text ELSE text || chr(10) END || '--- stderr' || chr(10) || err ELSE text END"
+FACTS = "'exit_code: 0' || chr(10) || 'stdout: ' || strlen(text) || ' bytes /r/' || doc_id || '/stdout.log' || chr(10) || 'stderr: ' || strlen(err) || ' bytes /r/' || doc_id || '/stderr.log' || chr(10)"
+
+
+@query(f"WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'warning' || chr(10) ELSE '' END AS err FROM documents), s AS (SELECT *, {SHOWN} AS shown, {FACTS} AS facts FROM d) SELECT doc_id, CASE WHEN strlen(text) + strlen(err) <= 2048 THEN CASE WHEN shown = '' OR shown LIKE '%' || chr(10) THEN shown ELSE shown || chr(10) END || facts ELSE facts || 'output not shown' || chr(10) END AS value FROM s")
+def capture_summary(spark, sf):
+    err = F.when(F.col("doc_id") % 2 == 0, "warning\n").otherwise("")
+    return I.table(spark, sf, "documents").select("doc_id", K.summary(F.col("text"), err, F.lit(0), F.concat(F.lit("/r/"), F.col("doc_id").cast("string"))).alias("value"))
+
+
+@query(I.sql("vattempts") + "SELECT event_id, count(*) OVER (PARTITION BY search ORDER BY ts RANGE BETWEEN INTERVAL 59.999999 SECONDS PRECEDING AND CURRENT ROW) AS requests, (sum(tokens) OVER (PARTITION BY search ORDER BY ts RANGE BETWEEN INTERVAL 0.999999 SECONDS PRECEDING AND CURRENT ROW))::BIGINT AS window_tokens FROM vattempts")
+def rate_windows(spark, sf):
+    return B.rate_windows(I.vattempts(spark, sf)).select("event_id", "requests", "window_tokens")
+
+
+@query(I.sql("vattempts") + "SELECT event_id, free_at FROM (SELECT event_id, lag(ts, 19) OVER (PARTITION BY search ORDER BY ts, event_id) + INTERVAL 60 SECONDS AS free_at FROM vattempts) WHERE free_at IS NOT NULL")
+def rpm_wait(spark, sf):
+    return B.request_wait(I.vattempts(spark, sf), most=20).where("free_at IS NOT NULL").select("event_id", "free_at")
+
+
+@query(I.sql("vattempts") + "SELECT event_id, coalesce(ts < max(CASE WHEN status = 429 THEN ts + INTERVAL 3600 SECONDS END) OVER (PARTITION BY search ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS paused FROM vattempts")
+def cooldown(spark, sf):
+    return B.cooldown(I.vattempts(spark, sf), 3600).select("event_id", "paused")
+
+
+@query(I.sql("vattempts") + "SELECT event_id, search FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY ts, event_id) AS n FROM vattempts) WHERE n <= 50")
+def request_cap(spark, sf):
+    return B.request_cap(I.vattempts(spark, sf), 50).select("event_id", "search")
