@@ -48,9 +48,9 @@ class Lines:
         return bisect.bisect_right(self.starts, byte)
 
     def text(self, first: int, last: int) -> str:
-        """Without the final LF unless it ends the text."""
+        """Without the final LF, unless the text's empty last line is among them."""
         part = self.raw[self.start(first) : self.end(last)]
-        if part.endswith(b"\n") and last < len(self.starts) and self.end(last) < len(self.raw):
+        if part.endswith(b"\n") and last < len(self.starts):
             part = part[:-1]
         return part.decode("utf-8", "replace")
 
