@@ -119,3 +119,26 @@ def cooldown(spark, sf):
 @query(I.sql("vattempts") + "SELECT event_id, search FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY ts, event_id) AS n FROM vattempts) WHERE n <= 50")
 def request_cap(spark, sf):
     return B.request_cap(I.vattempts(spark, sf), 50).select("event_id", "search")
+
+
+@query()
+def search_report(spark, sf):
+    """The whole search over the driver's documents as files, scored by their ids; one JSON a file."""
+    from winnow.plans import search
+    from winnow.plans.scorers import SqlScorer
+
+    files = I.vfiles(spark, sf).select("path", "text")
+    p = F.pmod(F.xxhash64("path", "name", "stage"), F.lit(1000)) / 1000.0
+    return search.report(search.Search(files, "which of these?", SqlScorer(p)).run(100))
+
+
+@query()
+def ask_record(spark, sf):
+    """Two questions over each conversation's turns; one JSON a conversation."""
+    from winnow.plans import ask
+    from winnow.plans.scorers import SqlScorer
+
+    turns = I.vask(spark, sf)
+    files = turns.select("call", "ord", F.concat_ws("/", "role", F.col("ord").cast("string")).alias("path"), F.sha2("text", 256).alias("identity"), "text")
+    p = F.pmod(F.xxhash64("path", "name"), F.lit(1000)) / 1000.0
+    return ask.record(files, ask.ask(files, ["Is it a question?", "Is it polite?"], SqlScorer(p)))
