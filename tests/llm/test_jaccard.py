@@ -67,7 +67,7 @@ def made(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1024), (2, 3)])
+@pytest.mark.parametrize("seed,block", [(1, 512), (2, 3), (3, 7)])
 def test_components_are_those_of_all_pairs(docs, monkeypatch, seed, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = made(seed)
@@ -91,6 +91,20 @@ def test_parity_maps_bound_the_difference():
     assert np.bitwise_count((maps[0] ^ maps[1]).view(np.uint64)).sum() <= 3 and s.size.tolist() == [4, 5, 0] and not maps[2].any()
 
 
+def test_products_and_forests():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype("<u8") for _ in range(20)]
+    got = jaccard.overlap_counts([s.tobytes() for s in sets])
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j)
+    linked = np.zeros((6, 6), dtype=bool)
+    for i, j in ((0, 1), (1, 2), (0, 2), (3, 4)):
+        linked[i, j] = linked[j, i] = True
+    x, y = jaccard.forest(linked, np.arange(6))
+    assert len(x) == 3 and {frozenset(e) for e in zip(x.tolist(), y.tolist(), strict=True)} <= {frozenset(e) for e in ((0, 1), (1, 2), (0, 2), (3, 4))}
+    x, y = jaccard.forest(linked, np.arange(6), np.array([0, 0, 0, 3, 4, 0]))
+    assert len(x) == 1
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (201, 202), (300, 300)]
     got = {r.node: r.root for r in graph.connected(spark.createDataFrame(edges, "x long, y long")).collect()}

@@ -6,16 +6,18 @@ overlaps. What is computed of it:
 1. Documents with equal sets are one row of the matrix, a class.
 2. Columns stand in one order for all rows, rare ones first as far as a sketch of the columns' sums
    can tell. If two rows overlap by the bound, they share a column among each one's first
-   n - ceil(num n / den) + 1. Only those columns of each row name cells that are computed.
-3. In each such column one row, the leader, is paired with all others. Pairs whose sizes, or whose
-   parity maps, exclude the bound are discarded; overlaps of the rest are accumulated exactly.
-4. Rows now linked are in one component. A column whose rows are all in one component is done. In the
-   others every row outside the leader's component is compared with every row of another component,
-   in blocks of rows, first by size and parity map, then exactly.
-
-So a group of any number of near copies costs a pair for each member and column and not for each two
-members, and no link between different sets is lost: a pair not computed in 3 or 4 is within one
-component already.
+   n - ceil(num n / den) + 1. Only rows that meet in such a column can link.
+3. Two rows are possible links if their sizes and the parity maps of their sets leave the bound
+   possible. In each column the rows possible with its leader are tied to it; rows that are not tied
+   to the leader's cluster are compared with the column's other rows, in blocks. Ties make clusters:
+   both ends of every link are in one.
+4. Within a cluster overlaps are accumulated by sparse products of blocks of rows, and pairs below the
+   bound are discarded. A cluster of one block is done then. In larger ones a row of each component
+   of each block meets those of the others, and last every row outside the cluster's largest
+   component meets all rows of the cluster. Pairs left out by that are within one component already.
+
+So a group of any number of near copies is read a few times and not once for every member, only links
+that join components are put out, and no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -25,21 +27,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import shingles
-from .base import durable, map_batches, record, settings, with_bytes
+from .base import durable, map_batches, record, with_bytes
 from .graph import connected
 
 #: Cells of the sketch of column sums, and into how many pieces it is cut.
 CELL_BITS, PIECES = 20, 64
 MAP_WORDS = 8
 MAPS = [f"m{i}" for i in range(MAP_WORDS)]
-#: Rows to a block when columns with several components are compared.
-BLOCK = 1024
+#: Rows to a block of a column or of a cluster.
+BLOCK = 512
 #: Bits of the filter that says which classes' sets are wanted.
 FILTER_BITS = 24
 
@@ -187,48 +189,50 @@ def possible(x: str, y: str, num: int, den: int):
     return (den * F.least(a, b) >= num * F.greatest(a, b)) & ((num + den) * apart <= (den - num) * (a + b))
 
 
-def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Overlap counts of pairs of sorted sets, accumulated over the whole batch at once."""
-    parts = []
-    for side in (left, right):
-        size = np.array([len(s) // 8 for s in side])
-        parts.append((np.repeat(np.arange(len(side), dtype=np.uint64), size) << np.uint64(shingles.HASH_BITS)) | np.frombuffer(b"".join(side), dtype="<u8"))
-    every = np.sort(np.concatenate(parts))
-    twice = every[1:][every[1:] == every[:-1]]
-    return np.bincount((twice >> np.uint64(shingles.HASH_BITS)).astype(np.int64), minlength=len(left))
-
-
-def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, seed: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (x, y), those whose exact overlap meets the bound; reads texts only if any can."""
-    x, y = classes.alias("cx"), classes.alias("cy")
-    near = pairs.join(x, F.col("x") == F.col("cx.key")).join(y, F.col("y") == F.col("cy.key")).where(possible("cx", "cy", num, den))
-    near = durable(near.select("x", "y", F.col("cx.n").alias("nx"), F.col("cy.n").alias("ny")), "jaccard-near")
-    if near.isEmpty():
-        return near.select("x", "y")
-    keys = near.select(F.col("x").alias("key")).union(near.select("y"))
-    sets = durable(wanted_sets(docs, keys, words, seed), "jaccard-sets")
-    both = near.join(sets.select(F.col("key").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("key").alias("y"), F.col("set").alias("sy")), "y")
-
-    def one(batch: pa.RecordBatch) -> dict:
-        nx, ny = (batch.column(c).to_numpy() for c in ("nx", "ny"))
-        keep = np.zeros(len(nx), dtype=bool)
-        sx, sy = batch.column("sx"), batch.column("sy")
-        size = np.cumsum(nx + ny)
-        a = 0
-        while a < len(nx):
-            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + 2_000_000)))
-            both = overlaps(sx.slice(a, b - a).to_pylist(), sy.slice(a, b - a).to_pylist())
-            keep[a:b] = den * both >= num * (nx[a:b] + ny[a:b] - both)
-            a = b
-        return {"x": batch.column("x").filter(pa.array(keep)), "y": batch.column("y").filter(pa.array(keep))}
-
-    # a row here holds two whole sets, so batches are of few rows
-    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="256"):
-        return durable(map_batches(both.select("x", "y", "nx", "ny", "sx", "sy"), lambda: one, "x long, y long"), "jaccard-links")
-
-
-def open_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs still to be computed: rows of one column in different components, leaders apart."""
+def ties(members: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
+    """x, y: possible links between members and leaders of their columns."""
+    x, y = meta.alias("cx"), meta.alias("cy")
+    pairs = members.where("key <> lead").select(F.col("key").alias("x"), F.col("lead").alias("y")).distinct()
+    near = pairs.join(x, F.col("x") == F.col("cx.key")).join(y, F.col("y") == F.col("cy.key"))
+    return durable(near.where(possible("cx", "cy", num, den)).select("x", "y"), "jaccard-ties")
+
+
+def forest(linked: np.ndarray, keys: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph with the given symmetric adjacency.
+
+    Rows of one ``root`` are joined beforehand and cost no edge.
+    """
+    n = len(keys)
+    left = np.ones(n, dtype=bool)
+    xs, ys = [], []
+    for seed in range(n):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        front = [seed]
+        if root is not None:
+            mates = np.flatnonzero(left & (root == root[seed]))
+            left[mates] = False
+            front += mates.tolist()
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(linked[i] & left)
+            while len(new):
+                j = int(new[0])
+                xs.append(keys[j])
+                ys.append(keys[i])
+                left[j] = False
+                front.append(j)
+                if root is not None:
+                    mates = np.flatnonzero(left & (root == root[j]))
+                    left[mates] = False
+                    front += mates.tolist()
+                new = new[left[new]]
+    return np.array(xs, dtype=np.int64), np.array(ys, dtype=np.int64)
+
+
+def open_ties(members: DataFrame, roots: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
+    """Possible links in columns whose rows are not all tied to the leader's cluster."""
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rows = members.join(root("key"), "key", "left").join(root("lead"), "lead", "left")
     rows = rows.select("column", "key", "lead", F.coalesce("key_root", "key").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root"))
@@ -237,40 +241,103 @@ def open_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, num: in
     rows = durable(rows.withColumn("out", out).select("column", "key", "root", "out"), "jaccard-rows")
     stats = rows.groupBy("column").agg(F.sum("out").alias("outs"), F.sum(1 - F.col("out")).alias("ins"))
     stats = durable(stats.where((F.col("outs") >= 1) & (F.col("outs") + F.col("ins") >= 2)), "jaccard-open")
-    if stats.isEmpty():
-        return rows.select(F.col("key").alias("x"), F.col("key").alias("y")).limit(0)
-    rows = rows.join(stats, "column").join(classes, "key")
     # Outer rows are dealt to outer blocks, inner ones to inner blocks; an inner block meets every
     # outer one, two outer blocks meet once.
+    dealt = deal(rows.join(stats, "column").join(meta, "key"), "column", F.col("out") == 1).select("column", "cell", "key", "root", "out", "n", *MAPS)
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, own, n, outer = (table[c].to_numpy() for c in ("key", "root", "n", "out"))
+        maps = np.ascontiguousarray(np.column_stack([table[m].to_numpy() for m in MAPS])).view(np.uint64)
+        near = np.zeros((len(key), len(key)), dtype=bool)
+        for i in range(len(key)):
+            apart = np.bitwise_count(maps ^ maps[i]).sum(axis=1)
+            near[i] = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & ((num + den) * apart <= (den - num) * (n + n[i])) & ((outer | outer[i]) == 1)
+        x, y = forest(near, key, own)
+        return pa.table({"x": x, "y": y})
+
+    return durable(dealt.groupBy("column", "cell").applyInArrow(compare, "x long, y long").distinct(), "jaccard-open-ties")
+
+
+def deal(rows: DataFrame, group: str, is_out: Column) -> DataFrame:
+    """Rows with ``outs`` and ``ins`` (their group's numbers of outer and inner rows) dealt to cells,
+    so that every outer row meets every row of its group in some cell of at most 2 BLOCK rows or so."""
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("key", "column"), F.greatest(F.when(F.col("out") == 1, blocks("outs")).otherwise(blocks("ins")), F.lit(1)))
-    rows = rows.withColumn("own", own).withColumn("ob", blocks("outs")).withColumn("ib", blocks("ins"))
     tag = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"))
-    each = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)).otherwise(F.array().cast("array<struct<kind:int,a:bigint,b:bigint>>"))
+    empty = F.array().cast("array<struct<kind:int,a:bigint,b:bigint>>")
+    each = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)).otherwise(empty)
+    own = F.pmod(F.xxhash64("key", group), F.greatest(F.when(is_out, blocks("outs")).otherwise(blocks("ins")), F.lit(1)))
+    rows = rows.withColumn("own", own).withColumn("ob", blocks("outs")).withColumn("ib", blocks("ins"))
     mine = F.col("own")
-    cells = F.when(F.col("out") == 0, each(F.col("ob"), lambda j: tag(0, mine, j))).otherwise(
-        F.concat(each(F.col("ib"), lambda i: tag(0, i, mine)), each(F.col("ob"), lambda j: tag(1, F.least(j, mine), F.greatest(j, mine))))
-    )
-    dealt = rows.withColumn("cell", F.explode(cells)).select("column", "cell", "key", "root", "out", "n", "own", *MAPS)
+    outer = F.concat(each(F.col("ib"), lambda i: tag(0, i, mine)), each(F.col("ob"), lambda j: tag(1, F.least(j, mine), F.greatest(j, mine))))
+    cells = F.when(is_out, outer).otherwise(each(F.col("ob"), lambda j: tag(0, mine, j)))
+    return rows.withColumn("cell", F.explode(cells))
 
-    def compare(table: pa.Table) -> pa.Table:
-        key, root, n, outer = (table[c].to_numpy() for c in ("key", "root", "n", "out"))
-        maps = np.ascontiguousarray(np.column_stack([table[m].to_numpy() for m in MAPS]))
-        order = np.argsort(key, kind="stable")
-        key, root, n, outer, maps = key[order], root[order], n[order], outer[order], maps[order]
-        xs, ys = [], []
-        for i in range(len(key) - 1):
-            js = np.arange(i + 1, len(key))
-            js = js[(root[js] != root[i]) & (outer[js] | outer[i] == 1) & (den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))]
-            if len(js):
-                apart = np.bitwise_count((maps[js] ^ maps[i]).view(np.uint64)).sum(axis=1)
-                js = js[(num + den) * apart <= (den - num) * (n[js] + n[i])]
-                xs.append(np.full(len(js), key[i]))
-                ys.append(key[js])
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0, dtype=np.int64)
-        return pa.table({"x": cat(xs), "y": cat(ys)})
-
-    return dealt.groupBy("column", "cell").applyInArrow(compare, "x long, y long").distinct()
+
+def overlap_counts(sets: list[bytes]) -> np.ndarray:
+    """The product of a block's incidence matrix with its transpose, without columns of one row.
+
+    The columns are taken in pieces; sums of single-precision products are exact below 2**24.
+    """
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(s) // 8 for s in sets])
+    column = np.frombuffer(b"".join(sets), dtype="<u8")
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    new = np.append(True, column[1:] != column[:-1]) if len(column) else np.zeros(0, dtype=bool)
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, dtype=bool)
+    row, number = row[shared], number[shared]
+    total = np.zeros((m, m))
+    if not len(row):
+        return total
+    number = np.cumsum(np.append(True, number[1:] != number[:-1])) - 1
+    width = 8192
+    for a in range(0, int(number[-1]) + 1, width):
+        lo, hi = np.searchsorted(number, [a, a + width])
+        piece = np.zeros((m, width), dtype=np.float32)
+        piece[row[lo:hi], number[lo:hi] - a] = 1
+        total += piece @ piece.T
+    return total
+
+
+def links_in(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Links of a block's rows, as many as join its components."""
+    key, n = table["key"].to_numpy(), table["n"].to_numpy()
+    both = overlap_counts(table["set"].to_pylist())
+    linked = den * both >= num * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(linked, False)
+    x, y = forest(linked, key, table["root"].to_numpy() if "root" in table.column_names else None)
+    return pa.table({"x": x, "y": y})
+
+
+def exact_links(docs: DataFrame, clusters: DataFrame, meta: DataFrame, words: int, seed: int, num: int, den: int) -> DataFrame:
+    """Links (x, y) that join each component of the rows within clusters (node, root)."""
+    rows = clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(meta.select("key", "n"), "key")
+    rows = durable(rows, "jaccard-clustered")
+    sets = wanted_sets(docs, rows.select("key"), words, seed)
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK).cast("long")))
+    full = durable(dealt.join(sets, "key"), "jaccard-blocks")
+    product = lambda df, *by: df.groupBy(*by).applyInArrow(lambda t: links_in(t, num, den), "x long, y long")
+    links = durable(product(full.select("cluster", "block", "key", "n", "set"), "cluster", "block"), "jaccard-links")
+    large = full.where(F.col("m") > BLOCK)
+    if large.isEmpty():
+        return links
+    # one row of each component of each block meets the others' rows
+    name = lambda roots: large.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = name(connected(links))
+    chosen = named.groupBy("cluster", "block", "root").agg(F.min("key").alias("key")).select("key")
+    few = named.join(chosen, "key", "left_semi").drop("m", "block")
+    many = few.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    few = few.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK).cast("long")))
+    links = links.union(durable(product(few.select("cluster", "block", "key", "n", "set", "root"), "cluster", "block"), "jaccard-links"))
+    # rows outside the largest component meet all
+    named = durable(name(connected(links)), "jaccard-named")
+    by_root = named.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = by_root.groupBy("cluster").agg(F.max_by("root", "size").alias("main"), F.max("size").alias("ins"), F.sum("size").alias("all"))
+    main = durable(main.withColumn("outs", F.col("all") - F.col("ins")).where("outs > 0").drop("all"), "jaccard-main")
+    rest = deal(named.join(main, "cluster"), "cluster", F.col("root") != F.col("main"))
+    return links.union(durable(product(rest.select("cluster", "cell", "key", "n", "set", "root"), "cluster", "cell"), "jaccard-links"))
 
 
 def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -300,13 +367,10 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -
     table = durable(prefixes(docs, level, words, seed, num, den), "jaccard-prefixes")
     leads = durable(table.groupBy("column").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").drop("last"), "jaccard-leads")
     members = durable(table.join(leads, "column"), "jaccard-members")
-    stars = members.where("key <> lead").select(F.col("key").alias("x"), F.col("lead").alias("y")).distinct()
     meta = classes.select("key", "n", *MAPS)
-    links = linked(docs, stars, meta, words, seed, num, den)
-    roots = connected(links)
-    more = linked(docs, open_pairs(members, roots, meta, num, den), meta, words, seed, num, den)
-    if not more.isEmpty():
-        roots = connected(links.union(more))
+    tied = ties(members, meta, num, den)
+    clusters = connected(tied.union(open_ties(members, connected(tied), meta, num, den)))
+    roots = connected(exact_links(docs, clusters, meta, words, seed, num, den))
     named = classes.select("key", "least_id").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = durable(named.join(least, "root").select("key", "component_id"), "jaccard-components")
