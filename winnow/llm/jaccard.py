@@ -42,6 +42,9 @@ MAP_WORDS = 8
 MAPS = [f"m{i}" for i in range(MAP_WORDS)]
 #: Rows to a block of a column or of a cluster.
 BLOCK = 512
+#: Columns and clusters of at most so many rows are worked on together with others.
+SMALL = 64
+CELL = "struct<kind:int,a:bigint,b:bigint>"
 #: Bits of the filter that says which classes' sets are wanted.
 FILTER_BITS = 24
 
@@ -243,19 +246,25 @@ def open_ties(members: DataFrame, roots: DataFrame, meta: DataFrame, num: int, d
     stats = durable(stats.where((F.col("outs") >= 1) & (F.col("outs") + F.col("ins") >= 2)), "jaccard-open")
     # Outer rows are dealt to outer blocks, inner ones to inner blocks; an inner block meets every
     # outer one, two outer blocks meet once.
-    dealt = deal(rows.join(stats, "column").join(meta, "key"), "column", F.col("out") == 1).select("column", "cell", "key", "root", "out", "n", *MAPS)
+    full = rows.join(stats, "column").join(meta, "key")
+    few = F.col("outs") + F.col("ins") <= SMALL
+    slots = max(1, stats.where(few).agg(F.sum(F.col("outs") + F.col("ins"))).first()[0] or 0) // BLOCK + 1
+    columns = ["slot", "cell", "column", "key", "root", "out", "n", *MAPS]
+    dealt = deal(full.where(~few), "column", F.col("out") == 1).withColumn("slot", F.col("column")).select(*columns)
+    # small columns are compared many at a time
+    dealt = dealt.unionByName(full.where(few).withColumn("slot", F.pmod(F.xxhash64("column"), F.lit(slots))).withColumn("cell", F.lit(None).cast(CELL)).select(*columns))
 
     def compare(table: pa.Table) -> pa.Table:
-        key, own, n, outer = (table[c].to_numpy() for c in ("key", "root", "n", "out"))
+        column, key, own, n, outer = (table[c].to_numpy() for c in ("column", "key", "root", "n", "out"))
         maps = np.ascontiguousarray(np.column_stack([table[m].to_numpy() for m in MAPS])).view(np.uint64)
         near = np.zeros((len(key), len(key)), dtype=bool)
         for i in range(len(key)):
             apart = np.bitwise_count(maps ^ maps[i]).sum(axis=1)
-            near[i] = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & ((num + den) * apart <= (den - num) * (n + n[i])) & ((outer | outer[i]) == 1)
+            near[i] = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & ((num + den) * apart <= (den - num) * (n + n[i])) & ((outer | outer[i]) == 1) & (column == column[i])
         x, y = forest(near, key, own)
         return pa.table({"x": x, "y": y})
 
-    return durable(dealt.groupBy("column", "cell").applyInArrow(compare, "x long, y long").distinct(), "jaccard-open-ties")
+    return durable(dealt.groupBy("slot", "cell").applyInArrow(compare, "x long, y long").distinct(), "jaccard-open-ties")
 
 
 def deal(rows: DataFrame, group: str, is_out: Column) -> DataFrame:
@@ -263,7 +272,7 @@ def deal(rows: DataFrame, group: str, is_out: Column) -> DataFrame:
     so that every outer row meets every row of its group in some cell of at most 2 BLOCK rows or so."""
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
     tag = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"))
-    empty = F.array().cast("array<struct<kind:int,a:bigint,b:bigint>>")
+    empty = F.array().cast(f"array<{CELL}>")
     each = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)).otherwise(empty)
     own = F.pmod(F.xxhash64("key", group), F.greatest(F.when(is_out, blocks("outs")).otherwise(blocks("ins")), F.lit(1)))
     rows = rows.withColumn("own", own).withColumn("ob", blocks("outs")).withColumn("ib", blocks("ins"))
@@ -316,7 +325,11 @@ def exact_links(docs: DataFrame, clusters: DataFrame, meta: DataFrame, words: in
     rows = durable(rows, "jaccard-clustered")
     sets = wanted_sets(docs, rows.select("key"), words, seed)
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK).cast("long")))
+    # small clusters share blocks: a product finds no link between two clusters, as there is none
+    few = F.col("m") <= SMALL
+    slots = max(1, rows.count() // BLOCK)
+    dealt = rows.join(durable(sizes, "jaccard-sizes"), "cluster").withColumn("block", F.when(~few, F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK).cast("long"))).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(slots))))
+    dealt = dealt.withColumn("cluster", F.when(few, F.lit(None).cast("long")).otherwise(F.col("cluster")))
     full = durable(dealt.join(sets, "key"), "jaccard-blocks")
     product = lambda df, *by: df.groupBy(*by).applyInArrow(lambda t: links_in(t, num, den), "x long, y long")
     links = durable(product(full.select("cluster", "block", "key", "n", "set"), "cluster", "block"), "jaccard-links")
