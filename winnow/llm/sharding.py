@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .base import durable
 
-#: Ranges of the key's hash into which each shard's numbering is divided.
-RANGES = 1024
+#: Hexadecimal digits of the key's MD5 that name a range of a shard's numbering: 4096 ranges.
+RANGE_DIGITS = 3
 
 
 def pair_hash(key: Column, shard: int) -> Column:
@@ -42,7 +42,7 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    base = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), rendezvous(key, weights).cast("int").alias("shard"), (rendezvous(key, grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"), F.pmod(F.xxhash64("doc_id"), F.lit(RANGES)).alias("range"))
+    base = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), rendezvous(key, weights).cast("int").alias("shard"), (rendezvous(key, grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"), F.substring(F.md5(key.cast("binary")), 1, RANGE_DIGITS).alias("range"))
     base = durable(base, "sharding")
     counts = base.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
