@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable
+from .base import discard, durable
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,10 @@ def connected(edges: DataFrame) -> DataFrame:
         around = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         met = durable(labels.join(around.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "m").alias("near")), "graph-near")
         jump = met.select(F.col("node").alias("near"), F.col("near").alias("far"))
-        moved = durable(met.join(jump, "near").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "graph-labels")
+        before, moved = labels, durable(met.join(jump, "near").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "graph-labels")
+        discard(met, before)
         labels = moved.select("node", "root")
+        labels._winnow_path = moved._winnow_path
         if moved.where("moved").isEmpty():
+            discard(both)
             return labels

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import shingles
-from .base import durable, map_batches, record, with_bytes
+from .base import discard, durable, map_batches, record, with_bytes
 from .graph import connected
 
 #: Cells of the sketch of column sums, and into how many pieces it is cut.
@@ -264,7 +264,9 @@ def open_ties(members: DataFrame, roots: DataFrame, meta: DataFrame, num: int, d
         x, y = forest(near, key, own)
         return pa.table({"x": x, "y": y})
 
-    return durable(dealt.groupBy("slot", "cell").applyInArrow(compare, "x long, y long").distinct(), "jaccard-open-ties")
+    out = durable(dealt.groupBy("slot", "cell").applyInArrow(compare, "x long, y long").distinct(), "jaccard-open-ties")
+    discard(rows, stats)
+    return out
 
 
 def deal(rows: DataFrame, group: str, is_out: Column) -> DataFrame:
@@ -335,6 +337,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, meta: DataFrame, words: in
     links = durable(product(full.select("cluster", "block", "key", "n", "set"), "cluster", "block"), "jaccard-links")
     large = full.where(F.col("m") > BLOCK)
     if large.isEmpty():
+        discard(rows, full)
         return links
     # one row of each component of each block meets the others' rows
     name = lambda roots: large.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -350,7 +353,9 @@ def exact_links(docs: DataFrame, clusters: DataFrame, meta: DataFrame, words: in
     main = by_root.groupBy("cluster").agg(F.max_by("root", "size").alias("main"), F.max("size").alias("ins"), F.sum("size").alias("all"))
     main = durable(main.withColumn("outs", F.col("all") - F.col("ins")).where("outs > 0").drop("all"), "jaccard-main")
     rest = deal(named.join(main, "cluster"), "cluster", F.col("root") != F.col("main"))
-    return links.union(durable(product(rest.select("cluster", "cell", "key", "n", "set", "root"), "cluster", "cell"), "jaccard-links"))
+    links = links.union(durable(product(rest.select("cluster", "cell", "key", "n", "set", "root"), "cluster", "cell"), "jaccard-links"))
+    discard(rows, full, named, main)
+    return links
 
 
 def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -380,9 +385,11 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -
     table = durable(prefixes(docs, level, words, seed, num, den), "jaccard-prefixes")
     leads = durable(table.groupBy("column").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").drop("last"), "jaccard-leads")
     members = durable(table.join(leads, "column"), "jaccard-members")
+    discard(table, leads)
     meta = classes.select("key", "n", *MAPS)
     tied = ties(members, meta, num, den)
     clusters = connected(tied.union(open_ties(members, connected(tied), meta, num, den)))
+    discard(members, tied)
     roots = connected(exact_links(docs, clusters, meta, words, seed, num, den))
     named = classes.select("key", "least_id").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
