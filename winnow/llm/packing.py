@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -27,6 +28,8 @@ from .base import durable, map_batches, record, with_bytes
 SEQUENCE = 2048
 END_ID = 1
 BUCKETS, DIMS, BITS = 4096, 4, 12
+#: Bytes of ids to a range, so that more input makes more ranges and not larger ones.
+RANGE_BYTES = 64 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -147,11 +150,11 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
                 starts = np.cumsum([0] + [len(x) // width for x in part[:-1]])
                 keys.append(curve_keys(np.frombuffer(b"".join(part), dtype=encoder.type), starts, table))
                 out += part
-            return {"doc_id": batch.column("doc_id"), "curve": np.concatenate(keys), "ids": out, "width": [encoder.type.itemsize] * len(out)}
+            return {"doc_id": batch.column("doc_id"), "curve": np.concatenate(keys), "ids": out, "width": [encoder.type.itemsize] * len(out), "bytes": [len(x) for x in out]}
 
         return one
 
-    return map_batches(with_bytes(docs, "doc_id"), make, "doc_id long, curve long, ids binary, width int")
+    return map_batches(with_bytes(docs, "doc_id"), make, "doc_id long, curve long, ids binary, width int, bytes long")
 
 
 class Cutter:
@@ -208,8 +211,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
     """
     spark = docs.sparkSession
     tokens = durable(tokenize(docs, tokenizer, end_id), "packing-tokens")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = tokens.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    size = tokens.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    placed = tokens.drop("bytes").repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
     schema = StructType.fromDDL(PIECES)
     arrow = to_arrow_schema(schema)
     names = arrow.names
