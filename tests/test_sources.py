@@ -34,6 +34,21 @@ def test_file_tree(spark, tree):
     assert rows["link.md"].text == "hi\n" and "node_modules/x/i.js" not in rows and "only" not in rows
 
 
+def test_resolve(tree):
+    root = str(tree.resolve())
+    assert filetree.resolve(f"{root}/link.md") == f"{root}/README.md" and filetree.resolve(f"{root}/a/../b/./c") == f"{root}/b/c"
+    assert filetree.resolve(f"{root}/out.txt") == f"{tree.parent.resolve()}/outside.txt"
+    os.symlink("loop", tree / "loop")
+    assert filetree.resolve(f"{root}/loop") is None
+
+
+def test_literal_prefixes(spark):
+    from winnow.functions.text import is_format_or_bytes
+
+    rows = spark.createDataFrame([(x,) for x in ("f'", "rb'", 'B"', '"""', "r'", "u'")], "s string")
+    assert [r.hit for r in rows.select(is_format_or_bytes(F.col("s")).alias("hit")).collect()] == [True, True, True, False, False, False]
+
+
 def test_globs(spark):
     assert names.glob_regex("a/*.rs") == r"^a/[^/]*\.rs$"
     cases = [("**/*.py", "a/b/c.py", True), ("**/*.py", "c.py", True), ("*.py", "a/c.py", False), ("a/**", "a/b/c", True), ("a/**", "a", False), ("a?c", "a/c", False), ("{a,b}.txt", "b.txt", True), ("[!a].txt", "b.txt", True), (r"\*.txt", "*.txt", True)]

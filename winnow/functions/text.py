@@ -70,3 +70,8 @@ def rewritten(command: Column, folder: Column) -> Column:
     """A command whose output goes to the record's files and whose status is kept."""
     out, err = F.concat(folder, F.lit("/stdout.log")), F.concat(folder, F.lit("/stderr.log"))
     return F.concat(F.lit("{\n"), command, F.lit("\n} >"), shell_quote(out), F.lit(" 2>"), shell_quote(err))
+
+
+def is_format_or_bytes(literal: Column) -> Column:
+    """Whether a Python string literal's prefix makes it a format or bytes string."""
+    return literal.rlike("(?i)^[rub]*[fb]")

@@ -8,7 +8,7 @@ table, written once, since a judgment may cost money.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -102,10 +102,11 @@ class Found:
 
 
 class Search:
-    def __init__(self, files: DataFrame, question: str, scorer: Scorer, include: list[str] = (), exclude: list[str] = (), limits: Limits = LIMITS):
+    def __init__(self, files: DataFrame, question: str, scorer: Scorer, include: list[str] = (), exclude: list[str] = (), limits: Limits = LIMITS, cancelled: Callable[[], bool] = lambda: False):
         if not question.strip():
             raise ValueError("the question is empty")
-        self.question, self.scorer, self.limits = question, scorer, limits
+        self.question, self.scorer, self.limits, self.cancelled = question, scorer, limits, cancelled
+        self.requests, self.stop = 0, None
         self.spark = files.sparkSession
         # names are tested before any content is read; a directory's reason holds for all below it
         above = F.exists(P.ancestors(F.col("path")), lambda d: names.directory_reason(d, list(exclude)).isNotNull())
@@ -117,7 +118,19 @@ class Search:
         self.entries = written(self.files.select("path", F.lit("file").alias("kind")).unionByName(dirs.select("path", F.lit("directory").alias("kind"))).select("path", "kind", P.parent(F.col("path")).alias("parent")), "entries")
 
     def judge(self, items: DataFrame) -> DataFrame:
-        """Items with p, evaluated once."""
+        """Items with p, evaluated once; without p once the search has been stopped.
+
+        A cancelled search, or one at its cap of requests, asks no more and keeps what it has.
+        """
+        items = written(items, "items")
+        wanted = -(-items.count() // self.limits.batch_items)
+        if self.stop is None and self.cancelled():
+            self.stop = "cancelled"
+        if self.stop is None and self.requests + wanted > self.limits.requests:
+            self.stop = "budget"
+        if self.stop:
+            return items.withColumn("p", F.lit(None).cast("double"))
+        self.requests += wanted
         return written(self.scorer.score(items), "judged")
 
     def items(self, paths: DataFrame, stage: str) -> DataFrame:
@@ -207,10 +220,11 @@ class Search:
         ranked = written(ranked.join(top.select("path"), "path", "left_semi"), "ranges")
         issues = self.snapshots.where(F.col("status").isin("size_limit", "encoding")).select(F.col("status").alias("kind"), F.when(F.col("status") == "encoding", "unsupported_encoding").otherwise("input_too_large").alias("code"), "path")
         issues = issues.unionByName(chosen_files.where(F.col("bytes") > limits.inspected_bytes).select(F.lit("inspection_limit").alias("kind"), F.lit("input_too_large").alias("code"), "path"))
-        issues = issues.unionByName(files.where("p IS NULL").select(F.lit("provider").alias("kind"), F.lit("provider_unavailable").alias("code"), "path"))
+        missing = {"cancelled": ("cancelled", "cancelled"), "budget": ("budget", "budget_exhausted")}.get(self.stop, ("provider", "provider_unavailable"))
+        issues = issues.unionByName(files.where("p IS NULL").select(F.lit(missing[0]).alias("kind"), F.lit(missing[1]).alias("code"), "path"))
         n = candidates.count()
         counts = files.agg(F.countDistinct("path").alias("files_considered"))
-        summary = counts.select("files_considered", F.lit(pruned.count()).alias("directories_pruned"), F.lit(n).alias("matches_found"), F.lit(n > limit).alias("results_limited"), bookkeeping.status(F.lit(issues.count()), F.lit(0)).alias("status"))
+        summary = counts.select("files_considered", F.lit(pruned.count()).alias("directories_pruned"), F.lit(n).alias("matches_found"), F.lit(n > limit).alias("results_limited"), bookkeeping.status(F.lit(issues.count() + (self.stop is not None)), F.lit(int(self.stop == "cancelled"))).alias("status"))
         return Found(written(top, "files"), ranked, written(issues, "issues"), summary)
 
 

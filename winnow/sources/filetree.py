@@ -55,6 +55,31 @@ def link_reason(root: Path, path: str) -> str | None:
     return next((r for i, p in enumerate(parts) if (r := name_reason(p, i < len(parts) - 1))), None)
 
 
+def resolve(path: str, most_links: int = 40) -> str | None:
+    """An absolute path with links followed; parts that do not exist are kept. None beyond
+    ``most_links`` links."""
+    todo, done, links = [p for p in path.split("/") if p][::-1], "", 0
+    while todo:
+        part = todo.pop()
+        if part == ".":
+            continue
+        if part == "..":
+            done = done.rpartition("/")[0]
+            continue
+        here = f"{done}/{part}"
+        try:
+            target = os.readlink(here)
+        except OSError:
+            done = here
+            continue
+        links += 1
+        if links > most_links:
+            return None
+        done = "" if target.startswith("/") else done
+        todo += [p for p in target.split("/") if p][::-1]
+    return done or "/"
+
+
 def read_file(root: Path, path: str, most: int = LIMITS.file_bytes) -> tuple[str, str | None, str | None, int]:
     """(status, sha256, text, bytes); the file must be the same before and after the read."""
     full = root / path
