@@ -91,6 +91,23 @@ def test_parity_maps_bound_the_difference():
     assert np.bitwise_count((maps[0] ^ maps[1]).view(np.uint64)).sum() <= 3 and s.size.tolist() == [4, 5, 0] and not maps[2].any()
 
 
+def test_long_maps_bound_the_difference():
+    texts = [" ".join(f"w{i}" for i in range(a, a + n)).encode() for a, n in ((0, 3000), (100, 3000), (50, 5200), (9000, 3000), (0, 20))]
+    s = shingles.shingle_sets(texts, 3)
+    maps = shingles.long_maps(s)
+    assert maps[4] is None and len(maps[0]) * 8 == 1024 and len(maps[2]) * 8 == 2048
+    assert shingles.bits_apart(maps[0], maps[1]) <= 200 and shingles.bits_apart(maps[0], maps[2]) <= 50 + 2250
+    assert shingles.bits_apart(maps[0], maps[3]) > 400
+
+
+def test_long_documents(docs):
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(2600)]
+    rows = [" ".join(words), " ".join([*words[:-40], *(f"x{i}" for i in range(40))]), " ".join(words[:1300] + [f"y{i}" for i in range(1300)]), " ".join([*words[:3], *(f"z{i}" for i in range(2500))]), " ".join([*words[:3], *(f"q{i}" for i in range(2500))])]
+    rows = list(enumerate(rows))
+    agree(jaccard.components(docs([(i, t, "s") for i, t in rows])), rows)
+
+
 def test_products_and_forests():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype("<u8") for _ in range(20)]

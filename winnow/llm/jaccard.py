@@ -51,7 +51,7 @@ FILTER_BITS = 24
 
 def first_pass(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """A row for each document (kind 0) and, for each task, the pieces of its sketch (kind 1)."""
-    schema = StructType.fromDDL("kind int, doc_id long, key long, check long, n long, " + ", ".join(f"{m} long" for m in MAPS) + ", piece int, part long, cells binary")
+    schema = StructType.fromDDL("kind int, doc_id long, key long, check long, n long, " + ", ".join(f"{m} long" for m in MAPS) + ", map binary, piece int, part long, cells binary")
     arrow = to_arrow_schema(schema)
     blank = {f.name: None for f in arrow}
 
@@ -65,7 +65,7 @@ def first_pass(docs: DataFrame, words: int, seed: int) -> DataFrame:
                 key, check = shingles.set_keys(s)
                 maps = shingles.parity_maps(s, MAP_WORDS)
                 m = b - a
-                yield record(_nulls(blank, m, arrow) | {"kind": np.zeros(m, dtype=np.int32), "doc_id": batch.column("doc_id").slice(a, m), "key": key, "check": check, "n": s.size} | {c: maps[:, i] for i, c in enumerate(MAPS)}, arrow)
+                yield record(_nulls(blank, m, arrow) | {"kind": np.zeros(m, dtype=np.int32), "doc_id": batch.column("doc_id").slice(a, m), "key": key, "check": check, "n": s.size, "map": shingles.long_maps(s)} | {c: maps[:, i] for i, c in enumerate(MAPS)}, arrow)
         pieces = cells.astype("<i8").reshape(PIECES, -1)
         yield record(_nulls(blank, PIECES, arrow) | {"kind": np.ones(PIECES, dtype=np.int32), "piece": np.arange(PIECES, dtype=np.int32), "part": np.full(PIECES, TaskContext.get().partitionId()), "cells": [p.tobytes() for p in pieces]}, arrow)
 
@@ -197,7 +197,20 @@ def ties(members: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
     x, y = meta.alias("cx"), meta.alias("cy")
     pairs = members.where("key <> lead").select(F.col("key").alias("x"), F.col("lead").alias("y")).distinct()
     near = pairs.join(x, F.col("x") == F.col("cx.key")).join(y, F.col("y") == F.col("cy.key"))
-    return durable(near.where(possible("cx", "cy", num, den)).select("x", "y"), "jaccard-ties")
+    near = durable(near.where(possible("cx", "cy", num, den)).select("x", "y", F.least("cx.n", "cy.n").alias("n")), "jaccard-ties")
+    # the short maps say little of long sets, which have longer ones
+    long = near.where(F.col("n") > shingles.LONG)
+    maps = meta.where(F.col("n") > shingles.LONG)
+    side = lambda c: maps.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("map").alias(f"m{c}"))
+
+    def one(batch: pa.RecordBatch) -> dict:
+        a, b = (batch.column(c).to_numpy() for c in ("nx", "ny"))
+        apart = np.array([shingles.bits_apart(p.as_py(), q.as_py()) for p, q in zip(batch.column("mx"), batch.column("my"), strict=True)])
+        keep = pa.array((num + den) * apart <= (den - num) * (a + b))
+        return {"x": batch.column("x").filter(keep), "y": batch.column("y").filter(keep)}
+
+    both = long.select("x", "y").join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "mx", "my")
+    return near.where(F.col("n") <= shingles.LONG).select("x", "y").union(durable(map_batches(both, lambda: one, "x long, y long"), "jaccard-long-ties"))
 
 
 def forest(linked: np.ndarray, keys: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +262,7 @@ def open_ties(members: DataFrame, roots: DataFrame, meta: DataFrame, num: int, d
     full = rows.join(stats, "column").join(meta, "key")
     few = F.col("outs") + F.col("ins") <= SMALL
     slots = max(1, stats.where(few).agg(F.sum(F.col("outs") + F.col("ins"))).first()[0] or 0) // BLOCK + 1
-    columns = ["slot", "cell", "column", "key", "root", "out", "n", *MAPS]
+    columns = ["slot", "cell", "column", "key", "root", "out", "n", *MAPS, "map"]
     dealt = deal(full.where(~few), "column", F.col("out") == 1).withColumn("slot", F.col("column")).select(*columns)
     # small columns are compared many at a time
     dealt = dealt.unionByName(full.where(few).withColumn("slot", F.pmod(F.xxhash64("column"), F.lit(slots))).withColumn("cell", F.lit(None).cast(CELL)).select(*columns))
@@ -258,9 +271,13 @@ def open_ties(members: DataFrame, roots: DataFrame, meta: DataFrame, num: int, d
         column, key, own, n, outer = (table[c].to_numpy() for c in ("column", "key", "root", "n", "out"))
         maps = np.ascontiguousarray(np.column_stack([table[m].to_numpy() for m in MAPS])).view(np.uint64)
         near = np.zeros((len(key), len(key)), dtype=bool)
+        longer = table["map"].to_pylist()
         for i in range(len(key)):
             apart = np.bitwise_count(maps ^ maps[i]).sum(axis=1)
             near[i] = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & ((num + den) * apart <= (den - num) * (n + n[i])) & ((outer | outer[i]) == 1) & (column == column[i])
+            if n[i] > shingles.LONG:
+                for j in np.flatnonzero(near[i] & (n > shingles.LONG)).tolist():
+                    near[i, j] = (num + den) * shingles.bits_apart(longer[i], longer[j]) <= (den - num) * (n[i] + n[j])
         x, y = forest(near, key, own)
         return pa.table({"x": x, "y": y})
 
@@ -345,7 +362,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, meta: DataFrame, words: in
     chosen = named.groupBy("cluster", "block", "root").agg(F.min("key").alias("key")).select("key")
     few = named.join(chosen, "key", "left_semi").drop("m", "block")
     many = few.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    few = few.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK).cast("long")))
+    few = few.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("m") / BLOCK).cast("long")))
     links = links.union(durable(product(few.select("cluster", "block", "key", "n", "set", "root"), "cluster", "block"), "jaccard-links"))
     # rows outside the largest component meet all
     named = durable(name(connected(links)), "jaccard-named")
@@ -374,8 +391,8 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -
     seed = 0
     while True:
         first = durable(first_pass(docs, words, seed), "jaccard-first")
-        rows = first.where("kind = 0").select("doc_id", "key", "check", "n", *MAPS)
-        per = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), *[F.max(m).alias(m) for m in MAPS])
+        rows = first.where("kind = 0").select("doc_id", "key", "check", "n", *MAPS, "map")
+        per = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), *[F.max(m).alias(m) for m in MAPS], F.max("map").alias("map"))
         classes = durable(per, "jaccard-classes")
         if classes.where("c0 <> c1").isEmpty():
             break
@@ -386,7 +403,7 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -
     leads = durable(table.groupBy("column").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").drop("last"), "jaccard-leads")
     members = durable(table.join(leads, "column"), "jaccard-members")
     discard(table, leads)
-    meta = classes.select("key", "n", *MAPS)
+    meta = classes.select("key", "n", *MAPS, "map")
     tied = ties(members, meta, num, den)
     clusters = connected(tied.union(open_ties(members, connected(tied), meta, num, den)))
     discard(members, tied)

@@ -106,3 +106,30 @@ def parity_maps(sets: Sets, words: int = 8) -> np.ndarray:
     at = sets.doc * bits + (sets.hash % np.uint64(bits)).astype(np.int64)
     odd = (np.bincount(at, minlength=len(sets.size) * bits) & 1).astype(np.uint8)
     return np.packbits(odd.reshape(-1, bits), axis=1).view("<i8").reshape(-1, words)
+
+
+#: Sets of more elements have a longer parity map too, of at least a quarter as many bits.
+LONG = 2048
+
+
+def long_maps(sets: Sets) -> list[bytes | None]:
+    """Parity maps of the sets of more than LONG elements: a power of two of bits, at least n / 4."""
+    ends, out = sets.ends(), []
+    for i, n in enumerate(sets.size.tolist()):
+        if n <= LONG:
+            out.append(None)
+            continue
+        bits = 1 << (-(-n // 4) - 1).bit_length()
+        h = (sets.hash[ends[i] - n : ends[i]] % np.uint64(bits)).astype(np.int64)
+        out.append(np.packbits((np.bincount(h, minlength=bits) & 1).astype(np.uint8)).tobytes())
+    return out
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two parity maps differ, the longer one folded to the other's length."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
