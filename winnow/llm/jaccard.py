@@ -7,6 +7,7 @@ overlaps. What is computed of it:
 2. Columns stand in one order for all rows, rare ones first as far as a sketch of the columns' sums
    can tell. If two rows overlap by the bound, they share a column among each one's first
    n - ceil(num n / den) + 1. Only rows that meet in such a column can link.
+   Each column is divided into parts by size, in which rows too unequal to link do not meet.
 3. Two rows are possible links if their sizes and the parity maps of their sets leave the bound
    possible. In each column the rows possible with its leader are tied to it; rows that are not tied
    to the leader's cluster are compared with the column's other rows, in blocks. Ties make clusters:
@@ -100,7 +101,11 @@ def column_classes(pieces: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, classes: np.ndarray, words: int, seed: int, num: int, den: int) -> DataFrame:
-    """column, key: the columns of each class's prefix, once for each task that meets the class."""
+    """column, key: the columns of each class's prefix, once for each task that meets the class.
+
+    A column is divided by size classes; its parts are columns of their own from here on.
+    """
+    step = np.log(den / num) + 1e-6  # a little wide, so that rounding parts no two neighbours
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** CELL_BITS bytes
 
     def make():
@@ -127,8 +132,14 @@ def prefixes(docs: DataFrame, classes: np.ndarray, words: int, seed: int, num: i
                 length = size - -(-num * size // den) + 1
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
                 taken = place < length[doc]
-                columns.append(h[taken].astype(np.int64))
-                keys.append(key[doc[taken]])
+                doc, h = doc[taken], h[taken]
+                # Rows that link are in the same or in neighbouring size classes, so a row stands in
+                # the column's part of its own class and of the next one.
+                band = np.floor(np.log(np.maximum(size, 1)) / step).astype(np.uint64)[doc]
+                for more in (0, 1):
+                    mixed = shingles.mix(h * np.uint64(0x9E3779B97F4A7C15) + band + np.uint64(more))
+                    columns.append((mixed >> np.uint64(64 - shingles.HASH_BITS)).astype(np.int64))
+                    keys.append(key[doc])
             return {"column": np.concatenate(columns), "key": np.concatenate(keys)}
 
         return one
