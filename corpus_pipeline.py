@@ -43,10 +43,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep one document of each group of near copies: five words to a shingle, similarity 0.8 or more."""
     session.ship(spark)
     rows = with_row_id(docs)
-    found = jaccard.components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = jaccard.components(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100)
     decided = found.groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("long")).alias("times"))
     return repeated(rows, durable(decided, "pipeline-kept")).select(*docs.columns)
 

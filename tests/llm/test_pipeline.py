@@ -1,3 +1,4 @@
+import itertools
 import re
 from collections import Counter
 
@@ -54,6 +55,19 @@ def test_stages_one_by_one(spark, sf):
     assert {r.doc_id for r in packed} == set(sets)
 
 
+def test_near_copies_by_five_words_and_four_fifths(spark, docs, sf):
+    base = [f"w{i}" for i in range(200)]
+    edited = ["other" if i in (40, 80, 120, 160) else w for i, w in enumerate(base)]
+    longer = [f"v{i}" for i in range(200)]
+    apart = [f"u{i}" for i in range(200)]
+    rows = [(1, base, 1), (2, edited, 1), (3, longer, 2), (4, longer + [f"x{i}" for i in range(35)], 2), (5, apart, 3), (6, apart + [f"y{i}" for i in range(60)], 4)]
+    five = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for (_, a, g), (_, b, h) in itertools.combinations(rows, 2):
+        assert (100 * len(five(a) & five(b)) >= 80 * len(five(a) | five(b))) == (g == h)
+    left = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs([(i, " ".join(t), "s") for i, t, _ in rows]), sf).collect()
+    assert sorted(g for i, _, g in rows for r in left if r.doc_id == i) == [1, 2, 3, 4]
+
+
 def test_whole_run(spark, sf):
     docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = corpus_pipeline.run(spark, sf).collect()
