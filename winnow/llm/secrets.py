@@ -14,17 +14,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names to which secrets are assigned, and what stands between name and value.
-NAME = r"(?i:(?:api|access|auth|private|client|secret)[_-]?(?:key|token|secret)|secret|token|passw(?:or)?d|pwd|credential)s?"
+NAME = r"(?i:(?:api|access|auth|private|client|secret)[_-]?(?:key|token|secret)|secret|token|passw(?:or)?d|passphrase|pwd|credential|[_-](?:key|pass|pw))s?"
 ASSIGNED = NAME + r"""["']?\s{0,4}(?:=>|:=|[:=])\s{0,4}["']?"""
+#: A private key from BEGIN through END; without END, the lines of its body that follow. Possessive,
+#: so that Java steps through long bodies without recursion.
+HEADER = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+PRIVATE_KEY = HEADER + r"(?:(?:(?!-----)[\s\S])*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/=]+[ \t]*(?![^\r\n\\\"']))*+)"
+#: A value in quotes up to the closing one, on one line; a backslash takes the next character along.
+QUOTED = "|".join(rf"(?<={q})(?:[^{q}\\\r\n]|\\[^\r\n]){{6,}}+(?={q})" for q in "\"'")
 #: Candidates: an assignment, well-known forms, and long runs of key characters.
 CANDIDATE = "|".join([
-    ASSIGNED + r"""[^\s"',;]{6,}""",
+    ASSIGNED + "(?:" + PRIVATE_KEY + "|" + QUOTED + r"""|[^\s"',;]{6,})""",
     r"AKIA[0-9A-Z]{16}",
     r"gh[pousr]_[A-Za-z0-9]{20,}",
     r"xox[abprs]-[A-Za-z0-9-]{10,}",
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
-    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
-    r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{24,}={0,2}",
+    PRIVATE_KEY,
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}",
 ])
 KNOWN_FORM = r"^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_|xox[abprs]-|eyJ[A-Za-z0-9_-]{8,}\.|-----BEGIN )"
 #: Marks that are put around candidates; a text's own are replaced by U+FFFD first.
@@ -102,8 +108,9 @@ def features(c: Column) -> Column:
 def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """Labelled findings (text, path, label) made from ``n`` row numbers by rule.
 
-    Secrets: keys of the usual forms and random values given to telling names. Others: digests and
-    identifiers under harmless names, words run together, placeholders, and specimens in test paths.
+    Secrets: keys of the usual forms, random values and passphrases given to telling names, and bare
+    random runs. Others: digests and identifiers under harmless names, words run together,
+    placeholders, quoted sentences, and specimens in test paths.
     """
     i = F.col("id")
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")), 256)
@@ -111,7 +118,7 @@ def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     raw = F.translate(F.base64(F.unhex(F.concat(digest("r"), digest("s")))), "\r\n", "")
     mixed = lambda k: F.regexp_replace(F.substring(raw, 1, k), "[+/=]", "x")
     pick = lambda salt, *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
-    name = pick("n", "token", "password", "secret", "api_key", "access_token", "client_secret", "TOKEN", "Password", "auth_key", "pwd")
+    name = pick("n", "token", "password", "secret", "api_key", "access_token", "client_secret", "TOKEN", "Password", "auth_key", "pwd", "ENCRYPTION_KEY", "signing_key")
     eq = pick("e", " = ", ": ", "=", " := ")
     quote = pick("q", '"', '"', "'", "")
     length = pick("l", F.lit(16), F.lit(20), F.lit(32), F.lit(40), F.lit(64))
@@ -119,14 +126,21 @@ def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     words = F.concat(word("a"), pick("u", "_", "-", ""), word("b"), pick("v", "_", "-", ""), word("c"), word("d"), pick("w", "", "1", "123", "01"))
     around = pick("x", "It was then that ", "und dann die ", "de la casa ", "dans le texte ", "")
     good = F.concat(name, eq, quote, F.when(i % 3 == 0, hexes("h", 64).substr(F.lit(1), length)).when(i % 3 == 1, F.upper(hexes("h", 64).substr(F.lit(1), length))).otherwise(mixed(64).substr(F.lit(1), length)), quote)
-    known = pick("k", F.concat(F.lit("AKIA"), F.upper(hexes("k", 16))), F.concat(F.lit("ghp_"), mixed(36)), F.concat(F.lit("xoxb-"), hexes("k", 24)), F.concat(F.lit("eyJ"), mixed(20), F.lit("."), hexes("j", 24), F.lit("."), hexes("m", 20)), F.lit("-----BEGIN RSA PRIVATE KEY-----"))
+    known = pick("k", F.concat(F.lit("AKIA"), F.upper(hexes("k", 16))), F.concat(F.lit("ghp_"), mixed(36)), F.concat(F.lit("xoxb-"), hexes("k", 24)), F.concat(F.lit("eyJ"), mixed(20), F.lit("."), hexes("j", 24), F.lit("."), hexes("m", 20)), F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), raw, F.lit("\n-----END RSA PRIVATE KEY-----")))
     harmless = F.concat(pick("g", "commit ", "sha256 ", "checksum ", "md5 = ", "digest: ", "etag ", "revision ", "integrity="), hexes("d", 64).substr(F.lit(1), length + 24))
     bare = pick("z", F.concat(words, F.lit("_"), words), F.concat(word("e"), word("f"), word("a"), word("b"), word("c"), word("d")), hexes("y", 32), F.concat(hexes("t", 8), F.lit("-"), hexes("p", 4), F.lit("-"), hexes("o", 12)))
-    placeholder = F.concat(name, eq, quote, words, quote)
-    kind = (i % 8).cast("int")
-    text = F.when(kind < 3, good).when(kind == 3, known).when(kind == 4, harmless).when(kind == 5, bare).when(kind == 6, placeholder).otherwise(F.concat(name, eq, quote, word("a"), pick("8", "1", "42", "_9"), quote))
-    path = F.when((kind == 7) & (i % 16 == 7), "tests/fixtures/sample.txt").otherwise(pick("path", "src/app/main.py", "config/prod.yml", "web/index.html", "src3", "notes.txt"))
-    return spark.range(n).select(F.concat(around, text, F.lit(" end")).alias("text"), path.alias("path"), (kind < 4).cast("int").alias("label"))
+    # what is said or written: syllables in a row, in a sentence and, with capitals, digits and signs, in a passphrase
+    sound = lambda salt: F.concat(*[pick(f"{salt}{k}", *BIGRAMS) for k in range(3)])
+    sentence = F.concat_ws(" ", *[sound(f"s{k}") for k in range(4)], word("d"), sound("s9"))
+    phrase = F.concat(F.initcap(sound("p1")), pick("p2", "1", "7", "42", "9"), F.initcap(sound("p3")), pick("p4", ", ", ";", " ", ",", "!"), F.initcap(sound("p5")), pick("p6", "9", "3", "!", "08"), F.initcap(sound("p7")))
+    signs = F.concat(mixed(64).substr(F.lit(1), F.lit(5)), pick("p4", ",", ";", " ", ", "), mixed(64).substr(F.lit(9), F.lit(5)), pick("p8", ";", " ", "!", "#"), mixed(64).substr(F.lit(20), F.lit(4)))
+    run = F.concat(pick("b1", "", "STRIPE=", "WEBHOOK=", "SALT=", "dsn=", "key "), pick("b2", "", "", "sk_live_", "whsec_"), mixed(40).substr(F.lit(1), pick("b3", F.lit(24), F.lit(32), F.lit(40))))
+    placeholder = F.concat(name, eq, quote, F.when(i % 4 == 0, words).when(quote == "", words).otherwise(pick("o", words, sentence)), quote)
+    guarded = F.concat(name, eq, pick("q2", F.concat(F.lit('"'), phrase, F.lit('"')), F.concat(F.lit("'"), signs, F.lit("'"))))
+    kind = (i % 10).cast("int")
+    text = F.when(kind < 3, good).when(kind == 3, known).when(kind == 4, harmless).when(kind == 5, bare).when(kind == 6, placeholder).when(kind == 8, run).when(kind == 9, guarded).otherwise(F.concat(name, eq, quote, word("a"), pick("8", "1", "42", "_9"), quote))
+    path = F.when((kind == 7) & (i % 20 == 7), "tests/fixtures/sample.txt").otherwise(pick("path", "src/app/main.py", "config/prod.yml", "web/index.html", "src3", "notes.txt"))
+    return spark.range(n).select(F.concat(around, text, F.lit(" end")).alias("text"), path.alias("path"), ((kind < 4) | (kind > 7)).cast("int").alias("label"))
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list:
