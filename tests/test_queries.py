@@ -37,6 +37,27 @@ def test_same_rows(spark, db, sf, name):
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=key) == sorted(rows, key=key)
 
 
+def test_text_units_all_covers_every_byte(spark, tmp_path):
+    """Every document with text, giant lines too, by brute force."""
+    texts = ["", "short\n", "é" * 4_000, "a\n" + "漢x" * 3_000 + "\ntail\n" + "b\n" * 2_000, "y" * 3_000, "y" * 2_999 + "\nz"]
+    at = f"file://{tmp_path}"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        raw, a, cuts = t.encode(), 0, []
+        while a < len(raw):
+            z = max((k for k in range(a + 1, min(len(raw), a + 3_000) + 1) if k == len(raw) or raw[k - 1 : k] == b"\n"), default=None) if len(raw) > a + 3_000 else len(raw)
+            z = z or max(k for k in range(a + 1, a + 3_001) if raw[k] & 0xC0 != 0x80)
+            cuts.append((a, z))
+            a = z
+        want += [(i, n, a, z, raw[:a].count(b"\n") + 1, raw.count(b"\n") + 1 if z == len(raw) else raw[: z - 1].count(b"\n") + 1, len(cuts) > 1) for n, (a, z) in enumerate(cuts)]
+    columns = "doc_id ord byte_start byte_end start_line end_line partial".split()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.sql(ORACLES["text_units_all"]).project(", ".join(columns)).fetchall()
+    assert sorted(map(tuple, entry.queries()["text_units_all"](spark, at).select(*columns).collect())) == sorted(sql) == want
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["path", "score"] and df.count() > 0

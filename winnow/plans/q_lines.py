@@ -136,6 +136,16 @@ def text_units(spark, sf):
     return U.split_texts(docs.where(longest < LIMITS.fallback_unit_bytes))
 
 
+# From each place where a unit can begin: to the text's end, the last line feed or the last character in reach.
+ALL_UNITS = ", size AS (SELECT doc_id, max(byte_end) AS size, max(line_no) AS last FROM vlines GROUP BY doc_id), c AS (SELECT doc_id, line_no, byte_start, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) AS k FROM vlines WHERE byte_end - byte_start > 3000), chars AS (SELECT doc_id, (byte_start + sum(strlen(c)) OVER (PARTITION BY doc_id, line_no ORDER BY k ROWS UNBOUNDED PRECEDING) - strlen(c))::BIGINT AS pos FROM c UNION ALL SELECT doc_id, byte_start + strlen(line) FROM vlines WHERE byte_end - byte_start > 3000), places AS (SELECT doc_id, byte_start AS pos FROM vlines UNION SELECT doc_id, pos FROM chars), reach AS (SELECT p.doc_id, p.pos, s.size, coalesce(v.byte_start, 0) AS feed, coalesce(h.pos, 0) AS chr FROM places p JOIN size s ON s.doc_id = p.doc_id ASOF LEFT JOIN vlines v ON v.doc_id = p.doc_id AND p.pos + 3000 >= v.byte_start ASOF LEFT JOIN chars h ON h.doc_id = p.doc_id AND p.pos + 3000 >= h.pos), step AS (SELECT doc_id, pos, CASE WHEN size <= pos + 3000 THEN size WHEN feed > pos THEN feed ELSE chr END AS nxt FROM reach WHERE pos < size), f(doc_id, ord, a, z) AS (SELECT doc_id, 0::BIGINT, pos, nxt FROM step WHERE pos = 0 UNION ALL SELECT f.doc_id, f.ord + 1, s.pos, s.nxt FROM f JOIN step s ON s.doc_id = f.doc_id AND s.pos = f.z) SELECT f.doc_id, ord, a AS byte_start, z AS byte_end, v.line_no AS start_line, CASE WHEN z = size THEN last ELSE w.line_no END AS end_line, count(*) OVER (PARTITION BY f.doc_id) > 1 AS partial FROM f JOIN size s ON s.doc_id = f.doc_id ASOF JOIN vlines v ON v.doc_id = f.doc_id AND f.a >= v.byte_start ASOF JOIN vlines w ON w.doc_id = f.doc_id AND f.z - 1 >= w.byte_start"
+
+
+@query(I.sql("vlines", recursive=True) + ALL_UNITS)
+def text_units_all(spark, sf):
+    """text_units over every document, those with lines over 3,000 bytes among them."""
+    return U.split_texts(I.table(spark, sf, "documents"))
+
+
 @query(I.sql("vfiles", recursive=True) + ", s AS (SELECT dir, doc_id, bytes, row_number() OVER (PARTITION BY dir ORDER BY doc_id) AS n FROM vfiles WHERE bytes <= 38000), f(dir, n, doc_id, batch, items, used) AS (SELECT dir, n, doc_id, 0::BIGINT, 1::BIGINT, bytes FROM s WHERE n = 1 UNION ALL SELECT s.dir, s.n, s.doc_id, CASE WHEN f.items >= 128 OR f.used + s.bytes > 38000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.items >= 128 OR f.used + s.bytes > 38000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items >= 128 OR f.used + s.bytes > 38000 THEN s.bytes ELSE f.used + s.bytes END FROM f JOIN s ON s.dir = f.dir AND s.n = f.n + 1) SELECT dir, doc_id, batch FROM f")
 def greedy_batches(spark, sf):
     files = I.vfiles(spark, sf).where(F.col("bytes") <= LIMITS.navigation_bytes).select("dir", "doc_id", "bytes")
