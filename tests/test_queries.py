@@ -58,6 +58,13 @@ def test_text_units_all_covers_every_byte(spark, tmp_path):
     assert sorted(map(tuple, entry.queries()["text_units_all"](spark, at).select(*columns).collect())) == sorted(sql) == want
 
 
+def test_search_status_all_counts_every_issue(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id", "event_type IN ('error', 'signup', 'purchase') AS bad").collect()
+    bad = {r.user_id for r in e if r.bad}
+    want = {r.user_id: "interrupted" if r.user_id % 10 == 0 else "incomplete" if r.user_id in bad else "complete" for r in e}
+    assert {r.search: r.status for r in entry.queries()["search_status_all"](spark, sf).collect()} == want
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["path", "score"] and df.count() > 0

@@ -46,6 +46,14 @@ def search_status(spark, sf):
     return every.select("search", K.status(F.coalesce("n", F.lit(0)), (F.col("search") % 10 == 0).cast("int")).alias("status"))
 
 
+@query(WITH_ISSUES + "SELECT a.search, CASE WHEN a.search % 10 = 0 THEN 'interrupted' WHEN count(i.event_id) > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM (SELECT DISTINCT search FROM vattempts) a LEFT JOIN issues i ON i.search = a.search GROUP BY a.search")
+def search_status_all(spark, sf):
+    """search_status by all issues of each search, of every kind."""
+    n = issues_of(spark, sf).groupBy("search").agg(F.count(F.lit(1)).alias("n"))
+    every = I.vattempts(spark, sf).select("search").distinct().join(n, "search", "left")
+    return every.select("search", K.status(F.coalesce("n", F.lit(0)), (F.col("search") % 10 == 0).cast("int")).alias("status"))
+
+
 @query(I.sql("vattempts") + "SELECT coalesce(sum(CASE WHEN status = 200 THEN tokens END), 0)::BIGINT AS input_tokens, count(*) AS requests FROM vattempts")
 def usage_totals(spark, sf):
     return K.usage(I.vattempts(spark, sf).withColumn("input_tokens", F.when(F.col("status") == 200, F.col("tokens"))))
@@ -74,6 +82,12 @@ def ask_budgeted_read(spark, sf):
     return K.budgeted_read(I.vask(spark, sf), most=4096).select("call", "ord", "bytes", "total")
 
 
+@query(I.sql("vask") + "SELECT call, ord, bytes, total::BIGINT AS total FROM (SELECT *, sum(bytes) OVER (PARTITION BY call ORDER BY ord ROWS UNBOUNDED PRECEDING) AS total FROM vask) WHERE total <= 262144")
+def ask_budgeted_read_all(spark, sf):
+    """ask_budgeted_read within the real limit."""
+    return K.budgeted_read(I.vask(spark, sf)).select("call", "ord", "bytes", "total")
+
+
 @query("SELECT event_id, 'run ' || event_type AS command, '/home/' || user_id AS cwd, 'tool-' || event_id AS tool_use_id, TRY_CAST(props->>'$.k' AS BIGINT) AS timeout FROM events")
 def capture_parse(spark, sf):
     raw = F.to_json(F.struct(F.lit("Bash").alias("tool_name"), F.concat(F.lit("tool-"), F.col("event_id").cast("string")).alias("tool_use_id"), F.concat(F.lit("/home/"), F.col("user_id").cast("string")).alias("cwd"), F.struct(F.concat(F.lit("run "), "event_type").alias("command"), F.get_json_object("props", "$.k").cast("long").alias("timeout")).alias("tool_input")))
@@ -121,6 +135,12 @@ def request_cap(spark, sf):
     return B.request_cap(I.vattempts(spark, sf), 50).select("event_id", "search")
 
 
+@query(I.sql("vattempts") + "SELECT event_id, search FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY ts, event_id) AS n FROM vattempts) WHERE n <= 50000")
+def request_cap_all(spark, sf):
+    """request_cap at the real cap."""
+    return B.request_cap(I.vattempts(spark, sf), LIMITS.requests).select("event_id", "search")
+
+
 @query()
 def search_report(spark, sf):
     """The whole search over the driver's documents as files, scored by their ids; one JSON a file."""
