@@ -101,6 +101,17 @@ def test_related_directory_is_found_again(spark):
     assert [x for x, _ in f] == ["src/core/base.py", "ext/plugins/impl.py"] and summary["directories_pruned"] == 1
 
 
+def test_anchor_is_found_below_files_without_one(spark):
+    files = {f"src/notes{i}.md": "class x is meant\n" for i in range(9)}
+    files |= {f"src/broken{i}.py": "class X(:\n" for i in range(9)} | {f"src/plain{i}.go": "package p // class\n" for i in range(3)}
+    files |= {"src/zz.py": "import os\n\n\nclass Base:\n    def run(self):\n        return 1\n", "src/long.py": "".join(f"class C{i:04}:\n    def f(self): pass\n" for i in range(600))}
+    s = search.Search(table(spark, files), "?", SqlScorer(F.lit(0.1)))
+    score = F.when(F.col("path") == "src/zz.py", 0.6).otherwise(0.9)
+    candidates = s.files.select("path", score.alias("score"))
+    assert s.anchor(candidates) == {"path": "src/zz.py", "classes": ["Base"]}
+    assert s.anchor(candidates.where("path <> 'src/zz.py'")) is None
+
+
 def test_request_keys_and_batches():
     d = [{"name": "f", "startLine": 1, "endLine": 2}]
     assert [k for k, _ in requests.evidence("q", "p", "s", d).questions] == ["q0", "scope0"]

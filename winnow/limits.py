@@ -23,6 +23,7 @@ class Limits:
     sample_bytes: int = 16_000
     sample_chars: int = 80
     sampled_json: int = 28_000
+    anchor_bytes: int = 4_000
     unit_bytes: int = 24_000
     fallback_unit_bytes: int = 3_000
     block_lines: int = 16

@@ -160,17 +160,27 @@ class Search:
         return join(files), join(dirs)
 
     def anchor(self, candidates: DataFrame) -> dict | None:
-        """The best candidate that declares a class, and its classes."""
-        texts = candidates.join(self.files.select("path", "text"), "path")
-        has_class = F.col("text").rlike(r"(?m)^\s*(?:export\s+)?(?:pub\s+)?(?:abstract\s+)?(?:class|struct|trait|interface)\s+\w+|^type\s+\w+\s+struct")
-        for r in texts.where(has_class).orderBy(F.col("score").desc(), "path").limit(8).select("path", "text").collect():
-            if languages.mode_of(r.path) == "text":
-                continue
-            own = languages.inspect(r.path, r.text).units
-            classes = list(dict.fromkeys(u.name.removesuffix(".context").split(".")[0] for u in own if u.name.endswith(".context") or "." in u.name))
-            if classes:
-                return {"path": r.path, "classes": classes}
-        return None
+        """The best candidate that declares a class, and its classes; all candidates are tried."""
+        coded = candidates.where(F.substring_index("path", ".", -1).isin(*languages.EXTENSIONS))
+        texts = coded.join(self.files.select("path", "text"), "path").select("path", F.col("score").cast("double").alias("score"), "text")
+        most = self.limits.anchor_bytes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for path, score, text in zip(*(batch.column(c).to_pylist() for c in ("path", "score", "text")), strict=True):
+                    size = max(4, len(text.encode()))
+                    own = languages.inspect(path, text, size, size).units if languages.mode_of(path) != "text" else []
+                    classes = list(dict.fromkeys(u.name.removesuffix(".context").split(".")[0] for u in own if u.name.endswith(".context") or "." in u.name))
+                    if classes and len(dump(classes).encode()) < most:
+                        rows.append((path, score, classes))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+                types = [pa.string(), pa.float64(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "score", "classes"])
+
+        found = texts.mapInArrow(run, "path string, score double, classes array<string>")
+        best = found.orderBy(F.col("score").desc(), "path").first()
+        return {"path": best.path, "classes": list(best.classes)} if best else None
 
     def decide(self, table: DataFrame, with_reference: bool) -> DataFrame:
         """Units with the score of one pass."""
