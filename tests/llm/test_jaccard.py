@@ -13,9 +13,9 @@ def sets_of(text, words=3):
     return {tuple(ws[i : i + words]) for i in range(len(ws) - words + 1)} if len(ws) >= words else ({tuple(ws)} if ws else set())
 
 
-def brute(rows, num=90, den=100):
+def brute(rows, num=90, den=100, words=3):
     """component by row number, straight from the definition"""
-    sets = [sets_of(t) for _, t in rows]
+    sets = [sets_of(t, words) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -74,6 +74,29 @@ def test_components_are_those_of_all_pairs(docs, monkeypatch, seed, block):
     agree(jaccard.components(docs([(i, t, "s") for i, t in rows])), rows)
 
 
+def test_hot_columns_come_last(docs, monkeypatch):
+    """With hardly any column small, the second order of columns and the blocks of its parts are met."""
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "ELEMENTS", 600)
+    rows = made(5)
+    agree(jaccard.components(docs([(i, t, "s") for i, t in rows])), rows)
+
+
+def test_five_words_and_four_fifths(docs):
+    rows = made(6)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs([(i, t, "s") for i, t in rows]), 5, 80, 100).collect()), key=key)
+    assert got == sorted(brute(rows, 80, 100, 5), key=key)
+
+
+def test_ids_may_be_text(docs):
+    rows = [(i, t) for i, t in made(7)[:60]]
+    plain = docs([(i, t, "s") for i, t in rows])
+    named = jaccard.components(plain.withColumn("doc_id", F.format_string("%04d", "doc_id")))
+    whole = {(f"{r.doc_id:04d}", r.n_shingles, f"{r.component_id:04d}") for r in jaccard.components(plain).collect()}
+    assert {tuple(r) for r in named.collect()} == whole
+
+
 def test_odd_rows(odd, empty):
     agree(jaccard.components(odd), [(r.doc_id, r.text) for r in odd.collect()])
     assert jaccard.components(empty).collect() == []
@@ -94,8 +117,9 @@ def test_parity_maps_bound_the_difference():
 def test_long_maps_bound_the_difference():
     texts = [" ".join(f"w{i}" for i in range(a, a + n)).encode() for a, n in ((0, 3000), (100, 3000), (50, 5200), (9000, 3000), (0, 20))]
     s = shingles.shingle_sets(texts, 3)
-    maps = shingles.long_maps(s)
+    maps = shingles.long_maps(s, 90, 100)
     assert maps[4] is None and len(maps[0]) * 8 == 1024 and len(maps[2]) * 8 == 2048
+    assert shingles.long_set(80, 100) == 960 and len(shingles.long_maps(s, 80, 100)[0]) * 8 == 2048
     assert shingles.bits_apart(maps[0], maps[1]) <= 200 and shingles.bits_apart(maps[0], maps[2]) <= 50 + 2250
     assert shingles.bits_apart(maps[0], maps[3]) > 400
 

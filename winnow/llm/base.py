@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,6 +90,35 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, spark_schema)
 
 
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, column: str = "utf8", limit: int = 1 << 20) -> DataFrame:
+    """As map_batches, but in slices of about ``limit`` bytes of a binary column, each put out at once,
+    so that a worker holds the arrays of one slice whatever the batch."""
+    spark_schema = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(spark_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for part in byte_slices(batch, column, limit):
+                if (out := f(part)) is not None:
+                    yield record(out, arrow)
+
+    return df.mapInArrow(run, spark_schema)
+
+
+def byte_slices(batch: pa.RecordBatch, column: str = "utf8", limit: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch: about ``limit`` bytes of the column, ``rows`` rows at most, one at least."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        before = int(ends[a - 1]) if a else 0
+        b = min(max(a + 1, int(np.searchsorted(ends, before + limit, side="right"))), a + rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def record(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in arrow:

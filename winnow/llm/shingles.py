@@ -1,4 +1,4 @@
-"""Word shingles of many texts at once, as 48-bit hashes in numpy."""
+"""Word shingles of many texts at once, as 64-bit hashes in numpy."""
 
 from __future__ import annotations
 
@@ -12,10 +12,8 @@ from .base import in_slices
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-HASH_BITS = 48
-HASH = (1 << HASH_BITS) - 1
-#: Documents to a slice, so that a document's number and a hash fit 64 bits with 4 to spare.
-SLICE_ROWS = 4096
+#: Texts to a slice, and about how many bytes of them: a slice's arrays take some 80 bytes for each.
+SLICE_ROWS, SLICE_BYTES = 4096, 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,15 +72,23 @@ def shingle_sets(texts: list[bytes], words: int, seed: int = 0) -> Sets:
         nxt = np.zeros(len(doc), dtype=np.uint64)
         nxt[inside] = w[at[inside] + i]
         h = np.where(inside, mix(h * np.uint64(0x9E3779B97F4A7C15) + nxt + np.uint64(1)), h)
-    # sorting and dropping repeats is faster here than the hash table of np.unique
-    key = np.sort((doc.astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS)))
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    doc = (key >> np.uint64(HASH_BITS)).astype(np.int64)
-    return Sets(doc, key & np.uint64(HASH), np.bincount(doc, minlength=len(texts)))
+    sort_each(h, number)
+    if len(h):
+        fresh = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+        doc, h = doc[fresh], h[fresh]
+    return Sets(doc, h, np.bincount(doc, minlength=len(texts)))
+
+
+def sort_each(values: np.ndarray, lengths: np.ndarray) -> None:
+    """Sort consecutive runs of the given lengths, each by itself, in place."""
+    a = 0
+    for n in lengths.tolist():
+        values[a : a + n].sort()
+        a += n
 
 
 def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    for a, b in in_slices(texts):
+    for a, b in in_slices(texts, SLICE_BYTES):
         for i in range(a, b, SLICE_ROWS):
             yield i, min(b, i + SLICE_ROWS)
 
@@ -108,18 +114,26 @@ def parity_maps(sets: Sets, words: int = 8) -> np.ndarray:
     return np.packbits(odd.reshape(-1, bits), axis=1).view("<i8").reshape(-1, words)
 
 
-#: Sets of more elements have a longer parity map too, of at least a quarter as many bits.
-LONG = 2048
+def long_set(num: int, den: int, words: int = 8) -> int:
+    """The size from which the short maps cannot tell sets apart that are not alike: linked sets may
+    differ in 2 (den - num) / (num + den) of their size, maps of unlike ones differ in half their bits."""
+    return max(64, int(64 * words / map_share(num, den)))
+
+
+def map_share(num: int, den: int) -> float:
+    """Bits of a long parity map for each element of a set."""
+    return max(4.8 * (den - num) / (num + den), 1 / 64)
 
 
-def long_maps(sets: Sets) -> list[bytes | None]:
-    """Parity maps of the sets of more than LONG elements: a power of two of bits, at least n / 4."""
+def long_maps(sets: Sets, num: int, den: int, words: int = 8) -> list[bytes | None]:
+    """Longer parity maps of the sets above ``long_set``: a power of two of bits, by their size."""
     ends, out = sets.ends(), []
+    least, share = long_set(num, den, words), map_share(num, den)
     for i, n in enumerate(sets.size.tolist()):
-        if n <= LONG:
+        if n <= least:
             out.append(None)
             continue
-        bits = 1 << (-(-n // 4) - 1).bit_length()
+        bits = 1 << max(9, (int(n * share) - 1).bit_length())
         h = (sets.hash[ends[i] - n : ends[i]] % np.uint64(bits)).astype(np.int64)
         out.append(np.packbits((np.bincount(h, minlength=bits) & 1).astype(np.uint8)).tobytes())
     return out
