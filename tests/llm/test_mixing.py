@@ -35,7 +35,7 @@ def brute(rows):
     target = fill(dict(per), {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)})
     out = []
     for s in per:
-        own = sorted((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), size[k], k) for k, (i, _, x) in enumerate(rows) if x == s)
+        own = sorted((hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest(), size[k], k) for k, (i, t, x) in enumerate(rows) if x == s)
         at = 0
         for _, n, k in own:
             middle = at + n / 2
@@ -78,5 +78,25 @@ def test_positions_follow_the_schedule(spark):
 
 def test_order_by_position(docs):
     rows = mixing.mix_order(mixing.mix(docs([(i, "a b c", f"s{i % 3}") for i in range(60)]))).collect()
-    read = [r.position for r in rows if r.position is not None]
-    assert read == sorted(read) and all(r.position is None for r in rows[len(read) :])
+    read = [r.positions[0] for r in rows if r.positions]
+    assert read == sorted(read) and all(r.positions == [] for r in rows[len(read) :])
+
+
+def test_each_reading_has_its_place(docs):
+    """Two epochs of a source stand one after the other, each document where the integral says."""
+    rows = [(i, "a b c d", "s0") for i in range(30)] + [(i, "a b", "s1") for i in range(30, 40)]
+    mixed = mixing.mix(docs(rows))
+    plan = [tuple(r) for r in mixing.schedule(mixed).collect()]
+    assert [p for *_, p in plan] == sorted(p for *_, p in plan)
+    assert sorted((i, k) for i, k, _ in plan) == sorted((r.doc_id, k + 1) for r in mixed.collect() for k in range(r.readings))
+    target, at, goal = {r.source: r.target for r in mixed.collect()}["s0"], 0, {}
+    own = sorted((hashlib.md5(f"{i}:{t}".encode()).hexdigest(), i) for i, t, s in rows if s == "s0")
+    for epoch in range(2):
+        for _, i in own:
+            goal[i, epoch + 1] = (at + 2) / target
+            at += 4
+    for i, k, p in plan:
+        if i < 30:
+            assert 1.5 * p - 0.5 * p * p == pytest.approx(goal[i, k])
+    with pytest.raises(ValueError):
+        mixing.mix(docs(rows), cap=1.5)

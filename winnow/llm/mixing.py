@@ -2,7 +2,7 @@
 
 Each source has a weight schedule w(t), linear between equally spaced knots over the run,
 t in [0, 1]. Its integral W(t) says how much of the source's words the run has asked for by t.
-A source's documents stand in a fixed order (by the MD5 of their id) and are read in epochs; a
+A source's documents stand in a fixed order (by the MD5 of id and text) and are read in epochs; a
 reading whose middle lies at the fraction u of the source's target belongs at W^-1(u W(1)). The
 mix is range-sorted by that position.
 
@@ -80,24 +80,33 @@ def schedule_time(u: Column, shape: Column, knots: int) -> Column:
     return out
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle: tuple[int, ...] = CYCLE, shapes=SHAPES) -> DataFrame:
+def row_key(docs: DataFrame) -> Column:
+    """What a source's documents are ordered by: the MD5 of id and text. Rows of one id, null ids among
+    them, are told apart by their texts, so that they spread over the ranges too."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(text("doc_id"), F.lit(":"), text("text")).cast("binary"))
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, cycle: tuple[int, ...] = CYCLE, shapes=SHAPES) -> DataFrame:
     """Decide for every document how often the mix reads it, and when.
 
     Columns: doc_id, source, size, source_size, target, taken (words read, repeats counted),
-    readings (how often), position (of the first reading in the run, null if never read).
-
-    Documents are read whole: one is read in an epoch if its middle word lies before the target,
-    so a source's sum misses its target by at most half a document. Null text has size 0; a
-    document of size 0 is read once where its place lies before the target, with taken 0. Null
-    sources form one source. Rows with equal or null ids keep their own rows; among such rows the
-    shorter comes first. An empty table gives an empty result. Columns beyond doc_id, text and
+    readings (how often), positions (of each reading in the run, in [0, 1]; empty if never read).
+
+    ``cap`` is a whole number: sources stop at that many times their size, documents at that many
+    readings. Documents are read whole: one is read in an epoch if its middle word lies before the
+    target, so a source's sum misses its target by at most half a document, however long the
+    longest text is. Null text has size 0; a document of size 0 is read once where its place lies
+    before the target, with taken 0. Null sources form one source. Rows with equal or null ids keep
+    their own rows; rows equal in id and text are alike, share a range of the order, and get
+    neighbouring places. An empty table gives an empty result. Columns beyond doc_id, text and
     source are ignored.
     """
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sizes = durable(sizes, "mixing-sizes")
-    targets = source_targets(sizes, share, cap, cycle)
-    keyed = sizes.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    keyed = keyed.withColumn("part", F.substring("key", 1, RANGE_DIGITS))
+    if cap != int(cap) or cap < 1:
+        raise ValueError("documents are read whole, so the cap is a whole number")
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(docs).alias("key"))
+    keyed = durable(sizes, "mixing-sizes").withColumn("part", F.substring("key", 1, RANGE_DIGITS))
+    targets = source_targets(keyed, share, float(cap), cycle)
     sums = keyed.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "part", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("part_start"))
@@ -108,13 +117,21 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle: tuple[int,
     # Joined on null-safe equal keys: a null source is a source like any other.
     rows = placed.alias("p").join(sums.alias("s"), F.expr("p.source <=> s.source AND p.part = s.part"), "left").select("p.doc_id", "p.source", "p.size", "p.start", "s.part_start", "s.rank", "s.source_size", "s.target")
     middle = F.col("start") + F.col("part_start") + F.col("size") / 2.0
-    readings = sum(((middle + F.lit(e) * F.col("source_size")) < F.col("target")).cast("long") for e in range(int(-(-cap // 1))))
     shape = F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in shapes)), (F.col("rank") % len(shapes)) + 1)
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * readings).alias("taken"), readings.alias("readings"), middle.alias("middle"), shape.alias("shape"))
-    when = F.when(F.col("readings") > 0, schedule_time(F.try_divide(F.col("middle"), F.col("target")), F.col("shape"), len(shapes[0])))
-    return rows.withColumn("position", when).drop("middle", "shape").select("doc_id", "source", "size", "source_size", "target", "taken", "readings", "position")
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", middle.alias("middle"), shape.alias("shape"))
+    at = [F.col("middle") + F.lit(e) * F.col("source_size") for e in range(int(cap))]
+    when = lambda x: schedule_time(F.try_divide(x, F.col("target")), F.col("shape"), len(shapes[0]))
+    positions = F.filter(F.array(*(F.when(x < F.col("target"), when(x)) for x in at)), lambda x: x.isNotNull())
+    rows = rows.withColumn("positions", positions).withColumn("readings", F.size("positions").cast("long"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("readings")).alias("taken"), "readings", "positions")
 
 
 def mix_order(mixed: DataFrame) -> DataFrame:
-    """Range-sort the mix by training position; unread documents come last."""
-    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    """Range-sort the mix's documents by their first training position; unread documents come last."""
+    return mixed.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
+
+
+def schedule(mixed: DataFrame) -> DataFrame:
+    """doc_id, reading (from 1) and position: a row for each reading, range-sorted by position."""
+    each = mixed.select("doc_id", F.posexplode("positions").alias("at", "position"))
+    return each.select("doc_id", (F.col("at") + 1).cast("int").alias("reading"), "position").orderBy("position", "doc_id", "reading")

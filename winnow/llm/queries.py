@@ -26,9 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    out = mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
-    return mixing.mix_order(out)
+    mixed = mixing.mix_order(mixing.mix(table(spark, sf_dir, "documents")))
+    # sorted by whole positions; what is shown is rounded, as SQL may differ in the last bit
+    shown = lambda i: F.round(F.try_element_at("positions", F.lit(i)), 9)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shown(1).alias("position"), shown(2).alias("second_position"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .base import durable
 
-#: Hexadecimal digits of the key's MD5 that name a range of a shard's numbering: 4096 ranges.
+#: Hexadecimal digits of the MD5 of key and text checksum that name a range of a shard's numbering: 4096 ranges.
 RANGE_DIGITS = 3
 
 
@@ -37,12 +37,14 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     0 within the shard), grown_shard (where the weights ``grown`` would put it; null if not given).
 
     Null text counts as empty. Null ids share one key and so one shard; rows with equal ids share
-    a shard and take neighbouring slots. An empty table gives an empty result. Other columns are
-    ignored. Slots are counted in ranges of the key's hash, so no task holds a whole shard.
+    a shard. Slots are counted in ranges of a hash of key and text, so no task holds a whole shard,
+    nor all rows of one key, but for rows equal in key and text. Ties within a range go by id, then
+    by the text's checksum and size. Of long texts only sizes and checksums are moved. An empty
+    table gives an empty result. Other columns are ignored.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    base = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), rendezvous(key, weights).cast("int").alias("shard"), (rendezvous(key, grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"), F.substring(F.md5(key.cast("binary")), 1, RANGE_DIGITS).alias("range"))
+    base = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), rendezvous(key, weights).cast("int").alias("shard"), (rendezvous(key, grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"), F.substring(F.md5(F.concat(key, F.lit(":"), F.crc32(raw).cast("string")).cast("binary")), 1, RANGE_DIGITS).alias("range"))
     base = durable(base, "sharding")
     counts = base.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 OP2 = r"""
-WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key, row_number() OVER () AS i FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1)::BIGINT AS rank FROM s GROUP BY source),
 w AS (SELECT *, [3, 1, 2][rank % 3 + 1] AS weight FROM p),
 f AS (SELECT *, sum(source_size) OVER ()::DOUBLE AS total, row_number() OVER (ORDER BY source_size / weight, rank) AS n FROM w),
@@ -9,14 +9,14 @@ g AS (SELECT a.n, max(a.source_size * 2.0) AS full, max(a.weight * (1.5 * a.tota
   FROM f a LEFT JOIN LATERAL (SELECT sum(source_size) AS used FROM f x WHERE x.n < a.n) b ON true LEFT JOIN LATERAL (SELECT sum(weight) AS left_weight FROM f x WHERE x.n >= a.n) c ON true GROUP BY a.n),
 h AS (SELECT n, fair / weight AS level FROM g WHERE "full" > fair ORDER BY n LIMIT 1),
 t AS (SELECT f.source, f.rank, f.source_size, (CASE WHEN f.n >= (SELECT n FROM h) THEN f.weight * (SELECT level FROM h) ELSE f.source_size * 2.0 END)::DOUBLE AS target FROM f),
-k AS (SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM s),
-r AS (SELECT k.doc_id, k.size, t.source_size, t.target, t.rank, k.middle, (k.middle < t.target)::BIGINT + (k.middle + t.source_size < t.target)::BIGINT AS readings FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
-v AS (SELECT *, CASE rank % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS a, CASE rank % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS c, least(greatest(CASE WHEN target > 0 THEN middle / target ELSE 0 END, 0.0), 1.0)::DOUBLE AS u FROM r)
-SELECT doc_id, size, source_size, target, (size * readings)::BIGINT AS taken,
-  CASE WHEN readings > 0 THEN round(CASE WHEN u <= (a + 1) / 4
+k AS (SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM s),
+r AS (SELECT k.i, k.doc_id, k.size, t.source_size, t.target, t.rank, k.middle + e * t.source_size AS middle, e FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source, range(0, 2) x(e)),
+v AS (SELECT *, CASE rank % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS a, CASE rank % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS c, least(greatest(CASE WHEN target > 0 THEN middle / target ELSE 0 END, 0.0), 1.0)::DOUBLE AS u FROM r),
+z AS (SELECT *, CASE WHEN middle < target THEN round(CASE WHEN u <= (a + 1) / 4
     THEN least(2 * u / (a + sqrt(greatest(a * a + 4 * (1 - a) * u, 0))), 0.5)
-    ELSE 0.5 + 2 * (u - (a + 1) / 4) / (1 + sqrt(greatest(1 + 4 * (c - 1) * (u - (a + 1) / 4), 0))) END, 6) END AS position
-FROM v
+    ELSE 0.5 + 2 * (u - (a + 1) / 4) / (1 + sqrt(greatest(1 + 4 * (c - 1) * (u - (a + 1) / 4), 0))) END, 9) END AS position FROM v)
+SELECT doc_id, size, source_size, target, (size * count(position))::BIGINT AS taken, max(position) FILTER (e = 0) AS position, max(position) FILTER (e = 1) AS second_position
+FROM z GROUP BY i, doc_id, size, source_size, target
 """
 
 OP6 = r"""
@@ -44,7 +44,7 @@ b AS (SELECT doc_id, [('0x' || h[i:i + 1])::BIGINT FOR i IN range(1, length(h),
 c AS (SELECT doc_id, len(bytes) + 8 AS size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM b, tab),
 r AS (SELECT doc_id, s, -ln((('0x' || md5(doc_id::VARCHAR || ':' || s)[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS cost FROM documents, range(0, 25) x(s)),
 w AS (SELECT doc_id, arg_min(s, cost) FILTER (s < 24) AS shard, arg_min(s, cost) AS grown_shard FROM r GROUP BY doc_id)
-SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR)[1:3], doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR || ':' || text_crc32::VARCHAR)[1:3], doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
 FROM c JOIN w USING (doc_id)
 """
 
