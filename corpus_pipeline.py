@@ -18,55 +18,76 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """A hash of the whole row as ``_row``: doc_id may be null or repeated, this is neither but for
-    rows that are equal in every column."""
-    return docs.withColumn("_row", F.xxhash64(*docs.columns))
+    """The MD5 of the whole row, nulls told apart from texts, as ``_row``.
 
-
-def repeated(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Each row of ``docs`` (with _row) as often as ``decided`` (columns _row, rows, times) says.
-
-    Rows that are equal in every column share a _row; of those one is taken and repeated.
+    doc_id may be null or repeated; this is neither but for rows that are equal in every column. That
+    two other rows agree in 128 bits is left out of account (10**12 rows: less than 10**-14).
     """
-    decided = decided.where("times > 0")
-    plain = docs.join(decided.where("rows = 1"), "_row")
-    if not decided.where("rows > 1").isEmpty():
-        plain = plain.unionByName(docs.join(decided.where("rows > 1"), "_row").dropDuplicates(["_row"]))
-    return plain.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return docs.withColumn("_row", F.md5(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).cast("binary")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects."""
+    """Drop the documents that the quality classifier rejects, by their whole texts.
+
+    Null and empty texts score the share of good labels. Equal texts share a fate, repeated rows stay
+    repeated; ties at the threshold are kept. An empty table stays empty; all columns pass through.
+    """
     session.ship(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: five words to a shingle, similarity 0.8 or more."""
+    """Keep one document of each group of near copies: five words to a shingle, similarity 0.8 or more.
+
+    The one whose row hash is least stays. Rows without words (null, empty, white space) are no one's
+    copy, but of rows equal in every column one stays. An empty table stays empty.
+    """
     session.ship(spark)
     rows = with_row_id(docs)
     found = jaccard.components(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100)
-    decided = found.groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("long")).alias("times"))
-    return repeated(rows, durable(decided, "pipeline-kept")).select(*docs.columns)
+    per = found.groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    per = durable(per.where("NOT first OR rows > 1"), "pipeline-copies")
+    return without(rows, per).select(*docs.columns)
+
+
+def without(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """``rows`` without those that are not ``first``, and once each of those that ``per`` has more of."""
+    left = rows.join(per, "_row", "left_anti")
+    if per.where("first").isEmpty():
+        return left
+    return left.unionByName(rows.join(per.where("first").select("_row"), "_row", "left_semi").dropDuplicates(["_row"]))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace the secrets in the texts."""
+    """Replace the secrets in the whole texts; every row stays, in its columns.
+
+    Null texts stay null, repeated rows are treated alike, an empty table stays empty.
+    """
     return secrets.redact(docs, secrets.train(secrets.made_findings(spark)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that the sources meet their shares, in training order."""
+    """Repeat or leave out documents so that the sources meet their shares, in training order.
+
+    Each reading is a row, where the curriculum puts it. Null sources form one source, null texts have
+    no words. Rows equal in every column are told apart by their places alone; ties in place go by
+    the row's hash. An empty table stays empty.
+    """
     rows = with_row_id(docs)
     mixed = mixing.mix(rows.select(F.col("_row").alias("doc_id"), "source", "text"))
-    decided = mixed.groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).alias("rows"), F.sum("readings").alias("times"), F.min("position").alias("_position"))
-    out = repeated(rows, durable(decided, "pipeline-mix"))
-    return out.orderBy("_position", "_row", "_copy").select(*docs.columns)
+    readings = durable(mixed.select(F.col("doc_id").alias("_row"), F.explode("positions").alias("_position")), "pipeline-readings")
+    repeats = durable(rows.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pipeline-repeats")
+    once = rows if repeats.isEmpty() else rows.join(repeats, "_row", "left_anti").unionByName(rows.join(repeats, "_row", "left_semi").dropDuplicates(["_row"]))
+    return once.join(readings, "_row").orderBy("_position", "_row").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences; one row per piece."""
+    """Pack the documents into sequences; one row per piece.
+
+    Null and empty texts are an end id each; repeated rows and null ids are packed each on its own; texts
+    of any length are cut over sequences. An empty table gives no pieces.
+    """
     session.ship(spark)
     return packing.pack(docs, TOKENIZER)
 
