@@ -43,7 +43,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.made_findings(spark)))
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.made_model(spark))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

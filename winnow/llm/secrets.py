@@ -4,13 +4,20 @@ Everything is DataFrame expressions: candidates are marked by one regular expres
 text and cut out with their neighbourhood, features are string expressions, the forest is trained by
 MLlib on labelled findings and then written out as nested CASE expressions, so that a scan is one
 projection without a shuffle. Positions are 0-based character offsets.
+
+What the words around a candidate and the words of its path say is learned too: half of the labelled
+findings give each word there its log-odds, and the forest, trained on the other half, takes the sums
+of these. The model is the forest and these tables.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names to which secrets are assigned, and what stands between name and value.
@@ -18,7 +25,7 @@ NAME = r"(?i:(?:api|access|auth|private|client|secret)[_-]?(?:key|token|secret)|
 ASSIGNED = NAME + r"""["']?\s{0,4}(?:=>|:=|[:=])\s{0,4}["']?"""
 #: A private key from BEGIN through END; without END, the lines of its body that follow. Possessive,
 #: so that Java steps through long bodies without recursion.
-HEADER = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+HEADER = r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z0-9]++ )*+PRIVATE KEY(?: BLOCK)?-----"
 PRIVATE_KEY = HEADER + r"(?:(?:(?!-----)[\s\S])*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/=]+[ \t]*(?![^\r\n\\\"']))*+)"
 #: A value in quotes up to the closing one, on one line; a backslash takes the next character along.
 QUOTED = "|".join(rf"(?<={q})(?:[^{q}\\\r\n]|\\[^\r\n]){{6,}}+(?={q})" for q in "\"'")
@@ -39,45 +46,82 @@ NEAR = 48
 #: Words whose letters do not speak for a secret, beside those of the labelled findings' makers.
 DICTIONARY = ("example", "sample", "dummy", "placeholder", "changeme", "default", "password", "passwd", "secret", "token", "credential", "your", "here", "insert", "replace", "test", "demo", "foobar", "value", "string", "null", "none", "true", "false", "name", "user", "admin", "config", "setting", "version", "function", "method", "class", "object", "index", "data", "file", "path", "image", "content", "header", "request", "response", "server", "client", "service", "handler", "manager", "message", "number", "length", "and", "the", "for", "with", "this", "that", "from", "key", "not", "key")
 BIGRAMS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ou", "io", "le", "ve", "co", "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce", "li", "ch", "ll", "be", "ma", "si", "om", "ur")
-GUARDED = r"(?i)\b(?:secret|token|passw(?:or)?d|pwd|credential|api[_-]?key|bearer|auth)"
-HARMLESS = r"(?i)\b(?:commit|sha\d*|md5|hash|checksum|digest|uuid|guid|revision|etag|integrity|example|sample|placeholder|base64|build|id)\b"
-SPECIMEN = r"(?i)(?:test|example|sample|fixture|mock|doc|spec|demo)"
+#: Pieces of a text whose candidates are put together at a time.
+PIECES = 256
+#: So many words before a candidate (its name among them) and after it are neighbours.
+NEIGHBOURS = 4
+#: Words that a table of log-odds holds for each place, and how often a finding must have had them.
+ODDS_WORDS, ODDS_TIMES = 300, 5
 TREES, DEPTH, SEED = 24, 6, 17
 THRESHOLD = 0.5
-FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "hex", "bigrams", "coverage", "known", "assigned", "quoted", "guarded", "harmless", "specimen")
+FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "hex", "bigrams", "coverage", "known", "assigned", "quoted", "before", "after", "path")
+FOUND = "struct<start:int,lead:string,value:string,name:string,before:string,after:string,path:string,rest:string>"
+
+
+def marked(text: Column) -> Column:
+    """The text cut before each candidate: a first piece, then "candidate CLOSE what follows"."""
+    clean = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "\ufffd\ufffd")
+    return F.split(F.regexp_replace(clean, CANDIDATE, f"{OPEN}$0{CLOSE}"), OPEN)
 
 
 def candidates(text: Column, path: Column) -> Column:
-    """An array of (start, value, name, before, after, path), one for each candidate in order.
+    """An array of structs, one for each candidate in order: where its value begins, what leads to it,
+    the value, its name or "", the characters around, the path, and all up to the next candidate."""
+    return cut_out(marked(text), path)
+
+
+def cut_out(pieces: Column, path: Column) -> Column:
+    """As candidates, of the pieces of a text.
 
-    ``start`` is where the value begins; ``name`` is what it is assigned to, or empty.
+    An array is copied when an element is added, so the pieces are worked on PIECES at a time and the
+    time stays in proportion to their number.
     """
-    clean = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "��")
-    pieces = F.split(F.regexp_replace(clean, CANDIDATE, f"{OPEN}$0{CLOSE}"), OPEN)
-    # (length so far, array of candidates): a piece is "match CLOSE rest", the first only "rest"
-    row = "struct<start:int,value:string,name:string,before:string,after:string,path:string>"
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("rest"), F.array().cast(f"array<{row}>").alias("found"))
+    none = F.array().cast(f"array<{FOUND}>")
+
+    def after_close(piece: Column) -> Column:
+        return F.substr(piece, F.instr(piece, CLOSE) + 1)
 
     def step(acc: Column, piece: Column) -> Column:
-        cut = F.instr(piece, CLOSE)
-        match, rest = F.when(cut > 0, F.substr(piece, F.lit(1), cut - 1)).otherwise(F.lit("")), F.substr(piece, cut + 1)
+        match, rest = F.substr(piece, F.lit(1), F.instr(piece, CLOSE) - 1), after_close(piece)
         lead = F.regexp_extract(match, f"^{ASSIGNED}", 0)
         one = F.struct(
             (acc["at"] + F.length(lead)).cast("int").alias("start"),
+            lead.alias("lead"),
             F.substr(match, F.length(lead) + 1).alias("value"),
             F.regexp_extract(match, f"^{NAME}", 0).alias("name"),
             F.right(acc["rest"], F.lit(NEAR)).alias("before"),
             F.left(rest, F.lit(NEAR)).alias("after"),
             F.coalesce(path, F.lit("")).alias("path"),
+            rest.alias("rest"),
         )
-        found = F.when(cut > 0, F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
-        at = acc["at"] + F.length(match) + F.length(rest)
-        return F.struct(at.cast("int").alias("at"), rest.alias("rest"), found.alias("found"))
+        return F.struct((acc["at"] + F.length(match) + F.length(rest)).cast("int").alias("at"), rest.alias("rest"), F.concat(acc["found"], F.array(one)).alias("found"))
+
+    own = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1)))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 2) / PIECES).cast("int"))
+    block = lambda b: F.slice(own, b * PIECES + 1, PIECES)
+    spans = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda n, x: (n + F.length(x) - 1).cast("int")))
+    ends = F.aggregate(spans, F.array(F.length(pieces[0])), lambda acc, n: F.concat(acc, F.array((F.element_at(acc, -1) + n).cast("int"))))
+    before = lambda b: F.when(b == 0, pieces[0]).otherwise(after_close(F.element_at(pieces, b * PIECES + 1)))
+    worked = F.transform(blocks, lambda b: F.aggregate(block(b), F.struct(F.element_at(ends, b + 1).alias("at"), before(b).alias("rest"), none.alias("found")), step)["found"])
+    return F.when(F.size(pieces) > 1, F.flatten(worked)).otherwise(none)
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, zero, step)["found"]).otherwise(F.array().cast(f"array<{row}>"))
 
+def neighbours(c: Column) -> dict[str, Column]:
+    """The words around a candidate, by place."""
+    ahead = words_of(F.concat_ws(" ", c["before"], c["name"]))
+    return {"before": F.slice(ahead, F.greatest(F.size(ahead) - NEIGHBOURS + 1, F.lit(1)), NEIGHBOURS), "after": F.slice(words_of(c["after"]), 1, NEIGHBOURS), "path": words_of(c["path"])}
 
-def features(c: Column) -> Column:
+
+def sum_of_odds(words: Column, table: dict[str, float]) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+    return F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(known, w), F.lit(0.0)))
+
+
+def features(c: Column, odds: dict[str, dict[str, float]]) -> Column:
     """A candidate's features as a struct of doubles (names: ``FEATURES``)."""
     value = c["value"]
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
@@ -94,14 +138,13 @@ def features(c: Column) -> Column:
         "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double") / n,
         "hex": flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "bigrams": count(low, f"(?=(?:{'|'.join(BIGRAMS)}))") / n,
-        "coverage": 1.0 - F.length(F.regexp_replace(low, "|".join(dict.fromkeys(DICTIONARY)), "")).cast("double") / n,
+        "coverage": 1.0 - F.length(F.regexp_replace(low, "|".join(sorted(set(DICTIONARY), key=lambda w: (-len(w), w))), "")).cast("double") / n,
         "known": flag(value.rlike(KNOWN_FORM)),
         "assigned": flag(c["name"] != ""),
         "quoted": flag(c["after"].rlike("^[\"']")),
-        "guarded": flag(c["before"].rlike(GUARDED) | (c["name"] != "")),
-        "harmless": flag(c["before"].rlike(HARMLESS) | c["after"].rlike(r"^[\"']?\s*(?i:example|placeholder)")),
-        "specimen": flag(c["path"].rlike(SPECIMEN)),
     }
+    for place, words in neighbours(c).items():
+        out[place] = sum_of_odds(words, odds[place]) if odds.get(place) else F.lit(0.0)
     return F.struct(*[F.coalesce(out[k], F.lit(0.0)).alias(k) for k in FEATURES])
 
 
@@ -110,7 +153,7 @@ def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
 
     Secrets: keys of the usual forms, random values and passphrases given to telling names, and bare
     random runs. Others: digests and identifiers under harmless names, words run together,
-    placeholders, quoted sentences, and specimens in test paths.
+    placeholders and quoted sentences. Real findings, labelled by hand, go in their place or beside them.
     """
     i = F.col("id")
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")), 256)
@@ -124,9 +167,8 @@ def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     length = pick("l", F.lit(16), F.lit(20), F.lit(32), F.lit(40), F.lit(64))
     word = lambda salt: pick(salt, *[w for w in DICTIONARY if len(w) > 3])
     words = F.concat(word("a"), pick("u", "_", "-", ""), word("b"), pick("v", "_", "-", ""), word("c"), word("d"), pick("w", "", "1", "123", "01"))
-    around = pick("x", "It was then that ", "und dann die ", "de la casa ", "dans le texte ", "")
     good = F.concat(name, eq, quote, F.when(i % 3 == 0, hexes("h", 64).substr(F.lit(1), length)).when(i % 3 == 1, F.upper(hexes("h", 64).substr(F.lit(1), length))).otherwise(mixed(64).substr(F.lit(1), length)), quote)
-    known = pick("k", F.concat(F.lit("AKIA"), F.upper(hexes("k", 16))), F.concat(F.lit("ghp_"), mixed(36)), F.concat(F.lit("xoxb-"), hexes("k", 24)), F.concat(F.lit("eyJ"), mixed(20), F.lit("."), hexes("j", 24), F.lit("."), hexes("m", 20)), F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), raw, F.lit("\n-----END RSA PRIVATE KEY-----")))
+    known = pick("k", F.concat(F.lit("AKIA"), F.upper(hexes("k", 16))), F.concat(F.lit("ghp_"), mixed(36)), F.concat(F.lit("xoxb-"), hexes("k", 24)), F.concat(F.lit("eyJ"), mixed(20), F.lit("."), hexes("j", 24), F.lit("."), hexes("m", 20)), F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(pick("lines", F.concat(raw, F.lit("\n")), F.concat(F.substring(raw, 1, 40), F.lit("x" * 40 + "\n"))), F.pmod(F.xxhash64(i, F.lit("body")), F.lit(30)).cast("int") + 1), F.lit("-----END RSA PRIVATE KEY-----")))
     harmless = F.concat(pick("g", "commit ", "sha256 ", "checksum ", "md5 = ", "digest: ", "etag ", "revision ", "integrity="), hexes("d", 64).substr(F.lit(1), length + 24))
     bare = pick("z", F.concat(words, F.lit("_"), words), F.concat(word("e"), word("f"), word("a"), word("b"), word("c"), word("d")), hexes("y", 32), F.concat(hexes("t", 8), F.lit("-"), hexes("p", 4), F.lit("-"), hexes("o", 12)))
     # what is said or written: syllables in a row, in a sentence and, with capitals, digits and signs, in a passphrase
@@ -138,26 +180,59 @@ def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     placeholder = F.concat(name, eq, quote, F.when(i % 4 == 0, words).when(quote == "", words).otherwise(pick("o", words, sentence)), quote)
     guarded = F.concat(name, eq, pick("q2", F.concat(F.lit('"'), phrase, F.lit('"')), F.concat(F.lit("'"), signs, F.lit("'"))))
     kind = (i % 10).cast("int")
+    label = (kind < 4) | (kind > 7)
     text = F.when(kind < 3, good).when(kind == 3, known).when(kind == 4, harmless).when(kind == 5, bare).when(kind == 6, placeholder).when(kind == 8, run).when(kind == 9, guarded).otherwise(F.concat(name, eq, quote, word("a"), pick("8", "1", "42", "_9"), quote))
-    path = F.when((kind == 7) & (i % 20 == 7), "tests/fixtures/sample.txt").otherwise(pick("path", "src/app/main.py", "config/prod.yml", "web/index.html", "src3", "notes.txt"))
-    return spark.range(n).select(F.concat(around, text, F.lit(" end")).alias("text"), path.alias("path"), ((kind < 4) | (kind > 7)).cast("int").alias("label"))
-
-
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list:
-    """A forest as nested tuples: (feature, threshold, left, right) or the leaf's share of label 1.
-
-    ``findings``: text, path, label; each text's first candidate is the finding. Rows without a
-    candidate or label are passed over; without both labels the forest is one leaf.
+    # half stand among words that say nothing, the others among words and in files usual for their kind,
+    # but for one in twelve, which stands among the other kind's; words ahead, behind and in the path
+    # are drawn one by one
+    one_in = lambda salt, k: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(k)) == 0
+    usual = lambda salt: F.when(one_in(f"noise{salt}", 12), ~label).otherwise(label)
+    said = lambda salt, secret, other: F.when(one_in(f"plain{salt}", 2), pick(salt, "", sound(f"{salt}a"), F.concat_ws(" ", sound(f"{salt}b"), sound(f"{salt}c"), sound(f"{salt}d")))).when(usual(salt), pick(salt, *secret)).otherwise(pick(salt, *other))
+    ahead = said("x", ("export", "set the", "login with", "authorization bearer", "deploy with", "use my", "env", "connect using", "rotate this"), ("commit", "see", "sha256 checksum of", "for example", "image digest", "build revision", "cache id", "replace with your", "object hash"))
+    behind = said("y", ("in production", "expires soon", "do not share", "grants access", "end"), ("verified ok", "matches the file", "example only", "fixed the build", "end"))
+    path = F.when(one_in("plainpath", 2), pick("path", "src3", "notes.txt", "web/page.html", "data/part.json")).when(usual("path"), pick("path", "src/app/main.py", "config/prod.yml", "deploy/settings.ini", "home/.env", "infra/main.tf")).otherwise(pick("path", "tests/fixtures/sample.txt", "docs/example.md", "package-lock.json", "vendor/checksums.txt", "spec/mock.py"))
+    return spark.range(n).select(F.concat_ws(" ", ahead, text, behind).alias("text"), path.alias("path"), label.cast("int").alias("label"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Trees as nested tuples, (feature, threshold, left, right) or the leaf's share of label 1; and
+    for each place the log-odds of the words that findings had there."""
+
+    trees: list
+    odds: dict
+
+
+def word_odds(rows: DataFrame) -> dict[str, dict[str, float]]:
+    """place -> word -> log-odds of label 1 from rows (c, label): the most frequent words of each place."""
+    places = list(neighbours(F.col("c")))
+    each = rows.select("label", F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.array_distinct(w).alias("words")) for p, w in neighbours(F.col("c")).items()])).alias("p"))
+    per = each.select("label", "p.place", F.explode("p.words").alias("word")).groupBy("place", "word").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"))
+    ranked = per.where(F.col("n") >= ODDS_TIMES).withColumn("at", F.row_number().over(Window.partitionBy("place").orderBy(F.col("n").desc(), "word")))
+    n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+    out: dict[str, dict[str, float]] = {p: {} for p in places}
+    for r in ranked.where(F.col("at") <= ODDS_WORDS).collect():  # a bounded table for each place
+        out[r.place][r.word] = math.log((r.ones + 1) / (ones + 2)) - math.log((r.n - r.ones + 1) / (n - ones + 2))
+    return out
+
+
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Model:
+    """Learn from labelled findings (text, path, label); each text's first candidate is the finding.
+
+    Half of the findings, by a hash of their text, teach what the words around say, the others the
+    forest, so that the forest meets the words' odds as it will in use. Rows without a candidate or
+    label are passed over; without both labels in each half the forest is one leaf.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     first = F.try_element_at(candidates(F.col("text"), F.col("path")), F.lit(1))
-    rows = findings.select(first.alias("c"), F.col("label").cast("double").alias("label")).where("c IS NOT NULL AND label IS NOT NULL")
-    rows = rows.select("label", features(F.col("c")).alias("f")).select("label", "f.*")
+    rows = findings.select(first.alias("c"), F.col("label").cast("double").alias("label"), (F.crc32(F.col("text").cast("binary")) % 2).alias("half")).where("c IS NOT NULL AND label IS NOT NULL")
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if not 0 < ones < n:
-        return [(ones + 1) / (n + 2)]
+    if rows.groupBy("half", "label").count().count() < 4:
+        return Model([(ones + 1) / (n + 2)], {})
+    odds = word_odds(rows.where("half = 0"))
+    rows = rows.where("half = 1").select("label", features(F.col("c"), odds).alias("f")).select("label", "f.*")
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows).select("label", "vector")
     model = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED).fit(data)
 
@@ -168,10 +243,16 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list:
         split = x.split()
         return (FEATURES[split.featureIndex()], split.threshold(), node(x.leftChild()), node(x.rightChild()))
 
-    return [node(t.rootNode()) for t in model._java_obj.trees()]
+    return Model([node(t.rootNode()) for t in model._java_obj.trees()], odds)
+
+
+@functools.lru_cache(maxsize=4)
+def made_model(spark: SparkSession) -> Model:
+    """The model of the made findings, trained once for a session."""
+    return train(made_findings(spark))
 
 
-def forest_score(f: Column, forest: list) -> Column:
+def forest_score(f: Column, trees: list) -> Column:
     """The mean over the trees of the leaf's share of label 1, as an expression over the struct."""
 
     def tree(t) -> Column:
@@ -180,40 +261,50 @@ def forest_score(f: Column, forest: list) -> Column:
         name, threshold, left, right = t
         return F.when(f[name] <= float(threshold), tree(left)).otherwise(tree(right))
 
-    return reduce(lambda a, b: a + b, map(tree, forest)) / float(len(forest))
+    return reduce(lambda a, b: a + b, map(tree, trees)) / float(len(trees))
 
 
-def scored(text: Column, path: Column, forest: list) -> Column:
-    """An array of (start, end, value, name, score), one for each candidate."""
-    with_features = F.transform(candidates(text, path), lambda c: F.struct(c.alias("c"), features(c).alias("f")))
-    end = lambda c: (c["start"] + F.length(c["value"])).cast("int")
-    return F.transform(with_features, lambda x: F.struct(x["c"]["start"].alias("start"), end(x["c"]).alias("end"), x["c"]["value"].alias("value"), x["c"]["name"].alias("name"), forest_score(x["f"], forest).alias("score")))
+def scored(found: Column, model: Model) -> Column:
+    """The candidates with their ``score``."""
+    with_features = F.transform(found, lambda c: F.struct(c.alias("c"), features(c, model.odds).alias("f")))
+    return F.transform(with_features, lambda x: F.struct(*[x["c"][k].alias(k) for k in ("start", "lead", "value", "name", "rest")], forest_score(x["f"], model.trees).alias("score")))
 
 
-def scan(docs: DataFrame, forest: list, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: Model, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each candidate: doc_id, start, end, kind, value_sha256, score, is_secret.
 
     kind is "assigned", "known" (a well-known form) or "run". Null and empty texts have no
-    candidates. Repeated rows are scanned each; null ids stay null; null paths are empty. An empty
-    table gives an empty result. Columns other than doc_id, text and the path are ignored.
+    candidates. Texts are read whole, in time proportional to their length and candidates. Repeated
+    rows are scanned each; null ids stay null; null paths are empty. A score equal to the threshold
+    is a secret's. An empty table gives an empty result. Columns other than doc_id, text and the path
+    are ignored.
     """
-    rows = docs.select("doc_id", F.explode(scored(F.col("text"), F.col(path), forest)).alias("c"))
+    rows = docs.select("doc_id", F.explode(scored(candidates(F.col("text"), F.col(path)), model)).alias("c"))
     kind = F.when(F.col("c.name") != "", "assigned").when(F.col("c.value").rlike(KNOWN_FORM), "known").otherwise("run")
-    return rows.select("doc_id", F.col("c.start").alias("start"), F.col("c.end").alias("end"), kind.alias("kind"), F.sha2(F.col("c.value"), 256).alias("value_sha256"), F.col("c.score").alias("score"), (F.col("c.score") >= threshold).alias("is_secret"))
+    end = (F.col("c.start") + F.length("c.value")).cast("int")
+    return rows.select("doc_id", F.col("c.start").alias("start"), end.alias("end"), kind.alias("kind"), F.sha2(F.col("c.value"), 256).alias("value_sha256"), F.col("c.score").alias("score"), (F.col("c.score") >= threshold).alias("is_secret"))
 
 
-def redact(docs: DataFrame, forest: list, path: str = "source", threshold: float = THRESHOLD, mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, model: Model, path: str = "source", threshold: float = THRESHOLD, mark: str = "<secret>") -> DataFrame:
     """The documents with every secret's value replaced by ``mark``; all columns and rows stay.
 
-    n_chars, if there is such a column, is counted anew for changed texts. Null texts stay null.
+    n_chars, if there is such a column, is counted anew for changed texts. Null and empty texts stay
+    as they are; repeated rows are treated alike, an empty table stays empty, texts of any length are
+    read whole, those that hold the two private-use characters that mark candidates here
+    (U+E000, U+E001) in time proportional to their secrets times their length.
     """
-    found = F.filter(scored(F.col("text"), F.col(path), forest), lambda c: c["score"] >= threshold)
+    out = docs.withColumn("_winnow_pieces", marked(F.col("text")))
+    out = out.withColumn("_winnow_found", scored(cut_out(F.col("_winnow_pieces"), F.col(path)), model))
+    secret = lambda c: c["score"] >= threshold
+    out = out.withColumn("_winnow_changed", F.exists("_winnow_found", secret))
+    tail = F.transform("_winnow_found", lambda c: F.concat(c["lead"], F.when(secret(c), F.lit(mark)).otherwise(c["value"]), c["rest"]))
+    # a text that holds the marks itself is put together from its own characters
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-    step = lambda a, c: F.struct(c["end"].alias("at"), F.concat(a["done"], F.substr(F.col("text"), a["at"] + 1, c["start"] - a["at"]), F.lit(mark)).alias("done"))
-    done = lambda a: F.concat(a["done"], F.substr(F.col("text"), a["at"] + 1))
-    out = docs.withColumn("_winnow_secrets", found)
-    out = out.withColumn("_winnow_changed", F.size("_winnow_secrets") > 0)
-    out = out.withColumn("_winnow_text", F.when(F.col("_winnow_changed"), F.aggregate("_winnow_secrets", zero, step, done)).otherwise(F.col("text")))
+    step = lambda a, c: F.struct((c["start"] + F.length(c["value"])).cast("int").alias("at"), F.concat(a["done"], F.substr(F.col("text"), a["at"] + 1, c["start"] - a["at"]), F.lit(mark)).alias("done"))
+    own = F.aggregate(F.filter("_winnow_found", secret), zero, step, lambda a: F.concat(a["done"], F.substr(F.col("text"), a["at"] + 1)))
+    new = F.when(F.col("text").rlike(f"[{OPEN}{CLOSE}]"), own).otherwise(F.concat(F.col("_winnow_pieces")[0], F.array_join(tail, "")))
+    text = F.when(F.col("_winnow_changed"), new).otherwise(F.col("text"))
+    out = out.withColumn("_winnow_text", text)
     n_chars = F.when(F.col("_winnow_changed"), F.length("_winnow_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     new = {"text": F.col("_winnow_text"), "n_chars": n_chars}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
