@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def plain(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -25,6 +24,21 @@ def test_ids_are_the_tokenizers(spark, sf):
     assert [np.frombuffer(x, dtype=e.type).tolist() for x in e.encode(texts)] == plain(texts)
 
 
+def test_long_runs_do_not_end_a_worker(docs):
+    """White space, letters and signs without end, before and after a word."""
+    texts = [" " * 1_000_000 + "a", "a" + "\n" * 300_000, "b" + " \t\r\n" * 100_000 + "c", " " * 2_000_000, "x" * 300_000, "-" * 300_000, "a" + " " * 255 + "b" + " " * 256 + "c", "<|endoftext|>" * 3]
+    e = packing.Encoder(PATH)
+    assert [np.frombuffer(x, dtype=e.type).tolist() for x in e.encode(texts)] == plain(texts)
+    assert plain(["a <|endoftext|> b"])[0].count(50256) == 1
+    rows = list(enumerate(texts))
+    check(packing.pack(docs([(i, t, "s") for i, t in rows]), PATH).collect(), rows)
+
+
+def test_equal_rows_spread_over_ranges(docs):
+    rows = packing.pack(docs([(None, "the same few words in each row", "s")] * 400), PATH, length=64, partitions=4).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) == 4 and sum(r.length for r in rows) == 400 * rows[0].doc_tokens
+
+
 def test_hilbert_visits_each_cell_once_in_unit_steps():
     for d, bits in ((2, 3), (3, 2), (4, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=d)))

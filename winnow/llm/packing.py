@@ -12,6 +12,7 @@ of two, which need no padding.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .base import durable, map_batches, record, with_bytes
+from .base import durable, map_slices, record, with_bytes
 
 SEQUENCE = 2048
 END_ID = 1
@@ -61,31 +62,39 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items()}
 
 
+#: White space that the faster encoder, which steps back through it, is not asked to divide.
+LONG_SPACE = re.compile(r"\s{256}")
+
+
 class Encoder:
-    """Token ids of whole texts by a ``tokenizers`` file.
+    """Token ids of whole texts by a ``tokenizers`` file, special tokens not added.
 
     Where the file's ids stand in merge order (see ``byte_ranks``) a faster byte-pair encoder gives
-    the same ids; files of another kind are left to ``tokenizers``.
+    the same ids; files of another kind, texts that hold the string of an added token (which has an
+    id of its own) and texts with very long white space are left to ``tokenizers``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.size = tokenizer.get_vocab_size()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        ranks = byte_ranks(path)
-        if ranks is None:
-            self.run = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        else:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks := byte_ranks(path):
             import tiktoken
 
-            self.run = tiktoken.Encoding("file", pat_str=DIVISION, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("file", pat_str=DIVISION, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None or LONG_SPACE.search(text) or any(t in text for t in self.added):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``self.type``."""
-        return [np.array(self.run(t), dtype=self.type).tobytes() for t in texts]
+        return [np.array(self.ids(t), dtype=self.type).tobytes() for t in texts]
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -134,27 +143,27 @@ def curve_keys(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.nda
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, curve key, the document's ids with ``end_id`` after them as bytes, and their width."""
+    """A row's number, doc_id, curve key, the document's ids with ``end_id`` after them as bytes, and their width."""
 
     def make():
         encoder = Encoder(tokenizer)
         table = projection(max(encoder.size, end_id + 1))
         end = np.array([end_id], dtype=encoder.type).tobytes()
+        width = encoder.type.itemsize
+        uid = TaskContext.get().partitionId() << 40
 
         def one(batch: pa.RecordBatch) -> dict:
-            out, keys = [], []
-            texts = batch.column("utf8").cast(pa.string()).to_pylist()
-            for a in range(0, len(texts), 256):
-                part = [x + end for x in encoder.encode(texts[a : a + 256])]
-                width = encoder.type.itemsize
-                starts = np.cumsum([0] + [len(x) // width for x in part[:-1]])
-                keys.append(curve_keys(np.frombuffer(b"".join(part), dtype=encoder.type), starts, table))
-                out += part
-            return {"doc_id": batch.column("doc_id"), "curve": np.concatenate(keys), "ids": out, "width": [encoder.type.itemsize] * len(out), "bytes": [len(x) for x in out]}
+            nonlocal uid
+            m = batch.num_rows
+            out = [x + end for x in encoder.encode(batch.column("utf8").cast(pa.string()).to_pylist())]
+            starts = np.cumsum([0] + [len(x) // width for x in out[:-1]])
+            keys = curve_keys(np.frombuffer(b"".join(out), dtype=encoder.type), starts, table)
+            uid += m
+            return {"uid": np.arange(uid - m, uid), "doc_id": batch.column("doc_id"), "curve": keys, "ids": out, "width": [width] * m, "bytes": [len(x) for x in out]}
 
         return one
 
-    return map_batches(with_bytes(docs, "doc_id"), make, "doc_id long, curve long, ids binary, width int, bytes long")
+    return map_slices(with_bytes(docs, "doc_id"), make, "uid long, doc_id long, curve long, ids binary, width int, bytes long")
 
 
 class Cutter:
@@ -204,16 +213,18 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
     """Pack every document; one row per piece (see ``PIECES``).
 
     A document's ids are cut wherever a sequence is full. sequence_id is unique over the table:
-    the range's number times 2**32 plus a count. Null or empty text is the end id alone. Equal
-    keys are told apart by doc_id and then by the ids, so copies spread over ranges; repeated
-    rows and null ids are packed each on its own. An empty table gives an empty result. Columns
-    other than doc_id and text are ignored.
+    the range's number times 2**32 plus a count. Null or empty text is the end id alone. A text
+    that holds a special token's string gets that token's id there, as ``tokenizers`` does. Equal
+    keys are told apart by doc_id and then by the row's number in the table as read, so copies,
+    repeated rows and rows with null ids spread over ranges and are packed each on its own. A text
+    of any length is encoded whole, one slice of texts at a time, and cut over sequences. An empty
+    table gives an empty result. Columns other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
     tokens = durable(tokenize(docs, tokenizer, end_id), "packing-tokens")
     size = tokens.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    placed = tokens.drop("bytes").repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    placed = tokens.drop("bytes").repartitionByRange(n, "curve", "doc_id", "uid").sortWithinPartitions("curve", "doc_id", "uid")
     schema = StructType.fromDDL(PIECES)
     arrow = to_arrow_schema(schema)
     names = arrow.names
