@@ -64,7 +64,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null texts stay null, repeated rows are treated alike, an empty table stays empty.
     """
-    return secrets.redact(docs, secrets.train(secrets.made_findings(spark)))
+    return secrets.redact(docs, secrets.made_model(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
