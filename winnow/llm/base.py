@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,16 +24,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver can reach, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), one is made and set.
+    Where the session names none, the checkpoint folder set on its context counts; where there is none
+    either, one is made and set, which only a session on one machine can do.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if made := spark.sparkContext.getCheckpointDir():
-            return made.rstrip("/")
-        path = "file://" + tempfile.mkdtemp(prefix="winnow-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext.getCheckpointDir().rstrip("/")
-    return path.rstrip("/")
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if made := spark.sparkContext.getCheckpointDir():
+        return made.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="winnow-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -48,6 +51,26 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def holding() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that keeps tables on the executors' disks until the block ends.
+
+    For tables with several readers inside the block. Their lineage stays, so what a lost executor held
+    is computed anew, and no files are made in the shared folder, which small tables would fill.
+    """
+    tables: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        tables.append(df.persist(StorageLevel.DISK_ONLY))
+        return tables[-1]
+
+    try:
+        yield hold
+    finally:
+        for t in reversed(tables):
+            t.unpersist()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:
