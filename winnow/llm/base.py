@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,40 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+def durable(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
 
     A lost executor costs no recomputation above this point, and several readers share one
-    evaluation.
+    evaluation. With ``few_files`` a shuffle's small partitions are written together, up to the
+    advisory size, where the work before the write is light.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, **({"spark__sql__adaptive__coalescePartitions__parallelismFirst": "false"} if few_files else {})):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._winnow_path = path
     return out
 
 
-@contextlib.contextmanager
-def holding() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Gives a function that keeps tables on the executors' disks until the block ends.
-
-    For tables with several readers inside the block. Their lineage stays, so what a lost executor held
-    is computed anew, and no files are made in the shared folder, which small tables would fill.
-    """
-    tables: list[DataFrame] = []
-
-    def hold(df: DataFrame) -> DataFrame:
-        tables.append(df.persist(StorageLevel.DISK_ONLY))
-        return tables[-1]
-
-    try:
-        yield hold
-    finally:
-        for t in reversed(tables):
-            t.unpersist()
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, durable, holding
+from .base import discard, durable
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -15,22 +15,18 @@ def connected(edges: DataFrame) -> DataFrame:
     length is about halved. Labels are a written table after each round.
     """
     pairs = edges.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    with holding() as hold:
-        both = hold(pairs.union(edges.select("y", "x")).distinct())
-        labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "graph-labels")
-        moved = not labels.isEmpty()
-        while moved:
-            before, (labels, moved) = labels, _round(both, labels)
-            discard(before)
-    return labels
-
-
-def _round(both: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
-    with holding() as hold:
+    both = durable(pairs.union(edges.select("y", "x")).distinct(), "graph-edges", few_files=True)
+    labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "graph-labels", few_files=True)
+    if labels.isEmpty():
+        return labels
+    while True:
         around = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        met = hold(labels.join(around.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "m").alias("near")))
+        met = labels.join(around.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "m").alias("near"))
         jump = met.select(F.col("node").alias("near"), F.col("near").alias("far"))
-        out = durable(met.join(jump, "near").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "graph-labels")
-    labels = out.select("node", "root")
-    labels._winnow_path = out._winnow_path
-    return labels, not out.where("moved").isEmpty()
+        before, moved = labels, durable(met.join(jump, "near").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "graph-labels", few_files=True)
+        discard(before)
+        labels = moved.select("node", "root")
+        labels._winnow_path = moved._winnow_path
+        if moved.where("moved").isEmpty():
+            discard(both)
+            return labels

@@ -26,7 +26,7 @@ hashes: two of one text's n shingles agree by chance with probability n * n / 2*
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from . import shingles
-from .base import byte_slices, discard, durable, holding, map_slices, record, settings, with_bytes
+from .base import byte_slices, discard, durable, map_slices, record, settings, with_bytes
 from .graph import connected
 
 #: Cells of the sketch of column sums, and into how many pieces it is cut.
@@ -51,7 +51,6 @@ SMALL = 64
 #: Columns of more rows come last in a second order of columns; at most so many are sent to executors,
 #: the fullest. Rows that still meet in such a column are compared in blocks like any others.
 HOT, HOT_MOST = 20_000, 1 << 18
-Hold = Callable[[DataFrame], DataFrame]
 CELL = "struct<kind:int,a:bigint,b:bigint>"
 #: Bits of the filter that says which classes' sets are wanted: 16 for each class, within these powers
 #: of two. Beyond them more sets than wanted are shuffled and fall out in the join.
@@ -160,11 +159,11 @@ def column_hash(h: np.ndarray) -> np.ndarray:
     return (shingles.mix((h >> np.uint64(4)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COLUMN_BITS)).astype(np.int64)
 
 
-def shared_columns(table: DataFrame, hold: Hold) -> DataFrame:
+def shared_columns(table: DataFrame) -> DataFrame:
     """bare, rows: the columns in which different classes meet. Most are one class's alone."""
     bare = F.col("column").bitwiseAND(F.lit((1 << COLUMN_BITS) - 1))
     per = table.groupBy(bare.alias("bare")).agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("rows"))
-    return hold(per.where("a <> b").select("bare", "rows"))
+    return durable(per.where("a <> b").select("bare", "rows"), "jaccard-several", few_files=True)
 
 
 def hot_columns(several: DataFrame) -> np.ndarray:
@@ -173,16 +172,18 @@ def hot_columns(several: DataFrame) -> np.ndarray:
     return np.sort(found["bare"].to_numpy())
 
 
-def meetings(table: DataFrame, several: DataFrame, hold: Hold) -> DataFrame:
+def meetings(table: DataFrame, several: DataFrame) -> DataFrame:
     """column, key, lead: the rows of the parts of columns in which different classes meet.
 
     A row stands in its column's part of its own size class and of the next one.
     """
     bare, band = F.col("column").bitwiseAND(F.lit((1 << COLUMN_BITS) - 1)), F.shiftright("column", COLUMN_BITS)
-    rows = hold(table.withColumn("bare", bare).join(several.select("bare"), "bare").select("column", "key").distinct())
+    rows = durable(table.withColumn("bare", bare).join(several.select("bare"), "bare").select("column", "key").distinct(), "jaccard-rows", few_files=True)
     rows = rows.select(bare.alias("bare"), F.explode(F.array(band, band + 1)).alias("band"), "key").select(F.xxhash64("bare", "band").alias("column"), "key")
     leads = rows.groupBy("column").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").drop("last")
-    return rows.join(leads, "column")
+    out = durable(rows.join(leads, "column"), "jaccard-members", few_files=True)
+    discard(rows)
+    return out
 
 
 def wanted_sets(docs: DataFrame, keys: DataFrame, words: int, seed: int) -> DataFrame:
@@ -241,13 +242,13 @@ def possible(x: str, y: str, num: int, den: int):
     return (den * F.least(a, b) >= num * F.greatest(a, b)) & ((num + den) * apart <= (den - num) * (a + b))
 
 
-def ties(members: DataFrame, meta: DataFrame, num: int, den: int, hold: Hold) -> DataFrame:
+def ties(members: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
     """x, y: possible links between members and leaders of their columns."""
     x, y = meta.alias("cx"), meta.alias("cy")
     least = shingles.long_set(num, den, MAP_WORDS)
     pairs = members.where("key <> lead").select(F.col("key").alias("x"), F.col("lead").alias("y")).distinct()
     near = pairs.join(x, F.col("x") == F.col("cx.key")).join(y, F.col("y") == F.col("cy.key"))
-    near = hold(near.where(possible("cx", "cy", num, den)).select("x", "y", F.least("cx.n", "cy.n").alias("n")))
+    near = durable(near.where(possible("cx", "cy", num, den)).select("x", "y", F.least("cx.n", "cy.n").alias("n")), "jaccard-near", few_files=True)
     # the short maps say little of long sets, which have longer ones
     long = near.where(F.col("n") > least)
     maps = meta.where(F.col("n") > least)
@@ -260,7 +261,8 @@ def ties(members: DataFrame, meta: DataFrame, num: int, den: int, hold: Hold) ->
         return {"x": batch.column("x").filter(keep), "y": batch.column("y").filter(keep)}
 
     both = long.select("x", "y").join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "mx", "my")
-    return hold(near.where(F.col("n") <= least).select("x", "y").union(map_slices(both, lambda: one, "x long, y long", "mx")))
+    out = near.where(F.col("n") <= least).select("x", "y").union(durable(map_slices(both, lambda: one, "x long, y long", "mx"), "jaccard-long-ties"))
+    return out
 
 
 def forest(linked: np.ndarray, keys: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +306,7 @@ def spanning(links, keys: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarr
     return np.array(xs, dtype=np.int64), np.array(ys, dtype=np.int64)
 
 
-def open_ties(members: DataFrame, roots: DataFrame, meta: DataFrame, num: int, den: int, hold: Hold) -> DataFrame:
+def open_ties(members: DataFrame, roots: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
     """Possible links in columns whose rows are not all tied to the leader's cluster."""
     least = shingles.long_set(num, den, MAP_WORDS)
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
@@ -312,10 +314,10 @@ def open_ties(members: DataFrame, roots: DataFrame, meta: DataFrame, num: int, d
     rows = rows.select("column", "key", "lead", F.coalesce("key_root", "key").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root"))
     rows = rows.where(F.col("key") != F.col("lead"))
     out = (F.col("root") != F.col("lead_root")).cast("long")
-    rows = hold(rows.withColumn("out", out).select("column", "key", "root", "out"))
+    rows = durable(rows.withColumn("out", out).select("column", "key", "root", "out"), "jaccard-open", few_files=True)
     stats = rows.groupBy("column").agg(F.sum("out").alias("outs"), F.sum(1 - F.col("out")).alias("ins"))
     stats = stats.where((F.col("outs") >= 1) & (F.col("outs") + F.col("ins") >= 2))
-    stats = hold(stats.select("column", "outs", "ins", *[F.ceil(F.col(c) / BLOCK).cast("long").alias(b) for c, b in (("outs", "ob"), ("ins", "ib"))]))
+    stats = durable(stats.select("column", "outs", "ins", *[F.ceil(F.col(c) / BLOCK).cast("long").alias(b) for c, b in (("outs", "ob"), ("ins", "ib"))]), "jaccard-columns", few_files=True)
     # Outer rows are dealt to outer blocks, inner ones to inner blocks; an inner block meets every
     # outer one, two outer blocks meet once.
     full = rows.join(stats, "column").join(meta, "key")
@@ -345,7 +347,9 @@ def open_ties(members: DataFrame, roots: DataFrame, meta: DataFrame, num: int, d
         x, y = spanning(near, key, own)
         return pa.table({"x": x, "y": y})
 
-    return dealt.groupBy("slot", "cell").applyInArrow(compare, "x long, y long").distinct()
+    out = durable(dealt.groupBy("slot", "cell").applyInArrow(compare, "x long, y long").distinct(), "jaccard-open-ties")
+    discard(rows, stats)
+    return out
 
 
 def deal(rows: DataFrame, group: str, is_out: Column) -> DataFrame:
@@ -429,25 +433,26 @@ def links_in(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"x": x, "y": y})
 
 
-def exact_links(docs: DataFrame, clusters: DataFrame, meta: DataFrame, words: int, seed: int, num: int, den: int, hold: Hold) -> DataFrame:
+def exact_links(docs: DataFrame, clusters: DataFrame, meta: DataFrame, words: int, seed: int, num: int, den: int) -> DataFrame:
     """Links (x, y) that join each component of the rows within clusters (node, root)."""
     rows = clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(meta.select("key", "n"), "key")
-    rows = hold(rows)
+    rows = durable(rows, "jaccard-clustered", few_files=True)
     sets = wanted_sets(docs, rows.select("key"), words, seed)
     # blocks are bounded in rows and in shingles, so that long documents make more of them
     blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / ELEMENTS)).cast("long")
-    sizes = hold(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).withColumn("blocks", blocks(F.col("m"), F.col("s"))))
+    sizes = durable(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).withColumn("blocks", blocks(F.col("m"), F.col("s"))), "jaccard-sizes", few_files=True)
     # small clusters share blocks: a product finds no link between two clusters, as there is none
     few = (F.col("m") <= SMALL) & (F.col("s") <= ELEMENTS // 8)
     m, s = sizes.where(few).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
     slots = max(1, -(-m // BLOCK), -(-s // ELEMENTS))
     dealt = rows.join(sizes, "cluster").withColumn("block", F.when(~few, F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(slots))))
     dealt = dealt.withColumn("cluster", F.when(few, F.lit(None).cast("long")).otherwise(F.col("cluster")))
-    full = hold(dealt.drop("m", "s").join(sets, "key"))
+    full = durable(dealt.drop("m", "s").join(sets, "key"), "jaccard-blocks", few_files=True)
     product = lambda df, *by: df.groupBy(*by).applyInArrow(lambda t: links_in(t, num, den), "x long, y long")
-    links = hold(product(full.select("cluster", "block", "key", "n", "set"), "cluster", "block"))
+    links = durable(product(full.select("cluster", "block", "key", "n", "set"), "cluster", "block"), "jaccard-links")
     large = full.where(F.col("cluster").isNotNull() & (F.col("blocks") > 1))
     if large.isEmpty():
+        discard(rows, sizes, full)
         return links
     # one row of each component of each block meets the others' rows
     name = lambda roots: large.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -456,15 +461,17 @@ def exact_links(docs: DataFrame, clusters: DataFrame, meta: DataFrame, words: in
     few = named.join(chosen, "key", "left_semi").drop("blocks", "block")
     many = few.groupBy("cluster").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
     few = few.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")))
-    links = links.union(hold(product(few.select("cluster", "block", "key", "n", "set", "root"), "cluster", "block")))
+    links = links.union(durable(product(few.select("cluster", "block", "key", "n", "set", "root"), "cluster", "block"), "jaccard-links"))
     # rows outside the largest component meet all
-    named = hold(name(connected(links)).drop("blocks", "block"))
+    named = durable(name(connected(links)).drop("blocks", "block"), "jaccard-named", few_files=True)
     by_root = named.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
     main = by_root.groupBy("cluster").agg(F.max_by("root", "size").alias("main"), F.max_by(F.struct("size", "n"), "size").alias("most"), F.sum("size").alias("m"), F.sum("n").alias("s"))
     main = main.where(F.col("m") > F.col("most.size")).select("cluster", "main", blocks(F.col("m") - F.col("most.size"), F.col("s") - F.col("most.n")).alias("ob"), blocks(F.col("most.size"), F.col("most.n")).alias("ib"))
-    main = hold(main)
+    main = durable(main, "jaccard-main", few_files=True)
     rest = deal(named.join(main, "cluster"), "cluster", F.col("root") != F.col("main"))
-    return links.union(product(rest.select("cluster", "cell", "key", "n", "set", "root"), "cluster", "cell"))
+    links = links.union(durable(product(rest.select("cluster", "cell", "key", "n", "set", "root"), "cluster", "cell"), "jaccard-links"))
+    discard(rows, sizes, full, named, main)
+    return links
 
 
 def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -498,34 +505,31 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         discard(first)
         seed += 1  # two sets with one key: hash anew
     level = column_classes(first.where("kind = 1").select("piece", "part", "cells"))
-    with holding() as hold:
-        per = rows.where("n > 0").groupBy("key")
-        classes = hold(per.agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), *[F.max(m).alias(m) for m in MAPS], F.max("map").alias("map")))
-        meta = classes.select("key", "n", *MAPS, "map")
-        clusters = possible_clusters(docs, meta, level, words, seed, num, den)
-        with holding() as inner:
-            roots = connected(exact_links(docs, clusters, meta, words, seed, num, den, inner))
-        named = classes.select("key", "least_id").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        ids = durable(named.join(least, "root").select("key", "component_id"), "jaccard-components")
-    discard(clusters, roots)
+    per = rows.where("n > 0").groupBy("key")
+    classes = durable(per.agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), *[F.max(m).alias(m) for m in MAPS], F.max("map").alias("map")), "jaccard-classes", few_files=True)
+    meta = classes.select("key", "n", *MAPS, "map")
+    clusters = possible_clusters(docs, meta, level, words, seed, num, den)
+    roots = connected(exact_links(docs, clusters, meta, words, seed, num, den))
+    named = classes.select("key", "least_id").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    ids = durable(named.join(least, "root").select("key", "component_id"), "jaccard-components", few_files=True)
+    discard(classes, clusters, roots)
     out = rows.select("doc_id", "n", "key").join(ids, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def possible_clusters(docs: DataFrame, meta: DataFrame, level: np.ndarray, words: int, seed: int, num: int, den: int) -> DataFrame:
     """node, root: classes joined by possible links."""
-    with holding() as hold:
-        table = hold(prefixes(docs, level, np.zeros(0, dtype=np.int64), words, seed, num, den))
-        several = shared_columns(table, hold)
-        if len(hot := hot_columns(several)):
-            table.unpersist()
-            several.unpersist()
-            table = hold(prefixes(docs, level, hot, words, seed, num, den))
-            several = shared_columns(table, hold)
-        members = meetings(table, several, hold)
-        tied = ties(members, meta, num, den, hold)
-        inner = connected(tied)
-        out = connected(tied.union(open_ties(members, inner, meta, num, den, hold)))
-        discard(inner)
-        return out
+    table = durable(prefixes(docs, level, np.zeros(0, dtype=np.int64), words, seed, num, den), "jaccard-prefixes")
+    several = shared_columns(table)
+    if len(hot := hot_columns(several)):
+        discard(table, several)
+        table = durable(prefixes(docs, level, hot, words, seed, num, den), "jaccard-prefixes")
+        several = shared_columns(table)
+    members = meetings(table, several)
+    discard(table, several)
+    tied = ties(members, meta, num, den)
+    inner = connected(tied)
+    out = connected(tied.union(open_ties(members, inner, meta, num, den)))
+    discard(members, inner)
+    return out
