@@ -7,24 +7,29 @@ products are the nearest neighbours and the triangle inequality holds.
 Every vector's key is its nearest pivot and its distance to it. The distances of a pivot are cut into
 annuli; a pivot's annulus is a cell, and the cells' exact least and greatest distances over all
 rows are the directory (pivots * rings rows). A query at distance d from a pivot is at least
-max(0, d - greatest, least - d) from all of a cell. First it visits its cells in that order until
-they hold enough rows, which bounds the k-th score; then it visits every other cell whose bound
-does not exclude a score as high as that. Cells and queries meet in blocks of bounded size.
+max(0, d - greatest, least - d) from all of a cell. Sorted by that bound, a query's cells are taken
+round by round, each round up to ``GROWTH`` times as many rows, until the next cell's bound excludes
+a score as high as the k-th found. Only cells that some query visits are read in a round, and a cell
+is copied once for each ``QUERY_ROWS`` queries that visit it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import durable, map_batches
+from .base import discard, durable, map_batches
 
-PIVOTS, RINGS, SAMPLE = 32, 8, 2048
+#: A pivot for so many rows, within these numbers, so that the directory is bounded.
+PIVOT_ROWS, PIVOTS, MOST_PIVOTS, RINGS = 8192, 32, 4096, 8
+#: Rows that fit pivots and cuts: so many for each pivot, and this many at least.
+SAMPLE, SAMPLE_ROWS = 8, 2048
 CELL_ROWS, QUERY_ROWS = 8192, 4096
-#: A query's first visits end with the cell that brings their rows to this.
-FIRST_ROWS = 4096
+#: A query's first round ends with the cell that brings its rows to this; later ones grow.
+FIRST_ROWS, GROWTH = 4096, 8
 SLACK = 1e-9
 
 
@@ -105,11 +110,37 @@ class Space:
         return self.distances(np.column_stack([x, np.zeros(len(x))]))
 
 
+class Directory:
+    """The cells that hold rows: their bounds, how many rows, and into how many parts each is divided."""
+
+    def __init__(self, rows: list[tuple]):
+        rows = sorted(rows)
+        self.cells = np.array([r[0] for r in rows], dtype=np.int64)
+        self.low, self.high, self.held = (np.array([r[i] for r in rows], dtype=np.float64) for i in (1, 2, 3))
+        self.parts = np.ceil(self.held / CELL_ROWS).astype(np.int64)
+
+    def visits(self, space: Space, v: np.ndarray, kth: np.ndarray, taken: float, rows: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) pairs: of each query's sorted cells those that begin at its rows from ``taken``
+        on and before ``rows``, unless their bound excludes the k-th score so far (NaN: nothing)."""
+        d = space.query_distances(v)[:, self.cells // space.rings]
+        bound = np.maximum(np.maximum(d - self.high, self.low - d), 0)
+        order = np.argsort(bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, order, axis=1)
+        before = np.cumsum(self.held[order], axis=1) - self.held[order]
+        # q.x = (|q|^2 + M^2 - distance^2) / 2 at most; rounding is allowed for
+        square = (v.astype(np.float64) ** 2).sum(axis=1)[:, None] + space.most
+        close = bound * (1 - SLACK) - SLACK * np.sqrt(square)
+        best = (square - np.maximum(close, 0) ** 2) / 2 + SLACK * square
+        q, at = np.nonzero((before >= taken) & (before < rows) & (np.isnan(kth)[:, None] | (best >= kth[:, None])))
+        return q, self.cells[order[q, at]]
+
+
 def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer products of each query.
 
-    Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows with
-    another vec_id. Ties go to the smaller vec_id; a query with fewer candidates gets all.
+    Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows but the
+    query's own, others of its id included. Ties go to the smaller vec_id; a query with fewer
+    candidates gets all.
 
     Rows with a null id, or a vector that is null or holds null, NaN or infinity, take no part.
     Vectors of unequal lengths are filled with 0. Repeated candidate rows are candidates each, and
@@ -124,75 +155,53 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # The sample fits pivots and ring cuts only; every row is indexed and every bound is exact.
-    sample = base.withColumn("h", F.md5(F.col("vec_id").cast("string").cast("binary"))).orderBy("h", "vec_id").limit(SAMPLE).select("v").toArrow()
-    space = spark.sparkContext.broadcast(Space(matrix(sample["v"], dims), most, PIVOTS, RINGS))
+    pivots = min(MOST_PIVOTS, max(PIVOTS, rows // PIVOT_ROWS))
+    sample = base.withColumn("h", F.md5(F.col("vec_id").cast("string").cast("binary"))).orderBy("h", "vec_id").limit(max(SAMPLE_ROWS, SAMPLE * pivots)).select("v").toArrow()
+    space = spark.sparkContext.broadcast(Space(matrix(sample["v"], dims), most, pivots, RINGS))
 
     def assign():
         own = space.value
+        uid = TaskContext.get().partitionId() << 40
 
         def one(batch: pa.RecordBatch) -> dict:
+            nonlocal uid
             cell, dist = own.cells(matrix(batch.column("v"), dims))
-            return {"vec_id": batch.column("vec_id"), "v": batch.column("v"), "cell": cell, "dist": dist}
+            uid += batch.num_rows
+            return {"uid": np.arange(uid - batch.num_rows, uid), "vec_id": batch.column("vec_id"), "v": batch.column("v"), "cell": cell, "dist": dist}
 
         return one
 
-    index = durable(map_batches(base, assign, "vec_id long, v array<long>, cell long, dist double"), "topk-index")
-    stats = index.groupBy("cell").agg(F.min("dist"), F.max("dist"), F.count(F.lit(1))).collect()  # a row a cell
-    cells = np.array([r[0] for r in stats])
-    low, high, held = (np.array([r[i] for r in stats], dtype=np.float64) for i in (1, 2, 3))
-    parts = np.ceil(held / CELL_ROWS).astype(np.int64)
-    directory = spark.sparkContext.broadcast((cells, low, high, held, parts))
-    queries = index.where(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").alias("query_id"), "v")
-    queries = durable(queries, "topk-queries")
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    split = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(cells, parts, strict=True) for x in pair]), F.col("cell"))
-    part = F.pmod(F.xxhash64("vec_id", "v"), split)
-    dealt = index.select("cell", part.cast("long").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
-    asking = queries.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int"))
-
-    def visits(rows: DataFrame, columns: str, first: bool) -> DataFrame:
-        """A row for each query and part of a cell that it visits."""
+    index = durable(map_batches(base, assign, "uid long, vec_id long, v array<long>, cell long, dist double"), "topk-index")
+    directory = Directory([tuple(r) for r in index.groupBy("cell").agg(F.min("dist"), F.max("dist"), F.count(F.lit(1))).collect()])  # a row a cell
+    shared = spark.sparkContext.broadcast(directory)
+    queries = durable(index.where(F.col("vec_id") % every == 0).select("uid", F.col("vec_id").alias("query_id"), "v"), "topk-queries")
+
+    def visits(asking: DataFrame, taken: float, limit: float) -> DataFrame:
+        """uid, cell: the cells that queries (uid, v, kth) visit in this round."""
 
         def make():
-            own = space.value
-            cells, low, high, held, parts = directory.value
+            own, known = space.value, shared.value
 
             def one(batch: pa.RecordBatch) -> dict:
-                v = matrix(batch.column("v"), dims)
-                d = own.query_distances(v)[:, cells // own.rings]
-                bound = np.maximum(np.maximum(d - high, low - d), 0)
-                order = np.argsort(bound, axis=1, kind="stable")
-                before = np.cumsum(held[order], axis=1) - held[order]
-                chosen = np.zeros(bound.shape, dtype=bool)
-                np.put_along_axis(chosen, order, before < FIRST_ROWS, axis=1)
-                if not first:
-                    # q.x = (|q|^2 + M^2 - distance^2) / 2 at most; rounding is allowed for
-                    square = (v.astype(np.float64) ** 2).sum(axis=1)[:, None] + own.most
-                    close = bound * (1 - SLACK) - SLACK * np.sqrt(square)
-                    best = (square - np.maximum(close, 0) ** 2) / 2 + SLACK * square
-                    kth = batch.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
-                    chosen = ~chosen & (np.isnan(kth) | (best >= kth))
-                q, c = np.nonzero(chosen)
-                times = parts[c]
-                q, c = np.repeat(q, times), np.repeat(c, times)
-                number = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
-                take = pa.array(q)
-                return {x: batch.column(x).take(take) for x in ("uid", "query_id", "block", "v")} | {"cell": cells[c], "part": number}
+                kth = batch.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)
+                uid, v = batch.column("uid").to_numpy(), matrix(batch.column("v"), dims)
+                pairs = [known.visits(own, v[a : a + 256], kth[a : a + 256], taken, limit) for a in range(0, len(uid), 256)]
+                return {"uid": np.concatenate([uid[q + 256 * i] for i, (q, _) in enumerate(pairs)]), "cell": np.concatenate([c for _, c in pairs])}
 
             return one
 
-        return map_batches(rows.select(*columns.split()), make, "uid long, query_id long, block int, v array<long>, cell long, part long")
+        return map_batches(asking.select("uid", "v", "kth"), make, "uid long, cell long")
 
-    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, x, q = left["vec_id"].to_numpy(), matrix(left["v"], dims), matrix(right["v"], dims)
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, own, x, q = left["vec_id"].to_numpy(), left["uid"].to_numpy(), matrix(left["v"], dims), matrix(right["v"], dims)
         uid, query_id = right["uid"].to_numpy(), right["query_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
+        ids, own, x = ids[order], own[order], x[order]
         out = []
         for a in range(0, len(q), 512):
             score = products(q[a : a + 512], x)
             for i, row in enumerate(score):
-                mine = np.flatnonzero(ids != query_id[a + i])
+                mine = np.flatnonzero(own != uid[a + i])
                 if len(mine) > k:
                     # ties at the cut go to the smaller id: all rows at the k-th score are candidates
                     edge = np.partition(row[mine], len(mine) - k)[len(mine) - k]
@@ -202,11 +211,32 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
         at, vec_id, score = (np.concatenate(c) if out else np.zeros(0, dtype=np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
         return pa.table({"uid": uid[at], "query_id": query_id[at], "vec_id": vec_id, "score": score})
 
+    parts = dict(zip(directory.cells.tolist(), directory.parts.tolist(), strict=True))
     keys = ("cell", "part", "block")
-    meet = lambda asked: dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, answer)
+
+    def meet(visited: DataFrame) -> DataFrame:
+        """The best of each visited part of a cell for each query that visits it."""
+        counts = visited.groupBy("cell").count().collect()  # a row a cell
+        plan = F.broadcast(spark.createDataFrame([(r["cell"], parts[r["cell"]], -(-r["count"] // QUERY_ROWS)) for r in counts], "cell long, parts long, blocks long"))
+        many = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        held = index.join(plan, "cell").select("cell", F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part"), many("blocks").alias("block"), "uid", "vec_id", "v")
+        asked = visited.join(plan, "cell").select("uid", "cell", F.pmod(F.xxhash64("uid"), F.col("blocks")).alias("block"), many("parts").alias("part")).join(queries, "uid")
+        return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, answer)
+
     by_score = Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id")
     top = lambda found: found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    found = durable(top(meet(visits(asking, "uid query_id block v", True))).drop("rank"), "topk-first")
-    kth = found.groupBy("uid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-    rest = meet(visits(asking.join(kth, "uid", "left"), "uid query_id block v kth", False))
-    return top(found.unionByName(rest)).select("query_id", "rank", "vec_id", "score")
+    none = spark.createDataFrame([], answer)
+    found, taken, limit = none, 0.0, float(FIRST_ROWS)
+    while True:
+        kth = found.groupBy("uid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+        visited = durable(visits(queries.join(kth, "uid", "left"), taken, limit), "topk-visits")
+        if more := not visited.isEmpty():
+            before, found = found, durable(top(found.unionByName(meet(visited))).drop("rank"), "topk-found")
+            discard(before)
+        discard(visited)
+        if limit >= rows:
+            break
+        # a round without visits may lie within one large cell; the next one is the last
+        taken, limit = limit, limit * GROWTH if more else float(rows)
+    discard(index, queries)
+    return top(found).select("query_id", "rank", "vec_id", "score")
