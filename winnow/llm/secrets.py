@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .base import durable
+
 #: Names to which secrets are assigned, and what stands between name and value.
 NAME = r"(?i:(?:api|access|auth|private|client|secret)[_-]?(?:key|token|secret)|secret|token|passw(?:or)?d|passphrase|pwd|credential|[_-](?:key|pass|pw))s?"
 ASSIGNED = NAME + r"""["']?\s{0,4}(?:=>|:=|[:=])\s{0,4}["']?"""
@@ -51,7 +53,7 @@ PIECES = 256
 #: So many words before a candidate (its name among them) and after it are neighbours.
 NEIGHBOURS = 4
 #: Words that a table of log-odds holds for each place, and how often a finding must have had them.
-ODDS_WORDS, ODDS_TIMES = 300, 5
+ODDS_WORDS, ODDS_TIMES = 100, 5
 TREES, DEPTH, SEED = 24, 6, 17
 THRESHOLD = 0.5
 FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "hex", "bigrams", "coverage", "known", "assigned", "quoted", "before", "after", "path")
@@ -228,11 +230,13 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Model:
 
     first = F.try_element_at(candidates(F.col("text"), F.col("path")), F.lit(1))
     rows = findings.select(first.alias("c"), F.col("label").cast("double").alias("label"), (F.crc32(F.col("text").cast("binary")) % 2).alias("half")).where("c IS NOT NULL AND label IS NOT NULL")
+    rows = durable(rows, "secrets-findings", few_files=True)
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if rows.groupBy("half", "label").count().count() < 4:
         return Model([(ones + 1) / (n + 2)], {})
     odds = word_odds(rows.where("half = 0"))
     rows = rows.where("half = 1").select("label", features(F.col("c"), odds).alias("f")).select("label", "f.*")
+    rows = durable(rows, "secrets-features", few_files=True)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows).select("label", "vector")
     model = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED).fit(data)
 
