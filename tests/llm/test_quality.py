@@ -8,15 +8,23 @@ from winnow.llm import labelled, quality, queries
 def direct(text, model):
     """The score from the document's features one by one."""
     words = text.split()
-    total = n = 0.0
+    alone, pairs = [], []
     for i, w in enumerate(words):
         buckets, _ = quality.word_features([w])
-        total += float(sum(model.logits[b] for b in buckets))
-        n += len(buckets)
-        if i and words[i - 1] == w:
-            total += float(model.logits[quality.bucket(quality.REPEAT)]) * quality.REPEAT_WEIGHT
-            n += quality.REPEAT_WEIGHT
-    return 1 / (1 + np.exp(-(total / max(n, 1) + model.bias)))
+        alone += [float(model.logits[b]) for b in buckets]
+        if i:
+            pairs.append(float(model.logits[quality.pair_buckets(quality.word_hashes([words[i - 1], w]))[0]]))
+    mean = lambda x: sum(x) / max(len(x), 1)
+    total = (mean(alone) + mean(pairs)) / 2 if pairs else mean(alone)
+    return 1 / (1 + np.exp(-(total + model.bias)))
+
+
+def test_document_is_the_mean_of_words_and_pairs():
+    ids, share = quality.document_features(b"a b b")
+    at = dict(zip(ids.tolist(), share.tolist(), strict=True))
+    pairs = quality.pair_buckets(quality.word_hashes([b"a", b"b", b"b"]))
+    assert abs(sum(share) - 1) < 1e-6 and at[pairs[0]] == 0.25 and at[pairs[1]] == 0.25
+    assert pairs[1] == quality.pair_buckets(quality.word_hashes([b"x", b"x"]))[0]
 
 
 def test_remembered_words_score_as_features_do(monkeypatch):
@@ -54,5 +62,8 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark, sf):
     got = labelled.sample(docs, labels, ["quality"], 5, rows=10)
     assert len(got) == 10 and got == labelled.sample(docs, labels, ["quality"], 5, rows=10)
     assert len(labelled.sample(docs, labels, ["quality"], 5, limit=1)) == 1
+    whole = labelled.sample(docs, labels, ["quality"], 5)
+    cut = labelled.sample(docs, labels, ["quality"], 5, limit=20_000)
+    assert 1 < len(cut) < len(whole) and cut == whole[: len(cut)] and sum(len(t) for t, _ in cut) <= 20_000
     kept = {r.text.encode() for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
     assert {t for t, _ in got} <= kept

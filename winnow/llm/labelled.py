@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled documents, and so many bytes of their texts, fit a model on the driver.
+#: At most so many labelled documents, and so many bytes of their texts, fit a model; both are parameters.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 64 << 20
 
 
@@ -18,7 +18,7 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], folds: int, r
     """(text bytes, *labels) of labelled documents outside the held-out fold.
 
     Ids are taken in the order of the MD5 of their text form, so the choice depends on nothing
-    else; the sample ends at ``rows`` documents or at ``limit`` bytes of whole texts. Rows with a
+    else; the sample ends at ``rows`` documents or at ``limit`` bytes of whole texts (one at least). Rows with a
     null id or label are passed over; ids that the documents lack count toward ``rows``.
     """
     known = F.lit(True)
@@ -30,11 +30,17 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], folds: int, r
     picked = picked.orderBy("order", "doc_id", *[f"label_{i}" for i in range(len(columns))]).limit(rows)
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("utf8"))
     # The picked ids are bounded by ``rows``, so they may be sent to every executor.
-    found = texts.join(F.broadcast(picked), "doc_id").orderBy("order", "doc_id", "utf8", *[f"label_{i}" for i in range(len(columns))]).limit(rows)
-    out, held = [], 0
-    for r in found.collect():
-        held += len(r.utf8)
-        if held > limit and out:
+    names = [f"label_{i}" for i in range(len(columns))]
+    found = texts.join(F.broadcast(picked), "doc_id").withColumn("size", F.octet_length("utf8").cast("long"))
+    order = ["order", "doc_id", "size", *names]
+    # first the sizes alone, so that no more than ``limit`` bytes of texts are ever brought together
+    kept, held, last = 0, 0, None
+    for r in found.select(*order).orderBy(*order).limit(rows).collect():
+        held += r["size"]
+        if held > limit and kept:
             break
-        out.append((bytes(r.utf8), *[r[f"label_{i}"] for i in range(len(columns))]))
-    return out
+        kept, last = kept + 1, r
+    if not kept:
+        return []
+    upto = found.where(F.struct("order", "doc_id", "size") <= F.struct(F.lit(last["order"]), F.lit(last["doc_id"]).cast(docs.schema["doc_id"].dataType), F.lit(last["size"]).cast("long")))
+    return [(bytes(r.utf8), *[r[n] for n in names]) for r in upto.orderBy(*order, "utf8").limit(kept).collect()]

@@ -1,10 +1,10 @@
 """A quality classifier on supervised subword embeddings.
 
-Every word contributes itself and the 3- to 5-grams of its characters between "<" and ">", each
-hashed to one of ``BUCKETS`` learned vectors. A word that repeats the one before it adds one more
-feature. A document is the average of its features' vectors, and a softmax layer over the average
-gives the classes. Both layers are trained together by stochastic gradient descent in numpy, a
-document at a time.
+Every word contributes itself, the 3- to 5-grams of its characters between "<" and ">", and the pair
+that it makes with the next word, each hashed to one of ``BUCKETS`` learned vectors; all words' pairs
+with themselves are one pair. A document is the mean of two averages, of its words' and characters'
+vectors and of its pairs', and a softmax layer over it gives the classes. Both layers are trained
+together by stochastic gradient descent in numpy, a document at a time.
 
 The average and the output layer are linear, so at scoring each bucket's vector is taken through
 the output layer once, and a document's logit is the average of its buckets' logits.
@@ -21,12 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import in_slices, map_batches, with_bytes
-from .labelled import SAMPLE_ROWS, sample
+from .base import byte_slices, in_slices, map_slices, with_bytes
+from .labelled import SAMPLE_BYTES, SAMPLE_ROWS, sample
 
-BUCKETS, DIMS, EPOCHS, RATE = 1 << 18, 8, 8, 0.1
+BUCKETS, DIMS, EPOCHS, RATE = 1 << 18, 8, 8, 0.3
 SHORTEST, LONGEST = 3, 5
-REPEAT = b"\0repeat"
 #: Distinct words that a worker remembers.
 REMEMBERED = 300_000
 FOLDS, KEEP = 5, 0.3
@@ -58,8 +57,15 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-#: The features of a repetition: one, weighted as a word of average length.
-REPEAT_WEIGHT = 20
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) | (zlib.adler32(w) << 32) for w in words), dtype=np.uint64, count=len(words))
+
+
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each word's pair with the next one, from the words' hashes in order."""
+    h = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    return np.where(hashes[:-1] == hashes[1:], bucket(b"\0itself"), (h >> np.uint64(64 - 18)).astype(np.int64) & (BUCKETS - 1))
 
 
 def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +76,10 @@ def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
     buckets, owner = word_features(list(counts))
     weight = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))[owner]
-    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    ids, inverse = np.unique(np.append(buckets, bucket(REPEAT)), return_inverse=True)
-    share = np.bincount(inverse, weights=np.append(weight, repeats * REPEAT_WEIGHT))
+    pairs = pair_buckets(word_hashes(words))
+    ids, inverse = np.unique(np.append(buckets, pairs), return_inverse=True)
+    parts = [weight / weight.sum(), np.full(len(pairs), 1 / max(1, len(pairs)))]
+    share = np.bincount(inverse, weights=np.concatenate(parts))
     return ids, (share / share.sum()).astype(np.float32)
 
 
@@ -123,7 +130,7 @@ class Words:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.sums, self.counts = np.zeros(0), np.zeros(0, dtype=np.int64)
+        self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
 
     def learn(self, split: list[list[bytes]]) -> None:
         new = list(set().union(*split).difference(self.index))
@@ -136,34 +143,39 @@ class Words:
             self.index.update(zip(new, range(first, first + len(new)), strict=True))
             self.sums = np.append(self.sums, np.bincount(owner, weights=self.model.logits[buckets], minlength=len(new)))
             self.counts = np.append(self.counts, np.bincount(owner, minlength=len(new)))
+            self.hashes = np.append(self.hashes, word_hashes(new))
 
 
 def score_texts(texts: list[bytes], words: Words, model: Model) -> np.ndarray:
     """The probability of class 1 for each whole text."""
     out = np.empty(len(texts))
-    repeat = float(model.logits[bucket(REPEAT)]) * REPEAT_WEIGHT
-    for a, b in in_slices(texts):
+    for a, b in in_slices(texts, 1 << 20):
         split = [t.split() for t in texts[a:b]]
         words.learn(split)
         get = words.index.__getitem__
         ids = np.fromiter((k for ws in split for k in map(get, ws)), dtype=np.int64)
         ends = np.cumsum([len(ws) for ws in split])
         starts = ends - [len(ws) for ws in split]
-        same = np.zeros(len(ids), dtype=bool)
-        same[1:] = ids[1:] == ids[:-1]
-        same[starts[starts < len(ids)]] = False  # a document's first word repeats nothing
+        paired = np.ones(len(ids), dtype=bool)
+        paired[ends[ends > starts] - 1] = False  # a document's last word makes no pair
+        pair = np.zeros(len(ids))
+        if len(ids) > 1:
+            pair[:-1] = model.logits[pair_buckets(words.hashes[ids])]
         # running sums, differenced at the documents' ends
-        total = np.concatenate([[0.0], np.cumsum(words.sums[ids] + same * repeat)])
-        number = np.concatenate([[0], np.cumsum(words.counts[ids] + same * REPEAT_WEIGHT)])
-        out[a:b] = (total[ends] - total[starts]) / np.maximum(number[ends] - number[starts], 1)
+        between = lambda x: (t := np.concatenate([[0], np.cumsum(x)]))[ends] - t[starts]
+        alone = between(words.sums[ids]) / np.maximum(between(words.counts[ids]), 1)
+        pairs = between(paired.astype(np.int64))
+        out[a:b] = np.where(pairs > 0, (alone + between(pair * paired) / np.maximum(pairs, 1)) / 2, alone)
     return 1 / (1 + np.exp(-np.clip(out + model.bias, -40, 40)))
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """doc_id, score and predicted (1 if score >= keep) for every row; null text counts as empty.
 
-    An empty text scores the prior of class 1. Repeated rows and null ids give rows of their own;
-    an empty table gives an empty result. Columns other than doc_id and text are ignored.
+    An empty text scores the prior of class 1. Texts are read whole, one slice of them at a time, and
+    one of any length is scored in one piece. Equal texts score equally, and a score equal to ``keep``
+    is predicted 1. Repeated rows and null ids give rows of their own; an empty table gives an empty
+    result. Columns other than doc_id and text are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats, whatever the input
 
@@ -177,24 +189,27 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
 
         return one
 
-    return map_batches(with_bytes(docs, "doc_id"), make, "doc_id long, score double, predicted int")
+    return map_slices(with_bytes(docs, "doc_id"), make, "doc_id long, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``least``; nulls as in score."""
+    """The rows of ``docs``, all columns, whose text scores at least ``least``; all else as in score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         words = Words(m)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            p = score_texts([t or b"" for t in texts], words, m)
-            yield batch.filter(pa.array(p >= least))
+            raw = batch.set_column(batch.schema.get_field_index("text"), "text", batch.column("text").cast(pa.binary()))
+            at = 0
+            for part in byte_slices(raw, "text"):
+                p = score_texts([t or b"" for t in part.column("text").to_pylist()], words, m)
+                yield batch.slice(at, part.num_rows).filter(pa.array(p >= least))
+                at += part.num_rows
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``rows`` labelled documents outside the held-out fold."""
-    return train(sample(docs, labels, ["quality"], folds, rows))
+def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> Model:
+    """Train on at most ``rows`` labelled documents, of ``limit`` bytes in all, outside the held-out fold."""
+    return train(sample(docs, labels, ["quality"], folds, rows, limit))
