@@ -33,10 +33,28 @@ def test_held_out_documents(spark):
     assert np.mean([p for y, p in held if y]) > 0.85 and np.mean([p for y, p in held if not y]) < 0.01
 
 
+def test_models_fitted_in_tasks_are_the_same(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, 12)).encode() for _ in range(120)]
+    y = np.array([[int(b"w1 " in t), int(b"w2 " in t or b"w1 " in t)] for t in texts])
+    one, other = toxicity.train(texts, y), toxicity.train(texts, y, toxicity.in_tasks(spark))
+    for a, b in zip(one, other, strict=True):
+        assert np.array_equal(a.weights, b.weights) and a.bias == b.bias and np.array_equal(a.chain, b.chain)
+
+
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (6, None, 1), (3, 0, 1), (9, 1, 1)], "doc_id long, quality int, toxic int")
     chain = toxicity.fit(odd, labels)
     rows = toxicity.classify(odd, chain).collect()
-    assert len(rows) == odd.count() and all(0 <= r.p_toxic <= 1 for r in rows)
+    assert len(rows) == odd.count() and all(0 <= r.p_toxic <= 1 and r.is_toxic == (r.p_toxic >= 0.3) for r in rows)
+    by = {}
+    for r, d in zip(sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0)), sorted(odd.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)), strict=True):
+        by.setdefault(" ".join((d.text or "").split()), set()).add((r.p_junk, r.p_toxic))
+    # equal words, equal values; null, empty and white space are alike
+    assert len(by["one two three"]) == 1 and len(by[""]) == 1
+    features = toxicity.document_features(odd.where("doc_id = 5").first().text.encode())
+    first = toxicity.sigmoid(chain[0].margin([features], np.zeros((1, 0))))
+    want = float(first[0]), float(toxicity.sigmoid(chain[1].margin([features], first[:, None]))[0])
+    assert np.allclose([want], [*by[" ".join(odd.where("doc_id = 5").first().text.split())]], atol=1e-5)
     assert toxicity.classify(empty, chain).collect() == []
     assert len(toxicity.classify(odd, toxicity.fit(odd, labels.limit(0))).collect()) == odd.count()

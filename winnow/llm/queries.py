@@ -66,7 +66,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = labelled.in_fold(F.col("doc_id"), toxicity.FOLDS)
     out = toxicity.classify(docs, chain)
     toxic = F.col("is_toxic").cast("int")
-    return out.select("doc_id", held_out.alias("held_out"), F.col("p_toxic").alias("score"), toxic.alias("toxic"), toxic.alias("predicted"), "p_junk", "p_toxic", "p_toxic_junk")
+    return out.select("doc_id", held_out.alias("held_out"), F.col("p_toxic").alias("score"), toxic.alias("toxic"), toxic.alias("predicted"), "p_junk", "p_toxic")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ The categories stand in an order. Each has a logistic model over the document's
 it. In training, the earlier probabilities are out of fold: each labelled document's come from
 models that have not seen it, so that later models meet in training what they will meet in use.
 The models are fitted by follow-the-regularized-leader steps with an L1 penalty, which leaves most
-words without a weight.
+words without a weight. A category's models, the final one and those of its folds, are fitted side by
+side as tasks.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_batches, with_bytes
-from .labelled import in_fold, sample
+from .base import map_slices, with_bytes
+from .labelled import SAMPLE_BYTES, in_fold, sample
 
 BUCKETS = 1 << 20
 EPOCHS, ALPHA, BETA, L1 = 6, 2.0, 1.0, 6.0
@@ -30,7 +31,7 @@ INNER_FOLDS, FOLDS = 3, 5
 REMEMBERED = 400_000
 SAMPLE_ROWS = 8000
 #: Category names and how each follows from the labels quality and toxic, in chain order.
-CATEGORIES = (("junk", lambda quality, toxic: 1 - quality), ("toxic", lambda quality, toxic: toxic), ("toxic_junk", lambda quality, toxic: (1 - quality) * toxic))
+CATEGORIES = (("junk", lambda quality, toxic: 1 - quality), ("toxic", lambda quality, toxic: toxic))
 
 
 def word_buckets(word: bytes) -> list[int]:
@@ -90,28 +91,63 @@ def fit_linear(features: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, e
     return Linear(w[:BUCKETS].astype(np.float32), float(w[-1]), w[BUCKETS:-1].copy())
 
 
-def train(texts: list[bytes], labels: np.ndarray) -> list[Linear]:
+def train(texts: list[bytes], labels: np.ndarray, run=None) -> list[Linear]:
     """The chain for label columns (documents, categories) in order.
 
-    Folds go by a hash of the text, so that copies of a text share a fold.
+    Folds go by a hash of the text, so that copies of a text share a fold. ``run`` takes the features
+    and a list of (rows, earlier, y) and fits a model for each; by default one after another.
     """
+    run = run or (lambda features, jobs: [fit_linear([features[i] for i in rows], earlier, y) for rows, earlier, y in jobs])
     features = [document_features(t) for t in texts]
     fold = np.array([zlib.crc32(t) % INNER_FOLDS for t in texts], dtype=np.int64)
+    every = np.arange(len(texts))
     earlier = np.zeros((len(texts), 0))
     chain = []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
-        chain.append(fit_linear(features, earlier, y))
-        if c + 1 < labels.shape[1]:
+        outside = [np.flatnonzero(fold != f) for f in range(INNER_FOLDS)] if c + 1 < labels.shape[1] else []
+        model, *inner = run(features, [(rows, earlier[rows], y[rows]) for rows in (every, *outside)])
+        chain.append(model)
+        if inner:
             out = np.zeros(len(texts))
-            for f in range(INNER_FOLDS):
-                inside, outside = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-                m = fit_linear([features[i] for i in outside], earlier[outside], y[outside])
+            for f, m in enumerate(inner):
+                inside = np.flatnonzero(fold == f)
                 out[inside] = sigmoid(m.margin([features[i] for i in inside], earlier[inside]))
             earlier = np.column_stack([earlier, out])
     return chain
 
 
+def in_tasks(spark: SparkSession):
+    """Fit each model in a task of its own; the sample's features, bounded as the sample is, are sent once."""
+    sent = {}
+
+    def run(features: list[np.ndarray], jobs: list[tuple]) -> list[Linear]:
+        if not sent:
+            ends = np.cumsum([len(x) for x in features])
+            flat = np.concatenate(features).astype(np.int32) if features else np.zeros(0, dtype=np.int32)
+            sent["features"] = spark.sparkContext.broadcast((flat, ends))
+        shared, given = sent["features"], spark.sparkContext.broadcast(jobs)
+
+        def fit(batches):
+            for batch in batches:
+                for at in batch.column("id").to_pylist():
+                    flat, ends = shared.value
+                    rows, earlier, y = given.value[at]
+                    m = fit_linear([flat[(ends[i - 1] if i else 0) : ends[i]].astype(np.int64) for i in rows], earlier, y)
+                    used = np.flatnonzero(m.weights)
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([used.tolist()], pa.list_(pa.int64())), pa.array([m.weights[used].tolist()], pa.list_(pa.float32())), pa.array([m.bias]), pa.array([m.chain.tolist()], pa.list_(pa.float64()))], names=["id", "used", "weights", "bias", "chain"])
+
+        found = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(fit, "id long, used array<long>, weights array<float>, bias double, chain array<double>")
+        out = []
+        for r in sorted(found.collect(), key=lambda r: r.id):  # a few models of at most BUCKETS weights
+            weights = np.zeros(BUCKETS, dtype=np.float32)
+            weights[np.array(r.used, dtype=np.int64)] = r.weights
+            out.append(Linear(weights, r.bias, np.array(r.chain, dtype=np.float64)))
+        return out
+
+    return run
+
+
 class Words(dict):
     """word -> the rows of the table of weights that it calls on; most words call on none."""
 
@@ -144,19 +180,21 @@ def score_texts(texts: list[bytes], words: Words, table: np.ndarray, chain: list
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, rows: int = SAMPLE_ROWS) -> list[Linear]:
-    """Train the chain of ``CATEGORIES`` on at most ``rows`` labelled documents outside the fold."""
-    got = sample(docs, labels, ["quality", "toxic"], folds, rows)
+def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> list[Linear]:
+    """Train the chain of ``CATEGORIES`` on at most ``rows`` labelled documents, of ``limit`` bytes in all,
+    outside the fold."""
+    got = sample(docs, labels, ["quality", "toxic"], folds, rows, limit)
     y = np.array([[f(q, t) for _, f in CATEGORIES] for _, q, t in got]).reshape(len(got), len(CATEGORIES))
-    return train([t for t, *_ in got], y)
+    return train([t for t, *_ in got], y, in_tasks(docs.sparkSession))
 
 
 def classify(docs: DataFrame, chain: list[Linear], names: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """doc_id, p_<category> for each category, and is_<category> (probability >= threshold).
 
-    Null and empty texts have no words and get each model's bias. Repeated rows and null ids give
-    rows of their own; an empty table gives an empty result. Columns other than doc_id and text
-    are ignored.
+    Null and empty texts have no words and get each model's bias. Texts of any length are read whole,
+    a slice of them at a time. Equal texts get equal probabilities, and one equal to ``threshold`` is
+    marked. Repeated rows and null ids give rows of their own; an empty table gives an empty result.
+    Columns other than doc_id and text are ignored.
     """
     names = names or [n for n, _ in CATEGORIES]
     rows, table = weight_table(chain)
@@ -172,7 +210,7 @@ def classify(docs: DataFrame, chain: list[Linear], names: list[str] | None = Non
 
         return one
 
-    return map_batches(with_bytes(docs, "doc_id"), make, "doc_id long, " + ", ".join(f"p_{n} double" for n in names) + ", " + ", ".join(f"is_{n} boolean" for n in names))
+    return map_slices(with_bytes(docs, "doc_id"), make, "doc_id long, " + ", ".join(f"p_{n} double" for n in names) + ", " + ", ".join(f"is_{n} boolean" for n in names))
 
 
 def held_out(doc_id):
