@@ -1,4 +1,5 @@
 import os
+import re
 from dataclasses import replace
 
 import pytest
@@ -101,6 +102,50 @@ def test_stream_agrees_with_the_batch(spark, sf, tmp_path):
     assert got == want and want
 
 
+def test_pace_keeps_to_both_windows():
+    from winnow.operators.pace import Pace
+
+    clock = [0.0]
+    pace = Pace(replace(LIMITS, requests_per_minute=3, tokens_per_second=100), now=lambda: clock[0], sleep=lambda s: clock.__setitem__(0, clock[0] + s))
+    place = pace.admit(80)
+    assert clock[0] == 0 and pace.wait(30) == pytest.approx(1.0) and pace.wait(20) == 0
+    pace.correct(place, 10)  # what was used takes the estimate's place
+    assert pace.wait(90) == 0
+    pace.admit(90)
+    pace.admit(90)
+    assert clock[0] == pytest.approx(1.0)
+    assert pace.admit(1, deadline=59.0) is None and pace.admit(1, deadline=90.0) is not None
+    assert clock[0] == pytest.approx(60.0)
+    pace.pause(5.0)
+    assert pace.wait(0) >= 5.0
+    half = Pace(replace(LIMITS, requests_per_minute=4, tokens_per_second=100), share=0.5, now=lambda: 0.0)
+    assert half.requests == 2 and half.tokens == 50
+
+
+def test_deep_trees_are_read_to_their_end(spark):
+    from winnow.plans.navigate import levels
+
+    deep = ["/".join(["d"] * n) for n in range(1, 71)]
+    entries = [(p, "directory", p.rpartition("/")[0]) for p in deep] + [(deep[-1] + "/f", "file", deep[-1])]
+    df = spark.createDataFrame(entries, "path string, kind string, parent string")
+    got = levels(df, df.select("path").selectExpr("path", "0.9D AS p"))
+    assert got.count() == 71 and got.where("kind = 'file'").count() == 1
+
+
+def test_no_text_ends_a_worker(spark):
+    from pyspark.sql import functions as F
+
+    from winnow.functions import content
+    from winnow.plans.search import snapshots
+
+    texts = ["-----BEGIN " + "WORD " * 100_000, "-----BEGIN A B PRIVATE KEY-----", "-----BEGIN PRIVATE KEY PRIVATE KEY-----", "-----BEGIN  PRIVATE KEY-----", "-----BEGIN PRIVATE KEYS-----", " " * 1_000_000 + "a", "-----BEGIN " + "X" * 300_000]
+    df = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    got = [r[0] for r in df.orderBy("path").select(content.has_private_key(F.col("text"))).collect()]
+    plain = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+    assert got == [bool(plain.search(t)) for t in texts] == [False, True, True, False, False, False, False]
+    assert {r.path: r.status for r in snapshots(df).collect()} == {f"f{i}": "private_key" if k else "ok" for i, k in enumerate(got)}
+
+
 def test_http_scorer(spark):
     import json
     import threading
@@ -125,8 +170,11 @@ def test_http_scorer(spark):
 
     server = HTTPServer(("127.0.0.1", 0), Model)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    rows = [("a", '{"mood": "up"}', ["q0", "q1"], ["?", "?"]), ("b", '{"mood": "down"}', ["q0"], ["?"]), ("c", '{"mood": "busy", "items": [1, 2, 3]}', ["q0", "q1", "q2"], ["?"] * 3)]
-    df = spark.createDataFrame(rows, "request_id string, state string, keys array<string>, questions array<string>")
-    out = sorted((r.request_id, r.ord, r.p, r.failure) for r in HttpScorer(f"http://127.0.0.1:{server.server_port}", "m").ask(df).collect())
+    busy = '{"mood": "busy", "items": [{"id": "n0", "path": "x"}, {"id": "n1", "path": "y"}, {"id": "n2", "path": "z"}]}'
+    rows = [(1, '{"mood": "up"}', ["q0", "q1"], ["?", "?"]), (2, '{"mood": "down"}', ["q0"], ["?"]), (3, busy, ["q0", "q1", "q2"], ["?"] * 3)]
+    df = spark.createDataFrame(rows, "batch long, state string, keys array<string>, questions array<string>")
+    got = HttpScorer(f"http://127.0.0.1:{server.server_port}", "m").ask(df).collect()
     server.shutdown()
-    assert out == [("a", 0, 0.25, None), ("a", 1, 0.25, None), ("b", 0, None, "unavailable"), ("c", 0, 0.25, None), ("c", 1, 0.25, None), ("c", 2, 0.25, None)]
+    assert sorted((r.batch, r.key, r.p, r.failure) for r in got) == [(1, "q0", 0.25, None), (1, "q1", 0.25, None), (2, "q0", None, "unavailable"), (3, "q0", 0.25, None), (3, "q1", 0.25, None), (3, "q2", 0.25, None)]
+    # 3, then 2 and 1, then 1 and 1; those that stay overloaded are tried twice
+    assert {b: sum(r.attempts for r in got if r.batch == b) for b in (1, 2, 3)} == {1: 1, 2: 1, 3: 7}

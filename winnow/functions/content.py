@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values
 CONTROL = r"[\x00-\x08\x0B\x0E-\x1F\x7F]"
-PRIVATE_KEY = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+PRIVATE_KEY = r"-----BEGIN (?:(?!PRIVATE KEY-----)[A-Z0-9]++ )*+PRIVATE KEY-----"  # possessive: stepped through without recursion
 
 
 def is_binary(text: Column) -> Column:

@@ -75,6 +75,10 @@ def _first(rules: list[tuple[Column, str]]) -> Column:
     return out
 
 
+#: What is left out of every search, by reason.
+EXCLUSIONS = ("hidden", "vcs", "dependency", "sensitive_name", "protected", "symlink", "binary", "private_key")
+
+
 def directory_reason(path: Column, exclude: list[str] = (), protected: list[str] = ()) -> Column:
     """Why a directory is left out, by the first rule that holds; null if it is kept."""
     name = P.basename(path)

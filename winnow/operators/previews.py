@@ -19,10 +19,37 @@ def directory_entries(entries: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """
     name = P.basename(F.col("path"))
     rows = entries.select("parent", name.alias("name"), "kind", "path")
-    size = F.octet_length(F.to_json(F.struct("name", "kind")))
     by_path = Window.partitionBy("parent").orderBy("path")
-    rows = rows.withColumn("n", F.row_number().over(by_path)).withColumn("used", F.sum(size).over(by_path.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where((F.col("n") <= limits.directory_entries) & (F.col("used") <= limits.directory_bytes)).select("parent", "name", "kind", F.col("n").cast("long").alias("n"))
+    # the first entries alone, which each task finds among its own before a directory's rows meet
+    first = rows.withColumn("n", F.row_number().over(by_path)).where(F.col("n") <= limits.directory_entries)
+    size = F.octet_length(F.to_json(F.struct("name", "kind")))
+    used = first.withColumn("used", F.sum(size).over(by_path.rowsBetween(Window.unboundedPreceding, 0)))
+    return used.where(F.col("used") <= limits.directory_bytes).select("parent", "name", "kind", F.col("n").cast("long").alias("n"))
+
+
+def directory_previews(entries: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """path, preview (JSON) of each directory that has entries: what stands in it, and whether there is more."""
+    shown = directory_entries(entries, limits)
+    kinds = lambda k: F.sum((F.col("kind") == k).cast("long"))
+    per = shown.groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("name", "kind"))).alias("entries"), kinds("file").alias("sampledFiles"), kinds("directory").alias("sampledDirectories"), F.count(F.lit(1)).alias("shown"))
+    ext = extension_histogram(shown).groupBy("parent").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("extension", "n")))).alias("sampledExtensions"))
+    whole = entries.groupBy("parent").agg(F.count(F.lit(1)).alias("all"))
+    out = per.join(whole, "parent").join(ext, "parent", "left").withColumn("truncated", F.col("shown") < F.col("all"))
+    none = F.create_map().cast("map<string,bigint>")
+    return out.select(F.col("parent").alias("path"), F.to_json(F.struct("entries", "truncated", "sampledFiles", "sampledDirectories", F.coalesce("sampledExtensions", none).alias("sampledExtensions"))).alias("preview"))
+
+
+def directory_samples(entries: DataFrame, files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """path, samples: opening, middle and end of the files that a directory's preview names.
+
+    files: path, text, bytes. Samples are cut before they meet, so a directory holds a bounded text.
+    """
+    shown = directory_entries(entries, limits).where("kind = 'file'")
+    count = shown.groupBy("parent").agg(F.greatest(F.floor(F.lit(limits.sample_bytes) / F.count(F.lit(1))), F.lit(limits.sample_chars)).cast("int").alias("per"))
+    path = F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat("parent", F.lit("/"), "name"))
+    named = shown.join(count, "parent").withColumn("path", path).join(files.where(F.col("bytes") <= limits.inspected_bytes).select("path", "text"), "path")
+    each = F.struct("name", (F.length("text") > F.col("per")).alias("truncated"), three_part_sample(F.col("text"), F.col("per")).alias("source"))
+    return named.groupBy("parent").agg(F.sort_array(F.collect_list(each)).alias("samples")).withColumnRenamed("parent", "path")
 
 
 def extension_histogram(shown: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import json
 import re
 
 from winnow.limits import LIMITS, Limits
+from winnow.operators import languages
+from winnow.operators.units import split_source
 
 IDENTIFIER = re.compile(r"[^\W\d]\w*")
 
@@ -19,18 +21,44 @@ def clip(text: str, most: int) -> str:
     return text.encode()[:most].decode("utf-8", "ignore")
 
 
-def file_preview(text: str, declarations: list[dict], limits: Limits = LIMITS) -> dict:
-    """The file's beginning, shrunk until its JSON fits, and declarations while they fit too."""
+def file_preview(path: str, text: str, question: str, limits: Limits = LIMITS) -> dict:
+    """What a request shows of a file: its beginning, shrunk until its JSON fits.
+
+    Of a longer Python file parts of the whole are shown instead, and of a longer file in a known
+    language its declarations are listed, as many as fit.
+    """
+    raw = text.encode()
     head = clip(text, limits.preview_bytes)
     while size(head) > limits.preview_json:
         head = head[: len(head) * 3 // 4]
-    out = {"source": head, "truncated": len(head) < len(text)}
-    if out["truncated"] and declarations:
-        kept = list(declarations)
-        while kept and size(out | {"declarations": kept}) > limits.declared_json:
-            kept.pop()
-        if kept:
-            out["declarations"] = kept
+    name = path.rsplit("/", 1)[-1]
+    stem, dot, ext = name.rpartition(".")
+    out = {"sizeBytes": len(raw), "extension": f".{ext}" if dot and stem else "", "text": head, "previewBytes": len(head.encode()), "truncated": len(head) < len(text), "range": "opening bytes", "declarations": [], "declarationIndexTruncated": False}
+    if not out["truncated"] or len(raw) > limits.inspected_bytes:
+        return out
+    if languages.mode_of(path) == "python" and (parts := python_preview(text, question, limits)) and len(parts.encode()) <= limits.preview_bytes and size(parts) <= limits.preview_json:
+        out |= {"text": parts, "previewBytes": len(parts.encode()), "range": "sampled source ranges"}
+    if languages.mode_of(path) != "text":
+        units = languages.inspect(path, text, max(4, len(raw)), limits.inspected_bytes).units
+        kept = [{"name": u.name, "startLine": u.start_line, "endLine": u.end_line} for u in units if not u.partial]
+        out["declarations"] = kept
+        spare = limits.declared_json - size(out | {"declarations": []})
+        used = 0
+        for i, d in enumerate(kept):
+            used += size(d) + (1 if i else 0)
+            if used > spare - 1:  # "true" for "false" is a byte shorter, the list loses its rest
+                out |= {"declarations": kept[:i], "declarationIndexTruncated": True}
+                break
+    return out
+
+
+def chunk_previews(path: str, text: str, limits: Limits = LIMITS) -> list[dict]:
+    """Previews of all of a file's text in pieces, for a file whose own preview no request can hold."""
+    raw, whole = text.encode(), file_preview(path, "", "", limits)
+    out = []
+    for u in split_source(text, limits.chunk_bytes):
+        part = raw[u.byte_start : u.byte_end]
+        out.append({"sizeBytes": len(raw), "extension": whole["extension"], "text": part.decode("utf-8", "replace"), "previewBytes": len(part), "truncated": True, "range": "sampled source ranges"})
     return out
 
 
@@ -67,19 +95,11 @@ def python_preview(text: str, question: str, limits: Limits = LIMITS) -> str | N
     return "\n...\n".join(f"[{name}]\n{part}" for name, part in parts)
 
 
-def content_samples(files: list[tuple[str, str]], preview: dict, limits: Limits = LIMITS) -> list[dict]:
-    """Opening, middle and end of each file of a directory; shrunk until the preview's JSON fits."""
-    per = max(limits.sample_bytes // max(1, len(files)), limits.sample_chars)
-    part, out = per // 3, []
-    for name, text in files:
-        if len(text.encode()) > limits.inspected_bytes:
-            continue
-        n = len(text)
-        starts = (0, max(0, n // 2 - part // 2), max(0, n - part))
-        pieces = "\n...\n".join(f"[character offset {s}]\n{text[s : s + part]}" for s in starts)
-        out.append({"name": name, "truncated": n > per, "source": text if n <= per else pieces})
+def with_samples(preview: dict, samples: list[dict], limits: Limits = LIMITS) -> dict:
+    """A directory's preview with its files' samples, cut by fifths until the JSON fits or all are short."""
+    out = [dict(s) for s in samples]
     while size(preview | {"contentSamples": out}) > limits.sampled_json and any(len(s["source"]) > limits.sample_chars for s in out):
         for s in out:
             s["source"] = s["source"][: max(len(s["source"]) * 4 // 5, limits.sample_chars)]
             s["truncated"] = True
-    return out
+    return preview | {"contentSamples": out}

@@ -8,17 +8,22 @@ table, written once, since a judgment may cost money.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from winnow.functions import content as C
 from winnow.functions import paths as P
 from winnow.limits import LIMITS, Limits
-from winnow.operators import bookkeeping, excerpts, languages, names, ranking, units
+from winnow.operators import bookkeeping, excerpts, grouping, languages, names, previews, ranking, sampled, units
+from winnow.plans import requests
 from winnow.plans.requests import dump
 from winnow.plans.scorers import Scorer
 from winnow.sources.store import written
@@ -60,45 +65,150 @@ def selection_units(path: str, text: str, limits: Limits = LIMITS) -> list[units
 def unit_table(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """The units of each file (path, text), with their source."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = text.encode()
-                rows += [(path, i, u.name, u.start_line, u.end_line, u.byte_start, u.byte_end, raw[u.byte_start : u.byte_end].decode("utf-8", "replace")) for i, u in enumerate(selection_units(path, text, limits))]
-            fields = [("path", pa.string()), ("ord", pa.int64()), ("name", pa.string()), *[(n, pa.int64()) for n in ("start_line", "end_line", "byte_start", "byte_end")], ("source", pa.string())]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        for row in rows:
+            raw = row["text"].encode()
+            for i, u in enumerate(selection_units(row["path"], row["text"], limits)):
+                yield (row["path"], i, u.name, u.start_line, u.end_line, u.byte_start, u.byte_end, raw[u.byte_start : u.byte_end].decode("utf-8", "replace"))
 
-    return files.select("path", "text").mapInArrow(run, UNITS)
+    return mapped(files.select("path", "text"), UNITS, run)
+
+
+def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def mapped(df: DataFrame, schema: str, run: Callable[[Iterator[dict]], Iterator[tuple]]) -> DataFrame:
+    """Rows as dicts through a generator of tuples, in Arrow batches."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in run(r for batch in found for r in batch.to_pylist()):
+            rows.append(row)
+            held += sum(len(x) for x in row if isinstance(x, str))
+            if len(rows) >= 4096 or held > 1 << 22:
+                yield arrow_rows(rows, arrow)
+                rows, held = [], 0
+        if rows:
+            yield arrow_rows(rows, arrow)
+
+    return df.mapInArrow(batches, schema)
 
 
 def evidence_table(chosen: DataFrame, files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """path, start_line, end_line, source of the excerpts around a file's chosen ranges."""
+    """path, start_line, end_line, source of the excerpts around a file's chosen ranges; of Python
+    methods their neighbours' too."""
     per = chosen.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "byte_start", "byte_end"))).alias("r"))
-    fields = [("path", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("source", pa.string())]
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for path, text, r in zip(*(batch.column(c).to_pylist() for c in ("path", "text", "r")), strict=True):
-                comments = languages.inspect(path, text, max(limits.unit_bytes, len(text.encode()))).comments
-                rows += [(path, *x) for x in excerpts.excerpts(text, [(d["start_line"], d["end_line"]) for d in r], comments, [(d["byte_start"], d["byte_end"]) for d in r], limits)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-
-    return files.join(per, "path").select("path", "text", "r").mapInArrow(run, "path string, start_line long, end_line long, source string")
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        for row in rows:
+            path, text = row["path"], row["text"]
+            comments = languages.inspect(path, text, max(limits.unit_bytes, len(text.encode()))).comments
+            ranges = [(d["start_line"], d["end_line"]) for d in row["r"]]
+            if languages.mode_of(path) == "python":
+                ranges += languages.python_neighbours(text, ranges)
+            for x in excerpts.excerpts(text, ranges, comments, [(d["byte_start"], d["byte_end"]) for d in row["r"]], limits):
+                yield (path, *x)
+
+    return mapped(files.join(per, "path").select("path", "text", "r"), "path string, start_line long, end_line long, source string", run)
+
+
+PLANNED = "stage string, path string, kind string, name string, text string, ord long, batch long, key string, state string, keys array<string>, questions array<string>"
+
+
+def navigation_plan(items: DataFrame, query: str, stage: str, anchor: dict | None, limits: Limits = LIMITS) -> DataFrame:
+    """The items (path, kind, text, preview, samples) as they are asked about, with their requests.
+
+    Items of neighbouring paths share greedy batches. A file whose preview no request holds is asked
+    about in chunks of its text; what no request holds at all has no batch. A request's state, keys
+    and questions stand in the row of its first item.
+    """
+
+    def of(row: dict) -> dict:
+        if row["kind"] == "file":
+            return {"path": row["path"], "kind": "file", "filePreview": sampled.file_preview(row["path"], row["text"], query, limits)}
+        preview = json.loads(row["preview"]) if row["preview"] else {"entries": [], "truncated": False, "sampledFiles": 0, "sampledDirectories": 0, "sampledExtensions": {}}
+        if row["samples"] is not None:
+            preview = sampled.with_samples(preview, row["samples"], limits)
+        return {"path": row["path"], "kind": "directory", "childPreview": preview}
+
+    def shown(item: dict) -> str:
+        return item["filePreview"]["text"] if item["kind"] == "file" else dump(item["childPreview"])
+
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        own, number = requests.Batches(query, anchor, limits), TaskContext.get().partitionId() << 32
+
+        def sent(batch: list[dict]) -> Iterator[tuple]:
+            nonlocal number
+            request = requests.navigation(query, batch, anchor)
+            for i, item in enumerate(batch):
+                first = (dump(request.state), [k for k, _ in request.questions], [q for _, q in request.questions]) if i == 0 else (None, None, None)
+                yield (stage, item["path"], item["kind"], "", shown(item), 0, number, f"q{i}", *first)
+            number += 1
+
+        for row in rows:
+            item = of(row)
+            todo = [item]
+            if not own.fits_alone(item) and item["kind"] == "file" and item["filePreview"]["sizeBytes"] <= limits.inspected_bytes:
+                todo = [{"path": item["path"], "kind": "file", "filePreview": p} for p in sampled.chunk_previews(row["path"], row["text"], limits)]
+            for x in todo:
+                if not own.fits_alone(x):
+                    yield (stage, x["path"], x["kind"], "", shown(x), 0, None, None, None, None, None)
+                elif full := own.add(x):
+                    yield from sent(full)
+        if own.batch:
+            yield from sent(own.batch)
+
+    return mapped(items.repartitionByRange("path").sortWithinPartitions("path"), PLANNED, run)
+
+
+def selection_plan(files: DataFrame, query: str, evidence: list[dict] | None, limits: Limits = LIMITS) -> DataFrame:
+    """The units of files (path, text) as they are asked about, with a request for each group of units.
+
+    A group whose state, evidence included, is too large is halved. Each unit is asked for its
+    relevance and scope, and with evidence whether that refers to it.
+    """
+    stages = ["relevance", "scope", *(["reference"] if evidence is not None else [])]
+    names = {"relevance": "q", "scope": "scope", "reference": "ref"}
+
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        number = TaskContext.get().partitionId() << 32
+        for row in rows:
+            path, lines = row["path"], units.Lines(row["text"])
+            own = selection_units(path, row["text"], limits)
+            place = {id(u): i for i, u in enumerate(own)}
+
+            def request(group, path=path, lines=lines):
+                said = [{"name": u.name, "startLine": u.start_line, "endLine": u.end_line} for u in group]
+                return requests.evidence(query, path, grouping.context(lines, group, limits), said, evidence)
+
+            for whole in grouping.groups(own, lines, limits):
+                for group in grouping.halved(whole, lambda g: len(dump(request(g).state).encode()) > limits.state_bytes):
+                    r = request(group)
+                    first = (dump(r.state), [k for k, _ in r.questions], [q for _, q in r.questions])
+                    for stage in stages:
+                        for i, u in enumerate(group):
+                            source = lines.raw[u.byte_start : u.byte_end].decode("utf-8", "replace")
+                            yield (stage, path, "unit", u.name, source, place[id(u)], number, f"{names[stage]}{i}", *first)
+                            first = (None, None, None)
+                    number += 1
+
+    return mapped(files.select("path", "text"), PLANNED, run)
 
 
 @dataclass
 class Found:
     """files: path, score, sha256; ranges: path, start_line, end_line, relevance, rank (no source
-    text in either); issues: kind, code, path; summary: one row of counts."""
+    text in either); issues: kind, code, path; summary: one row of counts; asked: requests, tokens and
+    the model that answered, as far as the scorer tells."""
 
     files: DataFrame
     ranges: DataFrame
     issues: DataFrame
     summary: DataFrame
+    asked: dict
 
 
 class Search:
@@ -106,7 +216,9 @@ class Search:
         if not question.strip():
             raise ValueError("the question is empty")
         self.question, self.scorer, self.limits, self.cancelled = question, scorer, limits, cancelled
-        self.requests, self.stop = 0, None
+        self.include, self.exclude = list(include), list(exclude)
+        self.requests, self.listed, self.stop, self.unopened = 0, 0, None, None
+        self.asked = {"requests": 0, "input_tokens": 0, "output_tokens": 0, "model": None}
         self.spark = files.sparkSession
         # names are tested before any content is read; a directory's reason holds for all below it
         above = F.exists(P.ancestors(F.col("path")), lambda d: names.directory_reason(d, list(exclude)).isNotNull())
@@ -115,47 +227,93 @@ class Search:
         self.files = self.snapshots.where("status = 'ok'")
         leaves = self.files.select(P.parent(F.col("path")).alias("d")).distinct()
         dirs = leaves.select(F.explode(F.concat(P.ancestors(F.col("d")), F.array("d"))).alias("path")).where("path <> ''").distinct()
+        self.skipped = self.snapshots.where(F.col("status").isin("size_limit", "encoding", "unreadable", "changed"))
         self.entries = written(self.files.select("path", F.lit("file").alias("kind")).unionByName(dirs.select("path", F.lit("directory").alias("kind"))).select("path", "kind", P.parent(F.col("path")).alias("parent")), "entries")
+        self.previews = written(previews.directory_previews(self.entries, limits), "previews")
 
-    def judge(self, items: DataFrame) -> DataFrame:
-        """Items with p, evaluated once; without p once the search has been stopped.
+    def judge(self, planned: DataFrame) -> DataFrame:
+        """Planned items with p, evaluated once; what is not asked about has none.
 
-        A cancelled search, or one at its cap of requests, asks no more and keeps what it has.
+        A cancelled search asks no more. One near its cap of requests asks as many as it has left, in
+        the order of their paths, and no more after them.
         """
-        items = written(items, "items")
-        wanted = -(-items.count() // self.limits.batch_items)
+        planned = written(planned, "planned")
+        whole = planned.where("state IS NOT NULL").select("batch", "state", "keys", "questions")
+        items = planned.drop("state", "keys", "questions")
         if self.stop is None and self.cancelled():
             self.stop = "cancelled"
-        if self.stop is None and self.requests + wanted > self.limits.requests:
+        left = 0 if self.stop else max(0, self.limits.requests - self.requests)
+        wanted = 0 if self.stop else whole.count()
+        if wanted > left:
             self.stop = "budget"
-        if self.stop:
+            whole = written(whole.orderBy("batch").limit(left), "last-requests")
+        if not min(left, wanted):
             return items.withColumn("p", F.lit(None).cast("double"))
-        self.requests += wanted
-        return written(self.scorer.score(items), "judged")
-
-    def items(self, paths: DataFrame, stage: str) -> DataFrame:
-        """Navigation items of entries; a file shows its preview."""
-        from winnow.operators.previews import file_preview
-
-        shown = self.files.select("path", file_preview(F.col("text"), self.limits).alias("text"))
-        return paths.join(shown, "path", "left").select(F.lit(stage).alias("stage"), "path", "kind", F.lit("").alias("name"), "text")
-
-    def discover(self, seeds: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
+        asked = items.join(whole.select("batch"), "batch", "left_semi")
+        judged = written(self.scorer.score(asked, whole), "judged")
+        self._count(judged, min(wanted, left))
+        rest = items.where("batch IS NULL").unionByName(items.where("batch IS NOT NULL").join(whole.select("batch"), "batch", "left_anti"))
+        return judged.select(*items.columns, "p").unionByName(rest.withColumn("p", F.lit(None).cast("double")))
+
+    def _count(self, judged: DataFrame, sent: int) -> None:
+        """Attempts as the scorer counts them, retries among them; else the requests."""
+        if "attempts" not in judged.columns:
+            self.requests += sent
+            self.asked["requests"] += sent
+            return
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+        r = judged.agg(total("attempts"), total("input_tokens"), total("output_tokens"), F.max("model").alias("model"), F.max((F.col("failure") == "unauthorized").cast("int")).alias("refused")).first()
+        self.requests += r.attempts
+        self.asked["requests"] += r.attempts
+        self.asked["input_tokens"] += r.input_tokens
+        self.asked["output_tokens"] += r.output_tokens
+        self.asked["model"] = r.model or self.asked["model"]
+        if r.refused and self.stop is None:
+            self.stop = "authentication"
+
+    def items(self, paths: DataFrame, stage: str, anchor: dict | None = None, samples: bool = False) -> DataFrame:
+        """Entries (path, kind) as they are asked about: files by their previews, directories by what
+        stands in them and, with ``samples``, by parts of their files."""
+        shown = paths.join(self.files.select("path", "text"), "path", "left").join(self.previews, "path", "left")
+        if samples:
+            shown = shown.join(previews.directory_samples(self.entries, self.files, self.limits), "path", "left")
+        else:
+            shown = shown.withColumn("samples", F.lit(None).cast("array<struct<name:string,truncated:boolean,source:string>>"))
+        return navigation_plan(shown.select("path", "kind", "text", "preview", "samples"), self.question, stage, anchor, self.limits)
+
+    def _leave(self, directories: DataFrame) -> None:
+        self.unopened = directories if self.unopened is None else self.unopened.unionByName(directories)
+
+    def discover(self, seeds: DataFrame, stage: str, anchor: dict | None = None) -> tuple[DataFrame, DataFrame]:
         """(judged files, judged directories) below the seeds (path), which are opened unjudged.
 
         A round opens the seeds and the directories in them, judges all files listed so and the
-        directories one level further, and takes those above the threshold as the next seeds.
+        directories one level further, and takes those above the threshold as the next seeds. At the
+        limit of entries the last round is cut by path; directories left over, or not read to their end,
+        are ``unopened``.
         """
         entries, files, dirs = self.entries, [], []
-        while not seeds.isEmpty():
+        while True:
             first = entries.join(seeds.select(F.col("path").alias("parent")), "parent", "left_semi")
             children = first.where("kind = 'directory'").select(F.col("path").alias("parent"))
             second = entries.join(children, "parent", "left_semi")
-            listed = first.where("kind = 'file'").unionByName(second)
-            judged = self.judge(self.items(listed.select("path", "kind"), stage))
-            files.append(judged.where("kind = 'file'"))
-            dirs.append(judged.where("kind = 'directory'"))
+            listed = written(first.where("kind = 'file'").unionByName(second).select("path", "kind"), "listed")
+            number = listed.count()
+            if number > (left := max(0, self.limits.entries - self.listed)):
+                whole, listed = listed, written(listed.orderBy("path").limit(left), "listed")
+                self._leave(whole.join(listed, "path", "left_anti").select(P.parent(F.col("path")).alias("path")).distinct())
+            self.listed += min(number, left)
+            judged = self.judge(self.items(listed, stage, anchor))
+            # a file in chunks is as good as its best chunk
+            best = written(judged.groupBy("path", "kind").agg(F.max("p").alias("p"), F.max(F.col("batch").isNull()).alias("too_large")), "best")
+            files.append(best.where("kind = 'file'"))
+            dirs.append(best.where("kind = 'directory'"))
             seeds = dirs[-1].where(F.col("p") > self.limits.threshold).select("path")
+            if seeds.isEmpty():
+                break
+            if self.listed >= self.limits.entries:
+                self._leave(seeds)
+                break
         join = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(join(parts[1:]))
         return join(files), join(dirs)
 
@@ -182,15 +340,14 @@ class Search:
         best = found.orderBy(F.col("score").desc(), "path").first()
         return {"path": best.path, "classes": list(best.classes)} if best else None
 
-    def decide(self, table: DataFrame, with_reference: bool) -> DataFrame:
-        """Units with the score of one pass."""
-        stages = ["relevance", "scope", *(["reference"] if with_reference else [])]
-        items = table.select(F.explode(F.array(*map(F.lit, stages))).alias("stage"), "path", F.lit("unit").alias("kind"), "name", F.col("source").alias("text"), "ord")
-        got = self.judge(items.withColumn("second", F.lit(with_reference)))
+    def decide(self, files: DataFrame, evidence: list[dict] | None) -> DataFrame:
+        """path, ord and the score of each unit in one pass over files (path, text)."""
+        plan = selection_plan(files, self.question, evidence, self.limits)
+        got = self.judge(plan.withColumn("second", F.lit(evidence is not None)))
         p = lambda s: F.max(F.when(F.col("stage") == s, F.col("p")))
-        wide = got.groupBy("path", "ord").agg(p("relevance").alias("r"), p("scope").alias("s"), F.coalesce(p("reference"), F.lit(0.0)).alias("f"))
-        score = F.when(F.col("r").isNotNull() & F.col("s").isNotNull(), ranking.combine(F.col("r"), F.col("s"), F.col("f")))
-        return wide.select("path", "ord", score.alias("relevance"))
+        wide = got.groupBy("path", "ord").agg(p("relevance").alias("r"), p("scope").alias("s"), p("reference").alias("f"))
+        whole = F.col("r").isNotNull() & F.col("s").isNotNull() & (F.lit(evidence is None) | F.col("f").isNotNull())
+        return wide.select("path", "ord", F.when(whole, ranking.combine(F.col("r"), F.col("s"), F.coalesce("f", F.lit(0.0)))).alias("relevance"))
 
     def run(self, limit: int | None = None) -> Found:
         limits = self.limits
@@ -205,24 +362,25 @@ class Search:
         candidates = written(best(files), "candidates")
         anchor = None if pruned.isEmpty() else self.anchor(candidates)
         if anchor:
-            again = self.judge(self.items(pruned.withColumn("kind", F.lit("directory")), "relate"))
-            related = again.where(over).select("path")
+            again = self.judge(self.items(pruned.withColumn("kind", F.lit("directory")), "relate", anchor, samples=True))
+            related = written(again.where(over).select("path"), "related")
             if not related.isEmpty():
-                more, _ = self.discover(related, "relate")
+                more, _ = self.discover(related, "relate", anchor)
                 files = files.unionByName(more)
                 candidates = written(best(files), "candidates")
         chosen_files = candidates.join(self.files.select("path", "text", "sha256", "bytes"), "path")
         inspectable = chosen_files.where(F.col("bytes") <= limits.inspected_bytes)
         table = written(unit_table(inspectable, limits), "units")
-        first = self.decide(table, False)
+        first = written(self.decide(inspectable, None), "first-pass")
         picked = table.join(first.where(F.col("relevance") > limits.threshold), ["path", "ord"])
         shown = written(evidence_table(picked, inspectable, limits), "evidence")
         # the evidence must fit one request; its size is one sum
-        each = F.octet_length(F.to_json(F.struct("path", "start_line", "end_line", "source"))) + 1
-        total = shown.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first().n
+        one = F.struct("path", F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), "source")
+        total = shown.agg(F.coalesce(F.sum(F.octet_length(F.to_json(one)) + 1), F.lit(-1)).alias("n")).first().n + 1
         decisions = first.withColumn("pass", F.lit(1))
-        if 0 < total <= limits.evidence_bytes:
-            second = self.decide(table, True).where("relevance IS NOT NULL").withColumn("pass", F.lit(2))
+        if 0 < total <= limits.evidence_bytes and not self.stop:
+            evidence = [{"path": r.path, "startLine": r.start_line, "endLine": r.end_line, "source": r.source} for r in shown.orderBy("path", "start_line").collect()]  # bounded by the test above
+            second = written(self.decide(inspectable, evidence), "second-pass").where("relevance IS NOT NULL").withColumn("pass", F.lit(2))
             decisions = ranking.latest(decisions.unionByName(second), ["path", "ord"], "pass", "relevance")
         ranges = table.drop("source").join(decisions, ["path", "ord"]).where(F.col("relevance") > limits.threshold)
         ranked = ranking.ranked_ranges(ranges.select("path", "start_line", "end_line", "relevance"))
@@ -230,12 +388,17 @@ class Search:
         ranked = written(ranked.join(top.select("path"), "path", "left_semi"), "ranges")
         issues = self.snapshots.where(F.col("status").isin("size_limit", "encoding")).select(F.col("status").alias("kind"), F.when(F.col("status") == "encoding", "unsupported_encoding").otherwise("input_too_large").alias("code"), "path")
         issues = issues.unionByName(chosen_files.where(F.col("bytes") > limits.inspected_bytes).select(F.lit("inspection_limit").alias("kind"), F.lit("input_too_large").alias("code"), "path"))
-        missing = {"cancelled": ("cancelled", "cancelled"), "budget": ("budget", "budget_exhausted")}.get(self.stop, ("provider", "provider_unavailable"))
-        issues = issues.unionByName(files.where("p IS NULL").select(F.lit(missing[0]).alias("kind"), F.lit(missing[1]).alias("code"), "path"))
+        missing = {"cancelled": ("cancelled", "cancelled"), "budget": ("budget", "budget_exhausted"), "authentication": ("authentication", "provider_unavailable")}.get(self.stop, ("provider", "provider_unavailable"))
+        because = lambda a, b: F.when(F.col("too_large"), a).otherwise(F.lit(b))
+        lost = files.unionByName(dirs).where("p IS NULL")
+        issues = issues.unionByName(lost.select(because("request_size", missing[0]).alias("kind"), because("input_too_large", missing[1]).alias("code"), "path"))
+        issues = issues.unionByName(first.where("relevance IS NULL").select(F.lit(missing[0]).alias("kind"), F.lit(missing[1]).alias("code"), "path").distinct())
+        if self.unopened is not None:
+            issues = issues.unionByName(self.unopened.select(F.lit("resource_limit").alias("kind"), F.lit("input_too_large").alias("code"), "path"))
         n = candidates.count()
         counts = files.agg(F.countDistinct("path").alias("files_considered"))
-        summary = counts.select("files_considered", F.lit(pruned.count()).alias("directories_pruned"), F.lit(n).alias("matches_found"), F.lit(n > limit).alias("results_limited"), bookkeeping.status(F.lit(issues.count() + (self.stop is not None)), F.lit(int(self.stop == "cancelled"))).alias("status"))
-        return Found(written(top, "files"), ranked, written(issues, "issues"), summary)
+        summary = counts.select("files_considered", F.lit(pruned.count()).alias("directories_pruned"), F.lit(self.skipped.count()).alias("files_skipped"), F.lit(n).alias("matches_found"), F.lit(n > limit).alias("results_limited"), bookkeeping.status(F.lit(issues.count() + (self.stop is not None)), F.lit(int(self.stop == "cancelled"))).alias("status"))
+        return Found(written(top, "files"), ranked, written(issues, "issues"), summary, dict(self.asked))
 
 
 def report(found: Found, limits: Limits = LIMITS) -> DataFrame:
@@ -246,9 +409,27 @@ def report(found: Found, limits: Limits = LIMITS) -> DataFrame:
     return wide.select("path", F.to_json(F.struct("path", "score", "sha256", brief.alias("ranges"))).alias("json"))
 
 
+def whole_report(search: Search, found: Found, limit: int | None = None) -> str:
+    """One JSON text of a search: matches (of which there are at most ``most_results``) with all that is
+    known of its course; never source text."""
+    limits = search.limits
+    best = {}
+    for r in found.ranges.where(F.col("rank") <= limits.ranges_shown).orderBy("path", "rank").collect():
+        best.setdefault(r.path, []).append({"start_line": r.start_line, "end_line": r.end_line, "relevance": r.relevance})
+    matches = [{"path": r.path, "relevance": r.score, "sha256": r.sha256, "ranges": best.get(r.path, [])} for r in found.files.orderBy(F.col("score").desc(), "path").collect()]
+    counts = found.summary.first().asDict()
+    issues = [r.asDict() for r in bookkeeping.issue_counts(found.issues).withColumnRenamed("n", "count").orderBy("kind", "code").collect()]
+    return dump({
+        "question": search.question, "include": search.include, "exclude": search.exclude, "limit": limits.default_results if limit is None else limit,
+        "status": counts.pop("status"), "model": found.asked["model"], "matches": matches, "coverage": counts, "issues": issues,
+        "exclusions": [*names.EXCLUSIONS, *(f"exclude pattern {p}" for p in search.exclude)], "constants": asdict(limits),
+        "usage": {k: found.asked[k] for k in ("input_tokens", "output_tokens")}, "requests": found.asked["requests"],
+    })
+
+
 def write_report(found: Found, path: str) -> None:
     """Create a report; an existing one is never replaced."""
     report(found).select("json").write.mode("errorifexists").text(path)
 
 
-__all__ = ["Found", "Search", "dump", "report", "write_report"]
+__all__ = ["Found", "Search", "dump", "report", "whole_report", "write_report"]

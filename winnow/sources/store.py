@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; where there is none, one is
-    made (one machine)."""
+    """The shared folder that the session names in spark.checkpoint.dir, or its context's checkpoint
+    folder; where there is neither, one is made, which only a session on one machine can do."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="winnow-store-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
