@@ -40,13 +40,14 @@ def durable(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
 
     A lost executor costs no recomputation above this point, and several readers share one
-    evaluation. With ``few_files`` a shuffle's small partitions are written together, up to the
-    advisory size, where the work before the write is light.
+    evaluation. With ``few_files``, for tables that are small beside the work above them, at most two
+    tasks a core write, each what several of the last shuffle's partitions come to, one after another.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow/{label}-{uuid.uuid4().hex}"
-    with settings(spark, **({"spark__sql__adaptive__coalescePartitions__parallelismFirst": "false"} if few_files else {})):
-        df.write.option("compression", "zstd").parquet(path)
+    if few_files:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._winnow_path = path
     return out

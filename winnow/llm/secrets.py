@@ -27,7 +27,7 @@ NAME = r"(?i:(?:api|access|auth|private|client|secret)[_-]?(?:key|token|secret)|
 ASSIGNED = NAME + r"""["']?\s{0,4}(?:=>|:=|[:=])\s{0,4}["']?"""
 #: A private key from BEGIN through END; without END, the lines of its body that follow. Possessive,
 #: so that Java steps through long bodies without recursion.
-HEADER = r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z0-9]++ )*+PRIVATE KEY(?: BLOCK)?-----"
+HEADER = r"-----BEGIN (?:(?!PRIVATE KEY(?: BLOCK)?-----)[A-Z0-9]++ )*+PRIVATE KEY(?: BLOCK)?-----"
 PRIVATE_KEY = HEADER + r"(?:(?:(?!-----)[\s\S])*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/=]+[ \t]*(?![^\r\n\\\"']))*+)"
 #: A value in quotes up to the closing one, on one line; a backslash takes the next character along.
 QUOTED = "|".join(rf"(?<={q})(?:[^{q}\\\r\n]|\\[^\r\n]){{6,}}+(?={q})" for q in "\"'")
