@@ -13,8 +13,8 @@ q = Pe / (2 Pw), and a node's prediction is the sum over the path of (weight tha
 context) * q * (b + 1/2) / (a + b + 1). Contexts without counts predict 1/2, as they should.
 
 Contexts are worked on in groups; those with equal last ``GROUP`` bytes are in one. What lies above
-depends on sums by the last GROUP - 1 = 2 bytes, at most 65,536 contexts of 255 nodes; those levels
-are put together on the driver.
+depends on sums by the last GROUP - 1 = 2 bytes, a table of its own; of that, sums by the last byte, at
+most 256 contexts of 255 nodes, are put together on the driver.
 """
 
 from __future__ import annotations
@@ -129,26 +129,30 @@ def group_roots(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
 
 @dataclass
 class Top:
-    """The mixture down to depth GROUP - 1: sorted keys, P(one) so far, weight left."""
+    """The mixture down to some depth: sorted keys, P(one) so far, weight left."""
 
     keys: np.ndarray
     one: np.ndarray
     reach: np.ndarray
 
 
-def top_levels(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray) -> Top:
-    """From the sums of counts and of ln Pw over the groups, by distinct keys & ABOVE."""
-    order = np.argsort(keys)
-    below = Level(keys[order], np.zeros(0, dtype=np.int64), zeros[order], ones[order], split[order], np.ones(len(keys)))
-    levels = [shallower(below, GROUP - 1)]  # keys are distinct: a level of their own
-    for depth in range(GROUP - 2, -1, -1):
-        levels.append(shallower(levels[-1], depth))
-    one, reach = np.zeros(len(levels[-1].keys)), np.ones(len(levels[-1].keys))
-    for k, level in enumerate(reversed(levels)):
-        if k:
-            one, reach = one[level.parent], reach[level.parent]
-        one, reach = descend(level, one, reach)
-    return Top(levels[0].keys, one, reach)
+def level_of(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray, depth: int) -> Level:
+    """Contexts of ``depth`` by distinct keys, from their counts and the sums of ln Pw below them."""
+    return shallower(Level(keys, np.zeros(0, dtype=np.int64), zeros, ones, split, np.ones(len(keys))), depth)
+
+
+def roots(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray) -> Top:
+    """The mixture down to the last byte, from sums by (last byte << 8 | node)."""
+    below = level_of(keys, zeros, ones, split, 1)
+    root = shallower(below, 0)
+    one, reach = descend(root, np.zeros(len(root.keys)), np.ones(len(root.keys)))
+    return Top(below.keys, *descend(below, one[below.parent], reach[below.parent]))
+
+
+def go_down(top: Top, level: Level, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """P(one) and the weight left at a level, from those of ``depth`` above it."""
+    at = np.searchsorted(top.keys, level.keys & ((1 << (8 * (depth + 1))) - 1))
+    return descend(level, top.one[at], top.reach[at])
 
 
 def group_scores(gram: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import ctw
-from .base import durable, in_slices, record
+from .base import durable, in_slices, map_batches, record
 from .labelled import in_fold
 
 #: Grams and words, each, that every executor holds.
@@ -128,23 +128,41 @@ def gram_values(counts: DataFrame) -> DataFrame:
     # Whole contexts are dealt to groups of about GROUP_ROWS grams.
     groups = max(32, grams.count() // GROUP_ROWS)
     context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * ctw.GROUP)) - 1))
-    grouped = grams.withColumn("dealt", F.pmod(F.xxhash64(context), F.lit(groups))).groupBy("dealt")
+    grams = grams.withColumn("dealt", F.pmod(F.xxhash64(context), F.lit(groups)))
 
-    def roots(table: pa.Table) -> pa.Table:
+    def ends(table: pa.Table) -> pa.Table:
         k, a, b, w = ctw.group_roots(table["gram"].to_numpy(), table["n"].to_numpy().astype(np.float64))
-        return pa.table({"key": k & ctw.ABOVE, "zeros": a, "ones": b, "split": w})
+        return pa.table({"dealt": pa.array(np.full(len(k), table["dealt"][0].as_py())), "key": k & ctw.ABOVE, "zeros": a, "ones": b, "split": w})
 
-    sums = grouped.applyInArrow(roots, "key long, zeros double, ones double, split double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "split")))
-    # At most 65,536 contexts of 255 nodes, however large the corpus.
-    t = sums.orderBy("key").toArrow()
-    top = ctw.top_levels(*(t[c].to_numpy() for c in ("key", "zeros", "ones", "split")))
-    shared = counts.sparkSession.sparkContext.broadcast(top)
+    ended = grams.groupBy("dealt").applyInArrow(ends, "dealt long, key long, zeros double, ones double, split double")
+    ended = durable(ended.groupBy("dealt", "key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "split"))), "scoring-ends")
+    sums = lambda df, key: df.groupBy(key.alias("key")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "split")))
+    by_two = durable(sums(ended, F.col("key")), "scoring-levels", few_files=True)
+    columns = lambda x: [x.column(c).to_numpy(zero_copy_only=False) for c in ("key", "zeros", "ones", "split")]
 
-    def values(table: pa.Table) -> pa.Table:
-        gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
-        return pa.table({"gram": gram, "n": n, "value": ctw.group_scores(gram, n.astype(np.float64), shared.value)})
+    def weighted(batch: pa.RecordBatch) -> dict:
+        k, a, b, w = columns(batch)
+        level = ctw.level_of(k, a, b, w, ctw.GROUP - 1)
+        return {"key": level.keys, "zeros": level.zeros, "ones": level.ones, "split": level.log_pw}
 
-    return grouped.applyInArrow(values, "gram long, n long, value double")
+    above = map_batches(by_two, lambda: weighted, "key long, zeros double, ones double, split double")
+    last = sums(above, F.col("key").bitwiseAND(F.lit(0xFFFF))).toArrow()  # at most 256 bytes of 255 nodes
+    shared = counts.sparkSession.sparkContext.broadcast(ctw.roots(*(last[c].to_numpy() for c in ("key", "zeros", "ones", "split"))))
+
+    def down(batch: pa.RecordBatch) -> dict:
+        level = ctw.level_of(*columns(batch), ctw.GROUP - 1)
+        one, reach = ctw.go_down(shared.value, level, 1)
+        return {"key": level.keys, "one": one, "reach": reach}
+
+    tops = ended.select("dealt", "key").join(map_batches(by_two, lambda: down, "key long, one double, reach double"), "key")
+
+    def values(left: pa.Table, right: pa.Table) -> pa.Table:
+        gram, n = left["gram"].to_numpy(), left["n"].to_numpy()
+        keys, one, reach = (right[c].to_numpy() for c in ("key", "one", "reach"))
+        order = np.argsort(keys)
+        return pa.table({"gram": gram, "n": n, "value": ctw.group_scores(gram, n.astype(np.float64), ctw.Top(keys[order], one[order], reach[order]))})
+
+    return grams.groupBy("dealt").cogroup(tops.groupBy("dealt")).applyInArrow(values, "gram long, n long, value double")
 
 
 def common(table: DataFrame, key: str, limit: int) -> DataFrame:
@@ -210,7 +228,9 @@ def score(docs: DataFrame, folds: int = FOLDS, common_limit: int = COMMON) -> Da
     end; score is the context-tree model's log10 probability of the words joined by spaces and
     ended by a line feed, and bits_per_byte its code length over that sequence's bytes.
 
-    Null and empty texts are one end token. Rows with a null id are training documents. Repeated
+    Null and empty texts are one end token. Texts are scored whole, in slices of many texts or one text of
+    any length at a time; equal texts score equally. Words are known by 64-bit hashes: among V distinct
+    words two are taken for one with probability V * V / 2**65. Rows with a null id are training documents. Repeated
     rows count and are scored each. With no training documents all counts are 0 and the model
     predicts every bit with 1/2. An empty table gives an empty result. Columns other than doc_id
     and text are ignored.
