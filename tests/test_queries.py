@@ -37,7 +37,7 @@ def test_same_rows(spark, db, sf, name):
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=key) == sorted(rows, key=key)
 
 
-def test_text_units_all_covers_every_byte(spark, tmp_path):
+def test_text_units_covers_every_byte(spark, tmp_path):
     """Every document with text, giant lines too, by brute force."""
     texts = ["", "short\n", "é" * 4_000, "a\n" + "漢x" * 3_000 + "\ntail\n" + "b\n" * 2_000, "y" * 3_000, "y" * 2_999 + "\nz"]
     at = f"file://{tmp_path}"
@@ -54,15 +54,38 @@ def test_text_units_all_covers_every_byte(spark, tmp_path):
     columns = "doc_id ord byte_start byte_end start_line end_line partial".split()
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    sql = con.sql(ORACLES["text_units_all"]).project(", ".join(columns)).fetchall()
-    assert sorted(map(tuple, entry.queries()["text_units_all"](spark, at).select(*columns).collect())) == sorted(sql) == want
+    sql = con.sql(ORACLES["text_units"]).project(", ".join(columns)).fetchall()
+    assert sorted(map(tuple, entry.queries()["text_units"](spark, at).select(*columns).collect())) == sorted(sql) == want
 
 
-def test_search_status_all_counts_every_issue(spark, sf):
+def test_search_status_counts_every_issue(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id", "event_type IN ('error', 'signup', 'purchase') AS bad").collect()
     bad = {r.user_id for r in e if r.bad}
     want = {r.user_id: "interrupted" if r.user_id % 10 == 0 else "incomplete" if r.user_id in bad else "complete" for r in e}
-    assert {r.search: r.status for r in entry.queries()["search_status_all"](spark, sf).collect()} == want
+    assert {r.search: r.status for r in entry.queries()["search_status"](spark, sf).collect()} == want
+
+
+def test_what_a_model_would_be_asked(spark, tmp_path):
+    """navigation_items and selection_questions against the functions of one file, and all units."""
+    import hashlib
+
+    from winnow.operators import sampled
+    from winnow.plans.search import selection_units
+
+    texts = ["short\n", "", "line of text\n" * 3_000, "x" * 40_000, "a\n" * 600, "漢\n" * 9_000]
+    rows = [(i, t, "en" if i % 2 else "de", "src") for i, t in enumerate(texts)]
+    at = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+    got = {r.path: r for r in entry.queries()["navigation_items"](spark, at).collect()}
+    assert {p for p in got if got[p].kind == "directory"} == {"src", "src/de", "src/en"}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for i, t, lang, _ in rows:
+        shown = sampled.file_preview(f"src/{lang}/{i}.txt", t, "which of these?")["text"]
+        r = got[f"src/{lang}/{i}.txt"]
+        assert r.held and r.shown_sha256 == sha(shown) and r.shown_bytes == len(shown.encode())
+    asked = entry.queries()["selection_questions"](spark, at).collect()
+    want = sorted((f"src/{lang}/{i}.txt", n, s, sha(t.encode()[u.byte_start : u.byte_end].decode())) for i, t, lang, _ in rows for n, u in enumerate(selection_units("a.txt", t)) for s in ("relevance", "scope"))
+    assert sorted((r.path, r.ord, r.stage, r.sha256) for r in asked) == want
 
 
 def test_entry(spark):
@@ -71,4 +94,4 @@ def test_entry(spark):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(entry.catalog.queries()) - set(ORACLES) <= {"search_report", "ask_record"}
+    assert set(entry.catalog.queries()) - set(ORACLES) <= {"search_report", "ask_record", "navigation_items", "selection_questions"}

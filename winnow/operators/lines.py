@@ -19,8 +19,12 @@ def line_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def line_at(lines: DataFrame, points: DataFrame, key: str = "doc_id") -> DataFrame:
     """The line of each point (key, byte): the last one that starts at or before it."""
-    hit = lines.join(points, key).where(F.col("byte_start") <= F.col("byte"))
-    return hit.groupBy(key, "byte").agg(F.max("line_no").alias("line_no"))
+    # starts and points in one order: a point's line is the last that began
+    starts = lines.select(key, F.col("byte_start").alias("at"), F.lit(0).alias("asked"), "line_no")
+    asked = points.select(key, F.col("byte").alias("at"), F.lit(1).alias("asked"), F.lit(None).cast("long").alias("line_no")).distinct()
+    order = Window.partitionBy(key).orderBy("at", "asked", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    swept = starts.unionByName(asked).withColumn("line_no", F.max("line_no").over(order))
+    return swept.where("asked = 1 AND line_no IS NOT NULL").select(key, F.col("at").alias("byte"), "line_no")
 
 
 def lines_text(text: Column, first: int, last: int) -> Column:

@@ -33,15 +33,29 @@ def subtract(spans: DataFrame, holes: DataFrame, key: str = "doc_id") -> DataFra
     return merge(left, key)
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+def meeting(left: DataFrame, right: DataFrame, key: str, own: tuple[str, str], other: tuple[str, str], width: int) -> DataFrame:
+    """Pairs of one key whose closed ranges share a point.
+
+    Ranges are dealt to the stretches of ``width`` that they touch and meet there, so ranges far apart
+    in one long text do not; a pair counts where the later of the two begins.
+    """
+    stretch = lambda c: F.floor(F.col(c) / width)
+    dealt = lambda df, a, b: df.where(F.col(a) <= F.col(b)).withColumn("_at", F.explode(F.sequence(stretch(a), stretch(b))))
+    both = dealt(left, *own).join(dealt(right, *other), [key, "_at"])
+    share = (F.col(own[0]) <= F.col(other[1])) & (F.col(own[1]) >= F.col(other[0]))
+    return both.where(share & (F.col("_at") == F.greatest(stretch(own[0]), stretch(other[0])))).drop("_at")
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str = "doc_id", width: int = 64) -> DataFrame:
     """Pairs of closed line ranges of one key that share a line.
 
     left: key, start_line, end_line; right: key, r_start, r_end.
     """
-    return left.join(right, key).where((F.col("start_line") <= F.col("r_end")) & (F.col("end_line") >= F.col("r_start")))
+    return meeting(left, right, key, ("start_line", "end_line"), ("r_start", "r_end"), width)
 
 
-def clip(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+def clip(left: DataFrame, right: DataFrame, key: str = "doc_id", width: int = 4096) -> DataFrame:
     """The parts of half-open spans (span_start, span_end) inside others (clip_start, clip_end)."""
-    meet = left.join(right, key).where((F.col("span_start") < F.col("clip_end")) & (F.col("span_end") > F.col("clip_start")))
+    last = lambda df, a, b, c: df.where(F.col(a) < F.col(b)).withColumn(c, F.col(b) - 1)
+    meet = meeting(last(left, "span_start", "span_end", "_own"), last(right, "clip_start", "clip_end", "_other"), key, ("span_start", "_own"), ("clip_start", "_other"), width).drop("_own", "_other")
     return meet.withColumn("part_start", F.greatest("span_start", "clip_start")).withColumn("part_end", F.least("span_end", "clip_end"))

@@ -125,24 +125,13 @@ def comment_dedup(spark, sf):
 
 # Units and greedy packing
 
-GREEDY_UNITS = ", ok AS (SELECT doc_id FROM vlines GROUP BY doc_id HAVING max(byte_end - byte_start) <= 3000), l AS (SELECT v.* FROM vlines v JOIN ok USING (doc_id)), f(doc_id, line_no, unit, used) AS (SELECT doc_id, 1::BIGINT, 0::BIGINT, byte_end - byte_start FROM l WHERE line_no = 1 UNION ALL SELECT l.doc_id, l.line_no, CASE WHEN f.used + l.byte_end - l.byte_start > 3000 THEN f.unit + 1 ELSE f.unit END, CASE WHEN f.used + l.byte_end - l.byte_start > 3000 THEN l.byte_end - l.byte_start ELSE f.used + l.byte_end - l.byte_start END FROM f JOIN l ON l.doc_id = f.doc_id AND l.line_no = f.line_no + 1) SELECT doc_id, unit AS ord, min(byte_start) AS byte_start, max(byte_end) AS byte_end, min(line_no) AS start_line, max(line_no) AS end_line, count(*) OVER (PARTITION BY doc_id) > 1 AS partial FROM f JOIN l USING (doc_id, line_no) GROUP BY doc_id, unit HAVING max(byte_end) > min(byte_start)"
-
-
-@query(I.sql("vlines", recursive=True) + GREEDY_UNITS)
-def text_units(spark, sf):
-    """Documents that have a line over 3,000 bytes are left out: lines are the SQL's smallest unit."""
-    docs = I.table(spark, sf, "documents")
-    longest = F.array_max(F.transform(F.split("text", "\n", -1), lambda x: F.octet_length(x)))
-    return U.split_texts(docs.where(longest < LIMITS.fallback_unit_bytes))
-
-
 # From each place where a unit can begin: to the text's end, the last line feed or the last character in reach.
 ALL_UNITS = ", size AS (SELECT doc_id, max(byte_end) AS size, max(line_no) AS last FROM vlines GROUP BY doc_id), c AS (SELECT doc_id, line_no, byte_start, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) AS k FROM vlines WHERE byte_end - byte_start > 3000), chars AS (SELECT doc_id, (byte_start + sum(strlen(c)) OVER (PARTITION BY doc_id, line_no ORDER BY k ROWS UNBOUNDED PRECEDING) - strlen(c))::BIGINT AS pos FROM c UNION ALL SELECT doc_id, byte_start + strlen(line) FROM vlines WHERE byte_end - byte_start > 3000), places AS (SELECT doc_id, byte_start AS pos FROM vlines UNION SELECT doc_id, pos FROM chars), reach AS (SELECT p.doc_id, p.pos, s.size, coalesce(v.byte_start, 0) AS feed, coalesce(h.pos, 0) AS chr FROM places p JOIN size s ON s.doc_id = p.doc_id ASOF LEFT JOIN vlines v ON v.doc_id = p.doc_id AND p.pos + 3000 >= v.byte_start ASOF LEFT JOIN chars h ON h.doc_id = p.doc_id AND p.pos + 3000 >= h.pos), step AS (SELECT doc_id, pos, CASE WHEN size <= pos + 3000 THEN size WHEN feed > pos THEN feed ELSE chr END AS nxt FROM reach WHERE pos < size), f(doc_id, ord, a, z) AS (SELECT doc_id, 0::BIGINT, pos, nxt FROM step WHERE pos = 0 UNION ALL SELECT f.doc_id, f.ord + 1, s.pos, s.nxt FROM f JOIN step s ON s.doc_id = f.doc_id AND s.pos = f.z) SELECT f.doc_id, ord, a AS byte_start, z AS byte_end, v.line_no AS start_line, CASE WHEN z = size THEN last ELSE w.line_no END AS end_line, count(*) OVER (PARTITION BY f.doc_id) > 1 AS partial FROM f JOIN size s ON s.doc_id = f.doc_id ASOF JOIN vlines v ON v.doc_id = f.doc_id AND f.a >= v.byte_start ASOF JOIN vlines w ON w.doc_id = f.doc_id AND f.z - 1 >= w.byte_start"
 
 
 @query(I.sql("vlines", recursive=True) + ALL_UNITS)
-def text_units_all(spark, sf):
-    """text_units over every document, those with lines over 3,000 bytes among them."""
+def text_units(spark, sf):
+    """The pieces of every document, those with lines over 3,000 bytes among them."""
     return U.split_texts(I.table(spark, sf, "documents"))
 
 
@@ -157,9 +146,9 @@ UNIT_ROWS = BLOCK_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", u AS (SELECT *
 
 @query(UNIT_ROWS + ", f(doc_id, n, block_start, grp, items, first) AS (SELECT doc_id, n, block_start, 0::BIGINT, 1, a FROM u WHERE n = 1 UNION ALL SELECT u.doc_id, u.n, u.block_start, CASE WHEN f.items >= 3 OR u.z - f.first > 2000 THEN f.grp + 1 ELSE f.grp END, CASE WHEN f.items >= 3 OR u.z - f.first > 2000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items >= 3 OR u.z - f.first > 2000 THEN u.a ELSE f.first END FROM f JOIN u ON u.doc_id = f.doc_id AND u.n = f.n + 1) SELECT doc_id, block_start, grp AS \"group\" FROM f")
 def unit_groups(spark, sf):
-    rows, blocks = block_rows(spark, sf)
-    inside = blocks.join(rows, "doc_id").where("line_no BETWEEN block_start AND block_end")
-    units = inside.groupBy("doc_id", "block_start").agg(F.min("byte_start").alias("a"), F.max("byte_end").alias("z"))
+    # blocks of four lines are found from the line's number
+    rows = I.vlines(spark, sf).withColumn("block_start", F.expr("(line_no - 1) div 4 * 4 + 1"))
+    units = rows.groupBy("doc_id", "block_start").agg(F.min("byte_start").alias("a"), F.max("byte_end").alias("z"))
     return G.groups(units, ["doc_id"], ["block_start"], "a", "z", most_units=3, most_bytes=2000).select("doc_id", "block_start", "group")
 
 
@@ -205,3 +194,23 @@ def three_part_sample(spark, sf):
 def expand_or_score(spark, sf):
     big = (F.col("bytes") <= LIMITS.inspected_bytes) & (X.json_bytes(F.col("path"), F.col("text")) > 10_000)
     return I.vfiles(spark, sf).select("doc_id", F.when(big, "expand").otherwise("score").alias("part"))
+
+
+@query()
+def navigation_items(spark, sf):
+    """Every file and directory as a model would be asked about it: what is shown of it, and whether a request holds it."""
+    from winnow.plans import search
+    from winnow.plans.scorers import SqlScorer
+
+    own = search.Search(I.vfiles(spark, sf).select("path", "text"), "which of these?", SqlScorer(F.lit(0.0)))
+    plan = own.items(own.entries.select("path", "kind"), "navigate")
+    return plan.select("path", "kind", F.sha2("text", 256).alias("shown_sha256"), F.octet_length("text").cast("long").alias("shown_bytes"), F.col("batch").isNotNull().alias("held"))
+
+
+@query()
+def selection_questions(spark, sf):
+    """The questions of the first pass about each unit of every file."""
+    from winnow.plans import search
+
+    plan = search.selection_plan(I.vfiles(spark, sf).select("path", "text"), "which of these?", None)
+    return plan.select("path", "ord", "stage", "key", "name", F.sha2("text", 256).alias("sha256"))
