@@ -56,5 +56,7 @@ def test_digest(odd, empty):
         raw = next(t for i, t in want if i == str(r.doc_id) and len(t.encode()) == r.n_bytes).encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:]) and r.payload_bytes == len(payload)
+        ends = [float(t) for t in r.feature.partition("page_ends=")[2].split(",")]
+        assert ends == sorted(ends) and abs(ends[-1] - len(payload) / media.RATE) < 1e-3
     same = {(r.media_sha256, r.feature) for r in rows if r.n_bytes == len("one two three")}
     assert len(same) == 1

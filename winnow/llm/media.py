@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import map_batches, with_bytes
+from .base import map_slices, with_bytes
 
 RATE = 8000
 #: Fixed values of the container: capture pattern, header layout after it, flags.
@@ -175,7 +175,7 @@ def features(payload: bytes, about: dict) -> str:
     x = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
     rms = float(np.sqrt(np.mean(x * x)))
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"streams={about['streams']};pages={about['pages']};packets={about['packets']};seconds={about['seconds']:.4f};rms={rms:.4f};peak={int(np.abs(x).max())};crossings={crossings}"
+    return f"streams={about['streams']};pages={about['pages']};packets={about['packets']};seconds={about['seconds']:.4f};rms={rms:.4f};peak={int(np.abs(x).max())};crossings={crossings};page_ends={','.join(f'{t:.4f}' for t in about['page_ends'])}"
 
 
 def pad(raw: bytes) -> bytes:
@@ -189,15 +189,18 @@ def store(docs: DataFrame) -> DataFrame:
         raw = batch.column("utf8").to_pylist()
         return {"doc_id": batch.column("doc_id"), "media": [write(pad(x), len(x)) for x in raw]}
 
-    return map_batches(with_bytes(docs, "doc_id"), lambda: one, "doc_id long, media binary")
+    return map_slices(with_bytes(docs, "doc_id"), lambda: one, "doc_id long, media binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Store each document as Ogg, read the stored bytes back, and describe what was read.
 
     One row per row of ``docs`` (columns: ``MEDIA``). Null and empty texts become one block of
-    zeros. Repeated rows and null ids give rows of their own; equal texts give equal values. An
-    empty table gives an empty result. Columns other than doc_id and text are ignored.
+    zeros. Texts of any length are stored whole, one at a time, over as many pages as they need.
+    Repeated rows and null ids give rows of their own; equal texts give equal values, so ties are
+    alike. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+    The feature tells the streams, pages, packets and length in seconds, statistics of the samples,
+    and when each page of sound ends by its granule position.
     """
 
     def one(batch: pa.RecordBatch) -> dict:
@@ -210,4 +213,4 @@ def digest(docs: DataFrame) -> DataFrame:
         names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
         return {"doc_id": batch.column("doc_id")} | dict(zip(names, zip(*out, strict=True), strict=True))
 
-    return map_batches(with_bytes(docs, "doc_id"), lambda: one, MEDIA)
+    return map_slices(with_bytes(docs, "doc_id"), lambda: one, MEDIA)

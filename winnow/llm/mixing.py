@@ -105,7 +105,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, cycle: tuple[int, ...
     if cap != int(cap) or cap < 1:
         raise ValueError("documents are read whole, so the cap is a whole number")
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(docs).alias("key"))
-    keyed = durable(sizes, "mixing-sizes").withColumn("part", F.substring("key", 1, RANGE_DIGITS))
+    keyed = durable(sizes, "mixing-sizes", few_files=True).withColumn("part", F.substring("key", 1, RANGE_DIGITS))
     targets = source_targets(keyed, share, float(cap), cycle)
     sums = keyed.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

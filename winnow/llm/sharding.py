@@ -45,7 +45,7 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     base = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), rendezvous(key, weights).cast("int").alias("shard"), (rendezvous(key, grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"), F.substring(F.md5(F.concat(key, F.lit(":"), F.crc32(raw).cast("string")).cast("binary")), 1, RANGE_DIGITS).alias("range"))
-    base = durable(base, "sharding")
+    base = durable(base, "sharding", few_files=True)
     counts = base.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
