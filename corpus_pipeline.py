@@ -14,6 +14,8 @@ from winnow import session
 from winnow.llm import jaccard, mixing, packing, quality, secrets
 from winnow.llm.base import durable
 
+#: Rows of 32-character hashes that may be sent to every executor, about 20 MB.
+BROADCAST_ROWS = 200_000
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -47,16 +49,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = with_row_id(docs)
     found = jaccard.components(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100)
     per = found.groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    per = durable(per.where("NOT first OR rows > 1"), "pipeline-copies")
+    per = durable(per.where("NOT first OR rows > 1"), "pipeline-copies", few_files=True)
     return without(rows, per).select(*docs.columns)
 
 
 def without(rows: DataFrame, per: DataFrame) -> DataFrame:
-    """``rows`` without those that are not ``first``, and once each of those that ``per`` has more of."""
-    left = rows.join(per, "_row", "left_anti")
+    """``rows`` without those that are not ``first``, and once each of those that ``per`` has more of.
+
+    ``per`` goes to every executor if it has at most BROADCAST_ROWS rows (of a hash each), so that no
+    text is shuffled; else both sides are shuffled by the hash.
+    """
+    sent = F.broadcast if per.count() <= BROADCAST_ROWS else lambda df: df
+    left = rows.join(sent(per.select("_row")), "_row", "left_anti")
     if per.where("first").isEmpty():
         return left
-    return left.unionByName(rows.join(per.where("first").select("_row"), "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.unionByName(rows.join(sent(per.where("first").select("_row")), "_row", "left_semi").dropDuplicates(["_row"]))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +83,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = with_row_id(docs)
     mixed = mixing.mix(rows.select(F.col("_row").alias("doc_id"), "source", "text"))
-    readings = durable(mixed.select(F.col("doc_id").alias("_row"), F.explode("positions").alias("_position")), "pipeline-readings")
-    repeats = durable(rows.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pipeline-repeats")
+    readings = durable(mixed.select(F.col("doc_id").alias("_row"), F.explode("positions").alias("_position")), "pipeline-readings", few_files=True)
+    repeats = durable(rows.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pipeline-repeats", few_files=True)
     once = rows if repeats.isEmpty() else rows.join(repeats, "_row", "left_anti").unionByName(rows.join(repeats, "_row", "left_semi").dropDuplicates(["_row"]))
     return once.join(readings, "_row").orderBy("_position", "_row").select(*docs.columns)
 
