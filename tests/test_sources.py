@@ -122,6 +122,16 @@ def test_pace_keeps_to_both_windows():
     assert half.requests == 2 and half.tokens == 50
 
 
+def test_roots_as_given_and_as_resolved(spark, tmp_path):
+    real, link = tmp_path / "real place", tmp_path / "link"
+    real.mkdir()
+    link.symlink_to(real)
+    got = filetree.roots([f"file://{tmp_path}/link/", f"file://localhost{tmp_path}/real%20place", "https://x/y", "file://far/z", "here", str(link)])
+    assert got == [str(link), str(real)]
+    paths = spark.createDataFrame([(f"{link}/a",), (f"{real}/b",), (f"{tmp_path}/c",), (f"{real}x/d",), (str(link),)], "path string")
+    assert {(r.path, r.root) for r in filetree.inside(paths, [f"file://{link}"]).collect()} == {(f"{link}/a", str(link)), (f"{real}/b", str(real)), (str(link), str(link))}
+
+
 def test_deep_trees_are_read_to_their_end(spark):
     from winnow.plans.navigate import levels
 
@@ -130,6 +140,7 @@ def test_deep_trees_are_read_to_their_end(spark):
     df = spark.createDataFrame(entries, "path string, kind string, parent string")
     got = levels(df, df.select("path").selectExpr("path", "0.9D AS p"))
     assert got.count() == 71 and got.where("kind = 'file'").count() == 1
+    assert {(r.path.count("/") + 1 == r.depth) for r in names.closure(df).collect()} == {True} and names.closure(df).count() == 71
 
 
 def test_no_text_ends_a_worker(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions import paths as P
+from winnow.sources.store import written
 
 
 def glob_regex(pattern: str) -> str:
@@ -97,14 +98,19 @@ def containing_root(paths: DataFrame, roots: list[str]) -> DataFrame:
     return paths.withColumn("root", F.coalesce(*inside)).where("root IS NOT NULL")
 
 
-def closure(entries: DataFrame, most: int = 64) -> DataFrame:
+def closure(entries: DataFrame) -> DataFrame:
     """path, depth of all entries reachable from the root by their parents.
 
-    Level by level from the top: a recursive query in the engine, over entries with a parent.
+    Level by level until one is empty, however deep the tree; a level is a written table.
     """
-    spark = entries.sparkSession
-    entries.select("path", "parent").createOrReplaceTempView("winnow_entries")
-    return spark.sql("WITH RECURSIVE r(path, depth) AS (SELECT '' AS path, 0L AS depth UNION ALL SELECT e.path, r.depth + 1 FROM r JOIN winnow_entries e ON e.parent = r.path WHERE e.path <> '') SELECT path, depth FROM r WHERE path <> ''")
+    rows = entries.where("path <> ''").select("path", "parent")
+    level = rows.where("parent = ''").select("path", F.lit(1).cast("long").alias("depth"))
+    out = front = written(level, "closure")
+    while not front.isEmpty():
+        above = front.select(F.col("path").alias("parent"), "depth")
+        front = written(rows.join(above, "parent").select("path", (F.col("depth") + 1).alias("depth")), "closure")
+        out = out.unionByName(front)
+    return out
 
 
 def record_names(rows: DataFrame, order: str, most: int = 1000) -> DataFrame:

@@ -12,14 +12,16 @@ import hashlib
 import os
 import re
 import stat
+import urllib.parse
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from winnow.functions import paths as P
 from winnow.limits import LIMITS
+from winnow.operators import names
 from winnow.sources.ignore import Rules
 
 SCHEMA = "path string, kind string, parent string, depth int, bytes long, reason string, status string, sha256 string, text string"
@@ -80,6 +82,30 @@ def resolve(path: str, most_links: int = 40) -> str | None:
     return done or "/"
 
 
+def roots(given: list[str]) -> list[str]:
+    """Folders named by path or file URI, each as given and as it resolves, without repeats.
+
+    So a folder that is a link holds its own paths and its target's. URIs of other schemes or hosts,
+    and relative paths, are passed over.
+    """
+    out: list[str] = []
+    for x in given:
+        uri = urllib.parse.urlsplit(x)
+        if uri.scheme == "file" and uri.netloc in ("", "localhost"):
+            path = urllib.parse.unquote(uri.path)
+        else:
+            path = x
+        if path.startswith("/"):
+            path = path.rstrip("/") or "/"
+            out += [path, *filter(None, [resolve(path)])]
+    return list(dict.fromkeys(out))
+
+
+def inside(paths: DataFrame, given: list[str]) -> DataFrame:
+    """The paths under any of the given roots, with the longest that holds each."""
+    return names.containing_root(paths, roots(given))
+
+
 def read_file(root: Path, path: str, most: int = LIMITS.file_bytes) -> tuple[str, str | None, str | None, int]:
     """(status, sha256, text, bytes); the file must be the same before and after the read."""
     full = root / path
