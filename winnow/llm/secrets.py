@@ -283,7 +283,9 @@ def scan(docs: DataFrame, model: Model, path: str = "source", threshold: float =
     is a secret's. An empty table gives an empty result. Columns other than doc_id, text and the path
     are ignored.
     """
-    rows = docs.select("doc_id", F.explode(scored(candidates(F.col("text"), F.col(path)), model)).alias("c"))
+    # the pieces are a column of their own, as the text is to be searched once
+    rows = docs.select("doc_id", F.col(path).alias("_winnow_path"), marked(F.col("text")).alias("_winnow_pieces"))
+    rows = rows.select("doc_id", F.explode(scored(cut_out(F.col("_winnow_pieces"), F.col("_winnow_path")), model)).alias("c"))
     kind = F.when(F.col("c.name") != "", "assigned").when(F.col("c.value").rlike(KNOWN_FORM), "known").otherwise("run")
     end = (F.col("c.start") + F.length("c.value")).cast("int")
     return rows.select("doc_id", F.col("c.start").alias("start"), end.alias("end"), kind.alias("kind"), F.sha2(F.col("c.value"), 256).alias("value_sha256"), F.col("c.score").alias("score"), (F.col("c.score") >= threshold).alias("is_secret"))
