@@ -75,7 +75,7 @@ def test_components_are_those_of_all_pairs(docs, monkeypatch, seed, block):
 
 
 def test_hot_columns_come_last(docs, monkeypatch):
-    """With hardly any column small, the second order of columns and the blocks of its parts are met."""
+    """With hardly any column small, the second order of columns, pairs of columns and blocks are met."""
     monkeypatch.setattr(jaccard, "HOT", 4)
     monkeypatch.setattr(jaccard, "SMALL", 3)
     monkeypatch.setattr(jaccard, "ELEMENTS", 600)
@@ -83,6 +83,19 @@ def test_hot_columns_come_last(docs, monkeypatch):
     agree(jaccard.components(docs([(i, t, "s") for i, t in rows])), rows)
 
 
+def test_pairs_of_columns_hold_every_link(docs, monkeypatch):
+    """Documents of a few common passages only, whose every column is hot."""
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    r = random.Random(9)
+    passages = [" ".join(f"p{k}w{i}" for i in range(r.choice([6, 12, 20]))) for k in range(7)]
+    rows = [(i, " ".join(r.sample(passages, r.choice([1, 2, 3, 5])))) for i in range(90)]
+    rows += [(100 + i, " ".join([*r.sample(passages, 4), "tail"][: r.choice([4, 5])])) for i in range(40)]
+    agree(jaccard.components(docs([(i, t, "s") for i, t in rows])), rows)
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.components(docs([(i, t, "s") for i, t in rows]), 3, 60, 100).collect()), key=key)
+    assert got == sorted(brute(rows, 60, 100), key=key)
+
+
 def test_five_words_and_four_fifths(docs):
     rows = made(6)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs([(i, t, "s") for i, t in rows]), 5, 80, 100).collect()), key=key)

@@ -7,7 +7,9 @@ overlaps. What is computed of it:
 2. Columns stand in one order for all rows, rare ones first as far as a sketch of the columns' sums
    can tell. If two rows overlap by the bound, they share a column among each one's first
    n - ceil(num n / den) + 1. Only rows that meet in such a column can link. Where columns turn out
-   to hold more than ``HOT`` rows, the prefixes are taken again with those columns last.
+   to hold more than ``HOT`` rows, the prefixes are taken again with those columns last. Rows of a column
+   that is hot still meet by it and a second column: rows that link share two at least, the second
+   within one more place of each one's order.
    A column of several rows is divided into parts by size, in which rows too unequal to link do not meet.
 3. Two rows are possible links if their sizes and the parity maps of their sets leave the bound
    possible. In each column the rows possible with its leader are tied to it; rows that are not tied
@@ -49,7 +51,7 @@ BLOCK, ELEMENTS = 512, 1 << 21
 #: Columns and clusters of at most so many rows are worked on together with others.
 SMALL = 64
 #: Columns of more rows come last in a second order of columns; at most so many are sent to executors,
-#: the fullest. Rows that still meet in such a column are compared in blocks like any others.
+#: the fullest.
 HOT, HOT_MOST = 20_000, 1 << 18
 CELL = "struct<kind:int,a:bigint,b:bigint>"
 #: Bits of the filter that says which classes' sets are wanted: 16 for each class, within these powers
@@ -117,7 +119,8 @@ def prefixes(docs: DataFrame, classes: np.ndarray, hot: np.ndarray, words: int,
     """column, key: the columns of each class's prefix, once for each task that meets the class.
 
     ``column`` holds the row's size class above ``COLUMN_BITS`` bits of the column's hash. The columns
-    in ``hot``, sorted, come after all others.
+    in ``hot``, sorted, come after all others. The column after the prefix is given too, marked by the
+    sign bit.
     """
     step = size_step(num, den)
     shared = docs.sparkSession.sparkContext.broadcast((classes, hot))  # 2 ** CELL_BITS bytes, HOT_MOST numbers
@@ -144,10 +147,11 @@ def prefixes(docs: DataFrame, classes: np.ndarray, hot: np.ndarray, words: int,
             place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
             shingles.sort_each(order, size)
             length = size - -(-num * size // den) + 1
-            taken = place < length[doc]
-            doc = doc[taken]
+            taken = place <= length[doc]
+            doc, place = doc[taken], place[taken]
             band = np.floor(np.log(np.maximum(size, 1)) / step).astype(np.int64)[doc]
-            return {"column": (band << COLUMN_BITS) | column_hash(order[taken] << np.uint64(4)), "key": key[doc]}
+            column = (band << COLUMN_BITS) | column_hash(order[taken] << np.uint64(4))
+            return {"column": np.where(place == length[doc], column | np.iinfo(np.int64).min, column), "key": key[doc]}
 
         return one
 
@@ -166,6 +170,16 @@ def shared_columns(table: DataFrame) -> DataFrame:
     return durable(per.where("a <> b").select("bare", "rows"), "jaccard-several", few_files=True)
 
 
+def pair_columns(table: DataFrame, hot: DataFrame) -> DataFrame:
+    """column, key: rows of hot columns (bare) by each pair of such a column and another of the row's."""
+    bare = F.col("column").bitwiseAND(F.lit((1 << COLUMN_BITS) - 1))
+    own = table.where("column >= 0").withColumn("bare", bare).join(hot.select("bare"), "bare").select("bare", "column", "key").distinct()
+    other = table.select(bare.alias("other"), "key").distinct()
+    pair = F.xxhash64(F.least("bare", "other"), F.greatest("bare", "other")).bitwiseAND(F.lit((1 << COLUMN_BITS) - 1))
+    band = F.col("column").bitwiseAND(F.lit(~((1 << COLUMN_BITS) - 1)))
+    return own.join(other, "key").where("bare <> other").select(band.bitwiseOR(pair).alias("column"), "key").distinct()
+
+
 def hot_columns(several: DataFrame) -> np.ndarray:
     """The columns of more than HOT rows, sorted; the fullest HOT_MOST if there are more."""
     found = several.where(F.col("rows") > HOT).orderBy(F.col("rows").desc(), "bare").limit(HOT_MOST).select("bare").toArrow()
@@ -521,15 +535,21 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def possible_clusters(docs: DataFrame, meta: DataFrame, level: np.ndarray, words: int, seed: int, num: int, den: int) -> DataFrame:
     """node, root: classes joined by possible links."""
     table = durable(prefixes(docs, level, np.zeros(0, dtype=np.int64), words, seed, num, den), "jaccard-prefixes")
-    several = shared_columns(table)
+    several = shared_columns(table.where("column >= 0"))
     if len(hot := hot_columns(several)):
         discard(table, several)
         table = durable(prefixes(docs, level, hot, words, seed, num, den), "jaccard-prefixes")
-        several = shared_columns(table)
-    members = meetings(table, several)
+        several = shared_columns(table.where("column >= 0"))
+    still = several.where(F.col("rows") > HOT)
+    members = meetings(table.where("column >= 0"), several.where(F.col("rows") <= HOT))
+    if not still.isEmpty():
+        pairs = durable(pair_columns(table, still), "jaccard-pairs")
+        more = shared_columns(pairs)
+        members = members.unionByName(meetings(pairs, more))
+        discard(pairs, more)
     discard(table, several)
     tied = ties(members, meta, num, den)
     inner = connected(tied)
     out = connected(tied.union(open_ties(members, inner, meta, num, den)))
-    discard(members, inner)
+    discard(inner)
     return out
