@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,20 +20,21 @@ MINUTE, SECOND = 60_000_000, 1_000_000
 def admit(held: list[tuple[int, int]], now: int, tokens: int, limits: Limits) -> tuple[int, int, float]:
     """(requests of the last minute, tokens of the last second, seconds to wait) with this attempt.
 
-    Windows are half-open: what is exactly a minute or second old has left.
+    ``held``: (microseconds, tokens) of earlier attempts, sorted. Windows are half-open: what is exactly
+    a minute or second old has left.
     """
-    minute = [t for t, _ in held if now - t < MINUTE]
-    second = [(t, n) for t, n in held if now - t < SECOND]
-    used, wait = sum(n for _, n in second), 0
-    if len(minute) >= limits.requests_per_minute:
-        wait = sorted(minute)[len(minute) - limits.requests_per_minute] + MINUTE - now
+    minute = bisect.bisect_right(held, (now - MINUTE, math.inf))
+    second = held[bisect.bisect_right(held, (now - SECOND, math.inf)) :]
+    number, used, wait = len(held) - minute, sum(n for _, n in second), 0
+    if number >= limits.requests_per_minute:
+        wait = held[minute + number - limits.requests_per_minute][0] + MINUTE - now
     over = used + tokens - limits.tokens_per_second
-    for t, n in sorted(second):
+    for t, n in second:
         if over <= 0:
             break
         over -= n
         wait = max(wait, t + SECOND - now)
-    return len(minute) + 1, used + tokens, wait / SECOND
+    return number + 1, used + tokens, wait / SECOND
 
 
 def rate_budget(attempts: DataFrame, limits: Limits = LIMITS, late: str = "1 minute") -> DataFrame:
@@ -42,12 +45,13 @@ def rate_budget(attempts: DataFrame, limits: Limits = LIMITS, late: str = "1 min
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(zip(*state.get, strict=True)) if state.exists else []
+        held = sorted(zip(*state.get, strict=True)) if state.exists else []
         rows = []
         for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
             now = int(r.ts.value // 1000)
             rows.append((key[0], r.event_id, r.ts, *admit(held, now, int(r.tokens), limits)))
-            held = [(t, n) for t, n in held if now - t < MINUTE] + [(now, int(r.tokens))]
+            bisect.insort(held, (now, int(r.tokens)))
+        held = held[bisect.bisect_right(held, (now - MINUTE, math.inf)) :]
         state.update(([t for t, _ in held], [n for _, n in held]))
         if held:
             state.setTimeoutTimestamp(max(held[-1][0] // 1000 + 60_001, state.getCurrentWatermarkMs() + 1))
