@@ -79,6 +79,14 @@ def test_rows_that_differ_in_nulls_alone(spark, docs, sf):
     assert dict(corpus_pipeline.STAGES)["near_copies"](spark, rows, sf).count() == 1
 
 
+def test_copies_leave_by_either_join(spark, docs, sf, monkeypatch):
+    rows = docs([(i, f"t{i % 7} b c d e f g", "s") for i in range(20)] + [(0, "t0 b c d e f g", "s")])
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    sent = stage(spark, rows, sf).collect()
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", 0)
+    assert Counter(sent) == Counter(stage(spark, rows, sf).collect()) and len({r.text for r in sent}) == len(sent) == 7
+
+
 def test_readings_stand_apart(spark, docs, sf):
     """The second epoch of a source follows the first."""
     rows = docs([(i, f"t{i} b c d", "s0") for i in range(20)])

@@ -35,6 +35,36 @@ def test_remembered_words_score_as_features_do(monkeypatch):
     assert np.allclose(got, [direct(t, model) for t in texts], atol=1e-6)
 
 
+def test_training_step_by_step(monkeypatch):
+    """The same steps written out feature by feature, with the same starting vectors and order."""
+    monkeypatch.setattr(quality, "BUCKETS", 1 << 12)
+    texts = [(b"calm sea", 1), (b"calm calm calm", 0), (b"high tide at noon", 1), (b"noon noon", 0), (b"", 1), (b"sea", 1)]
+    dims, epochs, rate = 3, 3, 0.4
+    got = quality.train(texts, epochs=epochs, rate=rate, dims=dims, seed=5)
+    rng = np.random.default_rng(5)
+    vectors = rng.uniform(-1 / dims, 1 / dims, (quality.BUCKETS, dims)).astype(np.float32).astype(float)
+    output, offset = np.zeros((2, dims)), [0.0, float(np.log(5 / 3))]
+    data = [(dict(zip(*(x.tolist() for x in quality.document_features(t)), strict=True)), y) for t, y in texts if t]
+    step = 0
+    for _ in range(epochs):
+        for k in rng.permutation(len(data)):
+            shares, y = data[k]
+            lr = rate * (1 - step / (epochs * len(data)))
+            step += 1
+            hidden = [sum(w * vectors[f][d] for f, w in shares.items()) for d in range(dims)]
+            z = [sum(output[c][d] * hidden[d] for d in range(dims)) + offset[c] for c in (0, 1)]
+            e = [np.exp(v - max(z)) for v in z]
+            error = [e[c] / sum(e) - (c == y) for c in (0, 1)]
+            back = [lr * sum(error[c] * output[c][d] for c in (0, 1)) for d in range(dims)]
+            for c in (0, 1):
+                for d in range(dims):
+                    output[c][d] -= lr * error[c] * hidden[d]
+            for f in shares:
+                for d in range(dims):
+                    vectors[f][d] -= back[d]
+    assert np.allclose(got.logits, vectors @ (output[1] - output[0]), atol=1e-4)
+
+
 def test_held_out_documents_are_told_apart(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in queries.op1_quality(spark, sf).collect()}

@@ -24,6 +24,35 @@ def test_chain_feeds_earlier_probabilities_on():
     assert np.allclose(got, np.column_stack([first, second]), atol=1e-5)
 
 
+def test_training_step_by_step(monkeypatch):
+    """Follow the regularized leader written out weight by weight, and the chain's out-of-fold input."""
+    monkeypatch.setattr(toxicity, "BUCKETS", 64)
+    monkeypatch.setattr(toxicity, "L1", 0.3)
+    rng = np.random.default_rng(2)
+    features = [np.unique(rng.integers(0, 64, 6)) for _ in range(12)]
+    earlier, y = rng.random((12, 1)), (rng.random(12) < 0.5).astype(float)
+    got = toxicity.fit_linear(features, earlier, y, epochs=2, seed=8)
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= (0.3 if i < 64 else 0.0):
+            return 0.0
+        return ((0.3 if i < 64 else 0.0) * (1 if z[i] > 0 else -1) - z[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA)
+
+    order = np.random.default_rng(8)
+    for _ in range(2):
+        for r in order.permutation(12):
+            x = {int(i): 1.0 for i in features[r]} | {64: earlier[r, 0], 65: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y[r]) * x[i]
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert np.allclose(got.weights, [weight(i) for i in range(64)], atol=1e-5)
+    assert np.allclose([got.chain[0], got.bias], [weight(64), weight(65)])
+
+
 def test_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in queries.op7_toxicity(spark, sf).collect()}
