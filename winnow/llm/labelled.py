@@ -15,7 +15,13 @@ def in_fold(doc_id: Column, folds: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, columns: list[str], folds: int, rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> list[tuple]:
-    """(text bytes, *labels) of labelled documents outside the held-out fold.
+    """The rows of ``sampled``, on the driver: (text bytes, *labels)."""
+    found = sampled(docs, labels, columns, folds, rows, limit)
+    return [(bytes(r[0]), *r[1:]) for r in found.collect()] if found is not None else []
+
+
+def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], folds: int, rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> DataFrame | None:
+    """utf8, label_0, ... of labelled documents outside the held-out fold, in one partition; None if there are none.
 
     Ids are taken in the order of the MD5 of their text form, so the choice depends on nothing
     else; the sample ends at ``rows`` documents or at ``limit`` bytes of whole texts (one at least). Rows with a
@@ -41,6 +47,6 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], folds: int, r
             break
         kept, last = kept + 1, r
     if not kept:
-        return []
+        return None
     upto = found.where(F.struct("order", "doc_id", "size") <= F.struct(F.lit(last["order"]), F.lit(last["doc_id"]).cast(docs.schema["doc_id"].dataType), F.lit(last["size"]).cast("long")))
-    return [(bytes(r.utf8), *[r[n] for n in names]) for r in upto.orderBy(*order, "utf8").limit(kept).collect()]
+    return upto.orderBy(*order, "utf8").limit(kept).select("utf8", *names)

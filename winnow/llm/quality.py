@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .base import byte_slices, in_slices, map_slices, with_bytes
-from .labelled import SAMPLE_BYTES, SAMPLE_ROWS, sample
+from .labelled import SAMPLE_BYTES, SAMPLE_ROWS, sampled
 
 BUCKETS, DIMS, EPOCHS, RATE = 1 << 18, 8, 8, 0.3
 SHORTEST, LONGEST = 3, 5
@@ -211,5 +211,19 @@ def keep(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> Model:
-    """Train on at most ``rows`` labelled documents, of ``limit`` bytes in all, outside the held-out fold."""
-    return train(sample(docs, labels, ["quality"], folds, rows, limit))
+    """Train on at most ``rows`` labelled documents, of ``limit`` bytes in all, outside the held-out fold.
+
+    One task holds the sample and trains; only the model comes back.
+    """
+    found = sampled(docs, labels, ["quality"], folds, rows, limit)
+    if found is None:
+        return train([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = [(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        model = train(data)
+        yield pa.RecordBatch.from_arrays([pa.array([model.logits.tobytes()], pa.binary()), pa.array([model.bias])], names=["logits", "bias"])
+
+    # the limit's rows meet in one partition; coalesce says so where there are none left
+    r = found.coalesce(1).mapInArrow(run, "logits binary, bias double").first()
+    return Model(np.frombuffer(bytes(r.logits), dtype=np.float32), r.bias)
