@@ -88,11 +88,11 @@ def subtract_spans(spark, sf):
     return S.subtract(I.vspans(spark, sf), holes)
 
 
-@query(BLOCK_SQL + " SELECT b.doc_id, b.block_start, v.line_no AS r_start, v.line_no + 1 AS r_end FROM blocks b JOIN vlines v ON v.doc_id = b.doc_id AND v.line_no % 7 = 0 AND b.block_start <= v.line_no + 1 AND b.block_end >= v.line_no")
+@query(BLOCK_SQL + " SELECT b.doc_id, b.block_start, v.line_no AS r_start, v.line_no + 1 AS r_end FROM blocks b JOIN vlines v ON v.doc_id = b.doc_id AND b.block_start <= v.line_no + 1 AND b.block_end >= v.line_no")
 def interval_overlap(spark, sf):
     rows, blocks = block_rows(spark, sf)
     left = blocks.withColumnsRenamed({"block_start": "start_line", "block_end": "end_line"})
-    right = rows.where("line_no % 7 = 0").select("doc_id", F.col("line_no").alias("r_start"), (F.col("line_no") + 1).alias("r_end"))
+    right = rows.select("doc_id", F.col("line_no").alias("r_start"), (F.col("line_no") + 1).alias("r_end"))
     return S.overlapping(left, right).select("doc_id", F.col("start_line").alias("block_start"), "r_start", "r_end")
 
 
@@ -102,10 +102,10 @@ def interval_clip(spark, sf):
     return S.clip(I.vspans(spark, sf), right).select("doc_id", "n", "line_no", "part_start", "part_end")
 
 
-@query(BLOCK_SQL + " SELECT b.doc_id, b.block_start, greatest(b.block_start - 3, 1) AS window_start, least(b.block_end + 3, n) AS window_end FROM blocks b JOIN last USING (doc_id) WHERE (b.block_start // 4) % 3 = 0")
+@query(BLOCK_SQL + " SELECT b.doc_id, b.block_start, greatest(b.block_start - 3, 1) AS window_start, least(b.block_end + 3, n) AS window_end FROM blocks b JOIN last USING (doc_id)")
 def excerpt_windows(spark, sf):
     rows, blocks = block_rows(spark, sf)
-    ranges = blocks.where("(block_start div 4) % 3 = 0").withColumnsRenamed({"block_start": "start_line", "block_end": "end_line"})
+    ranges = blocks.withColumnsRenamed({"block_start": "start_line", "block_end": "end_line"})
     last = rows.groupBy("doc_id").agg(F.max("line_no").alias("last"))
     return L.windows(ranges, last).select("doc_id", F.col("start_line").alias("block_start"), "window_start", "window_end")
 

@@ -69,11 +69,11 @@ def path_hash_lookup(spark, sf):
     return R.above(scores(spark, sf), "p1").select("path").join(snapshots, "path")
 
 
-@query(I.sql("vscore") + "SELECT path, p1 AS score, 'item' AS kind FROM vscore UNION ALL SELECT path, p2, 'chunk' FROM vscore WHERE doc_id % 4 = 0")
+@query(I.sql("vscore") + "SELECT path, p1 AS score, 'item' AS kind FROM vscore UNION ALL SELECT path, p2, 'chunk' FROM vscore")
 def scored_union(spark, sf):
     s = scores(spark, sf)
     items = s.select("path", F.col("p1").alias("score"), F.lit("item").alias("kind"))
-    return items.unionByName(s.where("doc_id % 4 = 0").select("path", F.col("p2").alias("score"), F.lit("chunk").alias("kind")))
+    return items.unionByName(s.select("path", F.col("p2").alias("score"), F.lit("chunk").alias("kind")))
 
 
 @query(RANGES + " SELECT path, max(relevance) AS relevance FROM ranges GROUP BY path")
@@ -123,9 +123,9 @@ def result_projection(spark, sf):
     return shown.select(F.concat(F.lit("/base/"), "path").alias("path"), "score", "range.start_line", "range.end_line", "range.relevance")
 
 
-@query(I.sql("vscore") + "SELECT path, p1 FROM vscore WHERE doc_id % 6 = 0 AND p1 > 0.5 ORDER BY p1 DESC, path LIMIT 1")
+@query(I.sql("vscore") + "SELECT path, p1 FROM vscore WHERE p2 > 0.5 AND p1 > 0.5 ORDER BY p1 DESC, path LIMIT 1")
 def anchor_pick(spark, sf):
-    usable = scores(spark, sf).where("doc_id % 6 = 0").select("path", "p1")
+    usable = scores(spark, sf).where("p2 > 0.5").select("path", "p1")
     return R.top_files(R.above(usable, "p1"), 1, "p1")
 
 
