@@ -51,16 +51,48 @@ def durable(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._winnow_path = path
+    if _scratch:
+        _scratch[-1].append(path)
     return out
 
 
+#: Tables written inside the open ``scratch`` blocks, by path.
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables written inside, when the block ends. Gives a function to keep a table by, for
+    those that what is handed out still reads."""
+    made, kept = [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._winnow_path)
+        return df
+
+    _scratch.append(made)
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        for path in made:
+            if path not in kept:
+                delete(spark, path)
+            elif _scratch:
+                _scratch[-1].append(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:
         if path := getattr(t, "_winnow_path", None):
-            context = t.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            delete(t.sparkSession, path)
 
 
 @contextlib.contextmanager

@@ -28,7 +28,7 @@ hashes: two of one text's n shingles agree by chance with probability n * n / 2*
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from . import shingles
-from .base import byte_slices, discard, durable, map_slices, record, settings, with_bytes
+from .base import byte_slices, discard, durable, map_slices, record, scratch, settings, with_bytes
 from .graph import connected
 
 #: Cells of the sketch of column sums, and into how many pieces it is cut.
@@ -505,11 +505,12 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -
     if not 2 * num > den >= num:
         raise ValueError("num / den must be above 1/2 and at most 1")
     # batches of a few MB, so that neither side holds many texts
-    with settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch="4m", spark__sql__execution__arrow__maxRecordsPerBatch="4096"):
-        return _components(docs, words, num, den)
+    spark = docs.sparkSession
+    with settings(spark, spark__sql__execution__arrow__maxBytesPerBatch="4m", spark__sql__execution__arrow__maxRecordsPerBatch="4096"), scratch(spark) as keep:
+        return _components(docs, words, num, den, keep)
 
 
-def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _components(docs: DataFrame, words: int, num: int, den: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     seed = 0
     while True:
         first = durable(first_pass(docs, words, seed, num, den), "jaccard-first")
@@ -527,7 +528,7 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     named = classes.select("key", "least_id").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = durable(named.join(least, "root").select("key", "component_id"), "jaccard-components", few_files=True)
-    discard(classes, clusters, roots)
+    keep(first), keep(ids)  # the result reads these, all others go
     out = rows.select("doc_id", "n", "key").join(ids, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import ctw
-from .base import durable, in_slices, map_batches, record
+from .base import durable, in_slices, map_batches, record, scratch
 from .labelled import in_fold
 
 #: Grams and words, each, that every executor holds.
@@ -239,7 +239,8 @@ def score(docs: DataFrame, folds: int = FOLDS, common_limit: int = COMMON) -> Da
     counts = durable(count(docs, folds), "scoring-counts")
     words = counts.where((F.col("kind") == WORD) & (F.col("n") > 0))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = durable(gram_values(counts), "scoring-model")
+    with scratch(spark) as keep:
+        model = keep(durable(gram_values(counts), "scoring-model"))
     g = common(model, "gram", common_limit).select("gram", "value").toArrow()
     w = common(words, "key", common_limit).select("key", "n").orderBy("key").toArrow()
     shared = spark.sparkContext.broadcast((g["gram"].to_numpy(), g["value"].to_numpy(), w["key"].to_numpy(), np.log10(w["n"].to_numpy() + PRIOR)))
