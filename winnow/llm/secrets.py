@@ -170,7 +170,7 @@ def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     word = lambda salt: pick(salt, *[w for w in DICTIONARY if len(w) > 3])
     words = F.concat(word("a"), pick("u", "_", "-", ""), word("b"), pick("v", "_", "-", ""), word("c"), word("d"), pick("w", "", "1", "123", "01"))
     good = F.concat(name, eq, quote, F.when(i % 3 == 0, hexes("h", 64).substr(F.lit(1), length)).when(i % 3 == 1, F.upper(hexes("h", 64).substr(F.lit(1), length))).otherwise(mixed(64).substr(F.lit(1), length)), quote)
-    known = pick("k", F.concat(F.lit("AKIA"), F.upper(hexes("k", 16))), F.concat(F.lit("ghp_"), mixed(36)), F.concat(F.lit("xoxb-"), hexes("k", 24)), F.concat(F.lit("eyJ"), mixed(20), F.lit("."), hexes("j", 24), F.lit("."), hexes("m", 20)), F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(pick("lines", F.concat(raw, F.lit("\n")), F.concat(F.substring(raw, 1, 40), F.lit("x" * 40 + "\n"))), F.pmod(F.xxhash64(i, F.lit("body")), F.lit(30)).cast("int") + 1), F.lit("-----END RSA PRIVATE KEY-----")))
+    known = pick("k", F.concat(F.lit("AKIA"), F.upper(hexes("k", 16))), F.concat(F.lit("ghp_"), mixed(36)), F.concat(F.lit("xoxb-"), hexes("k", 24)), F.concat(F.lit("eyJ"), mixed(20), F.lit("."), hexes("j", 24), F.lit("."), hexes("m", 20)), F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(pick("lines", F.concat(raw, F.lit("\n")), F.concat(F.substring(raw, 1, 40), F.lit("x" * 40 + "\n")), F.concat(F.substring(raw, 1, 4), F.lit("A" * 60 + "\n"))), F.pmod(F.xxhash64(i, F.lit("body")), F.lit(30)).cast("int") + 1), F.lit("-----END RSA PRIVATE KEY-----")))
     harmless = F.concat(pick("g", "commit ", "sha256 ", "checksum ", "md5 = ", "digest: ", "etag ", "revision ", "integrity="), hexes("d", 64).substr(F.lit(1), length + 24))
     bare = pick("z", F.concat(words, F.lit("_"), words), F.concat(word("e"), word("f"), word("a"), word("b"), word("c"), word("d")), hexes("y", 32), F.concat(hexes("t", 8), F.lit("-"), hexes("p", 4), F.lit("-"), hexes("o", 12)))
     # what is said or written: syllables in a row, in a sentence and, with capitals, digits and signs, in a passphrase
