@@ -42,13 +42,16 @@ def durable(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
     A lost executor costs no recomputation above this point, and several readers share one
     evaluation. With ``few_files``, for tables that are small beside the work above them, at most two
     tasks a core write, each what several of the last shuffle's partitions come to, one after another.
+    The shuffle files of the write go when it ends, not when the driver next collects garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow/{label}-{uuid.uuid4().hex}"
     if few_files:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     # nobody waits for the marker of a finished write: the table is read by this call's own plan
-    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    write = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._winnow_path = path
     if _scratch:
