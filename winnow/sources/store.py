@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir, or its context's checkpoint
@@ -22,7 +24,16 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: evaluated once, with no lineage above."""
-    path = f"{folder(df.sparkSession)}/winnow/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder, read back: evaluated once, with no lineage above.
+
+    The shuffle files of the write go when it ends, not when the driver next collects garbage.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/winnow/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
