@@ -131,8 +131,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, spark_schema)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, column: str = "utf8", limit: int = 1 << 20) -> DataFrame:
-    """As map_batches, but in slices of about ``limit`` bytes of a binary column, each put out at once,
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, column: str = "utf8", limit: int = 1 << 20, rows: int = 4096) -> DataFrame:
+    """As map_batches, but in slices of about ``limit`` bytes of a binary column and ``rows`` rows, each put out at once,
     so that a worker holds the arrays of one slice whatever the batch."""
     spark_schema = StructType.fromDDL(schema)
     arrow = to_arrow_schema(spark_schema)
@@ -140,7 +140,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in byte_slices(batch, column, limit):
+            for part in byte_slices(batch, column, limit, rows):
                 if (out := f(part)) is not None:
                     yield record(out, arrow)
 

@@ -48,4 +48,32 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
 FROM c JOIN w USING (doc_id)
 """
 
-ORACLES = {"op9_sharding": OP9, "op10_topk": OP10, "op6_jaccard_join": OP6, "op2_mixing": OP2}
+# CRC-32 of each different word, as in OP9.
+OP12 = r"""
+WITH tab AS (SELECT list(list_reduce(range(0, 8)::BIGINT[], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM (SELECT unnest(range(0, 256))::BIGINT AS n)),
+d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM benchmark),
+x AS (SELECT i, w, count(*) AS n FROM (SELECT i, unnest(a) AS w FROM d) GROUP BY ALL), y AS (SELECT w, count(*) AS n FROM (SELECT unnest(a) AS w FROM b) GROUP BY w),
+h AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM x UNION SELECT w FROM y)),
+c AS (SELECT w, xor(list_reduce([('0x' || h[i:i + 1])::BIGINT FOR i IN range(1, length(h), 2)], lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM h, tab),
+s AS (SELECT bucket, sum(n) AS s FROM x JOIN c USING (w) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM y JOIN c USING (w) GROUP BY bucket),
+z AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), z),
+v AS (SELECT i, sum(n * gain)::BIGINT AS weight FROM x JOIN c USING (w) JOIN g USING (bucket) GROUP BY i),
+r AS (SELECT i, doc_id, len(a)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM d LEFT JOIN v USING (i)),
+k AS (SELECT *, weight + noise AS score, row_number() OVER (ORDER BY n_features < 20, weight + noise DESC, doc_id NULLS LAST) AS rank FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r WHERE n_features >= 20) THEN rank END::BIGINT AS rank FROM k
+"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM documents),
+q AS (SELECT own, item_id, w, count(*) AS k FROM (SELECT row_number() OVER () AS own, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY ALL),
+z AS (SELECT count(*) FILTER (len(a) > 0)::BIGINT AS N, sum(len(a))::BIGINT AS L FROM d),
+p AS (SELECT i, w, count(*) AS tf FROM (SELECT i, unnest(a) AS w FROM d) SEMI JOIN q USING (w) GROUP BY ALL),
+f AS (SELECT w, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, z GROUP BY w, N),
+x AS (SELECT p.i, w, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(a)::BIGINT * N) // L))) AS part FROM p JOIN d USING (i) JOIN f USING (w), z),
+s AS (SELECT own, item_id, i, sum(k * part)::BIGINT AS score FROM q JOIN x USING (w) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY own ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN d USING (i) WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLES = {"op9_sharding": OP9, "op10_topk": OP10, "op6_jaccard_join": OP6, "op2_mixing": OP2, "op12_resampling": OP12, "op13_ranked": OP13}
