@@ -73,7 +73,7 @@ def test_rows_that_differ_in_nulls_alone(spark, docs, sf):
     one = docs([(1, "a b c d e f g", "a")]).withColumn("lang", F.lit(None).cast("string"))
     other = docs([(1, "a b c d e f g", None)]).withColumn("lang", F.lit("a"))
     rows = one.unionByName(other)
-    assert corpus_pipeline.with_row_id(rows).select("_row").distinct().count() == 2
+    assert corpus_pipeline.with_key(rows).select("key").distinct().count() == 2
     mixed = Counter(dict(corpus_pipeline.STAGES)["mixing"](spark, rows, sf).collect())
     assert set(mixed) <= set(rows.collect()) and max(mixed.values()) <= 2 and len(mixed) == 2
     assert dict(corpus_pipeline.STAGES)["near_copies"](spark, rows, sf).count() == 1
@@ -114,3 +114,47 @@ def test_odd_rows(spark, odd, docs, sf, name):
     if name == "near_copies":
         # four rows with equal text are one; the others stand alone
         assert n == odd.count() - 2
+
+
+def test_columns_of_any_name_come_through(spark, docs, sf):
+    """Columns named as a stage might name its own, with their values."""
+    rows = [(i, f"row {i} of text " + " ".join(f"w{i}x{j}" for j in range(40)) + f' token = "{i:040x}"', "ab"[i % 2]) for i in range(1, 30)]
+    df = docs(rows)
+    names = ("_row", "_position", "_winnow_pieces", "_winnow_text", "_winnow_found", "_winnow_changed", "row", "key", "pieces", "found", "changed", "position", "n", "first", "block", "file", "at")
+    for n in names:
+        df = df.withColumn(n, F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns and out.schema.simpleString() == df.schema.simpleString()
+        got = out.collect()
+        assert name == "quality" or got
+        assert all(r[n] == f"{n} {r.doc_id}" for r in got for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, df, sf).count()
+
+
+def test_sequences_follow_the_schedule(spark, sf, tmp_path):
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    at = f"file://{tmp_path}/mixed"
+    stage["mixing"](spark, docs, sf).write.parquet(at)
+    mixed = spark.read.parquet(at)
+    own = mixed.metadataColumn("_metadata")
+    order = [r.doc_id for r in mixed.select("doc_id", own["file_name"].alias("f"), own["row_index"].alias("i")).orderBy("f", "i").collect()]
+    assert max(Counter(order).values()) == 2
+    pieces = stage["packing"](spark, mixed, sf).orderBy("sequence_id", "offset").collect()
+    starts = [p.doc_id for p in pieces if p.start == 0]
+    assert Counter(starts) == Counter(order)
+    # each reading is packed within a block of rows of its place in the schedule
+    step = len(order) // 16 + 1
+    places = {i: [n for n, x in enumerate(order) if x == i] for i in set(order)}
+    for i, where in places.items():
+        assert all(abs(a - b) <= 2 * step for a, b in zip(where, [n for n, x in enumerate(starts) if x == i], strict=True))
+    # no sequence holds two readings of a document
+    held = {}
+    for p in pieces:
+        held.setdefault(p.sequence_id, []).append((p.doc_id, p.start))
+    begun = Counter()
+    for s in sorted(held):
+        mine = [i for i, start in held[s] if start == 0]
+        assert len(mine) == len(set(mine))
+        begun.update(mine)

@@ -14,12 +14,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -31,6 +31,8 @@ END_ID = 1
 BUCKETS, DIMS, BITS = 4096, 4, 12
 #: Bytes of ids to a range, so that more input makes more ranges and not larger ones.
 RANGE_BYTES = 64 << 20
+#: Rows of a block where an order is kept, and how many blocks there are at least.
+ORDER_ROWS, ORDER_BLOCKS = 1024, 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -142,8 +144,10 @@ def curve_keys(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.nda
     return hilbert(cells, BITS)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """A row's number, doc_id, curve key, the document's ids with ``end_id`` after them as bytes, and their width."""
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, order: Sequence[Column] | None = None) -> DataFrame:
+    """A row's number, doc_id, curve key, the document's ids with ``end_id`` after them as bytes, and their width.
+
+    ``order``, a file's name and a number, is given as ``file`` and ``at``; without it they are null."""
 
     def make():
         encoder = Encoder(tokenizer)
@@ -159,11 +163,13 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
             starts = np.cumsum([0] + [len(x) // width for x in out[:-1]])
             keys = curve_keys(np.frombuffer(b"".join(out), dtype=encoder.type), starts, table)
             uid += m
-            return {"uid": np.arange(uid - m, uid), "doc_id": batch.column("doc_id"), "curve": keys, "ids": out, "width": [width] * m, "bytes": [len(x) for x in out]}
+            return {"uid": np.arange(uid - m, uid), "doc_id": batch.column("doc_id"), "curve": keys, "ids": out, "width": [width] * m, "bytes": [len(x) for x in out], "file": batch.column("file"), "at": batch.column("at")}
 
         return one
 
-    return map_slices(with_bytes(docs, "doc_id"), make, "uid long, doc_id long, curve long, ids binary, width int, bytes long")
+    file, at = order or (F.lit(None).cast("string"), F.lit(None).cast("long"))
+    rows = with_bytes(docs.select("doc_id", "text", file.alias("file"), at.alias("at")), "doc_id", "file", "at")
+    return map_slices(rows, make, "uid long, doc_id long, curve long, ids binary, width int, bytes long, file string, at long")
 
 
 class Cutter:
@@ -209,7 +215,7 @@ class Cutter:
             self._close(run)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID, partitions: int | None = None, order: Sequence[Column] | None = None) -> DataFrame:
     """Pack every document; one row per piece (see ``PIECES``).
 
     A document's ids are cut wherever a sequence is full. sequence_id is unique over the table:
@@ -217,14 +223,18 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
     that holds a special token's string gets that token's id there, as ``tokenizers`` does. Equal
     keys are told apart by doc_id and then by the row's number in the table as read, so copies,
     repeated rows and rows with null ids spread over ranges and are packed each on its own. A text
-    of any length is encoded whole, one slice of texts at a time, and cut over sequences. An empty
-    table gives an empty result. Columns other than doc_id and text are ignored.
+    of any length is encoded whole, one slice of texts at a time, and cut over sequences. ``order``, a file's
+    name and a row's number in it, keeps the rows' order by blocks of ORDER_ROWS rows (fewer, so that
+    there are ORDER_BLOCKS at least): the curve orders a block's rows, not the table. An empty table gives an empty result. Columns other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    tokens = durable(tokenize(docs, tokenizer, end_id), "packing-tokens")
-    size = tokens.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tokens = durable(tokenize(docs, tokenizer, end_id, order), "packing-tokens")
+    size, rows = tokens.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    placed = tokens.drop("bytes").repartitionByRange(n, "curve", "doc_id", "uid").sortWithinPartitions("curve", "doc_id", "uid")
+    block = F.floor(F.col("at") / max(1, min(ORDER_ROWS, rows // ORDER_BLOCKS))).alias("block")
+    by = ["curve", "doc_id", "uid"] if order is None else ["file", "block", "curve", "doc_id", "uid"]
+    placed = tokens.select("doc_id", "ids", "width", "curve", "uid", *([] if order is None else ["file", block]))
+    placed = placed.repartitionByRange(n, *by).sortWithinPartitions(*by).select("doc_id", "ids", "width")
     schema = StructType.fromDDL(PIECES)
     arrow = to_arrow_schema(schema)
     names = arrow.names

@@ -295,22 +295,23 @@ def redact(docs: DataFrame, model: Model, path: str = "source", threshold: float
     """The documents with every secret's value replaced by ``mark``; all columns and rows stay.
 
     n_chars, if there is such a column, is counted anew for changed texts. Null and empty texts stay
-    as they are; repeated rows are treated alike, an empty table stays empty, texts of any length are
-    read whole, those that hold the two private-use characters that mark candidates here
+    as they are; a score equal to the threshold is a secret's; repeated rows are treated alike, an empty
+    table stays empty, columns of any name come through, texts of any length are read whole, those that hold the two private-use characters that mark candidates here
     (U+E000, U+E001) in time proportional to their secrets times their length.
     """
-    out = docs.withColumn("_winnow_pieces", marked(F.col("text")))
-    out = out.withColumn("_winnow_found", scored(cut_out(F.col("_winnow_pieces"), F.col(path)), model))
+    # a row stands in a struct, so that no column of it meets a name used here
+    rows = docs.select(F.struct(*docs.columns).alias("row"), marked(F.col("text")).alias("pieces"))
+    rows = rows.withColumn("found", scored(cut_out(F.col("pieces"), F.col("row")[path]), model))
     secret = lambda c: c["score"] >= threshold
-    out = out.withColumn("_winnow_changed", F.exists("_winnow_found", secret))
-    tail = F.transform("_winnow_found", lambda c: F.concat(c["lead"], F.when(secret(c), F.lit(mark)).otherwise(c["value"]), c["rest"]))
+    rows = rows.withColumn("changed", F.exists("found", secret))
+    tail = F.transform("found", lambda c: F.concat(c["lead"], F.when(secret(c), F.lit(mark)).otherwise(c["value"]), c["rest"]))
     # a text that holds the marks itself is put together from its own characters
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-    step = lambda a, c: F.struct((c["start"] + F.length(c["value"])).cast("int").alias("at"), F.concat(a["done"], F.substr(F.col("text"), a["at"] + 1, c["start"] - a["at"]), F.lit(mark)).alias("done"))
-    own = F.aggregate(F.filter("_winnow_found", secret), zero, step, lambda a: F.concat(a["done"], F.substr(F.col("text"), a["at"] + 1)))
-    new = F.when(F.col("text").rlike(f"[{OPEN}{CLOSE}]"), own).otherwise(F.concat(F.col("_winnow_pieces")[0], F.array_join(tail, "")))
-    text = F.when(F.col("_winnow_changed"), new).otherwise(F.col("text"))
-    out = out.withColumn("_winnow_text", text)
-    n_chars = F.when(F.col("_winnow_changed"), F.length("_winnow_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    new = {"text": F.col("_winnow_text"), "n_chars": n_chars}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    text, zero = F.col("row.text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    step = lambda a, c: F.struct((c["start"] + F.length(c["value"])).cast("int").alias("at"), F.concat(a["done"], F.substr(text, a["at"] + 1, c["start"] - a["at"]), F.lit(mark)).alias("done"))
+    own = F.aggregate(F.filter("found", secret), zero, step, lambda a: F.concat(a["done"], F.substr(text, a["at"] + 1)))
+    new = F.when(text.rlike(f"[{OPEN}{CLOSE}]"), own).otherwise(F.concat(F.col("pieces")[0], F.array_join(tail, "")))
+    rows = rows.withColumn("text", F.when(F.col("changed"), new).otherwise(text))
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
