@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.limits import LIMITS, Limits
+from winnow.operators.scan import Running, scan
+
+
+#: Lines, and bytes of a text, that are scanned together: a long text is many such stretches.
+STRETCH_LINES, STRETCH_BYTES = 8192, 1 << 18
 
 
 def line_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line_no, line, byte_start, byte_end (with the LF, clamped to the text's length)."""
     size = F.octet_length(text).cast("long")
     rows = docs.select(key, size.alias("size"), F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
-    ahead = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.octet_length("line") + 1).over(ahead).cast("long")
+    rows = scan(rows, key, F.col("i"), STRETCH_LINES, ["i"], end=Running("sum", F.octet_length("line") + 1))
+    end = F.col("end").cast("long")
     return rows.select(key, (F.col("i") + 1).cast("long").alias("line_no"), "line", (end - F.octet_length("line") - 1).alias("byte_start"), F.least(end, F.col("size")).alias("byte_end"))
 
 
 def line_at(lines: DataFrame, points: DataFrame, key: str = "doc_id") -> DataFrame:
     """The line of each point (key, byte): the last one that starts at or before it."""
     # starts and points in one order: a point's line is the last that began
-    starts = lines.select(key, F.col("byte_start").alias("at"), F.lit(0).alias("asked"), "line_no")
-    asked = points.select(key, F.col("byte").alias("at"), F.lit(1).alias("asked"), F.lit(None).cast("long").alias("line_no")).distinct()
-    order = Window.partitionBy(key).orderBy("at", "asked", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    swept = starts.unionByName(asked).withColumn("line_no", F.max("line_no").over(order))
+    starts = lines.select(key, F.col("byte_start").alias("at"), F.lit(0).alias("asked"), F.col("line_no").alias("began"))
+    asked = points.select(key, F.col("byte").alias("at"), F.lit(1).alias("asked"), F.lit(None).cast("long").alias("began")).distinct()
+    swept = scan(starts.unionByName(asked), key, F.col("at"), STRETCH_BYTES, ["at", "asked", "began"], line_no=Running("max", F.col("began")))
     return swept.where("asked = 1 AND line_no IS NOT NULL").select(key, F.col("at").alias("byte"), "line_no")
 
 

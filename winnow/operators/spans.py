@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.operators.scan import Running, scan
 
-def merge(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+
+#: Places of a key that are scanned together.
+WIDTH = 1 << 16
+
+
+def merge(spans: DataFrame, key: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """Join overlapping and touching spans; empty ones go. Columns key, span_start, span_end."""
-    order = Window.partitionBy(key).orderBy("span_start", "span_end")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    full = spans.where("span_end > span_start").select(key, "span_start", "span_end")
-    flagged = full.withColumn("reach", F.max("span_end").over(before))
-    new = F.when(F.col("reach").isNull() | (F.col("span_start") > F.col("reach")), 1).otherwise(0)
-    island = flagged.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(key, "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("island")
+    order, start = ["span_start", "span_end"], F.col("span_start")
+    full = spans.where("span_end > span_start").select(key, *order)
+    flagged = scan(full, key, start, width, order, reach=Running("max", F.col("span_end"), own=False))
+    # an island goes by where it begins
+    new = F.when(F.col("reach").isNull() | (start > F.col("reach")), start)
+    island = scan(flagged, key, start, width, order, island=Running("max", new))
+    return island.groupBy(key, "island").agg(F.max("span_end").alias("span_end")).select(key, F.col("island").alias("span_start"), "span_end")
 
 
-def subtract(spans: DataFrame, holes: DataFrame, key: str = "doc_id") -> DataFrame:
+def subtract(spans: DataFrame, holes: DataFrame, key: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """What is left of the merged spans outside the merged holes.
 
     Starts and ends of both are swept in order: a piece between two neighbouring ends is kept where
     a span is open and no hole is.
     """
     edge = lambda df, s, h: df.select(key, F.explode(F.array(F.struct(F.col("span_start").alias("at"), F.lit(s).alias("s"), F.lit(h).alias("h")), F.struct(F.col("span_end").alias("at"), F.lit(-s).alias("s"), F.lit(-h).alias("h")))).alias("e"))
-    ends = edge(merge(spans, key), 1, 0).unionByName(edge(merge(holes, key), 0, 1))
+    ends = edge(merge(spans, key, width), 1, 0).unionByName(edge(merge(holes, key, width), 0, 1))
     # several ends in one place count together
     at = ends.groupBy(key, F.col("e.at").alias("at")).agg(F.sum("e.s").alias("s"), F.sum("e.h").alias("h"))
-    order = Window.partitionBy(key).orderBy("at")
-    swept = at.select(key, "at", F.lead("at").over(order).alias("to"), F.sum("s").over(order).alias("open"), F.sum("h").over(order).alias("hole"))
+    swept = scan(at, key, F.col("at"), width, ["at"], to=Running("next", F.col("at")), open=Running("sum", F.col("s")), hole=Running("sum", F.col("h")))
     left = swept.where("open > 0 AND hole = 0 AND to > at").select(key, F.col("at").alias("span_start"), F.col("to").alias("span_end"))
-    return merge(left, key)
+    return merge(left, key, width)
 
 
 def meeting(left: DataFrame, right: DataFrame, key: str, own: tuple[str, str], other: tuple[str, str], width: int) -> DataFrame:

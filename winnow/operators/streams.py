@@ -1,63 +1,64 @@
-"""Greedy folds over ordered rows of a key, as one pass over sorted partitions.
+"""Greedy cuts of the ordered rows of a key, without walking along them.
 
-A fold keeps a few numbers per key, so no key's rows are gathered: rows are dealt by key, sorted, and
-streamed. One key is one stream by nature, as each cut depends on the one before.
+Where a batch would end depends on where it began, so the cuts of a key seem one long walk. But where the
+next batch begins if one began at a row can be said of every row by itself, from running sums. That is a
+table of successors; the real beginnings are what the first row reaches in it. They are marked by
+pointer doubling: in each round the rows reached so far reach on by the jumps, and each jump becomes two of
+itself, so a key of n batches takes log2(n) rounds, each a join on (key, row).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from winnow.limits import LIMITS
-
-
-def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], output: str, start: Callable[[], object], step: Callable) -> DataFrame:
-    """Add the long column ``output``: ``step(state, *inputs)`` gives the new state and the value."""
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.LongType())])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for batch in batches:
-            out = []
-            key_rows = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
-            for key, values in zip(key_rows, zip(*(batch.column(c).to_pylist() for c in inputs), strict=True), strict=True):
-                if state is None or key != last:
-                    last, state = key, start()
-                state, value = step(state, *values)
-                out.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], schema=pa.schema([*batch.schema, arrow.field(output)]))
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+from winnow.operators.scan import Running, numbered, scan
+from winnow.sources.store import discard, written
+
+#: Rows that are scanned together.
+ROWS = 4096
+
+
+def cuts(df: DataFrame, keys: list[str], order: list[str], output: str, most_items: int, most_bytes: int, start: Column, end: Column, total: Column) -> DataFrame:
+    """Add the long column ``output``, the batch's number within its key.
+
+    A batch that begins at a row holds at most ``most_items`` rows, and those whose ``end`` is at most
+    ``most_bytes`` beyond its ``start``; its first row is always in it. Both are of columns of ``df`` and
+    ``total``'s running sum ``sum``, and neither falls along the order, which must tell a key's rows apart.
+    """
+    rows = numbered(df.select(F.struct(*keys).alias("key"), F.struct(*order).alias("at"), total.alias("size"), F.struct(*df.columns).alias("row")), "key", "at")
+    placed = scan(rows, "key", F.col("seq"), ROWS, ["seq"], n=Running("sum", F.lit(1)), sum=Running("sum", F.col("size")))
+    placed = written(placed.select("key", "seq", "n", "row", start.cast("long").alias("start"), end.cast("long").alias("end")), "cuts-placed")
+    # the last row within reach of each row's start: ends and reaches in one order
+    ends = placed.select("key", F.col("end").alias("x"), F.lit(0).alias("asked"), "n")
+    asked = placed.select("key", (F.col("start") + most_bytes).alias("x"), F.lit(1).alias("asked"), F.col("n").alias("of"))
+    swept = scan(ends.unionByName(asked, allowMissingColumns=True), "key", F.col("x"), max(most_bytes, 1), ["x", "asked", "n"], held=Running("max", F.col("n")))
+    to = F.greatest(F.least(F.col("of") + most_items, F.coalesce("held", F.lit(0)) + 1), F.col("of") + 1)
+    jumps = written(swept.where("asked = 1").select("key", F.col("of").alias("n"), to.alias("to")), "cuts-jumps")
+    reached = written(placed.where("n = 1").select("key", "n"), "cuts-reached")
+    while True:
+        # a jump past the last row meets no row
+        new = jumps.join(reached, ["key", "n"]).select("key", F.col("to").alias("n")).join(placed.select("key", "n"), ["key", "n"], "left_semi")
+        more = written(new, "cuts-reached")
+        if more.isEmpty():
+            break
+        reached = reached.union(more)
+        further = jumps.select("key", F.col("n").alias("to"), F.col("to").alias("beyond"))
+        jumps, old = written(jumps.join(further, ["key", "to"]).select("key", "n", F.col("beyond").alias("to")), "cuts-jumps"), jumps
+        discard(old)
+    marked = placed.join(reached.distinct().withColumn("first", F.lit(1)), ["key", "n"], "left")
+    out = scan(marked, "key", F.col("seq"), ROWS, ["seq"], batch=Running("sum", F.coalesce("first", F.lit(0))))
+    return out.select("row.*", (F.col("batch") - 1).alias(output))
 
 
 def batches(df: DataFrame, keys: list[str], order: list[str], size: str, output: str = "batch", most_items: int = LIMITS.batch_items, most_bytes: int = LIMITS.navigation_bytes) -> DataFrame:
     """Number greedy batches: a new one at ``most_items``, or when the sizes' sum would pass
     ``most_bytes``. Items too large by themselves must have been taken out before."""
-
-    def step(state, n):
-        batch, count, used = state
-        if count and (count >= most_items or used + n > most_bytes):
-            batch, count, used = batch + 1, 0, 0
-        return (batch, count + 1, used + n), batch
-
-    return fold(df, keys, order, [size], output, lambda: (0, 0, 0), step)
+    return cuts(df, keys, order, output, most_items, most_bytes, F.col("sum") - F.col("size"), F.col("sum"), F.col(size))
 
 
 def groups(df: DataFrame, keys: list[str], order: list[str], start: str, end: str, output: str = "group", most_units: int = LIMITS.group_units, most_bytes: int = LIMITS.group_bytes) -> DataFrame:
     """Number groups of units: a new one at ``most_units``, or when the text from the group's first
     start to this unit's end is longer than ``most_bytes``; gaps count, a lone unit may exceed."""
-
-    def step(state, a, b):
-        group, count, first = state
-        if count and (count >= most_units or b - first > most_bytes):
-            group, count = group + 1, 0
-        first = first if count else a
-        return (group, count + 1, first), group
-
-    return fold(df, keys, order, [start, end], output, lambda: (0, 0, 0), step)
+    return cuts(df, keys, order, output, most_units, most_bytes, F.col(f"row.{start}"), F.col(f"row.{end}"), F.lit(0))

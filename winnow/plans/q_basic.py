@@ -11,6 +11,7 @@ from winnow.functions import paths as P
 from winnow.functions import text as X
 from winnow.functions import times as T
 from winnow.operators import names as N
+from winnow.limits import LIMITS
 from winnow.plans import inputs as I
 from winnow.plans.catalog import query
 
@@ -103,11 +104,11 @@ def clip_bytes(spark, sf):
     return I.table(spark, sf, "documents").select("doc_id", B.clip_head(F.col("text"), 1000).alias("head"), B.clip_tail(F.col("text"), 1000).alias("tail"))
 
 
-@query("SELECT doc_id, string_split(text, chr(10))[2] AS value FROM documents WHERE len(string_split(text, chr(10))) >= 3")
+@query("SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) >= 3 THEN string_split(text, chr(10))[2] END AS value FROM documents")
 def byte_slice(spark, sf):
     first = F.octet_length(F.substring_index("text", "\n", 1)) + 1
     end = F.octet_length(F.substring_index("text", "\n", 2))
-    return I.table(spark, sf, "documents").where(F.size(F.split("text", "\n", -1)) >= 3).select("doc_id", B.slice_bytes(F.col("text"), first, end).alias("value"))
+    return I.table(spark, sf, "documents").select("doc_id", F.when(F.size(F.split("text", "\n", -1)) >= 3, B.slice_bytes(F.col("text"), first, end)).alias("value"))
 
 
 @query(I.sql("vfiles") + "SELECT doc_id, least(bytes + 512 + 32 * (1 + doc_id % 64), 65536)::BIGINT AS value FROM vfiles")
@@ -250,7 +251,7 @@ def private_key_filter(spark, sf):
     return with_literals(spark, sf).select("doc_id", C.has_private_key(F.col("text")).alias("hit"))
 
 
-@query(WITH_LITERALS + f"SELECT doc_id, CASE WHEN strlen(text) > 20000 THEN 'size_limit' WHEN {BINARY_SQL} THEN 'binary' WHEN regexp_matches(text, '-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----') THEN 'private_key' ELSE 'ok' END AS status, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM d")
+@query(WITH_LITERALS + f"SELECT doc_id, CASE WHEN strlen(text) > 16777216 THEN 'size_limit' WHEN {BINARY_SQL} THEN 'binary' WHEN regexp_matches(text, '-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----') THEN 'private_key' ELSE 'ok' END AS status, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM d")
 def snapshot_scan(spark, sf):
     t = F.col("text")
-    return with_literals(spark, sf).select("doc_id", C.read_status(t, F.is_valid_utf8(t.cast("binary")), B.byte_length(t), 20_000).alias("status"), F.sha2(t, 256).alias("sha256"), B.byte_length(t).alias("bytes"))
+    return with_literals(spark, sf).select("doc_id", C.read_status(t, F.is_valid_utf8(t.cast("binary")), B.byte_length(t), LIMITS.file_bytes).alias("status"), F.sha2(t, 256).alias("sha256"), B.byte_length(t).alias("bytes"))

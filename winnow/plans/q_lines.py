@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -33,9 +31,9 @@ def line_at(spark, sf):
     return L.line_at(L.line_offsets(docs), points)
 
 
-@query("SELECT doc_id, array_to_string(p[2:3], chr(10)) || CASE WHEN len(p) = 4 AND p[4] = '' THEN chr(10) ELSE '' END AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) WHERE len(p) >= 2")
+@query("SELECT doc_id, CASE WHEN len(p) >= 2 THEN array_to_string(p[2:3], chr(10)) || CASE WHEN len(p) = 4 AND p[4] = '' THEN chr(10) ELSE '' END END AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)")
 def line_text(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", L.lines_text(F.col("text"), 2, 3).alias("value")).where("value IS NOT NULL")
+    return I.table(spark, sf, "documents").select("doc_id", L.lines_text(F.col("text"), 2, 3).alias("value"))
 
 
 @query(I.sql("vspans") + "SELECT s.doc_id, s.n, k AS shift, (EXISTS (SELECT 1 FROM vlines v WHERE v.doc_id = s.doc_id AND v.byte_start = s.span_start + k) AND EXISTS (SELECT 1 FROM vlines v WHERE v.doc_id = s.doc_id AND v.byte_end = s.span_end)) AS whole FROM vspans s, (VALUES (0::BIGINT), (1)) t(k)")
@@ -54,13 +52,13 @@ def hash_comment_lines(spark, sf):
     return L.hash_comments(L.line_offsets(docs)).select("doc_id", "line_no")
 
 
-BLOCK_SQL = I.sql("vlines") + ", last AS (SELECT doc_id, max(line_no) AS n FROM vlines GROUP BY doc_id), blocks AS (SELECT doc_id, s AS block_start, least(s + 3, n) AS block_end FROM last, LATERAL (SELECT unnest(range(1, n + 1, 4)) AS s))"
+BLOCK_SQL = I.sql("vlines") + ", last AS (SELECT doc_id, max(line_no) AS n FROM vlines GROUP BY doc_id), blocks AS (SELECT doc_id, s AS block_start, least(s + 15, n) AS block_end FROM last, LATERAL (SELECT unnest(range(1, n + 1, 16)) AS s))"
 
 
 def block_rows(spark, sf):
     rows = I.vlines(spark, sf)
     last = rows.groupBy("doc_id").agg(F.lit(1).cast("long").alias("start_line"), F.max("line_no").alias("end_line"))
-    blocks = L.blocks(last, 4).select("doc_id", "block_start", "block_end")
+    blocks = L.blocks(last).select("doc_id", "block_start", "block_end")
     return rows, blocks
 
 
@@ -144,20 +142,20 @@ def greedy_batches(spark, sf):
 UNIT_ROWS = BLOCK_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_start) AS n FROM (SELECT b.doc_id, b.block_start, min(v.byte_start) AS a, max(v.byte_end) AS z FROM blocks b JOIN vlines v ON v.doc_id = b.doc_id AND v.line_no BETWEEN b.block_start AND b.block_end GROUP BY b.doc_id, b.block_start))"
 
 
-@query(UNIT_ROWS + ", f(doc_id, n, block_start, grp, items, first) AS (SELECT doc_id, n, block_start, 0::BIGINT, 1, a FROM u WHERE n = 1 UNION ALL SELECT u.doc_id, u.n, u.block_start, CASE WHEN f.items >= 3 OR u.z - f.first > 2000 THEN f.grp + 1 ELSE f.grp END, CASE WHEN f.items >= 3 OR u.z - f.first > 2000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items >= 3 OR u.z - f.first > 2000 THEN u.a ELSE f.first END FROM f JOIN u ON u.doc_id = f.doc_id AND u.n = f.n + 1) SELECT doc_id, block_start, grp AS \"group\" FROM f")
+@query(UNIT_ROWS + ", f(doc_id, n, block_start, grp, items, first) AS (SELECT doc_id, n, block_start, 0::BIGINT, 1, a FROM u WHERE n = 1 UNION ALL SELECT u.doc_id, u.n, u.block_start, CASE WHEN f.items >= 128 OR u.z - f.first > 42000 THEN f.grp + 1 ELSE f.grp END, CASE WHEN f.items >= 128 OR u.z - f.first > 42000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items >= 128 OR u.z - f.first > 42000 THEN u.a ELSE f.first END FROM f JOIN u ON u.doc_id = f.doc_id AND u.n = f.n + 1) SELECT doc_id, block_start, grp AS \"group\" FROM f")
 def unit_groups(spark, sf):
-    # blocks of four lines are found from the line's number
-    rows = I.vlines(spark, sf).withColumn("block_start", F.expr("(line_no - 1) div 4 * 4 + 1"))
+    # blocks of 16 lines are found from the line's number
+    rows = I.vlines(spark, sf).withColumn("block_start", F.expr(f"(line_no - 1) div {LIMITS.block_lines} * {LIMITS.block_lines} + 1"))
     units = rows.groupBy("doc_id", "block_start").agg(F.min("byte_start").alias("a"), F.max("byte_end").alias("z"))
-    return G.groups(units, ["doc_id"], ["block_start"], "a", "z", most_units=3, most_bytes=2000).select("doc_id", "block_start", "group")
+    return G.groups(units, ["doc_id"], ["block_start"], "a", "z").select("doc_id", "block_start", "group")
 
 
-@query(BLOCK_SQL + ", c AS (SELECT b.doc_id, b.block_start, greatest(b.block_start - 8, 1) AS a, least(b.block_end + 8, n) AS z, least(20, n) AS o FROM blocks b JOIN last USING (doc_id)) SELECT c.doc_id, c.block_start, CASE WHEN strlen(d.text) <= 1600 THEN 'whole' ELSE 'around' END AS kind, CASE WHEN strlen(d.text) <= 1600 THEN strlen(d.text) ELSE vo.byte_end END::BIGINT AS opening_end, CASE WHEN strlen(d.text) > 1600 THEN va.byte_start ELSE 0 END AS near_start, CASE WHEN strlen(d.text) > 1600 THEN vz.byte_end ELSE 0 END AS near_end FROM c JOIN documents d USING (doc_id) JOIN vlines va ON va.doc_id = c.doc_id AND va.line_no = c.a JOIN vlines vz ON vz.doc_id = c.doc_id AND vz.line_no = c.z JOIN vlines vo ON vo.doc_id = c.doc_id AND vo.line_no = c.o")
+@query(BLOCK_SQL + ", c AS (SELECT b.doc_id, b.block_start, greatest(b.block_start - 8, 1) AS a, least(b.block_end + 8, n) AS z, least(20, n) AS o FROM blocks b JOIN last USING (doc_id)) SELECT c.doc_id, c.block_start, CASE WHEN strlen(d.text) <= 16000 THEN 'whole' ELSE 'around' END AS kind, CASE WHEN strlen(d.text) <= 16000 THEN strlen(d.text) ELSE vo.byte_end END::BIGINT AS opening_end, CASE WHEN strlen(d.text) > 16000 THEN va.byte_start ELSE 0 END AS near_start, CASE WHEN strlen(d.text) > 16000 THEN vz.byte_end ELSE 0 END AS near_end FROM c JOIN documents d USING (doc_id) JOIN vlines va ON va.doc_id = c.doc_id AND va.line_no = c.a JOIN vlines vz ON vz.doc_id = c.doc_id AND vz.line_no = c.z JOIN vlines vo ON vo.doc_id = c.doc_id AND vo.line_no = c.o")
 def group_context(spark, sf):
     from winnow.operators import context
 
     rows, blocks = block_rows(spark, sf)
-    return context.group_context(rows, blocks, replace(LIMITS, whole_file_bytes=1600))
+    return context.group_context(rows, blocks)
 
 
 # Previews
@@ -169,30 +167,29 @@ def file_preview(spark, sf):
     return docs.select("doc_id", F.sha2("head", 256).alias("sha256"), F.octet_length("head").cast("long").alias("bytes"), (F.octet_length("head") < F.octet_length("text")).alias("truncated"))
 
 
-PREVIEW = I.sql("ventries") + ", e AS (SELECT parent, string_split(path, '/')[-1] AS name, kind, path FROM ventries), s AS (SELECT *, row_number() OVER w AS n, sum(strlen(to_json({'name': name, 'kind': kind})::VARCHAR)) OVER w AS used FROM e WINDOW w AS (PARTITION BY parent ORDER BY path)), shown AS (SELECT parent, name, kind, n FROM s WHERE n <= 8 AND used <= 4096)"
-SMALL = replace(LIMITS, directory_entries=8)
+PREVIEW = I.sql("ventries") + ", e AS (SELECT parent, string_split(path, '/')[-1] AS name, kind, path FROM ventries), s AS (SELECT *, row_number() OVER w AS n, sum(strlen(to_json({'name': name, 'kind': kind})::VARCHAR)) OVER w AS used FROM e WINDOW w AS (PARTITION BY parent ORDER BY path)), shown AS (SELECT parent, name, kind, n FROM s WHERE n <= 64 AND used <= 4096)"
 
 
 @query(PREVIEW + " SELECT parent, name, kind, n FROM shown")
 def dir_preview(spark, sf):
-    return V.directory_entries(I.ventries(spark, sf), SMALL)
+    return V.directory_entries(I.ventries(spark, sf))
 
 
 @query(PREVIEW + r" SELECT parent, CASE WHEN regexp_extract(name, '^.+(\.[^.]*)$', 1) = '' THEN '[no extension]' ELSE regexp_extract(name, '^.+(\.[^.]*)$', 1) END AS extension, count(*) AS n FROM shown WHERE kind = 'file' GROUP BY ALL")
 def extension_histogram(spark, sf):
-    return V.extension_histogram(V.directory_entries(I.ventries(spark, sf), SMALL))
+    return V.extension_histogram(V.directory_entries(I.ventries(spark, sf)))
 
 
-@query(I.sql("vfiles") + ", f AS (SELECT *, greatest(16000 // count(*) OVER (PARTITION BY dir), 80) AS per FROM vfiles), p AS (SELECT *, per // 3 AS part, length(text) AS n FROM f) SELECT doc_id, CASE WHEN n <= per THEN text ELSE '[character offset 0]' || chr(10) || left(text, part) || chr(10) || '...' || chr(10) || '[character offset ' || greatest(n // 2 - part // 2, 0) || ']' || chr(10) || substr(text, greatest(n // 2 - part // 2, 0) + 1, part) || chr(10) || '...' || chr(10) || '[character offset ' || greatest(n - part, 0) || ']' || chr(10) || substr(text, greatest(n - part, 0) + 1, part) END AS value FROM p")
+@query(I.sql("vfiles") + ", f AS (SELECT *, greatest(160000 // count(*) OVER (PARTITION BY dir), 80) AS per FROM vfiles), p AS (SELECT *, per // 3 AS part, length(text) AS n FROM f) SELECT doc_id, CASE WHEN n <= per THEN text ELSE '[character offset 0]' || chr(10) || left(text, part) || chr(10) || '...' || chr(10) || '[character offset ' || greatest(n // 2 - part // 2, 0) || ']' || chr(10) || substr(text, greatest(n // 2 - part // 2, 0) + 1, part) || chr(10) || '...' || chr(10) || '[character offset ' || greatest(n - part, 0) || ']' || chr(10) || substr(text, greatest(n - part, 0) + 1, part) END AS value FROM p")
 def three_part_sample(spark, sf):
     files = I.vfiles(spark, sf)
     per = files.groupBy("dir").agg(F.greatest(F.floor(F.lit(LIMITS.sample_bytes) / F.count(F.lit(1))), F.lit(LIMITS.sample_chars)).cast("int").alias("per"))
     return files.join(per, "dir").select("doc_id", V.three_part_sample(F.col("text"), F.col("per")).alias("value"))
 
 
-@query(I.sql("vfiles") + "SELECT doc_id, CASE WHEN bytes <= 1000000 AND strlen(to_json({'path': path, 'text': text})::VARCHAR) > 10000 THEN 'expand' ELSE 'score' END AS part FROM vfiles")
+@query(I.sql("vfiles") + "SELECT doc_id, CASE WHEN bytes <= 1000000 AND strlen(to_json({'path': path, 'text': text})::VARCHAR) > 38000 THEN 'expand' ELSE 'score' END AS part FROM vfiles")
 def expand_or_score(spark, sf):
-    big = (F.col("bytes") <= LIMITS.inspected_bytes) & (X.json_bytes(F.col("path"), F.col("text")) > 10_000)
+    big = (F.col("bytes") <= LIMITS.inspected_bytes) & (X.json_bytes(F.col("path"), F.col("text")) > LIMITS.navigation_bytes)
     return I.vfiles(spark, sf).select("doc_id", F.when(big, "expand").otherwise("score").alias("part"))
 
 

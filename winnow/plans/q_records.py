@@ -106,9 +106,9 @@ def rate_windows(spark, sf):
     return B.rate_windows(I.vattempts(spark, sf)).select("event_id", "requests", "window_tokens")
 
 
-@query(I.sql("vattempts") + "SELECT event_id, free_at FROM (SELECT event_id, lag(ts, 19) OVER (PARTITION BY search ORDER BY ts, event_id) + INTERVAL 60 SECONDS AS free_at FROM vattempts) WHERE free_at IS NOT NULL")
+@query(I.sql("vattempts") + "SELECT event_id, free_at FROM (SELECT event_id, lag(ts, 1199) OVER (PARTITION BY search ORDER BY ts, event_id) + INTERVAL 60 SECONDS AS free_at FROM vattempts)")
 def rpm_wait(spark, sf):
-    return B.request_wait(I.vattempts(spark, sf), most=20).where("free_at IS NOT NULL").select("event_id", "free_at")
+    return B.request_wait(I.vattempts(spark, sf)).select("event_id", "free_at")
 
 
 @query(I.sql("vattempts") + "SELECT event_id, coalesce(ts < max(CASE WHEN status = 429 THEN ts + INTERVAL 3600 SECONDS END) OVER (PARTITION BY search ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS paused FROM vattempts")

@@ -36,4 +36,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._winnow_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(t._winnow_path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
