@@ -95,3 +95,30 @@ def test_groups_count_gaps(spark):
     df = spark.createDataFrame(units, "doc_id long, n long, a long, z long")
     got = [r.group for r in streams.groups(df, ["doc_id"], ["n"], "a", "z", most_units=2, most_bytes=50).orderBy("n").collect()]
     assert got == [0, 0, 1, 2, 3, 3, 4]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_excerpts_grow_to_a_fixpoint(spark, seed):
+    """Against the growth of one file, comment by comment."""
+    from winnow.operators import excerpts
+
+    rng = random.Random(seed)
+    shown = {"comment": "# note", "blank": "  ", "text": "text"}
+    files, rows, ranges = {}, [], []
+    for doc in range(8):
+        kinds = rng.choices(["comment", "blank", "text"], weights=[3, 3, 2 + doc], k=rng.randint(5, 60))
+        files[doc] = kinds
+        at = 0
+        for i, k in enumerate(kinds):
+            size = len(shown[k]) + (i + 1 < len(kinds))
+            rows.append((doc, i + 1, at, at + size, k))
+            at += size
+        ranges += [(doc, a, min(len(kinds), a + rng.randint(0, 4))) for a in rng.sample(range(1, len(kinds) + 1), 2)]
+    got = lines.excerpts(spark.createDataFrame(rows, "doc_id long, line_no long, byte_start long, byte_end long, kind string"), spark.createDataFrame(ranges, "doc_id long, start_line long, end_line long"))
+    want = []
+    for doc, kinds in files.items():
+        text = "\n".join(shown[k] for k in kinds)
+        own, comments = excerpts.Lines(text), [(i + 1, i + 1) for i, k in enumerate(kinds) if k == "comment"]
+        grown = [excerpts.grow(own, (max(1, a - 3), min(len(kinds), z + 3)), comments) for d, a, z in ranges if d == doc]
+        want += [(doc, a, z) for a, z in excerpts.merge([(own.start(a), own.end(z)) for a, z in grown])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.scan import Running, scan
+from winnow.sources.store import discard, written
 
 
 #: Places of a key that are scanned together.
@@ -15,12 +16,16 @@ WIDTH = 1 << 16
 def merge(spans: DataFrame, key: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """Join overlapping and touching spans; empty ones go. Columns key, span_start, span_end."""
     order, start = ["span_start", "span_end"], F.col("span_start")
-    full = spans.where("span_end > span_start").select(key, *order)
-    flagged = scan(full, key, start, width, order, reach=Running("max", F.col("span_end"), own=False))
+    # a scan reads its rows twice, so those that are work to make are written
+    full = written(spans.where("span_end > span_start").select(key, *order), "spans")
+    flagged = written(scan(full, key, start, width, order, reach=Running("max", F.col("span_end"), own=False)), "spans-reach")
+    discard(full)
     # an island goes by where it begins
     new = F.when(F.col("reach").isNull() | (start > F.col("reach")), start)
     island = scan(flagged, key, start, width, order, island=Running("max", new))
-    return island.groupBy(key, "island").agg(F.max("span_end").alias("span_end")).select(key, F.col("island").alias("span_start"), "span_end")
+    out = island.groupBy(key, "island").agg(F.max("span_end").alias("span_end")).select(key, F.col("island").alias("span_start"), "span_end")
+    out._winnow_path = flagged._winnow_path
+    return out
 
 
 def subtract(spans: DataFrame, holes: DataFrame, key: str = "doc_id", width: int = WIDTH) -> DataFrame:
@@ -30,12 +35,16 @@ def subtract(spans: DataFrame, holes: DataFrame, key: str = "doc_id", width: int
     a span is open and no hole is.
     """
     edge = lambda df, s, h: df.select(key, F.explode(F.array(F.struct(F.col("span_start").alias("at"), F.lit(s).alias("s"), F.lit(h).alias("h")), F.struct(F.col("span_end").alias("at"), F.lit(-s).alias("s"), F.lit(-h).alias("h")))).alias("e"))
-    ends = edge(merge(spans, key, width), 1, 0).unionByName(edge(merge(holes, key, width), 0, 1))
+    own, other = merge(spans, key, width), merge(holes, key, width)
+    ends = edge(own, 1, 0).unionByName(edge(other, 0, 1))
     # several ends in one place count together
-    at = ends.groupBy(key, F.col("e.at").alias("at")).agg(F.sum("e.s").alias("s"), F.sum("e.h").alias("h"))
+    at = written(ends.groupBy(key, F.col("e.at").alias("at")).agg(F.sum("e.s").alias("s"), F.sum("e.h").alias("h")), "spans-ends")
+    discard(own, other)
     swept = scan(at, key, F.col("at"), width, ["at"], to=Running("next", F.col("at")), open=Running("sum", F.col("s")), hole=Running("sum", F.col("h")))
     left = swept.where("open > 0 AND hole = 0 AND to > at").select(key, F.col("at").alias("span_start"), F.col("to").alias("span_end"))
-    return merge(left, key, width)
+    out = merge(left, key, width)
+    discard(at)
+    return out
 
 
 def meeting(left: DataFrame, right: DataFrame, key: str, own: tuple[str, str], other: tuple[str, str], width: int) -> DataFrame:

@@ -30,24 +30,26 @@ def cuts(df: DataFrame, keys: list[str], order: list[str], output: str, most_ite
     rows = numbered(df.select(F.struct(*keys).alias("key"), F.struct(*order).alias("at"), total.alias("size"), F.struct(*df.columns).alias("row")), "key", "at")
     placed = scan(rows, "key", F.col("seq"), ROWS, ["seq"], n=Running("sum", F.lit(1)), sum=Running("sum", F.col("size")))
     placed = written(placed.select("key", "seq", "n", "row", start.cast("long").alias("start"), end.cast("long").alias("end")), "cuts-placed")
+    discard(rows)
     # the last row within reach of each row's start: ends and reaches in one order
     ends = placed.select("key", F.col("end").alias("x"), F.lit(0).alias("asked"), "n")
     asked = placed.select("key", (F.col("start") + most_bytes).alias("x"), F.lit(1).alias("asked"), F.col("n").alias("of"))
     swept = scan(ends.unionByName(asked, allowMissingColumns=True), "key", F.col("x"), max(most_bytes, 1), ["x", "asked", "n"], held=Running("max", F.col("n")))
     to = F.greatest(F.least(F.col("of") + most_items, F.coalesce("held", F.lit(0)) + 1), F.col("of") + 1)
-    jumps = written(swept.where("asked = 1").select("key", F.col("of").alias("n"), to.alias("to")), "cuts-jumps")
-    reached = written(placed.where("n = 1").select("key", "n"), "cuts-reached")
+    jumps = swept.where("asked = 1").select("key", F.col("of").alias("n"), to.alias("to"))
+    # the last beginnings have no successor
+    jumps = written(jumps.join(placed.select("key", F.col("n").alias("to")), ["key", "to"], "left_semi").select("key", "n", "to"), "cuts-jumps")
+    reached = placed.where("n = 1").select("key", "n")
     while True:
-        # a jump past the last row meets no row
-        new = jumps.join(reached, ["key", "n"]).select("key", F.col("to").alias("n")).join(placed.select("key", "n"), ["key", "n"], "left_semi")
-        more = written(new, "cuts-reached")
+        more = written(jumps.join(reached, ["key", "n"]).select("key", F.col("to").alias("n")), "cuts-reached")
         if more.isEmpty():
             break
         reached = reached.union(more)
         further = jumps.select("key", F.col("n").alias("to"), F.col("to").alias("beyond"))
-        jumps, old = written(jumps.join(further, ["key", "to"]).select("key", "n", F.col("beyond").alias("to")), "cuts-jumps"), jumps
+        old, jumps = jumps, written(jumps.join(further, ["key", "to"]).select("key", "n", F.col("beyond").alias("to")), "cuts-jumps")
         discard(old)
-    marked = placed.join(reached.distinct().withColumn("first", F.lit(1)), ["key", "n"], "left")
+    discard(more, jumps)
+    marked = placed.join(reached.withColumn("first", F.lit(1)), ["key", "n"], "left")
     out = scan(marked, "key", F.col("seq"), ROWS, ["seq"], batch=Running("sum", F.coalesce("first", F.lit(0))))
     return out.select("row.*", (F.col("batch") - 1).alias(output))
 

@@ -108,6 +108,21 @@ def excerpt_windows(spark, sf):
     return L.windows(ranges, last).select("doc_id", F.col("start_line").alias("block_start"), "window_start", "window_end")
 
 
+# The windows grow in the SQL by one comment's lines after another, as long as one touches or only blank lines lie between.
+FIXPOINT = BLOCK_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", k AS (SELECT *, CASE (byte_end - byte_start) % 5 WHEN 0 THEN 'comment' WHEN 1 THEN 'blank' ELSE 'text' END AS kind FROM vlines), p AS (SELECT a.*, coalesce((SELECT max(b.line_no) FROM k b WHERE b.doc_id = a.doc_id AND b.line_no < a.line_no AND b.kind <> 'blank'), 0) AS before, coalesce((SELECT min(b.line_no) FROM k b WHERE b.doc_id = a.doc_id AND b.line_no > a.line_no AND b.kind <> 'blank'), 1000000000) AS after FROM k a WHERE kind = 'comment'), g(doc_id, block_start, a, z) AS (SELECT doc_id, block_start, greatest(block_start - 3, 1), least(block_end + 3, n) FROM blocks JOIN last USING (doc_id) WHERE (block_start - 1) // 16 % 2 = 1 UNION SELECT g.doc_id, g.block_start, least(g.a, p.line_no), greatest(g.z, p.line_no) FROM g JOIN p ON p.doc_id = g.doc_id AND ((p.line_no < g.a AND p.after >= g.a) OR (p.line_no > g.z AND p.before <= g.z))), w AS (SELECT doc_id, block_start, min(a) AS a, max(z) AS z FROM g GROUP BY ALL), vspans AS (SELECT w.doc_id, x.byte_start AS span_start, y.byte_end AS span_end FROM w JOIN vlines x ON x.doc_id = w.doc_id AND x.line_no = w.a JOIN vlines y ON y.doc_id = w.doc_id AND y.line_no = w.z)"
+
+
+@query(FIXPOINT + MERGED + " SELECT doc_id, span_start, span_end FROM merged")
+def excerpt_fixpoint(spark, sf):
+    """Excerpts around every second block of every document. The documents hold no comments, so a line's length
+    stands for its kind: what is left of it by 5 makes it a comment (0), blank (1) or text."""
+    rows, blocks = block_rows(spark, sf)
+    left = (F.col("byte_end") - F.col("byte_start")) % 5
+    kinds = rows.select("doc_id", "line_no", "byte_start", "byte_end", F.when(left == 0, "comment").when(left == 1, "blank").otherwise("text").alias("kind"))
+    ranges = blocks.where(F.expr(f"(block_start - 1) div {LIMITS.block_lines} % 2 = 1")).withColumnsRenamed({"block_start": "start_line", "block_end": "end_line"})
+    return L.excerpts(kinds, ranges)
+
+
 @query(BLOCK_SQL + " SELECT doc_id, block_start, coalesce(lag(block_start) OVER w, 0) AS previous, coalesce(lead(block_start) OVER w, 0) AS next FROM blocks WHERE block_end - block_start < 40 WINDOW w AS (PARTITION BY doc_id ORDER BY block_start)")
 def neighbours(spark, sf):
     w = Window.partitionBy("doc_id").orderBy("block_start")
