@@ -95,13 +95,32 @@ def test_stream_agrees_with_the_batch(spark, sf, tmp_path):
     rows = vattempts(spark, sf).where("search < 10").withColumn("ts", F.col("ts").cast("timestamp")).select("search", "event_id", "ts", "tokens")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = budget.rate_budget(stream, replace(LIMITS, requests_per_minute=2)).writeStream.format("memory").queryName("budget_out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.event_id: (r.requests, r.window_tokens) for r in spark.table("budget_out").collect()}
+    got = {r.event_id: (r.requests, r.window_tokens) for r in budget.decided(stream, str(tmp_path / "out"), replace(LIMITS, requests_per_minute=2)).collect()}
     want = {r.event_id: (r.requests, r.window_tokens) for r in rate_windows(rows).collect()}
     assert got == want and want
 
 
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Attempts that come after a restart meet those of the last minute before it, and none is decided twice."""
+    from datetime import datetime, timedelta
+
+    from winnow.operators.budget import rate_windows
+
+    begin = datetime(2024, 5, 1)
+    rows = [(i % 3, i, begin + timedelta(seconds=2.5 * i), 100 + i) for i in range(90)]
+    schema = "search long, event_id long, ts timestamp, tokens long"
+    folder, limits = str(tmp_path / "in"), replace(LIMITS, requests_per_minute=5)
+    run = lambda: budget.decided(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "out"), limits)
+    whole = spark.createDataFrame(rows, schema)
+    whole.where("event_id < 40").coalesce(1).write.parquet(folder)
+    assert run().count() == 40
+    whole.where("event_id >= 40").coalesce(1).write.mode("append").parquet(folder)
+    got = sorted((r.event_id, r.requests, r.window_tokens, r.wait_seconds > 0) for r in run().collect())
+    want = sorted((r.event_id, r.requests, r.window_tokens, r.requests > 5) for r in rate_windows(whole).collect())
+    assert got == want
+    assert run().count() == 90
+
+
 def test_pace_keeps_to_both_windows():
     from winnow.operators.pace import Pace
 

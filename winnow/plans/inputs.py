@@ -61,9 +61,13 @@ def vspans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.join(last, "doc_id").where("n <= last").drop("last")
 
 
-def vattempts(spark: SparkSession, sf: str) -> DataFrame:
+def vattempts(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
+    events = table(spark, sf, "events")
+    if stream:
+        # a pattern, as a stream takes a plain path for a folder and the table may be one file
+        events = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
     status = F.when(F.col("event_type") == "error", 529).when(F.col("event_type") == "signup", 429).when(F.col("event_type") == "purchase", 500).otherwise(200)
-    return table(spark, sf, "events").select("event_id", F.col("user_id").alias("search"), "ts", F.floor(F.col("value") * 1000).cast("long").alias("tokens"), status.alias("status"))
+    return events.select("event_id", F.col("user_id").alias("search"), "ts", F.floor(F.col("value") * 1000).cast("long").alias("tokens"), status.alias("status"))
 
 
 def vask(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from winnow.limits import LIMITS
@@ -106,6 +108,16 @@ def rate_windows(spark, sf):
     return B.rate_windows(I.vattempts(spark, sf)).select("event_id", "requests", "window_tokens")
 
 
+@query(I.sql("vattempts") + "SELECT a.event_id, count(*) AS requests, (sum(b.tokens) FILTER (b.ts > a.ts - INTERVAL 1 SECOND))::BIGINT AS window_tokens FROM vattempts a JOIN vattempts b ON a.search = b.search AND b.ts > a.ts - INTERVAL 60 SECONDS AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id <= a.event_id)) GROUP BY a.event_id")
+def rate_stream(spark, sf):
+    """The budget's windows over the events as a stream, with state; attempts of one time go by their ids."""
+    from winnow.sources import store
+    from winnow.streaming import budget
+
+    at = f"{store.folder(spark)}/winnow/rate-{uuid.uuid4().hex}"
+    return budget.decided(I.vattempts(spark, sf, stream=True), at).select("event_id", "requests", "window_tokens")
+
+
 @query(I.sql("vattempts") + "SELECT event_id, free_at FROM (SELECT event_id, lag(ts, 1199) OVER (PARTITION BY search ORDER BY ts, event_id) + INTERVAL 60 SECONDS AS free_at FROM vattempts)")
 def rpm_wait(spark, sf):
     return B.request_wait(I.vattempts(spark, sf)).select("event_id", "free_at")

@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from winnow.limits import LIMITS, Limits
 
 OUTPUT = "search long, event_id long, ts timestamp, requests long, window_tokens long, wait_seconds double"
-STATE = "micros array<bigint>, tokens array<bigint>"
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MINUTE, SECOND = 60_000_000, 1_000_000
 
 
@@ -37,24 +39,56 @@ def admit(held: list[tuple[int, int]], now: int, tokens: int, limits: Limits) ->
     return number + 1, used + tokens, wait / SECOND
 
 
-def rate_budget(attempts: DataFrame, limits: Limits = LIMITS, late: str = "1 minute") -> DataFrame:
-    """For each attempt of a stream (search, event_id, ts, tokens) what its windows hold and how long
-    it would have had to wait. State is what the last minute holds; it goes when a search is quiet."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = sorted(zip(*state.get, strict=True)) if state.exists else []
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+class Budget(StatefulProcessor):
+    """Keeps a search's attempts of the last minute as a list; a timer empties it when the search is quiet."""
+
+    def __init__(self, limits: Limits):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getListState("held", "micros long, tokens long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = sorted((int(t), int(n)) for t, n in self.held.get()) if self.held.exists() else []
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
             now = int(r.ts.value // 1000)
-            rows.append((key[0], r.event_id, r.ts, *admit(held, now, int(r.tokens), limits)))
+            out.append((key[0], r.event_id, r.ts, *admit(held, now, int(r.tokens), self.limits)))
             bisect.insort(held, (now, int(r.tokens)))
-        held = held[bisect.bisect_right(held, (now - MINUTE, math.inf)) :]
-        state.update(([t for t, _ in held], [n for _, n in held]))
-        if held:
-            state.setTimeoutTimestamp(max(held[-1][0] // 1000 + 60_001, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["search", "event_id", "ts", "requests", "window_tokens", "wait_seconds"])
+        held = held[bisect.bisect_right(held, (held[-1][0] - MINUTE, math.inf)) :]
+        self.held.put(held)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(held[-1][0] // 1000 + 60_001, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=["search", "event_id", "ts", "requests", "window_tokens", "wait_seconds"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
-    return attempts.withWatermark("ts", late).groupBy("search").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def rate_budget(attempts: DataFrame, limits: Limits = LIMITS, late: str = "1 minute") -> DataFrame:
+    """For each attempt of a stream (search, event_id, ts, tokens) what its windows hold and how long
+    it would have had to wait. State is what the last minute holds; it goes when a search is quiet. Attempts
+    later than ``late`` are dropped. The session's state store must be RocksDB (see ``decided``)."""
+    keyed = attempts.select("search", "event_id", F.col("ts").cast("timestamp").alias("ts"), "tokens").withWatermark("ts", late).groupBy("search")
+    return keyed.transformWithStateInPandas(Budget(limits), OUTPUT, "Append", "EventTime")
+
+
+def decided(attempts: DataFrame, at: str, limits: Limits = LIMITS) -> DataFrame:
+    """What ``rate_budget`` says of all attempts that a stream has now, as a table under ``at``.
+
+    Progress, state and results are kept there: a run that died goes on from its checkpoint, a second
+    run takes only what is new, and the table holds each attempt once.
+    """
+    conf, before = attempts.sparkSession.conf, attempts.sparkSession.conf.get(STORE)
+    conf.set(STORE, ROCKS)
+    try:
+        write = rate_budget(attempts, limits).writeStream.format("parquet").option("path", f"{at}/decided").option("checkpointLocation", f"{at}/checkpoint")
+        write.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(STORE, before)
+    return attempts.sparkSession.read.schema(OUTPUT).parquet(f"{at}/decided")
