@@ -26,7 +26,7 @@ from winnow.operators import bookkeeping, excerpts, grouping, languages, names,
 from winnow.plans import requests
 from winnow.plans.requests import dump
 from winnow.plans.scorers import Scorer
-from winnow.sources.store import written
+from winnow.sources.store import discard, written
 
 UNITS = "path string, ord long, name string, start_line long, end_line long, byte_start long, byte_end long, source string"
 
@@ -232,7 +232,8 @@ class Search:
         self.previews = written(previews.directory_previews(self.entries, limits), "previews")
 
     def judge(self, planned: DataFrame) -> DataFrame:
-        """Planned items with p, evaluated once; what is not asked about has none.
+        """Planned items with p in place of what is shown of them, evaluated once; what is not asked about
+        has none.
 
         A cancelled search asks no more. One near its cap of requests asks as many as it has left, in
         the order of their paths, and no more after them.
@@ -247,13 +248,16 @@ class Search:
         if wanted > left:
             self.stop = "budget"
             whole = written(whole.orderBy("batch").limit(left), "last-requests")
+        kept = [c for c in items.columns if c != "text"]
         if not min(left, wanted):
-            return items.withColumn("p", F.lit(None).cast("double"))
+            return items.select(*kept, F.lit(None).cast("double").alias("p"))
         asked = items.join(whole.select("batch"), "batch", "left_semi")
-        judged = written(self.scorer.score(asked, whole), "judged")
+        judged = written(self.scorer.score(asked, whole).drop("text"), "judged")
         self._count(judged, min(wanted, left))
         rest = items.where("batch IS NULL").unionByName(items.where("batch IS NOT NULL").join(whole.select("batch"), "batch", "left_anti"))
-        return judged.select(*items.columns, "p").unionByName(rest.withColumn("p", F.lit(None).cast("double")))
+        rest = written(rest.select(*kept, F.lit(None).cast("double").alias("p")), "unasked")
+        discard(planned)  # what was shown goes with it
+        return judged.select(*kept, "p").unionByName(rest)
 
     def _count(self, judged: DataFrame, sent: int) -> None:
         """Attempts as the scorer counts them, retries among them; else the requests."""
@@ -274,7 +278,11 @@ class Search:
     def items(self, paths: DataFrame, stage: str, anchor: dict | None = None, samples: bool = False) -> DataFrame:
         """Entries (path, kind) as they are asked about: files by their previews, directories by what
         stands in them and, with ``samples``, by parts of their files."""
-        shown = paths.join(self.files.select("path", "text"), "path", "left").join(self.previews, "path", "left")
+        # as many paths as the limit of entries lets a round list go to where the texts are; of more, both sides are shuffled
+        sent = F.broadcast if paths.count() <= self.limits.entries else (lambda df: df)
+        texts = self.files.select("path", "text").join(sent(paths.where("kind = 'file'")), "path")
+        folders = paths.where("kind = 'directory'").join(self.previews, "path")  # one that has no preview is left alone
+        shown = texts.unionByName(folders, allowMissingColumns=True)
         if samples:
             shown = shown.join(previews.directory_samples(self.entries, self.files, self.limits), "path", "left")
         else:
@@ -368,9 +376,9 @@ class Search:
                 more, _ = self.discover(related, "relate", anchor)
                 files = files.unionByName(more)
                 candidates = written(best(files), "candidates")
-        chosen_files = candidates.join(self.files.select("path", "text", "sha256", "bytes"), "path")
+        chosen_files = self.files.select("path", "text", "sha256", "bytes").join(F.broadcast(candidates), "path")
         inspectable = chosen_files.where(F.col("bytes") <= limits.inspected_bytes)
-        table = written(unit_table(inspectable, limits), "units")
+        table = written(unit_table(inspectable, limits).drop("source"), "units")
         first = written(self.decide(inspectable, None), "first-pass")
         picked = table.join(first.where(F.col("relevance") > limits.threshold), ["path", "ord"])
         shown = written(evidence_table(picked, inspectable, limits), "evidence")
@@ -382,7 +390,7 @@ class Search:
             evidence = [{"path": r.path, "startLine": r.start_line, "endLine": r.end_line, "source": r.source} for r in shown.orderBy("path", "start_line").collect()]  # bounded by the test above
             second = written(self.decide(inspectable, evidence), "second-pass").where("relevance IS NOT NULL").withColumn("pass", F.lit(2))
             decisions = ranking.latest(decisions.unionByName(second), ["path", "ord"], "pass", "relevance")
-        ranges = table.drop("source").join(decisions, ["path", "ord"]).where(F.col("relevance") > limits.threshold)
+        ranges = table.join(decisions, ["path", "ord"]).where(F.col("relevance") > limits.threshold)
         ranked = ranking.ranked_ranges(ranges.select("path", "start_line", "end_line", "relevance"))
         top = ranking.top_files(chosen_files.select("path", "score", "sha256"), limit)
         ranked = written(ranked.join(top.select("path"), "path", "left_semi"), "ranges")
