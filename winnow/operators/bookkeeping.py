@@ -62,3 +62,19 @@ def summary(out: Column, err: Column, code: Column, folder: Column, limits: Limi
     text = lambda x: x.cast("string")
     facts = F.concat(F.lit("exit_code: "), text(code), F.lit("\nstdout: "), text(n), F.lit(" bytes "), folder, F.lit("/stdout.log\nstderr: "), text(m), F.lit(" bytes "), folder, F.lit("/stderr.log\n"))
     return F.when(n + m <= limits.shown_bytes, F.concat(closed(shown), facts)).otherwise(F.concat(facts, F.lit("output not shown\n")))
+
+
+def parsed_answers(replies: DataFrame, body: str = "body", asked: str = "asked") -> DataFrame:
+    """``replies`` with ``answers``, a map from each asked key to its probability, or null.
+
+    The body is JSON text, an object with the object ``answers``. A body that is no JSON, that has a key
+    twice, lacks a key that was asked or has another one, or a value that is no number from 0 to 1, has no
+    answers at all.
+    """
+    # a key that stands twice is no JSON here: the session's spark.sql.variant.allowDuplicateKeys is false by default
+    answers = F.try_variant_get(F.try_parse_json(body), "$.answers", "map<string,double>")
+    kinds = F.try_variant_get(F.try_parse_json(body), "$.answers", "map<string,variant>")
+    numbers = F.forall(F.map_values(kinds), lambda v: ~F.schema_of_variant(v).isin("STRING", "BOOLEAN", "VOID"))
+    whole = (F.size(F.array_except(F.map_keys(answers), asked)) == 0) & (F.size(F.array_except(asked, F.map_keys(answers))) == 0)
+    within = F.forall(F.map_values(answers), lambda p: p.isNotNull() & (p >= 0) & (p <= 1))
+    return replies.withColumn("answers", F.when(whole & within & numbers, answers))

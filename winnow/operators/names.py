@@ -118,3 +118,15 @@ def record_names(rows: DataFrame, order: str, most: int = 1000) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("stamp", "label").orderBy(order)) - 1
     named = rows.withColumn("n", n).where(F.col("n") < most)
     return named.withColumn("name", F.concat(F.col("stamp"), F.lit("-"), F.col("label"), F.when(F.col("n") > 0, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""))).drop("n")
+
+
+def nearest_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """path, root: for each path the longest root (a table's column ``root``) that is it or lies above it, or null.
+
+    Each path asks for itself and its ancestors by equality, so any number of roots costs one join; the
+    empty root holds every path. Repeated roots count once; equal paths are one row.
+    """
+    own = paths.select("path").distinct()
+    above = own.select("path", F.explode(F.array_distinct(F.concat(P.ancestors(F.col("path")), F.array("path", F.lit(""))))).alias("root"))
+    held = above.join(roots.select("root").distinct(), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return own.join(held, "path", "left")

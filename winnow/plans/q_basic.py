@@ -224,6 +224,16 @@ def root_containment(spark, sf):
     return N.containing_root(I.vfiles(spark, sf).select("path"), ["src1", "src1/fr", "src7", "src1/f"])
 
 
+# Every 50th file and the directory of every seventh are roots; a root may be a file.
+@query(I.sql("vfiles") + ", r AS (SELECT path AS root FROM vfiles WHERE doc_id % 50 = 0 UNION SELECT dir FROM vfiles WHERE doc_id % 7 = 0 AND doc_id % 3 = 0 UNION SELECT source FROM vfiles WHERE doc_id % 11 = 0) SELECT v.path, max(r.root) AS root FROM (SELECT DISTINCT path, dir, source FROM vfiles) v LEFT JOIN r ON r.root IN (v.path, v.dir, v.source) AND length(r.root) = (SELECT max(length(x.root)) FROM r x WHERE x.root IN (v.path, v.dir, v.source)) GROUP BY v.path")
+def nearest_roots(spark, sf):
+    """The root that holds each file most closely, with the roots from a table."""
+    files = I.vfiles(spark, sf)
+    roots = files.where("doc_id % 50 = 0").select(F.col("path").alias("root"))
+    roots = roots.union(files.where("doc_id % 7 = 0 AND doc_id % 3 = 0").select("dir")).union(files.where("doc_id % 11 = 0").select(F.substring_index("dir", "/", 1)))
+    return N.nearest_roots(files, roots)
+
+
 # Content
 
 WITH_LITERALS = f"WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {sql_values(CONTENT)}) t(doc_id, text)) "
