@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from winnow.limits import LIMITS, Limits
 from winnow.operators.pace import Pace
+from winnow.plans import ledger
 from winnow.plans.requests import Request, halves
 from winnow.sources.store import written
 
@@ -165,11 +166,13 @@ class HttpScorer:
     ``concurrent`` requests are in flight: they are dealt to so many tasks or fewer, each of which asks
     with its share of threads, of the minute's requests and of the second's tokens. A request about
     several entries that fails as overloaded is asked again in halves, numbered anew. What is billed
-    is written once. ``seconds``: how long one table of requests may take, null for no end.
+    is written once. ``seconds``: how long one table of requests may take, null for no end. ``ledger``: a
+    shared table where answers are committed slice by slice, so that no committed request is asked again
+    by a lost task or a later run (see ``winnow.plans.ledger``).
     """
 
-    def __init__(self, url: str, model: str, key_variable: str = "WINNOW_MODEL_KEY", limits: Limits = LIMITS, seconds: float | None = None):
-        self.url, self.model, self.variable, self.limits, self.seconds = url, model, key_variable, limits, seconds
+    def __init__(self, url: str, model: str, key_variable: str = "WINNOW_MODEL_KEY", limits: Limits = LIMITS, seconds: float | None = None, ledger: str | None = None):
+        self.url, self.model, self.variable, self.limits, self.seconds, self.ledger = url, model, key_variable, limits, seconds, ledger
 
     def ask(self, requests: DataFrame) -> DataFrame:
         """A row for each key of each request (batch, state, keys, questions): see ``ANSWERS``. Attempts,
@@ -215,4 +218,5 @@ class HttpScorer:
     def score(self, items: DataFrame, requests: DataFrame | None = None) -> DataFrame:
         if requests is None:
             raise ValueError("a model is asked by requests")
-        return items.join(written(self.ask(requests), "asked"), ["batch", "key"], "left")
+        answers = written(self.ask(requests), "asked") if self.ledger is None else ledger.answered(requests, self.ask, self.ledger)
+        return items.join(answers, ["batch", "key"], "left")
