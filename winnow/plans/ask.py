@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.limits import LIMITS, Limits
 from winnow.operators import bookkeeping, ranking
 from winnow.plans.scorers import Scorer
+from winnow.plans.watch import Stopped, Watch
 from winnow.sources.store import written
 
 
@@ -41,13 +44,30 @@ def too_large(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return rows.groupBy("call").agg((F.sum("bytes") > limits.ask_bytes).alias("too_large"))
 
 
-def ask(files: DataFrame, questions: list[str], scorer: Scorer, limits: Limits = LIMITS) -> DataFrame:
+def ask_one(files: DataFrame, questions: list[str], scorer: Scorer, limits: Limits = LIMITS, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
+    """A call on its own, files (ord, path, identity, text): it ends after ``ask_seconds``."""
+    return ask(files.select(F.lit(0).cast("long").alias("call"), "ord", "path", "identity", "text"), questions, scorer, limits, limits.ask_seconds, cancelled).drop("call")
+
+
+def ask(files: DataFrame, questions: list[str], scorer: Scorer, limits: Limits = LIMITS, seconds: float | None = None, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
     """call, ord, question, p_yes in the questions' order; equal questions keep their own answers.
 
     files: call, ord, path, identity, text. A call whose files are too large gets no answers: p_yes
-    is null and error says why.
+    is null and error says why. So it is with all calls if they are not all answered after ``seconds`` or
+    when they are cancelled, which ends reading and asking alike.
     """
     check_questions(questions, limits)
+    watch = Watch(files.sparkSession, seconds, cancelled)
+    try:
+        with watch.over():
+            return answered(files, questions, scorer, limits)
+    except Stopped as e:
+        error = "cancelled" if e.reason == "cancelled" else "provider_unavailable"
+    none = F.posexplode(F.lit(list(questions))).alias("ord", "question")
+    return files.select("call").distinct().select("call", none).select("call", F.col("ord").cast("long").alias("ord"), "question", F.lit(None).cast("double").alias("p_yes"), F.lit(error).alias("error"))
+
+
+def answered(files: DataFrame, questions: list[str], scorer: Scorer, limits: Limits) -> DataFrame:
     spark = files.sparkSession
     asked = spark.createDataFrame(list(enumerate(questions)), "ord long, question string")
     # what a call reads is within its bound of bytes

@@ -8,6 +8,7 @@ table, written once, since a judgment may cost money.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
@@ -26,8 +27,14 @@ from winnow.operators import bookkeeping, excerpts, grouping, languages, names,
 from winnow.plans import requests
 from winnow.plans.requests import dump
 from winnow.plans.scorers import Scorer
+from winnow.plans.watch import Stopped, Watch
 from winnow.sources.store import discard, written
 
+def joined(parts: list[DataFrame]) -> DataFrame:
+    """Tables of the same columns in the same order as one."""
+    return functools.reduce(DataFrame.union, parts)
+
+
 UNITS = "path string, ord long, name string, start_line long, end_line long, byte_start long, byte_end long, source string"
 
 
@@ -202,7 +209,8 @@ def selection_plan(files: DataFrame, query: str, evidence: list[dict] | None, li
 class Found:
     """files: path, score, sha256; ranges: path, start_line, end_line, relevance, rank (no source
     text in either); issues: kind, code, path; summary: one row of counts; asked: requests, tokens and
-    the model that answered, as far as the scorer tells."""
+    the model that answered, as far as the scorer tells. Of a search that was stopped these are plans
+    over what it had written; else files, ranges and issues are tables."""
 
     files: DataFrame
     ranges: DataFrame
@@ -212,17 +220,39 @@ class Found:
 
 
 class Search:
-    def __init__(self, files: DataFrame, question: str, scorer: Scorer, include: list[str] = (), exclude: list[str] = (), limits: Limits = LIMITS, cancelled: Callable[[], bool] = lambda: False):
+    """A search over files (path, text). It ends when ``cancelled`` says so or, with ``seconds``, so long
+    after it was made, in the middle of a job too, with a result of what was written so far: the files of
+    whole rounds, the ranges of a whole pass, and an issue for each entry that was listed and not judged.
+    """
+
+    def __init__(self, files: DataFrame, question: str, scorer: Scorer, include: list[str] = (), exclude: list[str] = (), limits: Limits = LIMITS, cancelled: Callable[[], bool] = lambda: False, seconds: float | None = None):
         if not question.strip():
             raise ValueError("the question is empty")
-        self.question, self.scorer, self.limits, self.cancelled = question, scorer, limits, cancelled
+        self.question, self.scorer, self.limits = question, scorer, limits
+        self.watch = Watch(files.sparkSession, seconds, cancelled)
         self.include, self.exclude = list(include), list(exclude)
         self.requests, self.listed, self.stop, self.unopened = 0, 0, None, None
         self.asked = {"requests": 0, "input_tokens": 0, "output_tokens": 0, "model": None}
         self.spark = files.sparkSession
+        # what is known so far: judged files and directories of each round, a round that is not judged yet, units and their scores
+        self.judged: list[DataFrame] = []
+        self.folders: list[DataFrame] = []
+        self.pending = self.pruned = self.candidates = self.units = self.first = self.second = None
+        try:
+            with self.watch.over():
+                self._read(files)
+        except Stopped:
+            self.stop = "cancelled"
+            empty = lambda schema: self.spark.createDataFrame([], schema)
+            self.snapshots = empty("path string, text string, sha256 string, bytes long, status string")
+            self.files = self.skipped = self.snapshots
+            self.entries, self.previews = empty("path string, kind string, parent string"), empty("path string, preview string")
+
+    def _read(self, files: DataFrame) -> None:
+        limits = self.limits
         # names are tested before any content is read; a directory's reason holds for all below it
-        above = F.exists(P.ancestors(F.col("path")), lambda d: names.directory_reason(d, list(exclude)).isNotNull())
-        kept = files.where(~above & names.file_reason(F.col("path"), list(include), list(exclude)).isNull())
+        above = F.exists(P.ancestors(F.col("path")), lambda d: names.directory_reason(d, self.exclude).isNotNull())
+        kept = files.where(~above & names.file_reason(F.col("path"), self.include, self.exclude).isNull())
         self.snapshots = written(snapshots(kept, limits), "snapshots")
         self.files = self.snapshots.where("status = 'ok'")
         leaves = self.files.select(P.parent(F.col("path")).alias("d")).distinct()
@@ -235,14 +265,13 @@ class Search:
         """Planned items with p in place of what is shown of them, evaluated once; what is not asked about
         has none.
 
-        A cancelled search asks no more. One near its cap of requests asks as many as it has left, in
-        the order of their paths, and no more after them.
+        A search near its cap of requests asks as many as it has left, in the order of their paths, and
+        no more after them.
         """
         planned = written(planned, "planned")
         whole = planned.where("state IS NOT NULL").select("batch", "state", "keys", "questions")
         items = planned.drop("state", "keys", "questions")
-        if self.stop is None and self.cancelled():
-            self.stop = "cancelled"
+        self.watch.check()
         left = 0 if self.stop else max(0, self.limits.requests - self.requests)
         wanted = 0 if self.stop else whole.count()
         if wanted > left:
@@ -292,15 +321,16 @@ class Search:
     def _leave(self, directories: DataFrame) -> None:
         self.unopened = directories if self.unopened is None else self.unopened.unionByName(directories)
 
-    def discover(self, seeds: DataFrame, stage: str, anchor: dict | None = None) -> tuple[DataFrame, DataFrame]:
-        """(judged files, judged directories) below the seeds (path), which are opened unjudged.
+    def discover(self, seeds: DataFrame, stage: str, files: list[DataFrame], dirs: list[DataFrame], anchor: dict | None = None) -> None:
+        """Adds the judged files and directories below the seeds (path), which are opened unjudged, to
+        ``files`` and ``dirs``, round by round.
 
         A round opens the seeds and the directories in them, judges all files listed so and the
         directories one level further, and takes those above the threshold as the next seeds. At the
         limit of entries the last round is cut by path; directories left over, or not read to their end,
         are ``unopened``.
         """
-        entries, files, dirs = self.entries, [], []
+        entries = self.entries
         while True:
             first = entries.join(seeds.select(F.col("path").alias("parent")), "parent", "left_semi")
             children = first.where("kind = 'directory'").select(F.col("path").alias("parent"))
@@ -311,19 +341,19 @@ class Search:
                 whole, listed = listed, written(listed.orderBy("path").limit(left), "listed")
                 self._leave(whole.join(listed, "path", "left_anti").select(P.parent(F.col("path")).alias("path")).distinct())
             self.listed += min(number, left)
+            self.pending = listed
             judged = self.judge(self.items(listed, stage, anchor))
             # a file in chunks is as good as its best chunk
             best = written(judged.groupBy("path", "kind").agg(F.max("p").alias("p"), F.max(F.col("batch").isNull()).alias("too_large")), "best")
             files.append(best.where("kind = 'file'"))
             dirs.append(best.where("kind = 'directory'"))
+            self.pending = None
             seeds = dirs[-1].where(F.col("p") > self.limits.threshold).select("path")
             if seeds.isEmpty():
                 break
             if self.listed >= self.limits.entries:
                 self._leave(seeds)
                 break
-        join = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(join(parts[1:]))
-        return join(files), join(dirs)
 
     def anchor(self, candidates: DataFrame) -> dict | None:
         """The best candidate that declares a class, and its classes; all candidates are tried."""
@@ -358,55 +388,101 @@ class Search:
         return wide.select("path", "ord", F.when(whole, ranking.combine(F.col("r"), F.col("s"), F.coalesce("f", F.lit(0.0)))).alias("relevance"))
 
     def run(self, limit: int | None = None) -> Found:
+        limit = self.limits.default_results if limit is None else limit
+        if not 1 <= limit <= self.limits.most_results:
+            raise ValueError(f"limit must be 1 to {self.limits.most_results}")
+        try:
+            with self.watch.over():
+                self._explore()
+                self._select()
+                return self._finish(limit, written)
+        except Stopped:
+            self.stop = "cancelled"
+        return self._finish(limit, lambda df, _: df)
+
+    def _best(self, files: list[DataFrame]) -> DataFrame:
+        """path and score of the files above the threshold; one that was judged twice has its best score."""
+        over = joined(files).where(F.col("p") > self.limits.threshold)
+        return ranking.best(over.withColumn("score", F.col("p")), ["path"], "score")
+
+    def _explore(self) -> None:
+        threshold = self.limits.threshold
+        self.discover(self.spark.createDataFrame([("",)], "path string"), "navigate", self.judged, self.folders)
+        self.pruned = joined(self.folders).where(F.col("p") <= threshold).select("path")
+        self.candidates = written(self._best(self.judged), "candidates")
+        anchor = None if self.pruned.isEmpty() else self.anchor(self.candidates)
+        if not anchor:
+            return
+        again = self.judge(self.items(self.pruned.withColumn("kind", F.lit("directory")), "relate", anchor, samples=True))
+        related = written(again.where(F.col("p") > threshold).select("path"), "related")
+        if not related.isEmpty():
+            self.discover(related, "relate", self.judged, [], anchor)
+            self.candidates = written(self._best(self.judged), "candidates")
+
+    def _chosen(self, candidates: DataFrame) -> DataFrame:
+        return self.files.select("path", "text", "sha256", "bytes").join(F.broadcast(candidates), "path")
+
+    def _select(self) -> None:
         limits = self.limits
-        limit = limits.default_results if limit is None else limit
-        if not 1 <= limit <= limits.most_results:
-            raise ValueError(f"limit must be 1 to {limits.most_results}")
-        over = F.col("p") > limits.threshold
-        seeds = self.spark.createDataFrame([("",)], "path string")
-        files, dirs = self.discover(seeds, "navigate")
-        pruned = dirs.where(F.col("p") <= limits.threshold).select("path")
-        best = lambda f: ranking.best(f.where(over).withColumn("score", F.col("p")), ["path"], "score")
-        candidates = written(best(files), "candidates")
-        anchor = None if pruned.isEmpty() else self.anchor(candidates)
-        if anchor:
-            again = self.judge(self.items(pruned.withColumn("kind", F.lit("directory")), "relate", anchor, samples=True))
-            related = written(again.where(over).select("path"), "related")
-            if not related.isEmpty():
-                more, _ = self.discover(related, "relate", anchor)
-                files = files.unionByName(more)
-                candidates = written(best(files), "candidates")
-        chosen_files = self.files.select("path", "text", "sha256", "bytes").join(F.broadcast(candidates), "path")
-        inspectable = chosen_files.where(F.col("bytes") <= limits.inspected_bytes)
-        table = written(unit_table(inspectable, limits).drop("source"), "units")
-        first = written(self.decide(inspectable, None), "first-pass")
-        picked = table.join(first.where(F.col("relevance") > limits.threshold), ["path", "ord"])
+        inspectable = self._chosen(self.candidates).where(F.col("bytes") <= limits.inspected_bytes)
+        self.units = written(unit_table(inspectable, limits).drop("source"), "units")
+        self.first = written(self.decide(inspectable, None), "first-pass")
+        picked = self.units.join(self.first.where(F.col("relevance") > limits.threshold), ["path", "ord"])
         shown = written(evidence_table(picked, inspectable, limits), "evidence")
         # the evidence must fit one request; its size is one sum
         one = F.struct("path", F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), "source")
         total = shown.agg(F.coalesce(F.sum(F.octet_length(F.to_json(one)) + 1), F.lit(-1)).alias("n")).first().n + 1
-        decisions = first.withColumn("pass", F.lit(1))
         if 0 < total <= limits.evidence_bytes and not self.stop:
             evidence = [{"path": r.path, "startLine": r.start_line, "endLine": r.end_line, "source": r.source} for r in shown.orderBy("path", "start_line").collect()]  # bounded by the test above
-            second = written(self.decide(inspectable, evidence), "second-pass").where("relevance IS NOT NULL").withColumn("pass", F.lit(2))
-            decisions = ranking.latest(decisions.unionByName(second), ["path", "ord"], "pass", "relevance")
-        ranges = table.join(decisions, ["path", "ord"]).where(F.col("relevance") > limits.threshold)
-        ranked = ranking.ranked_ranges(ranges.select("path", "start_line", "end_line", "relevance"))
-        top = ranking.top_files(chosen_files.select("path", "score", "sha256"), limit)
-        ranked = written(ranked.join(top.select("path"), "path", "left_semi"), "ranges")
-        issues = self.snapshots.where(F.col("status").isin("size_limit", "encoding")).select(F.col("status").alias("kind"), F.when(F.col("status") == "encoding", "unsupported_encoding").otherwise("input_too_large").alias("code"), "path")
-        issues = issues.unionByName(chosen_files.where(F.col("bytes") > limits.inspected_bytes).select(F.lit("inspection_limit").alias("kind"), F.lit("input_too_large").alias("code"), "path"))
+            self.second = written(self.decide(inspectable, evidence), "second-pass")
+
+    def _finish(self, limit: int, kept: Callable[[DataFrame, str], DataFrame]) -> Found:
+        """The result of what is known, its parts by way of ``kept``."""
+        limits = self.limits
+        judged, folders = list(self.judged), list(self.folders)
+        if self.pending is not None:
+            unjudged = self.pending.selectExpr("path", "kind", "CAST(NULL AS DOUBLE) AS p", "false AS too_large")
+            judged.append(unjudged.where("kind = 'file'"))
+            folders.append(unjudged.where("kind = 'directory'"))
+        if not judged:
+            judged = folders = [self.spark.createDataFrame([], "path string, kind string, p double, too_large boolean")]
+        files, dirs = joined(judged), joined(folders)
+        candidates = self.candidates if self.stop != "cancelled" else self._best([files])
+        pruned = dirs.where(F.col("p") <= limits.threshold) if self.pruned is None else self.pruned
+        chosen = self._chosen(candidates)
+        top = ranking.top_files(chosen.select("path", "score", "sha256"), limit)
+        if self.first is None:
+            ranked = self.spark.createDataFrame([], "path string, start_line long, end_line long, relevance double, rank long")
+            unread = chosen.where(F.col("bytes") <= limits.inspected_bytes)
+        else:
+            decisions = self.first.withColumn("pass", F.lit(1))
+            if self.second is not None:
+                again = self.second.where("relevance IS NOT NULL").withColumn("pass", F.lit(2))
+                decisions = ranking.latest(decisions.unionByName(again), ["path", "ord"], "pass", "relevance")
+            ranges = self.units.join(decisions, ["path", "ord"]).where(F.col("relevance") > limits.threshold)
+            ranked = ranking.ranked_ranges(ranges.select("path", "start_line", "end_line", "relevance"))
+            ranked = kept(ranked.join(top.select("path"), "path", "left_semi"), "ranges")
+            unread = self.first.where("relevance IS NULL").select("path").distinct()
         missing = {"cancelled": ("cancelled", "cancelled"), "budget": ("budget", "budget_exhausted"), "authentication": ("authentication", "provider_unavailable")}.get(self.stop, ("provider", "provider_unavailable"))
-        because = lambda a, b: F.when(F.col("too_large"), a).otherwise(F.lit(b))
-        lost = files.unionByName(dirs).where("p IS NULL")
-        issues = issues.unionByName(lost.select(because("request_size", missing[0]).alias("kind"), because("input_too_large", missing[1]).alias("code"), "path"))
-        issues = issues.unionByName(first.where("relevance IS NULL").select(F.lit(missing[0]).alias("kind"), F.lit(missing[1]).alias("code"), "path").distinct())
+        told = lambda df, kind, code: df.selectExpr(f"{kind} AS kind", f"{code} AS code", "path")
+        parts = [
+            told(self.snapshots.where("status IN ('size_limit', 'encoding')"), "status", "IF(status = 'encoding', 'unsupported_encoding', 'input_too_large')"),
+            told(chosen.where(F.col("bytes") > limits.inspected_bytes), "'inspection_limit'", "'input_too_large'"),
+            told(files.union(dirs).where("p IS NULL"), f"IF(too_large, 'request_size', '{missing[0]}')", f"IF(too_large, 'input_too_large', '{missing[1]}')"),
+            told(unread, f"'{missing[0]}'", f"'{missing[1]}'"),
+        ]
         if self.unopened is not None:
-            issues = issues.unionByName(self.unopened.select(F.lit("resource_limit").alias("kind"), F.lit("input_too_large").alias("code"), "path"))
-        n = candidates.count()
-        counts = files.agg(F.countDistinct("path").alias("files_considered"))
-        summary = counts.select("files_considered", F.lit(pruned.count()).alias("directories_pruned"), F.lit(self.skipped.count()).alias("files_skipped"), F.lit(n).alias("matches_found"), F.lit(n > limit).alias("results_limited"), bookkeeping.status(F.lit(issues.count() + (self.stop is not None)), F.lit(int(self.stop == "cancelled"))).alias("status"))
-        return Found(written(top, "files"), ranked, written(issues, "issues"), summary, dict(self.asked))
+            parts.append(told(self.unopened, "'resource_limit'", "'input_too_large'"))
+        issues = kept(joined(parts), "issues")
+        # all counts by one pass
+        counted = joined([df.selectExpr(f"'{what}' AS what", "path") for what, df in (("file", files), ("pruned", pruned), ("skipped", self.skipped), ("match", candidates), ("issue", issues))])
+        number = lambda what: F.count_if(F.col("what") == what)
+        summary = counted.agg(
+            F.count_distinct(F.expr("IF(what = 'file', path, NULL)")).alias("files_considered"), number("pruned").alias("directories_pruned"), number("skipped").alias("files_skipped"),
+            number("match").alias("matches_found"), (number("match") > limit).alias("results_limited"),
+            bookkeeping.status(number("issue") + int(self.stop is not None), F.lit(int(self.stop == "cancelled"))).alias("status"),
+        )
+        return Found(kept(top, "files"), ranked, issues, summary, dict(self.asked))
 
 
 def report(found: Found, limits: Limits = LIMITS) -> DataFrame:

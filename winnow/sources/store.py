@@ -34,6 +34,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
+    except Exception:
+        delete(spark, path)
+        raise
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -41,9 +44,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:
-        context = t.sparkSession.sparkContext
-        at = context._jvm.org.apache.hadoop.fs.Path(t._winnow_path)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        delete(t.sparkSession, t._winnow_path)
