@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("q_basic", "q_lines", "q_scores", "q_records")
+MODULES = ("q_basic", "q_lines", "q_scores", "q_records", "q_sql")
 
 
 def query(sql: str | None = None):
