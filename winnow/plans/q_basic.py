@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from winnow.operators import names as N
 from winnow.limits import LIMITS
 from winnow.plans import inputs as I
 from winnow.plans.catalog import query
+from winnow.sources import filetree, store
 
 # Literal rows that the driver's tables lack
 PATHS = ("a/b.rs", "a/.bashrc", "a.tar.gz", "Makefile", "x/y.py", "x/y.pyi", "t/a.tsx", "t/b.mjs", "g/main.go", "v1.2/readme", ".git/config", "src/.env", "src/.ENV.local", "node_modules/x/index.js", "docs/cert.PEM", "docs/keys.txt", "src/.envrc", "a/vendor/b.go", ".github/ci.yml", "build/out.o", "docs/CVS/Root", "src/credentials", "src/id_rsa")
@@ -265,3 +268,22 @@ def private_key_filter(spark, sf):
 def snapshot_scan(spark, sf):
     t = F.col("text")
     return with_literals(spark, sf).select("doc_id", C.read_status(t, F.is_valid_utf8(t.cast("binary")), B.byte_length(t), LIMITS.file_bytes).alias("status"), F.sha2(t, 256).alias("sha256"), B.byte_length(t).alias("bytes"))
+
+
+TREE = I.sql("vfiles") + f", d AS (SELECT path, coalesce(text, '') AS text FROM vfiles UNION ALL SELECT 'literal/' || doc_id || '.txt', text FROM (VALUES {sql_values(CONTENT)}) t(doc_id, text)), s AS (SELECT path, text, CASE WHEN strlen(text) > 16777216 THEN 'size_limit' WHEN {BINARY_SQL} THEN 'binary' WHEN regexp_matches(text, '-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----') THEN 'private_key' ELSE 'ok' END AS status FROM d) "
+
+
+@query(TREE + "SELECT path, regexp_replace(path, '/[^/]*$', '') AS parent, (len(path) - len(replace(path, '/', '')) + 1)::INT AS depth, strlen(text)::BIGINT AS bytes, status, CASE status WHEN 'ok' THEN sha256(text) END AS sha256 FROM s")
+def tree_scan(spark, sf):
+    """Every document written as a file of a tree, in one commit, and found again by the scan of the
+    tree with its filters pushed down. The tree stands in the session's shared folder, which executors
+    must have mounted, and goes when the scan is written."""
+    held = literals(spark, CONTENT, "doc_id long, text string").select(F.format_string("literal/%d.txt", "doc_id").alias("path"), "text")
+    root = store.qualified(spark, f"{store.folder(spark)}/winnow/tree-{uuid.uuid4().hex}")
+    filetree.register(spark)
+    try:
+        I.vfiles(spark, sf).select("path", "text").unionByName(held).write.format("winnow_files").mode("append").save(root)
+        files = spark.read.format("winnow_files").option("path", root).load().where("kind = 'file' AND reason IS NULL")
+        return store.written(files.select("path", "parent", "depth", "bytes", "status", "sha256"), "tree-scan")
+    finally:
+        store.delete(spark, root)

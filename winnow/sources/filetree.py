@@ -2,8 +2,10 @@
 
 ``spark.read.format("winnow_files").option("path", root)`` gives one row for each entry: path, kind,
 parent, depth, bytes, reason (why it is left out), status (of reading), sha256, text. Links are
-followed only to regular files inside the root whose every name is allowed. Top entries are the
-partitions.
+followed only to regular files inside the root whose every name is allowed. Partitions hold about equal
+bytes, so that a full folder is many and small folders share one. Filters on path, kind, parent, depth,
+bytes and reason are decided before a file is opened, and folders that they rule out are not listed.
+``write`` makes such a tree of rows (``treewriter``).
 """
 
 from __future__ import annotations
@@ -13,18 +15,26 @@ import os
 import re
 import stat
 import urllib.parse
-from collections.abc import Iterator
+import zlib
+from collections import deque
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 
 from winnow.functions import paths as P
 from winnow.limits import LIMITS
 from winnow.operators import names
 from winnow.sources.ignore import Rules
+from winnow.sources.pushed import Pushed, column
+from winnow.sources.treewriter import TreeWriter, local_path
 
 SCHEMA = "path string, kind string, parent string, depth int, bytes long, reason string, status string, sha256 string, text string"
+#: A partition's bytes and files, what an entry counts beside its bytes, the entries that the driver
+#: looks at to plan partitions, and the parts of a folder that has more.
+PARTITION_BYTES, PARTITION_FILES, ENTRY_BYTES, PLANNED_ENTRIES, SHARES = 64 << 20, 10_000, 4096, 100_000, 256
 CONTROL = re.compile(rb"[\x00-\x08\x0b\x0e-\x1f\x7f]")
 PRIVATE_KEY = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 
@@ -135,9 +145,10 @@ def read_file(root: Path, path: str, most: int = LIMITS.file_bytes) -> tuple[str
     return "ok", digest, text, len(raw)
 
 
-def listing(root: Path, folder: str, rules: Rules) -> Iterator[tuple[str, bool, str | None]]:
-    """(path, is directory, reason) of a folder's entries by name; ignored ones do not appear."""
-    for name in sorted(os.listdir(root / folder)):
+def listing(root: Path, folder: str, rules: Rules, has: Callable[[str], bool] = lambda name: True) -> Iterator[tuple[str, bool, str | None]]:
+    """(path, is directory, reason) of a folder's entries by name, of those that ``has`` takes; ignored
+    ones do not appear."""
+    for name in sorted(filter(has, os.listdir(root / folder))):
         path = f"{folder}/{name}".lstrip("/")
         full = root / path
         is_link = full.is_symlink()
@@ -150,36 +161,134 @@ def listing(root: Path, folder: str, rules: Rules) -> Iterator[tuple[str, bool,
         yield path, is_dir, reason
 
 
-class Top(InputPartition):
-    def __init__(self, path: str, is_dir: bool, reason: str | None):
-        self.path, self.is_dir, self.reason = path, is_dir, reason
+@dataclass(frozen=True)
+class Piece:
+    """What a task lists: a whole folder's entries and all below them, or its entries alone by name
+    (first to last, both included) or by a share of their names' hashes; folders among these are left
+    to their own pieces."""
+
+    folder: str
+    deep: bool = True
+    first: str | None = None
+    last: str | None = None
+    share: tuple[int, int] | None = None
+
+    def has(self, name: str) -> bool:
+        if self.share:
+            return zlib.crc32(os.fsencode(name)) % self.share[1] == self.share[0]
+        return self.first is None or self.first <= name <= self.last
+
+
+class Pieces(InputPartition):
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root = Path(options["path"])
+        path = options["path"]
+        self.root = Path(local_path(path) if path.startswith("file:") else path)
         self.content = options.get("content", "true").lower() != "false"
+        self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.partition_files = int(options.get("partitionFiles", PARTITION_FILES))
+        self.planned = int(options.get("plannedEntries", PLANNED_ENTRIES))
+        self.pushed = Pushed()
 
-    def partitions(self) -> list[InputPartition]:
-        rules = Rules()
-        rules.read(self.root, "")
-        return [Top(*x) for x in listing(self.root, "", rules)] or [Top("", False, "empty")]
+    def pushFilters(self, filters: list) -> Iterator:
+        """Filters on what is known without content are decided here, before a file is opened.
 
-    def read(self, partition: Top) -> Iterator[tuple]:
-        if partition.reason == "empty":
-            return
+        Those on bytes are given back too, as a file's size is taken again when it is read.
+        """
+        self.pushed = Pushed(filters)
+        return iter([f for f in filters if (c := column(f)) is None or c == "bytes"])
+
+    def partitions(self) -> list[InputPartition]:
+        """Pieces of about equal bytes. The driver lists folders from the top until it has seen
+        ``plannedEntries``; what lies deeper is one piece a folder, and a larger folder is dealt by hash."""
         rules = Rules()
         rules.read(self.root, "")
-        yield from self._entry(partition.path, partition.is_dir, partition.reason, rules)
+        if not self.pushed.enters(""):
+            return [Pieces([])]
+        sized: list[tuple[int, int, Piece]] = []
+        todo, left = deque([""]), self.planned
+        while todo:
+            folder = todo.popleft()
+            found, rest = self._peek(folder, left) if left > 0 else (None, 0)
+            if found is None:
+                if rest:  # its own entries are too many to be listed here
+                    sized += [(self.partition_bytes, 0, Piece(folder, True, share=(i, SHARES))) for i in range(SHARES)]
+                else:
+                    sized.append((self.partition_bytes // 8, self.partition_files // 8, Piece(folder)))
+                continue
+            left -= len(found)
+            first, size, files = None, 0, 0
+            for name, is_dir, n in found:
+                first = name if first is None else first
+                size, files = size + n + ENTRY_BYTES, files + 1
+                if is_dir and name_reason(name, True) is None and self.pushed.enters(path := f"{folder}/{name}".lstrip("/")):
+                    todo.append(path)
+                if size >= self.partition_bytes or files >= self.partition_files:
+                    sized.append((size, files, Piece(folder, False, first, name)))
+                    first, size, files = None, 0, 0
+            if first is not None:
+                sized.append((size, files, Piece(folder, False, first, found[-1][0])))
+        out: list[list[Piece]] = []
+        size = files = 0
+        for n, k, piece in sized:
+            if not out or size + n > self.partition_bytes or files + k > self.partition_files:
+                out.append([])
+                size = files = 0
+            out[-1].append(piece)
+            size, files = size + n, files + k
+        return [Pieces(p) for p in out] or [Pieces([])]
+
+    def _peek(self, folder: str, most: int) -> tuple[list[tuple[str, bool, int]] | None, int]:
+        """(name, is directory, bytes) of a folder's entries by name; None and how many were seen
+        if they are more than ``most``."""
+        out: list[tuple[str, bool, int]] = []
+        try:
+            with os.scandir(self.root / folder) as entries:
+                for e in entries:
+                    if len(out) >= most:
+                        return None, len(out)
+                    is_dir = e.is_dir(follow_symlinks=False)
+                    try:
+                        n = 0 if is_dir or not self.content else e.stat().st_size
+                    except OSError:
+                        n = 0
+                    out.append((e.name, is_dir, n))
+        except OSError:
+            if not folder:
+                raise
+        return sorted(out), 0
+
+    def read(self, partition: Pieces) -> Iterator[tuple]:
+        for piece in partition.pieces:
+            rules = Rules()
+            rules.read(self.root, "")
+            parts = piece.folder.split("/") if piece.folder else []
+            ignored = False
+            for i in range(len(parts)):
+                ignored |= rules.ignored(above := "/".join(parts[: i + 1]), True)
+                rules.read(self.root, above)
+            try:
+                entries = [] if ignored else list(listing(self.root, piece.folder, rules, piece.has))
+            except OSError:
+                entries = []  # the folder's own row says that it is unreadable
+            for x in entries:
+                yield from self._entry(*x, rules, piece.deep)
 
-    def _entry(self, path: str, is_dir: bool, reason: str | None, rules: Rules) -> Iterator[tuple]:
+    def _entry(self, path: str, is_dir: bool, reason: str | None, rules: Rules, deep: bool) -> Iterator[tuple]:
         parent, depth = path.rpartition("/")[0], path.count("/") + 1
+        known = {"path": path, "kind": "directory" if is_dir else "file", "parent": parent, "depth": depth, "reason": reason}
         if not is_dir:
             status = digest = text = None
             try:
                 size = os.stat(self.root / path).st_size
             except OSError:
                 size = 0
+            if not self.pushed.keeps(**known, bytes=size):
+                return
             if reason is None and self.content:
                 status, digest, text, size = read_file(self.root, path)
             yield path, "file", parent, depth, size, reason, status, digest, text
@@ -190,12 +299,16 @@ class Reader(DataSourceReader):
         if reason is None:
             try:
                 status = "unreadable" if rules.read(self.root, path) else None
-                below = list(listing(self.root, path, rules))
+                if deep:
+                    below = list(listing(self.root, path, rules)) if self.pushed.enters(path) else []
+                else:
+                    os.scandir(self.root / path).close()
             except OSError:
                 status = "unreadable"
-        yield path, "directory", parent, depth, None, reason, status, None, None
+        if self.pushed.keeps(**known, bytes=None):
+            yield path, "directory", parent, depth, None, reason, status, None, None
         for x in below:
-            yield from self._entry(*x, rules)
+            yield from self._entry(*x, rules, deep)
         del rules.layers[held:]
 
 
@@ -210,6 +323,11 @@ class FileTree(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return Reader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return TreeWriter(self.options, schema, overwrite)
+
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to a session, and let it take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FileTree)

@@ -44,6 +44,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that it is on."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
