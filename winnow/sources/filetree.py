@@ -33,8 +33,8 @@ from winnow.sources.treewriter import TreeWriter, local_path
 
 SCHEMA = "path string, kind string, parent string, depth int, bytes long, reason string, status string, sha256 string, text string"
 #: A partition's bytes and files, what an entry counts beside its bytes, the entries that the driver
-#: looks at to plan partitions, and the parts of a folder that has more.
-PARTITION_BYTES, PARTITION_FILES, ENTRY_BYTES, PLANNED_ENTRIES, SHARES = 64 << 20, 10_000, 4096, 100_000, 256
+#: looks at to plan partitions, and the pieces of what it has not looked at.
+PARTITION_BYTES, PARTITION_FILES, ENTRY_BYTES, PLANNED_ENTRIES, SHARES = 64 << 20, 10_000, 4096, 1_000_000, 256
 CONTROL = re.compile(rb"[\x00-\x08\x0b\x0e-\x1f\x7f]")
 PRIVATE_KEY = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 
@@ -203,8 +203,9 @@ class Reader(DataSourceReader):
         return iter([f for f in filters if (c := column(f)) is None or c == "bytes"])
 
     def partitions(self) -> list[InputPartition]:
-        """Pieces of about equal bytes. The driver lists folders from the top until it has seen
-        ``plannedEntries``; what lies deeper is one piece a folder, and a larger folder is dealt by hash."""
+        """Pieces of about equal bytes. The driver looks at one folder at a time, from the top, until it
+        has seen ``plannedEntries``; the folders left then are dealt whole, by hashes of their names into
+        SHARES pieces in all or one a folder."""
         rules = Rules()
         rules.read(self.root, "")
         if not self.pushed.enters(""):
@@ -213,13 +214,13 @@ class Reader(DataSourceReader):
         todo, left = deque([""]), self.planned
         while todo:
             folder = todo.popleft()
-            found, rest = self._peek(folder, left) if left > 0 else (None, 0)
+            found = self._peek(folder, left)
             if found is None:
-                if rest:  # its own entries are too many to be listed here
-                    sized += [(self.partition_bytes, 0, Piece(folder, True, share=(i, SHARES))) for i in range(SHARES)]
-                else:
-                    sized.append((self.partition_bytes // 8, self.partition_files // 8, Piece(folder)))
-                continue
+                # few folders are left in many shares each, many in one
+                shares = max(1, SHARES // (1 + len(todo)))
+                part = 1 if shares > 1 else 8
+                sized += [(self.partition_bytes // part, self.partition_files // part, Piece(f, True, share=(i, shares))) for f in (folder, *todo) for i in range(shares)]
+                break
             left -= len(found)
             first, size, files = None, 0, 0
             for name, is_dir, n in found:
@@ -242,15 +243,14 @@ class Reader(DataSourceReader):
             size, files = size + n, files + k
         return [Pieces(p) for p in out] or [Pieces([])]
 
-    def _peek(self, folder: str, most: int) -> tuple[list[tuple[str, bool, int]] | None, int]:
-        """(name, is directory, bytes) of a folder's entries by name; None and how many were seen
-        if they are more than ``most``."""
+    def _peek(self, folder: str, most: int) -> list[tuple[str, bool, int]] | None:
+        """(name, is directory, bytes) of a folder's entries by name; None if they are more than ``most``."""
         out: list[tuple[str, bool, int]] = []
         try:
             with os.scandir(self.root / folder) as entries:
                 for e in entries:
                     if len(out) >= most:
-                        return None, len(out)
+                        return None
                     is_dir = e.is_dir(follow_symlinks=False)
                     try:
                         n = 0 if is_dir or not self.content else e.stat().st_size
@@ -260,7 +260,7 @@ class Reader(DataSourceReader):
         except OSError:
             if not folder:
                 raise
-        return sorted(out), 0
+        return sorted(out)
 
     def read(self, partition: Pieces) -> Iterator[tuple]:
         for piece in partition.pieces:
