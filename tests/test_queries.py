@@ -65,6 +65,17 @@ def test_search_status_counts_every_issue(spark, sf):
     assert {r.search: r.status for r in entry.queries()["search_status"](spark, sf).collect()} == want
 
 
+def test_three_part_sample_shares_a_folder_s_characters(spark, tmp_path):
+    """Two files in a folder have 80,000 characters each: what is no longer is whole, of others three parts stand."""
+    whole, cut = "é" * 80_000, "".join(chr(97 + i % 26) for i in range(80_001))
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(1, whole, "en", "src"), (2, cut, "en", "src")], "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+    got = {r.doc_id: r.value for r in entry.queries()["three_part_sample"](spark, at).collect()}
+    part = 80_000 // 3
+    starts = (0, 80_001 // 2 - part // 2, 80_001 - part)
+    assert got == {1: whole, 2: "\n...\n".join(f"[character offset {a}]\n{cut[a : a + part]}" for a in starts)}
+
+
 def test_what_a_model_would_be_asked(spark, tmp_path):
     """navigation_items and selection_questions against the functions of one file, and all units."""
     import hashlib
