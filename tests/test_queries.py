@@ -76,6 +76,22 @@ def test_three_part_sample_shares_a_folder_s_characters(spark, tmp_path):
     assert got == {1: whole, 2: "\n...\n".join(f"[character offset {a}]\n{cut[a : a + part]}" for a in starts)}
 
 
+def lined(spark, folder, *lines):
+    """A table of documents 0, 1, 2... with so many lines of 100 bytes."""
+    rows = [(i, "\n".join(["x" * 99] * n), "en", "src") for i, n in enumerate(lines)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"file://{folder}/documents.parquet")
+    return f"file://{folder}"
+
+
+def result(spark, name, at, *columns):
+    return sorted(map(tuple, entry.queries()[name](spark, at).select(*columns).collect()))
+
+
+def test_line_blocks_are_of_four_lines(spark, tmp_path):
+    at = lined(spark, tmp_path, 9, 4)
+    assert result(spark, "line_blocks", at, "doc_id", "block_start", "block_end") == [(0, 1, 4), (0, 5, 8), (0, 9, 9), (1, 1, 4)]
+
+
 def test_what_a_model_would_be_asked(spark, tmp_path):
     """navigation_items and selection_questions against the functions of one file, and all units."""
     import hashlib
