@@ -97,6 +97,11 @@ def test_excerpt_windows_are_around_blocks_of_four_lines(spark, tmp_path):
     assert result(spark, "excerpt_windows", at, "block_start", "window_start", "window_end") == [(1, 1, 7), (5, 2, 11), (9, 6, 13), (13, 10, 13)]
 
 
+def test_neighbours_are_blocks_of_four_lines(spark, tmp_path):
+    at = lined(spark, tmp_path, 9)
+    assert result(spark, "neighbours", at, "block_start", "previous", "next") == [(1, 0, 5), (5, 1, 9), (9, 5, 0)]
+
+
 def test_what_a_model_would_be_asked(spark, tmp_path):
     """navigation_items and selection_questions against the functions of one file, and all units."""
     import hashlib
