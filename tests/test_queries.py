@@ -102,6 +102,12 @@ def test_neighbours_are_blocks_of_four_lines(spark, tmp_path):
     assert result(spark, "neighbours", at, "block_start", "previous", "next") == [(1, 0, 5), (5, 1, 9), (9, 5, 0)]
 
 
+def test_comment_dedup_has_repeats_to_drop(spark, tmp_path):
+    """Two whole blocks of four lines in the same eight lines are one row."""
+    at = lined(spark, tmp_path, 18)
+    assert result(spark, "comment_dedup", at, "start_line", "end_line") == [(0, 3), (1, 3), (2, 1)]
+
+
 def test_what_a_model_would_be_asked(spark, tmp_path):
     """navigation_items and selection_questions against the functions of one file, and all units."""
     import hashlib
