@@ -108,6 +108,14 @@ def test_comment_dedup_has_repeats_to_drop(spark, tmp_path):
     assert result(spark, "comment_dedup", at, "start_line", "end_line") == [(0, 3), (1, 3), (2, 1)]
 
 
+def test_group_context_is_around_a_group_beyond_1600_bytes(spark, tmp_path):
+    at = lined(spark, tmp_path, 16, 29)
+    got = result(spark, "group_context", at, "doc_id", "block_start", "kind", "opening_end", "near_start", "near_end")
+    whole = [(0, a, "whole", 1599, 0, 0) for a in range(1, 17, 4)]
+    around = [(1, a, "around", 2000, max(a - 9, 0) * 100, min(100 * min(a + 11, 29), 2899)) for a in range(1, 30, 4)]
+    assert got == whole + around
+
+
 def test_what_a_model_would_be_asked(spark, tmp_path):
     """navigation_items and selection_questions against the functions of one file, and all units."""
     import hashlib
