@@ -126,6 +126,23 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path, bad):
     assert left(tmp_path) == ["out"] and left(old) == ["old.txt"]
 
 
+def test_a_tree_is_removed_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver is left the folders and what the scan does not list, not the files."""
+    filetree.register(spark)
+    (tmp_path / "t/a/b").mkdir(parents=True)
+    for i in range(30):
+        (tmp_path / f"t/a/b/{i}").write_text("x")
+    (tmp_path / "t/.hidden").write_text("x")
+    (tmp_path / "t/.ignore").write_text("*9")
+    (tmp_path / "kept").write_text("kept")
+    (tmp_path / "t/a/link").symlink_to(tmp_path / "kept")
+    seen, delete = [], treewriter.store.delete
+    monkeypatch.setattr(treewriter.store, "delete", lambda s, p: seen.extend(f for *_, fs in os.walk(tmp_path / "t") for f in fs) or delete(s, p))
+    treewriter.remove(spark, f"file://{tmp_path}/t")
+    assert sorted(seen) == ["19", "29", "9"] and left(tmp_path) == ["kept"]
+    treewriter.remove(spark, f"file://{tmp_path}/none")
+
+
 def test_a_task_runs_twice_and_another_tree_comes_first(tmp_path):
     from pyspark.sql.types import StructType
 

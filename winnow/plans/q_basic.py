@@ -16,7 +16,7 @@ from winnow.operators import names as N
 from winnow.limits import LIMITS
 from winnow.plans import inputs as I
 from winnow.plans.catalog import query
-from winnow.sources import filetree, store
+from winnow.sources import filetree, store, treewriter
 
 # Literal rows that the driver's tables lack
 PATHS = ("a/b.rs", "a/.bashrc", "a.tar.gz", "Makefile", "x/y.py", "x/y.pyi", "t/a.tsx", "t/b.mjs", "g/main.go", "v1.2/readme", ".git/config", "src/.env", "src/.ENV.local", "node_modules/x/index.js", "docs/cert.PEM", "docs/keys.txt", "src/.envrc", "a/vendor/b.go", ".github/ci.yml", "build/out.o", "docs/CVS/Root", "src/credentials", "src/id_rsa")
@@ -286,4 +286,4 @@ def tree_scan(spark, sf):
         files = spark.read.format("winnow_files").option("path", root).load().where("kind = 'file' AND reason IS NULL")
         return store.written(files.select("path", "parent", "depth", "bytes", "status", "sha256"), "tree-scan")
     finally:
-        store.delete(spark, root)
+        treewriter.remove(spark, root)

@@ -118,18 +118,24 @@ def inside(paths: DataFrame, given: list[str]) -> DataFrame:
 
 def read_file(root: Path, path: str, most: int = LIMITS.file_bytes) -> tuple[str, str | None, str | None, int]:
     """(status, sha256, text, bytes); the file must be the same before and after the read."""
-    full = root / path
+    full, flags = f"{root}/{path}", os.O_RDONLY | os.O_NONBLOCK | os.O_NOFOLLOW
     try:
-        fd = os.open(full.resolve(strict=True), os.O_RDONLY | os.O_NONBLOCK | os.O_NOFOLLOW)
+        # few files are links
+        try:
+            fd = os.open(full, flags)
+        except OSError:
+            fd = os.open(os.path.realpath(full, strict=True), flags)
     except OSError:
         return "unreadable", None, None, 0
-    with os.fdopen(fd, "rb") as f:
+    with os.fdopen(fd, "rb", buffering=0) as f:
         before = os.fstat(fd)
         if not stat.S_ISREG(before.st_mode):
             return "special_file", None, None, 0
         if before.st_size > most:
             return "size_limit", None, None, before.st_size
-        raw = f.read(most + 1)
+        raw = b""
+        while len(raw) <= most and (more := f.read(most + 1 - len(raw) if raw else before.st_size + 1)):
+            raw += more
         after = os.fstat(fd)
     if (before.st_size, before.st_mtime_ns, before.st_ctime_ns) != (after.st_size, after.st_mtime_ns, after.st_ctime_ns) or len(raw) != after.st_size:
         return ("size_limit" if len(raw) > most else "changed"), None, None, len(raw)
@@ -148,11 +154,10 @@ def read_file(root: Path, path: str, most: int = LIMITS.file_bytes) -> tuple[str
 def listing(root: Path, folder: str, rules: Rules, has: Callable[[str], bool] = lambda name: True) -> Iterator[tuple[str, bool, str | None]]:
     """(path, is directory, reason) of a folder's entries by name, of those that ``has`` takes; ignored
     ones do not appear."""
-    for name in sorted(filter(has, os.listdir(root / folder))):
+    with os.scandir(root / folder) as entries:
+        found = sorted((e.name, e.is_symlink(), e.is_dir(follow_symlinks=False)) for e in entries if has(e.name))
+    for name, is_link, is_dir in found:
         path = f"{folder}/{name}".lstrip("/")
-        full = root / path
-        is_link = full.is_symlink()
-        is_dir = full.is_dir() and not is_link
         if rules.ignored(path, is_dir):
             continue
         reason = name_reason(name, is_dir)
@@ -284,7 +289,7 @@ class Reader(DataSourceReader):
         if not is_dir:
             status = digest = text = None
             try:
-                size = os.stat(self.root / path).st_size
+                size = os.stat(f"{self.root}/{path}").st_size
             except OSError:
                 size = 0
             if not self.pushed.keeps(**known, bytes=size):

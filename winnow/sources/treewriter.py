@@ -14,6 +14,7 @@ file. Columns beside path and text are not taken.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import urllib.parse
@@ -21,9 +22,16 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StringType, StructType
 
+from winnow.sources import store
+
+#: Files that a task removes.
+REMOVED_FILES = 5_000
+
 
 def local_path(path: str) -> str:
     """A path or file URI as the path that ``open`` takes; other schemes are refused."""
@@ -42,15 +50,14 @@ def checked(path: str | None) -> str:
     return path
 
 
-def put(full: str, raw: bytes, parts: str) -> bool:
-    """Create a file with this content, made in the folder ``parts`` of the same file system; False if
+def put(full: str, raw: bytes, part: str) -> bool:
+    """Create a file with this content, made under the name ``part`` in the same file system; False if
     it is there already, an error if it holds another."""
-    os.makedirs(os.path.dirname(full), exist_ok=True)
-    os.makedirs(parts, exist_ok=True)
-    part = f"{parts}/{uuid.uuid4().hex}"
     try:
-        with open(part, "xb") as f:
-            f.write(raw)
+        with open(part, "xb", buffering=0) as f:
+            left = memoryview(raw)
+            while left:
+                left = left[f.write(left) :]
         os.link(part, full)
         return True
     except FileExistsError:
@@ -61,10 +68,28 @@ def put(full: str, raw: bytes, parts: str) -> bool:
                 raise
         return False
     finally:
-        if os.path.lexists(part):
+        with contextlib.suppress(FileNotFoundError):
             os.unlink(part)
 
 
+def remove(spark: SparkSession, root: str) -> None:
+    """Delete a tree of files that executors reach: its files in tasks, by pieces as the scan cuts them, then
+    the folders and what the scan does not list."""
+    at = local_path(root)
+
+    def unlinked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with contextlib.suppress(OSError):
+                    os.unlink(f"{at}/{path}")
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    if os.path.isdir(at):
+        files = spark.read.format("winnow_files").options(path=at, content="false", partitionFiles=REMOVED_FILES).load().where("kind = 'file'")
+        files.select("path").mapInArrow(unlinked, "n long").agg({"n": "sum"}).collect()
+    store.delete(spark, root)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What a task wrote: new files and their bytes."""
@@ -90,11 +115,19 @@ class TreeWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Written:
         files = size = 0
+        # a folder of its own for each task: many tasks that make files in one wait for each other
+        parts, made = f"{self.stage}.parts/{uuid.uuid4().hex}", set()
+        os.makedirs(parts, exist_ok=True)
         for row in iterator:
             raw = row["text"] or b""
             raw = raw.encode() if isinstance(raw, str) else bytes(raw)
-            if put(f"{self.stage}/{checked(row['path'])}", raw, f"{self.stage}.parts"):
+            full = f"{self.stage}/{checked(row['path'])}"
+            if (folder := os.path.dirname(full)) not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
+            if put(full, raw, f"{parts}/part"):
                 files, size = files + 1, size + len(raw)
+        os.rmdir(parts)
         return Written(files, size)
 
     def commit(self, messages: list[Written | None]) -> None:
